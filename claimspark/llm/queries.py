@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, quality, simhash
+from . import exact, licenses, linededup, mixing, pii, quality, simhash, spm, tokenfiles, warc
 from .common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is; every executor has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.with_copies(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -21,19 +28,46 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.spans(table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spm.encoded(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ["doc_id"])
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded_ok")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    base = F.sha2(pii.joined(F.col("spans")).cast("binary"), 256)
+    return rows.select("doc_id", *counts, base.alias("base_sha256"), pii.joined(F.concat("spans", "term_spans")).alias("spans"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matches(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mix_sources": op1_mix_sources,
-    "op2_quality_rules": op2_quality_rules,
-    "op7_simhash": op7_simhash,
-    "op9_exact_dedup": op9_exact_dedup,
+    f.__name__: f
+    for f in (op1_mix_sources, op2_quality_rules, op3_line_dedup, op4_sentencepiece, op5_token_files, op6_warc, op7_simhash, op8_pii, op9_exact_dedup, op10_license_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {}
