@@ -1,4 +1,6 @@
 """Named queries over the driver's tables and, where SQL can express them, their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import claims
+from .common import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
