@@ -15,8 +15,10 @@ each other ordered by text; an empty table gives files without rows.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +31,7 @@ from .common import cut, maybe_broadcast, scratch_path, text_of
 
 END_ID = 0
 #: Pieces whose ids an encoder keeps, at most.
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 300_000
 #: Ids in one Arrow batch, about.
 BATCH_IDS = 500_000
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
@@ -44,9 +46,30 @@ WRITE_OPTIONS = {
     "parquet.dictionary.page.size": str(1 << 20),
 }
 
+_struct = functools.cache(struct.Struct)
+#: The byte level's alphabet: printable Latin-1 characters stand for themselves, the other bytes for those from 256 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
 _CUT = re.compile(r"(?<!\s) ")
 
 
+#: Signs that the pre-tokenizer always parts from a word before them when nothing but white space follows.
+_SIGNS = frozenset(".,;:!?")
+
+
+def _word_and_sign(x: str) -> list[str]:
+    return [x[:-1], x[-1]] if x[-1] in _SIGNS and x[:-1].removeprefix(" ").isalpha() else [x]
+
+
+def _atoms(piece: str) -> list[str]:
+    """Parts of a piece between which the pre-tokenizer cuts: at a line break between words, before a last sign."""
+    left, broken, right = piece.partition("\n")
+    if not (broken and left.strip() and right) or left[-1].isspace() or right[0].isspace():
+        return _word_and_sign(piece)
+    return [*_word_and_sign(left), "\n", *_word_and_sign(right)]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
@@ -54,13 +77,39 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer = t = Tokenizer.from_file(path)
         self._most = known
-        self._after_space: dict[str, bytes] = {}
+        #: A byte-level tokenizer's model takes a word alone, spelt in the level's alphabet, with much less ado.
+        self._model = t.model if type(t.pre_tokenizer).__name__ == "ByteLevel" and t.normalizer is None else None
+        self._after_space: dict[str, bytes] = {}  # ids of a space and the piece
+        self._known: dict[str, bytes] = {}  # ids of atoms
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _atom_bytes(self, atoms: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        if self._model is not None:
+            tokenize = self._model.tokenize
+            for a in atoms:
+                if a.removeprefix(" ").isalpha():
+                    ids = [t.id for t in tokenize(a.encode().decode("latin-1").translate(_ALPHABET))]
+                    out[a] = _struct(f"<{len(ids)}I").pack(*ids)
+        others = [a for a in atoms if a not in out]
+        out |= zip(others, self._bytes(others) if others else [], strict=True)
+        return [out[a] for a in atoms]
+
+    def _from_atoms(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each from its atoms."""
+        parts, known = [_atoms(x) for x in pieces], self._known
+        if new := list({a for p in parts for a in p if a not in known}):
+            known.update(zip(new, self._atom_bytes(new), strict=True))
+        out = [b"".join([known[a] for a in p]) for p in parts]
+        if len(known) > self._most:
+            for a in new:
+                del known[a]
+        return out
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -69,17 +118,17 @@ class Encoder:
             return self._odd(text)
         known = self._after_space
         try:
-            return self._bytes([first])[0] + b"".join([known[x] for x in rest])
+            body = b"".join([known[x] for x in rest])
         except KeyError:
             new = list({x for x in rest if x not in known})
-        if any(not x or x[-1].isspace() for x in new):
-            return self._odd(text)
-        known.update(zip(new, self._bytes([f" {x}" for x in new]), strict=True))
-        out = self._bytes([first])[0] + b"".join([known[x] for x in rest])
-        if len(known) > self._most:
-            for x in new:
-                del known[x]
-        return out
+            if any(not x or x[-1].isspace() for x in new):
+                return self._odd(text)
+            known.update(zip(new, self._from_atoms([f" {x}" for x in new]), strict=True))
+            body = b"".join([known[x] for x in rest])
+            if len(known) > self._most:
+                for x in new:
+                    del known[x]
+        return self._from_atoms([first])[0] + body
 
     def _odd(self, text: str) -> bytes:
         """For texts with white space before a space."""
