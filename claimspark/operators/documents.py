@@ -166,13 +166,13 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, query_block: i
                 ids, qs = [x["query_id"] for x in same["qs"].iloc[0]], np.array([list(x["q"]) for x in same["qs"].iloc[0]])
                 vs, vec_ids = np.array(same["v"].tolist(), dtype=np.float64), same["vec_id"].to_numpy()
                 norm = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
-                scores = np.round(norm(qs) @ norm(vs).T, 6)
+                scores = np.round(norm(qs) @ norm(vs).T, 4)
                 best = np.lexsort((np.broadcast_to(vec_ids, scores.shape), -scores), axis=1)[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "vec_id": vec_ids[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
 
     # A stated query set against all rows, in blocks.
     pairs = vectors.select("vec_id", F.col("v").cast("array<double>").alias("v")).join(blocks, F.lit(True))
-    some = pairs.mapInPandas(work, "query_id long, vec_id long, score double").withColumn("score", F.round("score", 4))
+    some = pairs.mapInPandas(work, "query_id long, vec_id long, score double")
     return topk(some, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k, rank="rank")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fuzzy import fuzzy_ratios
 from ..functions.text import ngram_jaccard, ngrams, norm_key, skeleton, strip_noise
+from ..sources.scratch import cut
 from .windows import top1, topk
 
 # Weights of the mapper's parts and its adjustments.
@@ -142,13 +143,13 @@ def family_of(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     return top1(scored, ["id"], [F.col("score").desc(), F.col("family")])
 
 
-def cluster_names(names: DataFrame, edges: DataFrame, cut, rounds: int = 100) -> DataFrame:
+def cluster_names(names: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """ER7: greedy clusters as if names were taken in rank order: a name that no earlier canonical name has absorbed is
     canonical and absorbs its neighbours.
 
     names(name, rank), edges(a, b) undirected. In each round the undecided names without an undecided earlier neighbour
-    are decided: members if an earlier neighbour is canonical (of the earliest such), else canonical. cut: writes a
-    frame and reads it back (or checkpoints it), once a round.
+    are decided: members if an earlier neighbour is canonical (of the earliest such), else canonical. The state
+    is written once a round.
     """
     r = names.select("name", "rank")
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
