@@ -67,7 +67,7 @@ def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copi
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "source_size", "target", "rate", "copies")]
     sizes = docs.select("source", word_count(text_of()).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = cut(share_out(cyclic_weights(sizes, weights), most_copies), "mix-rates").withColumnRenamed("source", "__source")
+    rates = cut(share_out(cyclic_weights(sizes, weights), most_copies), "mix-rates").select(F.col("source").alias("__source"), "source_size", "target", "rate")
     sized = docs.select(*names, F.col("source").alias("__own"), word_count(text_of()).alias("size"), F.col("doc_id").alias("__id"))
     joined = sized.join(maybe_broadcast(rates), F.col("__own").eqNullSafe(F.col("__source")), "left")
     whole = F.floor("rate")
@@ -77,6 +77,6 @@ def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copi
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as many times as it is taken, with their own columns."""
-    planned = with_copies(docs, **options)
-    emitted = planned.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return emitted.select(*[c for c in docs.columns if c in planned.columns])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    planned = with_copies(docs.select("doc_id", "source", "text", own), keep=["__row"], **options)
+    return planned.filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import exact, licenses, linededup, mixing, pii, quality, simhash, spm, tokenfiles, warc
 from .common import table
+from .oracle import ORACLE_SQL  # noqa: F401  (part of this module's interface)
 
 
 def tokenizer_path(name: str) -> str:
@@ -69,5 +70,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_mix_sources, op2_quality_rules, op3_line_dedup, op4_sentencepiece, op5_token_files, op6_warc, op7_simhash, op8_pii, op9_exact_dedup, op10_license_scan)
 }
-
-ORACLE_SQL: dict[str, str] = {}

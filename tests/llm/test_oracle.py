@@ -1,0 +1,20 @@
+"""Queries against their SQL, and every query on the smallest tables."""
+
+import pytest
+
+from claimspark.llm.queries import ORACLE_SQL, QUERIES
+from compare import both
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows(spark, name):
+    got, names, want, columns = both(spark, SF, QUERIES[name], ORACLE_SQL[name])
+    assert names == columns
+    assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0
