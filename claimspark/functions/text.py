@@ -57,10 +57,10 @@ def apply_rules(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 #: Prefixes, suffixes and codes that say nothing about the service.
 NOISE = (
-    (r"(?i)^\s*\[?dv\]?[\s:.-]+", ""),
-    (r"(?i)\s*\|.*$", ""),
-    (r"(?i)\s*[-–]\s*(phòng|phong|pk)\b.*$", ""),
-    (r"(?i)\b[a-z]{1,4}\d{2,}[-.]\d+\b", ""),
+    (r"(?iu)^\s*\[?dv\]?[\s:.-]+", ""),
+    (r"(?iu)\s*\|.*$", ""),
+    (r"(?iu)\s*[-–]\s*(phòng|phong|pk)\b.*$", ""),
+    (r"(?iu)\b[a-z]{1,4}\d{2,}[-.]\d+\b", ""),
     (r"\s+", " "),
 )
 
@@ -73,7 +73,7 @@ def strip_noise(c: Column, rules: Sequence[tuple[str, str]] = NOISE) -> Column:
 def clean_service_name(c: Column, ocr_fixes: Sequence[tuple[str, str, str]] = ()) -> Column:
     """TX3: struct<name, rules>: the cleaned name and which of R1..R6 changed it, in order. ocr_fixes: (wrong, right,
     reason)."""
-    steps = [("R1", lambda x: F.regexp_replace(x, r"(?i)^\[DV\]\s*", "")), ("R2", lambda x: F.regexp_replace(x, r"(?s)\s*\|.*$", "")), ("R3", lambda x: F.translate(x, "[]", "()")), ("R4", lambda x: F.lower(F.trim(x)))]
+    steps = [("R1", lambda x: F.regexp_replace(x, r"(?iu)^\[DV\]\s*", "")), ("R2", lambda x: F.regexp_replace(x, r"(?s)\s*\|.*$", "")), ("R3", lambda x: F.translate(x, "[]", "()")), ("R4", lambda x: F.lower(F.trim(x)))]
     steps += [(f"R5:{why}", lambda x, w=wrong, r=right: F.replace(x, F.lit(w), F.lit(r))) for wrong, right, why in ocr_fixes]  # plain Python lambdas
     steps.append(("R6", collapse))
     now, used = F.trim(c), []
@@ -160,7 +160,7 @@ def split_reasons(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"[;\n|]+"), collapse), lambda r: r != "")
 
 
-CLAUSE_REF = r"(?i)((?:điều|dieu|khoản|khoan|mục|muc|clause|article|section)\s+[0-9]+(?:\.[0-9]+)*)"
+CLAUSE_REF = r"(?iu)((?:điều|dieu|khoản|khoan|mục|muc|clause|article|section)\s+[0-9]+(?:\.[0-9]+)*)"
 
 
 def clause_refs(c: Column, pattern: str = CLAUSE_REF) -> Column:
@@ -174,8 +174,8 @@ MENTION_BLOCK = ("tong", "total", "thanh tien", "so tien")
 
 def service_mentions(c: Column, block: Sequence[str] = MENTION_BLOCK) -> Column:
     """TX17: array<struct<item_name, amount_vnd>> of the "item (amount)" parts, each once."""
-    names, amounts = (F.regexp_extract_all(c, F.lit("(?i)" + MENTION), F.lit(k)) for k in (1, 2))
-    bare = lambda n: F.regexp_replace(F.trim(F.element_at(F.split(n, ":"), -1)), r"(?i)^(?:,|và|va)\s+|^[*:\s-]+|^chi phí\s+", "")
+    names, amounts = (F.regexp_extract_all(c, F.lit("(?iu)" + MENTION), F.lit(k)) for k in (1, 2))
+    bare = lambda n: F.regexp_replace(F.trim(F.element_at(F.split(n, ":"), -1)), r"(?iu)^(?:,|và|va)\s+|^[*:\s-]+|^chi phí\s+", "")
     pairs = F.zip_with(names, amounts, lambda n, a: F.struct(collapse(bare(n)).alias("item_name"), parse_vnd(a).alias("amount_vnd")))
     blocked = lambda n: F.exists(F.array(*[F.lit(b) for b in block]), lambda b: F.contains(norm_key(n), b))
     return F.array_distinct(F.filter(pairs, lambda p: (F.length(p["item_name"]) >= 3) & ~blocked(p["item_name"]) & ~F.contains(p["item_name"], F.lit(". "))))
@@ -189,7 +189,7 @@ def note_signals(note: Column, reasons: Column) -> Column:
     the formula requested x percent = paid."""
     text, blob = ascii_fold(collapse(note)), F.concat_ws(" ; ", F.transform(reasons, ascii_fold))
     any_of = lambda c, words: F.coalesce(c.rlike("|".join(words)), F.lit(False))
-    part = lambda k: parse_vnd(F.nullif(F.regexp_extract(note, "(?i)" + FORMULA, k), F.lit("")))
+    part = lambda k: parse_vnd(F.nullif(F.regexp_extract(note, "(?iu)" + FORMULA, k), F.lit("")))
     requested, percent, paid = part(1), part(2), part(3)
     phrase = F.regexp_extract(text, r"dong chi tra\s*(\d{1,3})\s*%", 1).try_cast("int")
     shares = any_of(text, ["dong chi tra"])
@@ -231,12 +231,12 @@ def _of_size(k: int):
 
 
 SECTIONS = (
-    ("diagnosis", r"(?i)chẩn đoán|chan doan|diagnos"),
-    ("treatment", r"(?i)điều trị|dieu tri|treatment|therap"),
-    ("symptom", r"(?i)triệu chứng|lâm sàng|symptom|clinical"),
-    ("lab", r"(?i)xét nghiệm|cận lâm sàng|laborator|paraclinical"),
-    ("prevention", r"(?i)phòng bệnh|dự phòng|prevent"),
-    ("overview", r"(?i)đại cương|định nghĩa|overview|definition|introduction"),
+    ("diagnosis", r"(?iu)chẩn đoán|chan doan|diagnos"),
+    ("treatment", r"(?iu)điều trị|dieu tri|treatment|therap"),
+    ("symptom", r"(?iu)triệu chứng|lâm sàng|symptom|clinical"),
+    ("lab", r"(?iu)xét nghiệm|cận lâm sàng|laborator|paraclinical"),
+    ("prevention", r"(?iu)phòng bệnh|dự phòng|prevent"),
+    ("overview", r"(?iu)đại cương|định nghĩa|overview|definition|introduction"),
 )
 
 
