@@ -161,12 +161,14 @@ class Template:
 
     def matches(self, found: list[tuple[str, int, int]]) -> list[tuple[float, int, int, int]]:
         """(coverage, words matched, start, end), no two overlapping, the best first among those that do."""
-        words, all_of_them = [w for w, _, _ in found], []
-        for a, b in dict.fromkeys(self.stretches(words)):
+        words, all_of_them, free = [w for w, _, _ in found], [], 0
+        for a, b in self.stretches(words):
+            a = max(a, free)  # a word belongs to one place only
             if sum((self.telling & Counter(words[a:b])).values()) < sum(self.telling.values()) - self.spare:
                 continue
             pairs = self._tight(patience(words[a:b], self.words))
             if len(pairs) >= len(self.words) - self.spare:
+                free = a + pairs[-1][0] + 1
                 all_of_them.append((len(pairs) / len(self.words), len(pairs), found[a + pairs[0][0]][1], found[a + pairs[-1][0]][2]))
         out: list[tuple[float, int, int, int]] = []
         for m in sorted(all_of_them, key=lambda m: (-m[0], m[3] - m[2], m[2])):

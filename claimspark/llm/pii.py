@@ -92,10 +92,11 @@ def terms_of(text: Column) -> Column:
 
 
 def found(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep (columns of docs) with spans; texts with spans also have text and digest. A written table."""
-    rows = docs.select(*keep, text_of().alias("__text")).withColumn("__spans", base_spans(F.col("__text")))
-    has = F.size("__spans") > 0
-    return cut(rows.select(*keep, F.col("__spans").alias("spans"), F.when(has, F.unhex(F.sha2(F.col("__text").cast("binary"), 256))).alias("digest"), F.when(has, F.col("__text")).alias("text")), "pii-found")
+    """(keep, spans, digest, text): a struct of columns of docs, and the base spans; texts with spans also have their
+    digest and themselves. A written table."""
+    rows = docs.select(F.struct(*keep).alias("keep"), text_of().alias("whole")).withColumn("spans", base_spans(F.col("whole")))
+    has = F.size("spans") > 0
+    return cut(rows.select("keep", "spans", F.when(has, F.unhex(F.sha2(F.col("whole").cast("binary"), 256))).alias("digest"), F.when(has, F.col("whole")).alias("text")), "pii-found")
 
 
 def disclosing(docs: DataFrame, hits: DataFrame, disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -142,13 +143,15 @@ def term_spans(hits: DataFrame, told: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, keep: list[str], disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """keep (columns of docs) with spans (the base ones) and term_spans, for every row."""
-    hits = found(docs, keep)
+    """keep (columns of docs) with spans (the base ones) and term_spans, for every row. Columns that bear these names
+    are left out of keep."""
+    names = [c for c in keep if c not in ("spans", "term_spans")]
+    hits = found(docs, names)
     added = term_spans(hits, disclosing(docs, hits, disclosure, min_texts))
     none = F.array().cast(_SPANS)
-    without = hits.filter(F.col("digest").isNull()).select(*keep, "spans", none.alias("term_spans"))
-    some = hits.filter(F.col("digest").isNotNull()).select(*keep, "spans", "digest").join(added, "digest", "left")
-    return without.unionByName(some.select(*keep, "spans", F.coalesce("term_spans", none).alias("term_spans")))
+    without = hits.filter(F.col("digest").isNull()).select("keep.*", "spans", none.alias("term_spans"))
+    some = hits.filter(F.col("digest").isNotNull()).select("keep", "spans", "digest").join(added, "digest", "left")
+    return without.unionByName(some.select("keep.*", "spans", F.coalesce("term_spans", none).alias("term_spans")))
 
 
 def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
