@@ -28,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, maybe_broadcast, text_of
 
 WORDS = 3
 SEED = 42
 RADIUS = 2
 #: Nodes of one BK-tree at most; larger shards become several trees.
 TREE_NODES = 1_000
+#: So many row numbers (8 bytes each) are broadcast at most; more are met in a shuffled join.
+BROADCAST_NUMBERS = 500_000
 
 _SIGN = 1 << 63
 
@@ -228,7 +230,10 @@ def keep_representatives(docs: DataFrame, words: int = WORDS, radius: int = RADI
     member = cut(components(links(nodes.select("fp"), radius)), "simhash-components")
     grouped = nodes.join(member, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     stay = cut(grouped.select("first.number"), "simhash-stay")
-    return rows.join(stay, "number", "left_semi").select("row.*")
+    # The rows that go are few beside those that stay: they are taken out, so that the texts need not be shuffled as
+    # long as the numbers to take out can be broadcast.
+    go = cut(rows.select("number").join(stay, "number", "left_anti"), "simhash-go")
+    return rows.join(maybe_broadcast(go, BROADCAST_NUMBERS), "number", "left_anti").select("row.*")
 
 
 def _append(words: int, seed: int):
