@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decisions import cases
+from .documents import EPSILON
 from .windows import norm_by_max, top1, topk
 
 # Weights of the hypothesis fusion.
@@ -79,7 +80,7 @@ def hypothesis_status(positive: Column, exclusion: Column) -> Column:
     """struct<score, confidence, status> from the positive and the excluding weight."""
     confidence = positive / F.greatest(positive + exclusion + 0.15, F.lit(0.15))
     status = F.when(exclusion >= F.greatest(positive * 1.05, F.lit(0.25)), "ruled_out").when((positive >= 0.72) & (confidence >= 0.6), "confirmed").otherwise("active")
-    return F.struct(F.round(positive - exclusion, 4).alias("score"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)), 4).alias("confidence"), status.alias("status"))
+    return F.struct(F.round(positive - exclusion + EPSILON, 4).alias("score"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)) + EPSILON, 4).alias("confidence"), status.alias("status"))
 
 
 def line_lab_support(matched: DataFrame, signals: DataFrame, line: str = "line_id", cut: float = 0.58, k: int = 6) -> DataFrame:

@@ -193,6 +193,9 @@ def protocol_support(fused: DataFrame) -> DataFrame:
     return fused.withColumn("composite", F.round(score, 6))
 
 
+#: Added before scores are rounded, so that those that lie half way go up whatever the order of a sum.
+EPSILON = 1e-9
+
 #: Layer -> weight of its hits for candidate diseases.
 LAYERS = {"summary": 1.0, "assertion": 0.78, "chunk": 0.46}
 
@@ -206,7 +209,7 @@ def aggregate_candidates(hits: DataFrame, hints: DataFrame | None = None) -> Dat
     sums = ranked.groupBy("query_id", "disease_id").agg(F.sum(weight * (0.7 * F.col("rel") + 0.3 / F.col("rank"))).alias("score"), F.count(F.lit(1)).alias("hits"))
     if hints is not None:
         sums = sums.join(hints.distinct().withColumn("hinted", F.lit(0.18)), ["query_id", "disease_id"], "left").withColumn("score", F.col("score") + F.coalesce("hinted", F.lit(0.0))).drop("hinted")
-    return sums.withColumn("score", F.round("score", 4))
+    return sums.withColumn("score", F.round(F.col("score") + EPSILON, 4))
 
 
 def retrieve(queries: DataFrame, layers: dict[str, tuple[DataFrame, Sequence[str]]], k: int = 8) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fuzzy import fuzzy_ratios
 from ..functions.text import ngram_jaccard, ngrams, norm_key, skeleton, strip_noise
@@ -255,20 +257,37 @@ def match_aliases(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     return best.select("id", "target", "how")
 
 
-def annotate(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """ER17: (id, start, end, term): where dictionary terms stand in the words of texts, the longest first, none
-    overlapping. Offsets are word numbers from 0. texts(id, text), terms(term).
+def _apart(spans: list) -> list:
+    """Spans (start, end, term), the better ones first, without those that overlap a better one that stays."""
+    taken: set[int] = set()
+    out = []
+    for s in spans:
+        places = range(s["start"], s["end"])
+        if taken.isdisjoint(places):
+            taken.update(places)
+            out.append(s)
+    return out
 
-    Every word position meets the terms that begin with its word; what fits whole is kept. Overlaps go to the longer
-    term, then to the earlier: a span is dropped if a better one that itself stands overlaps it, which is settled within
-    each text by one ordered pass over an array of its spans."""
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("term", T.StringType())])))
+def _without_overlaps(spans: pd.Series) -> pd.Series:
+    return spans.map(_apart)
+
+
+def annotate(texts: DataFrame, terms: DataFrame, longest: int = 6) -> DataFrame:
+    """ER17: (id, start, end, term): where dictionary terms of up to ``longest`` words stand in the words of texts, the
+    longest first, then the earliest, none overlapping. Offsets are word numbers from 0. texts(id, text), terms(term).
+
+    The word n-grams of the texts meet the terms in an equi join; only what a text matches is gathered, and one Arrow
+    function settles the overlaps within each text."""
     w = texts.select("id", F.split(norm_key(F.col("text")), " ").alias("w"))
-    at = w.select("id", "w", F.posexplode("w").alias("i", "t"))
-    d = terms.select(norm_key(F.col("term")).alias("term")).distinct().filter("term <> ''").withColumn("parts", F.split("term", " ")).withColumn("t", F.col("parts")[0])
-    fit = at.join(d, "t").filter(F.slice("w", F.col("i") + 1, F.size("parts")) == F.col("parts")).select("id", "i", F.size("parts").alias("n"), "term")
-    order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "i", "term")))
+    gram = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.slice("w", i + 1, n), " ").alias("term"))))
     none = F.array().cast("array<struct<start:int,end:int,term:string>>")
-    clear = lambda acc, x: F.forall(acc, lambda s: (s["end"] <= x["i"]) | (s["start"] >= x["i"] - x["n"]))
-    one = lambda x: F.array(F.struct(x["i"].alias("start"), (x["i"] - x["n"]).alias("end"), x["term"].alias("term")))
-    kept = F.aggregate("spans", none, lambda acc, x: F.when(clear(acc, x), F.concat(acc, one(x))).otherwise(acc))
-    return fit.groupBy("id").agg(order.alias("spans")).select("id", F.explode(kept).alias("s")).select("id", "s.start", "s.end", "s.term")
+    d = terms.select(norm_key(F.col("term")).alias("term")).distinct().filter("term <> ''")
+    fit = None
+    for n in range(1, longest + 1):
+        hits = w.select("id", F.explode(F.coalesce(gram(n), none)).alias("g")).select("id", "g.*").join(d.filter(F.size(F.split("term", " ")) == n), "term")
+        fit = hits if fit is None else fit.unionByName(hits)
+    order = F.sort_array(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("n"), "start", "end", "term")))
+    best = F.transform(order, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["term"].alias("term")))
+    return fit.groupBy("id").agg(best.alias("spans")).select("id", F.explode(_without_overlaps("spans")).alias("s")).select("id", "s.start", "s.end", "s.term")

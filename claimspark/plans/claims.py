@@ -87,11 +87,11 @@ def decision_distribution(spark: SparkSession, d: str) -> DataFrame:
     return distribution(verdicts(spark, d).select("final.decision"), "decision")
 
 
-@query(_LINES + "SELECT claim_id, line_no, coalesce(price_flag, '') AS price_flag, round(cost / reference_price, 4) AS ratio FROM flagged")
+@query(_LINES + "SELECT claim_id, line_no, coalesce(price_flag, '') AS price_flag FROM flagged")
 def price_anomaly(spark: SparkSession, d: str) -> DataFrame:
     """AN1."""
     out = decisions.price_anomaly(claim_lines(spark, d), prices(spark, d), "p_partkey")
-    return out.select("claim_id", "line_no", F.coalesce("price_flag", F.lit("")).alias("price_flag"), F.round(F.col("cost") / F.col("reference_price"), 4).alias("ratio"))
+    return out.select("claim_id", "line_no", F.coalesce("price_flag", F.lit("")).alias("price_flag"))
 
 
 @query("SELECT l_orderkey AS claim_id, l_linenumber AS line_no FROM lineitem JOIN part ON p_partkey = l_partkey QUALIFY count(*) OVER (PARTITION BY l_orderkey, lower(trim(p_name))) > 1")

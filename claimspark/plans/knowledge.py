@@ -335,7 +335,7 @@ def protocol_support(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH h AS (SELECT l_suppkey AS query_id, CASE l_returnflag WHEN 'R' THEN 'summary' WHEN 'A' THEN 'assertion' ELSE 'chunk' END AS layer, l_partkey AS disease_id, round(sum(l_quantity), 2) AS score FROM lineitem GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, layer ORDER BY score DESC, disease_id) AS rank, round(score / max(score) OVER (PARTITION BY query_id, layer), 4) AS rel FROM h)
-SELECT query_id, disease_id, round(sum((CASE layer WHEN 'summary' THEN 1.0 WHEN 'assertion' THEN 0.78 ELSE 0.46 END)::DOUBLE * (0.7::DOUBLE * rel + 0.3::DOUBLE / rank)) + CASE WHEN disease_id % 9 = 0 THEN 0.18 ELSE 0 END::DOUBLE, 4) AS score, count(*) AS hits FROM r GROUP BY 1, 2""")
+SELECT query_id, disease_id, round(sum((CASE layer WHEN 'summary' THEN 1.0 WHEN 'assertion' THEN 0.78 ELSE 0.46 END)::DOUBLE * (0.7::DOUBLE * rel + 0.3::DOUBLE / rank)) + CASE WHEN disease_id % 9 = 0 THEN 0.18 ELSE 0 END::DOUBLE + 1e-9, 4) AS score, count(*) AS hits FROM r GROUP BY 1, 2""")
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """RT11."""
     layer = F.when(F.col("l_returnflag") == "R", "summary").when(F.col("l_returnflag") == "A", "assertion").otherwise("chunk")

@@ -131,7 +131,7 @@ def score_services(spark: SparkSession, d: str) -> DataFrame:
 p AS (SELECT case_id, disease_id, coalesce(sum(n) FILTER (t = 'click'), 0) AS signs, coalesce(sum(n) FILTER (t = 'view'), 0) AS services, coalesce(sum(n / 10) FILTER (t = 'purchase'), 0) AS lab, coalesce(sum(n / 10) FILTER (t = 'error'), 0) AS ex FROM r GROUP BY 1, 2),
 q AS (SELECT *, round(signs / CASE WHEN max(signs) OVER w = 0 THEN 1 ELSE max(signs) OVER w END, 4) AS sr, round(services / CASE WHEN max(services) OVER w = 0 THEN 1 ELSE max(services) OVER w END, 4) AS vr FROM p WINDOW w AS (PARTITION BY case_id)),
 v AS (SELECT *, 0.7::DOUBLE * sr + 0.2::DOUBLE * vr + 0.35::DOUBLE * lab AS pos, 0.45::DOUBLE * ex AS neg FROM q)
-SELECT case_id, disease_id, round(pos - neg, 4) AS score, round(pos / greatest(pos + neg + 0.15::DOUBLE, 0.15::DOUBLE), 4) AS confidence, CASE WHEN neg >= greatest(pos * 1.05::DOUBLE, 0.25::DOUBLE) THEN 'ruled_out' WHEN pos >= 0.72::DOUBLE AND pos / greatest(pos + neg + 0.15::DOUBLE, 0.15::DOUBLE) >= 0.6::DOUBLE THEN 'confirmed' ELSE 'active' END AS status FROM v""")
+SELECT case_id, disease_id, round(pos - neg + 1e-9, 4) AS score, round(pos / greatest(pos + neg + 0.15::DOUBLE, 0.15::DOUBLE) + 1e-9, 4) AS confidence, CASE WHEN neg >= greatest(pos * 1.05::DOUBLE, 0.25::DOUBLE) THEN 'ruled_out' WHEN pos >= 0.72::DOUBLE AND pos / greatest(pos + neg + 0.15::DOUBLE, 0.15::DOUBLE) >= 0.6::DOUBLE THEN 'confirmed' ELSE 'active' END AS status FROM v""")
 def hypotheses(spark: SparkSession, d: str) -> DataFrame:
     """CL5."""
     kind = F.when(F.col("event_type") == "click", "signs").when(F.col("event_type") == "view", "services").when(F.col("event_type") == "purchase", "lab").when(F.col("event_type") == "error", "lab_exclude").otherwise("none")
