@@ -149,29 +149,33 @@ def unit(c: Column) -> Column:
     return F.when(n > 0, F.transform(c, lambda x: x.cast("double") / n)).otherwise(F.transform(c, lambda x: x.cast("double")))
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 256) -> DataFrame:
+def _blocks(df: DataFrame, key: str, vector: str, size: int, to: str) -> DataFrame:
+    """Rows gathered into blocks of about so many: (to_ids, to_flat), the vectors of a block one after the other."""
+    n = max(1, -(-df.count() // size))
+    rows = F.collect_list(F.struct(F.col(key).alias("i"), F.col(vector).cast("array<double>").alias("v")))
+    gathered = df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("b")).agg(rows.alias("rows"))
+    return gathered.select(F.transform("rows", lambda x: x["i"]).alias(f"{to}_ids"), F.flatten(F.transform("rows", lambda x: x["v"])).alias(f"{to}_flat"))
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int, block: int = 512) -> DataFrame:
     """RT8: the k nearest vectors of each query by exact cosine: query_id, vec_id, score, rank. queries(query_id, q: a
-    stated set), vectors(vec_id, v); filter vectors before.
+    stated set), vectors(vec_id, v), all of one length; filter vectors before.
 
-    Queries are gathered in blocks of bounded size; every batch of vectors meets every block as a matrix product, and
-    only a batch's k best of each query go on, so what is shuffled is k rows per query and batch."""
+    Queries and vectors are gathered in blocks of bounded size; each block of queries meets each block of vectors as one
+    matrix product, and only the k best of each query and block go on."""
     import numpy as np
 
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, queries.count() // query_block))))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", F.col("q").cast("array<double>").alias("q"))).alias("qs"))
-
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        norm = lambda flat, n: (m := np.asarray(flat, dtype=np.float64).reshape(n, -1)) / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
         for f in frames:
-            for _, same in f.groupby("block", sort=False):
-                ids, qs = [x["query_id"] for x in same["qs"].iloc[0]], np.array([list(x["q"]) for x in same["qs"].iloc[0]])
-                vs, vec_ids = np.array(same["v"].tolist(), dtype=np.float64), same["vec_id"].to_numpy()
-                norm = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
-                scores = np.round(norm(qs) @ norm(vs).T, 4)
+            for x in f.itertuples(index=False):
+                vec_ids = np.asarray(x.v_ids)
+                scores = np.round(norm(x.q_flat, len(x.q_ids)) @ norm(x.v_flat, len(vec_ids)).T, 4)
                 best = np.lexsort((np.broadcast_to(vec_ids, scores.shape), -scores), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "vec_id": vec_ids[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
+                yield pd.DataFrame({"query_id": np.repeat(x.q_ids, best.shape[1]), "vec_id": vec_ids[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
 
     # A stated query set against all rows, in blocks.
-    pairs = vectors.select("vec_id", F.col("v").cast("array<double>").alias("v")).join(blocks, F.lit(True))
+    pairs = _blocks(vectors, "vec_id", "v", block, "v").join(_blocks(queries, "query_id", "q", block, "q"), F.lit(True))
     some = pairs.mapInPandas(work, "query_id long, vec_id long, score double")
     return topk(some, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k, rank="rank")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, stable_id
@@ -85,10 +85,14 @@ def recall(queries: DataFrame, memory: DataFrame, k: int, scopes: Sequence[str]
     q, r = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in OVERLAPS]), m.select("memory_id", "bonus", *[F.col(c).alias(f"m_{c}") for c in OVERLAPS])
     overlap = sum((jaccard(F.col(f"q_{c}"), F.col(f"m_{c}")) * w for c, w in OVERLAPS.items()), F.lit(0.0))
     hits = met.join(q, "query_id").join(r, "memory_id").select("query_id", "memory_id", F.round(overlap + F.col("bonus"), 4).alias("score"))
-    # Without a shared token the score is the bonus: only the k best such memories can matter beside each query's hits.
-    most = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
-    plain = m.filter("bonus > 0").orderBy(F.col("bonus").desc(), "memory_id").limit(k + int(most.first()["n"] or 0))
-    rest = queries.select("query_id").join(plain.select("memory_id", F.round("bonus", 4).alias("score")), F.lit(True)).join(met, ["query_id", "memory_id"], "left_anti")
+    # Without a shared token the score is the bonus. A query with n hits finds its k best such memories among the first
+    # k + n by bonus: it takes those by their place, so the rows are as many as the hits and k for each query.
+    n_hits = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    asked = queries.select("query_id").join(n_hits, "query_id", "left").select("query_id", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(0)) + k)).alias("place"))
+    most = int(n_hits.agg(F.max("n")).first()[0] or 0) + k
+    plain = m.filter("bonus > 0").orderBy(F.col("bonus").desc(), "memory_id").limit(most)
+    placed = plain.select(F.row_number().over(Window.orderBy(F.col("bonus").desc(), "memory_id")).cast("long").alias("place"), "memory_id", F.round("bonus", 4).alias("score"))
+    rest = asked.join(placed, "place").select("query_id", "memory_id", "score").join(met, ["query_id", "memory_id"], "left_anti")
     return topk(hits.filter("score > 0").unionByName(rest), ["query_id"], [F.col("score").desc(), F.col("memory_id")], k, rank="rank")
 
 

@@ -131,3 +131,28 @@ def test_fuzzy():
 def test_sql_functions(spark):
     register(spark)
     assert spark.sql("SELECT norm_key('Đường-Huyết'), token_jaccard('siêu âm tim', 'sieu am'), parse_vnd('1.000')").first() == ("duong huyet", pytest.approx(2 / 3), 1000)
+
+
+def test_recall_against_all_pairs(spark):
+    import itertools
+    import math
+    import random
+
+    r = random.Random(6)
+    words = lambda: r.sample("abcdefghijkl", r.randint(0, 3))
+    qs = [(i, *(words() for _ in range(4))) for i in range(8)]
+    ms = [(i, *(words() for _ in range(4)), r.choice(["procedural", "semantic", "episodic"]), r.choice(["shared", "x"]), r.random(), r.randint(0, 120), r.randint(0, 9)) for i in range(40)]
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+    want = {}
+    for q in qs:
+        scored = []
+        for m in ms:
+            s = sum(w * jac(q[1 + k], m[1 + k]) for k, w in enumerate((4.0, 2.4, 2.1, 1.8)))
+            s += {"procedural": 0.18, "semantic": 0.12, "episodic": 0.0}[m[5]] + 0.9 * m[7] + (0.24 if m[8] <= 7 else 0.14 if m[8] <= 30 else 0.06 if m[8] <= 90 else 0.0) + min(0.08 * math.log1p(m[9]), 0.3)
+            scored.append((-round(s, 4), m[0]))
+        want[q[0]] = [i for _, i in sorted(scored)[:5]]
+    lists = "disease array<string>, sign array<string>, service array<string>, query array<string>"
+    qdf = spark.createDataFrame(qs, f"query_id int, {lists}")
+    mdf = spark.createDataFrame(ms, f"memory_id int, {lists}, kind string, scope string, importance double, age_days int, access_count int")
+    got = govern.recall(qdf, mdf, 5).orderBy("query_id", "rank").collect()
+    assert {k: [x.memory_id for x in g] for k, g in itertools.groupby(got, lambda x: x.query_id)} == want
