@@ -289,16 +289,21 @@ def compare_entities(spark: SparkSession, d: str) -> DataFrame:
     return W.compare_entities(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", 1, 2)
 
 
-@query("""WITH o AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 9 <> 0)
+@query("""WITH o AS (SELECT doc_id, md5(text) AS h FROM documents WHERE n_chars < 3000), n AS (SELECT doc_id, md5(CASE WHEN lang = 'fr' THEN text || '!' ELSE text END) AS h FROM documents WHERE n_chars >= 300)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, o.h AS old_digest, n.h AS new_digest, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'changed' ELSE 'unchanged' END AS status FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def asset_diff(spark: SparkSession, d: str) -> DataFrame:
-    """ST4: two made-up states of documents, one lacking every tenth, the other every ninth and with every seventh
-    changed (the filters make the two states)."""
+    """ST4: documents in two states, which between them hold all: without the long ones, and without the short ones and
+    with the French ones changed."""
+    old, new = document_states(spark, d)
+    return W.diff_assets(old.withColumnRenamed("sha1", "h"), new.withColumnRenamed("sha1", "h"), "doc_id", "h")
+
+
+def document_states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents")
-    digest = lambda c: F.md5(c.cast("binary")).alias("h")
-    old = docs.filter(F.col("doc_id") % 10 != 0).select("doc_id", digest(F.col("text")))
-    new = docs.filter(F.col("doc_id") % 9 != 0).select("doc_id", digest(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
-    return W.diff_assets(old, new, "doc_id", "h")
+    digest = lambda c: F.md5(c.cast("binary")).alias("sha1")
+    old = docs.filter("n_chars < 3000").select("doc_id", digest(F.col("text")), (1 + F.col("doc_id") % 3).alias("version"))
+    new = docs.filter("n_chars >= 300").select("doc_id", digest(F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    return old, new
 
 
 # Joins.

@@ -214,13 +214,13 @@ def retrieve(spark: SparkSession, d: str) -> DataFrame:
     return D.retrieve(q, {"en": (docs.filter("lang = 'en'"), ["a", "b"]), "fr": (docs.filter("lang = 'fr'"), ["a"])}, 5)
 
 
-@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS run_id, round(list_cosine_similarity(a.v, b.v), 4) AS score, b.label FROM e a, e b WHERE a.vec_id % 50 = 0),
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS run_id, round(list_cosine_similarity(a.v, b.v), 4) AS score, b.label FROM e a, e b WHERE a.vec_id % 20 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, run_id) AS rank FROM s QUALIFY rank <= 3) SELECT query_id, run_id, score, arg_max('p' || label, (label, -run_id)) OVER (PARTITION BY query_id) AS best_prompt FROM k""")
 def find_similar_runs(spark: SparkSession, d: str) -> DataFrame:
-    """MM7: every fiftieth vector as a query (a stated set)."""
+    """MM7: every twentieth vector as a query (a stated set)."""
     e = table(spark, d, "embeddings")
     runs = e.select(F.col("vec_id").alias("run_id"), F.col("embedding").alias("vec"), F.concat(F.lit("p"), F.col("label").cast("string")).alias("prompt"), F.col("label").alias("result_score"))
-    return govern.find_similar(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), runs, 3).select("query_id", "run_id", "score", "best_prompt")
+    return govern.find_similar(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), runs, 3).select("query_id", "run_id", "score", "best_prompt")
 
 
 @query("SELECT event_id, event_type FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-09' AND event_type = 'error'")

@@ -60,14 +60,14 @@ def exclusion_tiers(spark: SparkSession, d: str) -> DataFrame:
     return graph.exclusions_for_line(lines, direct, history, keywords).select("line_id", "exclusion", "tier").distinct()
 
 
-@query("""WITH r AS (SELECT DISTINCT c_mktsegment AS contract, o_orderpriority AS plan FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 100000), v AS (SELECT DISTINCT o_orderpriority AS plan, o_orderstatus AS benefit FROM orders WHERE o_orderkey % 3 = 0),
+@query("""WITH r AS (SELECT DISTINCT c_mktsegment AS contract, o_orderpriority AS plan FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 100000), v AS (SELECT DISTINCT o_orderpriority AS plan, o_orderstatus AS benefit FROM orders WHERE o_totalprice < 50000),
 c AS (SELECT DISTINCT contract, benefit FROM r JOIN v USING (plan)) SELECT o_orderkey AS line_id, c_mktsegment AS contract, o_orderstatus AS benefit, c.contract IS NOT NULL AS covered FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN c ON c.contract = c_mktsegment AND c.benefit = o_orderstatus""")
 def plan_coverage(spark: SparkSession, d: str) -> DataFrame:
     """GR6."""
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     lines = o.select(F.col("o_orderkey").alias("line_id"), F.col("c_mktsegment").alias("contract"), F.col("o_orderstatus").alias("benefit"))
     plans = o.filter("o_totalprice > 100000").select(F.col("c_mktsegment").alias("contract"), F.col("o_orderpriority").alias("plan"))
-    covered = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderpriority").alias("plan"), F.col("o_orderstatus").alias("benefit"))
+    covered = o.filter("o_totalprice < 50000").select(F.col("o_orderpriority").alias("plan"), F.col("o_orderstatus").alias("benefit"))
     return graph.plan_coverage(lines, plans, covered)
 
 
@@ -114,12 +114,12 @@ def document_graph(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).unionByName(edges.groupBy(F.col("edge_type").alias("label")).agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("""WITH a AS (SELECT p_brand AS k, count(*) AS rows, max(p_size) AS score FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_brand AS k, count(*) AS rows, max(p_size) AS score FROM part WHERE p_size > 40 GROUP BY 1)
+@query("""WITH a AS (SELECT p_brand AS k, count(*) AS rows, max(p_size) AS score FROM part WHERE p_size <= 45 GROUP BY 1), b AS (SELECT p_brand AS k, count(*) AS rows, max(p_size) AS score FROM part WHERE p_size > 40 GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, coalesce(a.rows, 0) + coalesce(b.rows, 0) AS rows, greatest(a.score, b.score) AS score, concat_ws('+', CASE WHEN a.k IS NOT NULL THEN 'a' END, CASE WHEN b.k IS NOT NULL THEN 'b' END) AS sources FROM a FULL JOIN b ON a.k = b.k""")
 def merge_graphs(spark: SparkSession, d: str) -> DataFrame:
     """GR14: two overlapping edge tables made from part."""
     p = table(spark, d, "part").select(F.col("p_brand").alias("k"), F.lit(1).alias("rows"), F.col("p_size").alias("score"), "p_partkey", "p_size")
-    out = graph.merge_graphs(p.filter("p_partkey % 2 = 0").select("k", "rows", "score"), p.filter("p_size > 40").select("k", "rows", "score"), ["k"])
+    out = graph.merge_graphs(p.filter("p_size <= 45").select("k", "rows", "score"), p.filter("p_size > 40").select("k", "rows", "score"), ["k"])
     return out.withColumn("sources", F.concat_ws("+", "sources"))
 
 
@@ -136,13 +136,13 @@ def map_entities(spark: SparkSession, d: str) -> DataFrame:
     return graph.map_entities(table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("type"), F.col("p_name").alias("name")), rules)
 
 
-@query("""WITH o AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, c_name || '!' AS c_name, c_acctbal + 1 AS c_acctbal, 'NEW' AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH o AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal < 6000), n AS (SELECT c_custkey, c_name || '!' AS c_name, c_acctbal + 1 AS c_acctbal, 'NEW' AS c_mktsegment FROM customer WHERE c_acctbal >= 2000)
 SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN n.c_name ELSE o.c_name END AS c_name, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal, CASE WHEN o.c_custkey IS NULL THEN n.c_mktsegment ELSE o.c_mktsegment END AS c_mktsegment FROM o FULL JOIN n ON o.c_custkey = n.c_custkey""")
 def upsert_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """IO8: two made-up batches of customers."""
+    """IO8: customers by balance, in two batches that overlap."""
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    new = c.filter("c_custkey % 2 = 0").select("c_custkey", F.concat("c_name", F.lit("!")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit("NEW").alias("c_mktsegment"))
-    return graph.upsert(c.filter("c_custkey % 3 <> 0"), new, ["c_custkey"], ["c_acctbal"], ["c_name", "c_mktsegment"])
+    new = c.filter("c_acctbal >= 2000").select("c_custkey", F.concat("c_name", F.lit("!")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit("NEW").alias("c_mktsegment"))
+    return graph.upsert(c.filter("c_acctbal < 6000"), new, ["c_custkey"], ["c_acctbal"], ["c_name", "c_mktsegment"])
 
 
 @query("SELECT l_suppkey, l_partkey, count(*) AS rows, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS denied FROM lineitem GROUP BY 1, 2")
@@ -153,12 +153,12 @@ def upsert_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.upsert_edges_additive(edges(l.filter("l_linestatus = 'O'")), edges(l.filter("l_linestatus <> 'O'")), ["l_suppkey", "l_partkey"], ["rows", "denied"])
 
 
-@query("""WITH e AS (SELECT p_partkey, p_name || '*' AS p_name, p_brand, CASE WHEN p_partkey % 5 = 0 THEN 'delete' ELSE 'upsert' END AS op FROM part WHERE p_partkey % 4 = 0 AND (p_partkey % 5 = 0 OR p_brand <> 'Brand#13'))
+@query("""WITH e AS (SELECT p_partkey, p_name || '*' AS p_name, p_brand, CASE WHEN p_type = 'PROMO' THEN 'delete' ELSE 'upsert' END AS op FROM part WHERE p_type = 'PROMO' OR p_brand <> 'Brand#13')
 SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM e) UNION ALL SELECT p_partkey, p_name, p_brand FROM e WHERE op = 'upsert'""")
 def apply_edits(spark: SparkSession, d: str) -> DataFrame:
-    """IO13: edits of every fourth part; upserts of an unknown brand are left out."""
+    """IO13: an edit for every part; upserts of a brand that is not known are left out."""
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
-    edits = p.filter("p_partkey % 4 = 0").select("p_partkey", F.concat("p_name", F.lit("*")).alias("p_name"), "p_brand", F.when(F.col("p_partkey") % 5 == 0, "delete").otherwise("upsert").alias("op"))
+    edits = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit("*")).alias("p_name"), "p_brand", F.when(F.col("p_type") == "PROMO", "delete").otherwise("upsert").alias("op"))
     return graph.apply_edits(p, edits, ["p_partkey"], p.filter("p_brand <> 'Brand#13'").select("p_brand").distinct(), "p_brand")
 
 
@@ -353,15 +353,14 @@ def sufficiency(spark: SparkSession, d: str) -> DataFrame:
 
 # Governance and memory.
 
-@query("""WITH o AS (SELECT doc_id AS path, md5(text) AS h, 1 + doc_id % 3 AS v FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id AS path, md5(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 9 <> 0)
+@query("""WITH o AS (SELECT doc_id AS path, md5(text) AS h, 1 + doc_id % 3 AS v FROM documents WHERE n_chars < 3000), n AS (SELECT doc_id AS path, md5(CASE WHEN lang = 'fr' THEN text || '!' ELSE text END) AS h FROM documents WHERE n_chars >= 300)
 SELECT coalesce(o.path, n.path) AS path, coalesce(n.h, o.h) AS sha1, (CASE WHEN o.h IS NULL THEN 1 WHEN n.h IS NULL OR n.h = o.h THEN v ELSE v + 1 END)::INT AS version, CASE WHEN n.h IS NULL THEN 'inactive' ELSE 'active' END AS status FROM o FULL JOIN n ON o.path = n.path""")
 def asset_versions(spark: SparkSession, d: str) -> DataFrame:
-    """KG1: documents in two made-up states."""
-    docs = table(spark, d, "documents")
-    md5 = lambda c: F.md5(c.cast("binary")).alias("sha1")
-    now = docs.filter("doc_id % 10 <> 0").select(F.col("doc_id").alias("path"), md5(F.col("text")), (1 + F.col("doc_id") % 3).alias("version"))
-    scan = docs.filter("doc_id % 9 <> 0").select(F.col("doc_id").alias("path"), md5(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
-    return govern.version_assets(now, scan)
+    """KG1: the two states of documents of asset_diff."""
+    from .aggregation import document_states
+
+    old, new = (s.withColumnRenamed("doc_id", "path") for s in document_states(spark, d))
+    return govern.version_assets(old, new)
 
 
 @query("""SELECT s_nationkey, count(DISTINCT l_partkey) AS n_l_partkey, count(DISTINCT l_orderkey) AS n_l_orderkey, CASE WHEN count(DISTINCT l_partkey) + count(DISTINCT l_orderkey) >= 20 THEN 'high' WHEN count(DISTINCT l_partkey) + count(DISTINCT l_orderkey) >= 5 THEN 'medium' ELSE 'low' END AS severity,
