@@ -50,6 +50,7 @@ _struct = functools.cache(struct.Struct)
 #: The byte level's alphabet: printable Latin-1 characters stand for themselves, the other bytes for those from 256 on.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_SPACE = chr(_ALPHABET[ord(" ")])
 
 _CUT = re.compile(r"(?<!\s) ")
 
@@ -93,7 +94,8 @@ class Encoder:
             tokenize = self._model.tokenize
             for a in atoms:
                 if a.removeprefix(" ").isalpha():
-                    ids = [t.id for t in tokenize(a.encode().decode("latin-1").translate(_ALPHABET))]
+                    spelt = a.replace(" ", _SPACE) if a.isascii() else a.encode().decode("latin-1").translate(_ALPHABET)
+                    ids = [t.id for t in tokenize(spelt)]
                     out[a] = _struct(f"<{len(ids)}I").pack(*ids)
         others = [a for a in atoms if a not in out]
         out |= zip(others, self._bytes(others) if others else [], strict=True)
@@ -102,13 +104,13 @@ class Encoder:
     def _from_atoms(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, each from its atoms."""
         parts, known = [_atoms(x) for x in pieces], self._known
-        if new := list({a for p in parts for a in p if a not in known}):
-            known.update(zip(new, self._atom_bytes(new), strict=True))
-        out = [b"".join([known[a] for a in p]) for p in parts]
-        if len(known) > self._most:
-            for a in new:
-                del known[a]
-        return out
+        new = list({a for p in parts for a in p if a not in known})
+        if not new:
+            return [b"".join([known[a] for a in p]) for p in parts]
+        made = dict(zip(new, self._atom_bytes(new), strict=True))
+        if len(known) < self._most:
+            known.update(made)
+        return [b"".join([known[a] if a in known else made[a] for a in p]) for p in parts]
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -117,18 +119,18 @@ class Encoder:
         if not first or first[-1].isspace():
             return self._odd(text)
         known = self._after_space
-        try:
-            body = b"".join([known[x] for x in rest])
-        except KeyError:
-            new = list({x for x in rest if x not in known})
+        got = list(map(known.get, rest))
+        if None in got:
+            places = [i for i, b in enumerate(got) if b is None]
+            new = [rest[i] for i in places]
             if any(not x or x[-1].isspace() for x in new):
                 return self._odd(text)
-            known.update(zip(new, self._from_atoms([f" {x}" for x in new]), strict=True))
-            body = b"".join([known[x] for x in rest])
-            if len(known) > self._most:
-                for x in new:
-                    del known[x]
-        return self._from_atoms([first])[0] + body
+            bodies = self._from_atoms([f" {x}" for x in new])
+            for i, b in zip(places, bodies, strict=True):
+                got[i] = b
+            if len(known) < self._most:
+                known.update(zip(new, bodies, strict=True))
+        return self._from_atoms([first])[0] + b"".join(got)
 
     def _odd(self, text: str) -> bytes:
         """For texts with white space before a space."""
