@@ -116,7 +116,7 @@ def test_text(spark):
     assert x(T.risk_kinds(F.lit("Đồng chi trả và hạn mức"))) == ["copay", "limit"] and x(T.risk_kinds(F.lit("?"))) == ["other"]
     assert x(T.category_covered(F.lit("LAB-HEM"), F.array(F.lit("LAB-*")))) and not x(T.category_covered(F.lit("IMG"), F.array(F.lit("LAB-*"))))
     assert [x(T.graded_match(F.lit("sieu am"), F.lit(n))) for n in ("Siêu âm", "siêu âm tim", "khám siêu âm", "x")] == [1.0, 0.96, 0.9, 0.0]
-    assert x(T.snippet(F.lit("a" * 50 + "needle" + "b" * 50), F.lit("NEEDLE"), 20)) == "a" * 11 + "needle" + "b" * 3
+    assert x(T.snippet(F.lit("a" * 50 + "needle" + "b" * 50), F.lit("NEEDLE"), 20)) == "a" * 10 + "needle" + "b" * 4
     assert x(T.clean_ocr(F.lit("viêm  pho-\nng\n\n\n\nx"))) == "viêm phong\n\nx"
     assert x(T.ngram_jaccard(F.lit("abcd"), F.lit("abce"))) == pytest.approx(1 / 3)
     assert x(T.section_type(F.lit("2. Điều trị"), F.lit(""))) == "treatment"
