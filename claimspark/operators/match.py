@@ -20,19 +20,13 @@ CONFLICTS = {"analyte": 24, "body_part": 18, "modality": 14, "specimen": 10}
 FLOOR, TOP_K = 45, 3
 
 
-def block_pairs(left: DataFrame, right: DataFrame, name: str = "name", max_share: float = 0.02) -> DataFrame:
+def block_pairs(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:
     """Candidate pairs (left name, right name) of distinct names that share a token or, where a name shares none with
-    any, a character trigram. Tokens in more than max_share of the right names do not block unless a name has no other."""
+    any, a character trigram. However common a token is, every pair that shares it is a candidate."""
     l = left.select(F.col(name).alias("l_name")).distinct().withColumn("l_key", norm_key(F.col("l_name")))
     r = right.select(F.col(name).alias("r_name")).distinct().withColumn("r_key", norm_key(F.col("r_name")))
-    lt, rt = l.select("l_name", "l_key", F.explode(F.array_distinct(F.split("l_key", " "))).alias("t")), r.select("r_name", "r_key", F.explode(F.array_distinct(F.split("r_key", " "))).alias("t"))
-    df = rt.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    total = r.agg(F.count(F.lit(1)).alias("n"))
-    rare = df.join(F.broadcast(total), F.lit(True)).withColumn("common", F.col("df") > F.greatest(F.col("n") * max_share, F.lit(50)))
-    known = lt.join(rare.select("t", "common"), "t")
-    only_common = known.groupBy("l_name").agg(F.bool_and("common").alias("all_common"))
-    used = known.join(only_common, "l_name").filter(~F.col("common") | F.col("all_common"))
-    by_token = used.join(rt, "t").select("l_name", "r_name").distinct()
+    lt, rt = l.select("l_name", F.explode(F.array_distinct(F.split("l_key", " "))).alias("t")), r.select("r_name", F.explode(F.array_distinct(F.split("r_key", " "))).alias("t"))
+    by_token = lt.join(rt, "t").select("l_name", "r_name").distinct()
     rest = l.join(by_token.select("l_name"), "l_name", "left_anti")
     by_gram = rest.select("l_name", F.explode(ngrams(F.col("l_key"))).alias("g")).join(r.select("r_name", F.explode(ngrams(F.col("r_key"))).alias("g")), "g").select("l_name", "r_name").distinct()
     return by_token.unionByName(by_gram)

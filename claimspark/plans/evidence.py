@@ -185,7 +185,7 @@ def map_services_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """ER5, UD2: parts' names against nations' and parts' names, the vectors being hashed tokens."""
     p = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     named = lambda df, shift: df.select((F.abs(F.hash("name")) + shift).alias("id"), "name", F.element_at(F.split("name", " "), 2).alias("family"), D.hashed_vector(F.col("name"), 16).alias("vec"))
-    return match.map_services_hybrid(named(p.select(F.concat("name", F.lit(" kit")).alias("name")), 0), named(p, 0), 3, 20)
+    return match.map_services_hybrid(named(p.select(F.concat("name", F.lit(" kit")).alias("name")), 0), named(p, 0), 3, 80)
 
 
 @query("""WITH d AS (SELECT r_name AS name, r_regionkey AS id FROM region), q AS (SELECT c_custkey AS query_id, lower(r_name) || ' desk' AS t, r_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
