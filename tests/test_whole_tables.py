@@ -1,6 +1,7 @@
 """Queries that must read whole texts, whole codebooks and whole tables."""
 
 from claimspark.operators import match
+from claimspark.plans import QUERIES
 
 
 def test_block_pairs_through_common_tokens(spark):
@@ -11,3 +12,12 @@ def test_block_pairs_through_common_tokens(spark):
     names = {n for (n,) in right}
     assert sorted(r.r_name for r in got) == sorted(n for n in names if set(n.split()) & {"common0", "common1", "rare"})
     assert match.map_services(left, spark.createDataFrame(right, "name string")).filter("rank = 1").first().r_name == "common0 common1"
+
+
+def test_retrieve_sees_every_language(spark, tmp_path):
+    langs = ["en", "fr", "de", "es", "it", None]
+    docs = [(i, f"filler text about term{i} and more", lang) for i, lang in enumerate(langs)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(10 * k + j, f"term{k}") for k in range(6) for j in (0, 1)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.query_id, r.doc_id) for r in QUERIES["retrieve"](spark, str(tmp_path)).collect()}
+    assert got == {(10 * k + j, k) for k in range(6) for j in (0, 1)}
