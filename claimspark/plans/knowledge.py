@@ -388,10 +388,12 @@ def surface_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def recall_memory(spark: SparkSession, d: str) -> DataFrame:
-    """MM1: first user turns as queries against assistant turns as memories, by their first words."""
+    """MM1: first user turns as queries against assistant turns as memories, by all words of both. A token's hash says
+    which of the lists disease, sign and service it is in; query has all."""
     c = table(spark, d, "conversations")
-    words = lambda a, b: F.slice(T.tokens(F.col("text"), min_len=3), a, b)
-    lists = {"disease": words(1, 3), "sign": words(4, 4), "service": words(8, 4), "query": words(1, 12)}
+    words = T.tokens(F.col("text"), min_len=3)
+    of_class = lambda i: F.filter(words, lambda t: F.pmod(F.xxhash64(t), F.lit(3)) == i)
+    lists = {"disease": of_class(0), "sign": of_class(1), "service": of_class(2), "query": words}
     q = c.filter("turn = 0").select(F.col("conv_id").alias("query_id"), *[v.alias(k) for k, v in lists.items()])
     m = c.filter("role = 'assistant'").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("memory_id"), *[v.alias(k) for k, v in lists.items()], F.when(F.col("turn") % 3 == 0, "semantic").otherwise("episodic").alias("kind"),
