@@ -55,6 +55,12 @@ def fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def shingles(t, n=5):
+    """The set of a text's word shingles, A-Z lower-cased."""
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
 def groups(items, linked):
     """Connected components: item -> smallest index."""
     up = list(range(len(items)))

@@ -2,7 +2,7 @@
 
 import pytest
 import sentencepiece
-from helpers import SCHEMA, fingerprint, frame, groups, rows
+from helpers import SCHEMA, frame, groups, rows, shingles
 
 from claimspark.llm.common import cut
 from claimspark.llm.queries import tokenizer_path
@@ -26,7 +26,7 @@ def test_stages(spark):
     assert sorted(str(r.doc_id) for r in once.collect()) == sorted(str(min(v, key=lambda x: (x is None, x or 0))) for v in texts.values())
     apart = cut(stages["near dedup"](spark, once, ""), "t")
     data = sorted(((r.doc_id, r.text) for r in once.collect()), key=lambda x: (x[0] is None, x[0] or 0))
-    roots = groups([fingerprint(t) for _, t in data], lambda a, b: (a ^ b).bit_count() <= 2)
+    roots = groups([shingles(t) for _, t in data], lambda a, b: len(a & b) >= 0.8 * len(a | b))
     assert sorted(str(r.doc_id) for r in apart.collect()) == sorted(str(data[i][0]) for i in set(roots))
     mixed = cut(stages["mix sources"](spark, apart, ""), "t")
     assert tuple(mixed.columns) == corpus_pipeline.COLUMNS
