@@ -1,76 +1,230 @@
-"""Substring dedup by line: repeated lines are removed, all but the earliest, with their places in the original text.
-
-Lines are normalised (case folded, white space runs made one space), hashed to 128 bits and grouped over the whole
-corpus. The earliest occurrence, by doc_id and then place, keeps its line; every other one is marked. Marked lines that
-follow each other in a document (lines without words between them don't count) make one span, and spans with at least
-MIN_WORDS words are removed: a passage counts whole, however it is cut into lines, while stock phrases of a few words
-stay where they are.
-
-Offsets are code points of the original text, the end exclusive.
-
-Defined cases: a null text is empty and has no lines; a line without words is never a unit; rows that have both doc_id
-and text in common are one document, so they fare alike; null ids rank last; an empty table gives no spans. A line
-repeated within a document keeps its first place only.
+"""Substring dedup: repeated passages are removed, all but the earliest, with their places in the original text.
+
+Units are the sentences of a text's lines; a sentence of more than LONG_UNIT words is cut further, at words chosen by
+what they are and not by where they stand, so that a passage has the same units wherever it begins. Units are normalised
+(lower case, white space runs made one space), hashed to 128 bits and grouped over the whole corpus. The earliest
+occurrence, by doc_id and then place, keeps its unit; every other one is marked. Marked units that follow each other in
+a document make a run.
+
+A passage seldom begins and ends where units do, so each run is extended word by word, up to the end of the sentence
+beside it, as far as its words equal those beside the kept occurrences of the run's units. Behind the end of a sentence
+equal words have equal units again, which make a run of their own; runs that touch after that are one span. Spans with at
+least MIN_WORDS words are removed: the rule measures the true repeat, however it is cut, and stock phrases of a few words
+stay.
+
+Every word that is removed has an equal one at an earlier place, which is itself the earliest or has an earlier one, so
+one occurrence of everything stays. Offsets are code points of the original text, the end exclusive.
+
+Defined cases: a null text is empty and has no units; rows that have both doc_id and text in common are one document, so
+they fare alike; null ids rank last; an empty table gives no spans. A passage repeated within a document keeps its first
+place only.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import WORD, cut, text_of
 
 MIN_WORDS = 50
+#: Sentences of more words are cut into smaller units.
+LONG_UNIT = 20
+#: About one word in so many ends a unit of a long sentence.
+LONG_EVERY = 5
+#: Words that a run is extended by at most, for sentences that don't end; their units are shorter than that.
+STRETCH = 64
+
+_BREAK = re.compile("([.!?…。][\"'”’)\\]]*)[\x20\x09-\x0d]|\n")
+_WORD = re.compile(WORD)
+_DOC = ("doc_id", "doc_hash")
+
+
+def _ends_unit(word: str) -> bool:
+    """Whether a word, in lower case, ends a unit of a long sentence."""
+    return (ord(word[0]) + ord(word[-1]) + len(word)) % LONG_EVERY == 0
+
+
+def units_of(text: str) -> Iterator[tuple[int, int, list[bytes], bool]]:
+    """(start, end, words, stops) of the units of a text that have words; words are normalised, in UTF-8; stops: whether
+    a sentence ends with the unit. A line break ends a unit but not a sentence."""
+    begin, marks = 0, _BREAK.finditer(text)
+    while begin <= len(text):
+        m = next(marks, None)
+        stops = m is not None and m.group(1) is not None
+        end = len(text) if m is None else m.end(1) if stops else m.start()
+        raw = text[begin:end]
+        words = raw.lower().encode().split()  # bytes are split at ASCII white space only
+        if len(words) > LONG_UNIT:
+            part: list[bytes] = []
+            for w in _WORD.finditer(raw):
+                if not part:
+                    first = w.start()
+                low = w[0].lower()
+                part.append(low.encode())
+                if _ends_unit(low) or w.end() == len(raw):
+                    yield begin + first, begin + w.end(), part, stops and w.end() == len(raw)
+                    part = []
+                last = w.end()
+            if part:
+                yield begin + first, begin + last, part, stops
+        elif words:
+            left, right = 0, len(raw)
+            if raw[0].isspace() or raw[-1].isspace():
+                left, right = _WORD.search(raw).start(), len(raw.rstrip("\x20\x09\x0a\x0b\x0c\x0d"))
+            yield begin + left, begin + right, words, stops
+        begin = len(text) + 1 if m is None else m.end()
+
+
+def _own_rows(docs: DataFrame) -> DataFrame:
+    text = text_of()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_hash"), text.alias("text"))
+
+
+def _beside(sizes: list[int], stops: list[bool]) -> tuple[list[int], list[int], list[int]]:
+    """For each unit of a text: the number of its first word, and how many words the sentence before and after it has,
+    or has left, up to STRETCH."""
+    at, starts, ends = [0], [], [0] * len(sizes)
+    for i, n in enumerate(sizes):
+        starts.append(at[i] if not i or stops[i - 1] else starts[-1])  # where the unit's sentence begins
+        at.append(at[i] + n)
+    for i in range(len(sizes) - 1, -1, -1):
+        ends[i] = at[i + 1] if stops[i] or i + 1 == len(sizes) else ends[i + 1]
+    before = [min(STRETCH, at[i] - starts[i - 1]) if i else 0 for i in range(len(sizes))]
+    after = [min(STRETCH, ends[i + 1] - at[i + 1]) if i + 1 < len(sizes) else 0 for i in range(len(sizes))]
+    return at[:-1], before, after
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_hash, line, start, end, words, digest): the lines that have words; line counts those only."""
-    schema = "doc_id long, doc_hash long, line int, start int, end int, words int, digest binary"
+    """(doc_id, doc_hash, at, start, end, words, before, after, digest): at: the number of the unit's first word; before,
+    after: how many words stand beside it up to the end of a sentence."""
+    schema = "doc_id long, doc_hash long, at int, start int, end int, words int, before int, after int, digest binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = xxhash.xxh3_128_digest
         for batch in batches:
-            columns: list[list] = [[] for _ in names]
+            texts, of_row = batch.column(2), []
+            columns: list[list] = [[] for _ in range(6)]
+            digests = []
             for i in range(batch.num_rows):
-                doc_id, doc_hash, text = (c[i].as_py() for c in batch.columns)
-                start = line = 0
-                for raw in text.split("\n"):
-                    words = raw.casefold().split()
-                    if words:
-                        digest = xxhash.xxh3_128_digest(" ".join(words).encode())
-                        for column, value in zip(columns, (doc_id, doc_hash, line, start, start + len(raw), len(words), digest), strict=True):
-                            column.append(value)
-                        line += 1
-                    start += len(raw) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                found = [(start, end, len(words), stops, hashed(b" ".join(words))) for start, end, words, stops in units_of(texts[i].as_py())]
+                if found:
+                    starts, ends, sizes, stops, own = zip(*found, strict=True)
+                    at, before, after = _beside(sizes, stops)
+                    for column, values in zip(columns, (at, starts, ends, sizes, before, after), strict=True):
+                        column += values
+                    digests += own
+                    of_row += [i] * len(found)
+            rows = pa.array(of_row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(c, pa.int32()) for c in columns], pa.array(digests, pa.binary())], names=names)
+
+    return _own_rows(docs).mapInArrow(work, schema)
 
-    text = text_of()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_hash"), text.alias("text")).mapInArrow(work, schema)
 
+def repeated(found: DataFrame) -> DataFrame:
+    """The units, of a written table, that repeat an earlier one, with that one's document (k_doc_id, k_doc_hash) and
+    shift: by how many words its place there lies further on than here."""
+    rank = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "doc_hash", "at")
+    firsts = cut(found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"), "units-first")
+    marked = found.join(firsts, "digest").filter(rank != F.col("first"))
+    return marked.withColumns({"k_doc_id": F.col("first.doc_id"), "k_doc_hash": F.col("first.doc_hash"), "shift": F.col("first.at") - F.col("at")}).drop("digest", "first").distinct()
 
-def repeated(lines: DataFrame) -> DataFrame:
-    """The lines, of a written table, that repeat an earlier one, with that one's place (keep_doc_id, keep_start)."""
-    rank = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "doc_hash", "start")
-    firsts = cut(lines.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"), "lines-first")
-    marked = lines.join(firsts, "digest").filter(rank != F.col("first"))
-    return marked.select("doc_id", "doc_hash", "line", "start", "end", "words", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"))
+
+def _same_doc(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.doc_hash") == F.col(f"{b}.doc_hash"))
+
+
+def _stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(doc_id, doc_hash, at, right), each once -> the same with words: array of (w, place), STRETCH words at most,
+    from word at onwards, or from the word before it backwards; place: where such a word ends, or begins. A written
+    table."""
+    schema = "doc_id long, doc_hash long, at int, right boolean, words array<struct<w:string,place:int>>"
+    word = pa.struct([("w", pa.string()), ("place", pa.int32())])
+    types = pa.schema([("doc_id", pa.int64()), ("doc_hash", pa.int64()), ("at", pa.int32()), ("right", pa.bool_()), ("words", pa.list_(word))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                doc_id, doc_hash, text, want = (c[i].as_py() for c in batch.columns)
+                found = list(_WORD.finditer(text))
+                for w in want:
+                    at, right = w["at"], w["right"]
+                    some = found[at : at + STRETCH] if right else found[max(0, at - STRETCH) : at][::-1]
+                    rows.append((doc_id, doc_hash, at, right, [{"w": m[0].lower(), "place": m.end() if right else m.start()} for m in some]))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, types, strict=True)], schema=types)
+
+    by_doc = cut(wanted.groupBy(*_DOC).agg(F.collect_list(F.struct("at", "right")).alias("want")), "units-wanted")
+    own = _own_rows(docs).alias("d").join(by_doc.alias("n"), _same_doc("d", "n")).select("d.*", "n.want")
+    return cut(own.mapInArrow(work, schema).groupBy(*_DOC, "at", "right").agg(F.any_value("words").alias("words")), "units-stretches")
+
+
+def _alike(own: Column, kept: Column) -> Column:
+    """How many words two arrays of words begin with in common."""
+    word = lambda a: F.transform(a, lambda x: x["w"])
+    same = F.zip_with(word(own), word(kept), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    at = F.array_position(same, F.lit(False))
+    return F.when(at == 0, F.size(own)).otherwise(at - 1).cast("int")
+
+
+def _chains(rows: DataFrame, low: str, high: str) -> DataFrame:
+    """rows with chain: a number that those of a document have in common whose stretches of words [low, high) overlap or
+    touch each other."""
+    by_place = Window.partitionBy(*_DOC).orderBy(low, high)
+    before = F.max(high).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    opened = rows.withColumn("chain", F.coalesce(F.col(low) > before, F.lit(False)).cast("int"))
+    return opened.withColumn("chain", F.sum("chain").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _extended(docs: DataFrame, runs: DataFrame, places: DataFrame) -> DataFrame:
+    """runs with low, high, start and end moved as far as their words go on as in one of the places where their units are
+    kept. places(doc_id, doc_hash, run, k_doc_id, k_doc_hash, shift)."""
+    ends = F.array(
+        F.struct(F.lit(False).alias("right"), F.col("low").alias("at"), F.col("before").alias("most")), F.struct(F.lit(True).alias("right"), F.col("high").alias("at"), F.col("after").alias("most"))
+    )
+    sides = runs.alias("r").join(places.alias("p"), _same_doc("r", "p") & (F.col("r.run") == F.col("p.run"))).select("r.*", "k_doc_id", "k_doc_hash", "shift")
+    sides = sides.select(*_DOC, "run", "k_doc_id", "k_doc_hash", "shift", F.explode(ends).alias("e")).filter("e.most > 0")
+    sides = cut(sides.select(*_DOC, "run", "e.*", "k_doc_id", "k_doc_hash", (F.col("e.at") + F.col("shift")).alias("k_at")).filter("k_at >= 0"), "units-sides")
+    kept = sides.select(F.col("k_doc_id").alias("doc_id"), F.col("k_doc_hash").alias("doc_hash"), F.col("k_at").alias("at"), "right")
+    words = _stretches(docs, sides.select(*_DOC, "at", "right").unionByName(kept).distinct())
+    same = lambda a, prefix: F.col(f"{a}.{prefix}doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col(f"{a}.{prefix}doc_hash") == F.col("w.doc_hash")) & (F.col(f"{a}.{prefix}at") == F.col("w.at")) & (F.col(f"{a}.right") == F.col("w.right"))
+    own = cut(sides.alias("s").join(words.alias("w"), same("s", "")).select("s.*", F.slice("w.words", 1, F.col("s.most")).alias("own")), "units-own")
+    both = own.alias("s").join(words.alias("w"), same("s", "k_")).select(*[f"s.{c}" for c in (*_DOC, "run", "right", "own")], _alike(F.col("s.own"), F.col("w.words")).alias("n"))
+    known = both.filter("n > 0").select(*_DOC, "run", "right", "n", F.get("own", F.col("n") - 1)["place"].alias("to"))
+    left, right = (lambda c: F.when(~F.col("right"), F.col(c))), (lambda c: F.when(F.col("right"), F.col(c)))
+    more = known.groupBy(*_DOC, "run").agg(F.max(left("n")).alias("left_n"), F.max(right("n")).alias("right_n"), F.min(left("to")).alias("left_to"), F.max(right("to")).alias("right_to"))
+    grown = runs.alias("r").join(cut(more, "units-more").alias("x"), _same_doc("r", "x") & (F.col("r.run") == F.col("x.run")), "left")
+    moved = {"low": F.col("r.low") - F.coalesce("left_n", F.lit(0)), "high": F.col("r.high") + F.coalesce("right_n", F.lit(0)), "start": F.coalesce("left_to", "r.start"), "end": F.coalesce("right_to", "r.end")}
+    return grown.select(*[moved[c].alias(c) if c in moved else F.col(f"r.{c}") for c in runs.columns])
 
 
 def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, doc_hash, start, end, lines, words, keep_doc_id, keep_start): what is removed, one row per span.
-    keep_doc_id and keep_start: where the span's first line is kept."""
-    lines = cut(units(docs), "lines")
-    marked = cut(repeated(lines).distinct(), "lines-marked")
-    of_doc = Window.partitionBy("doc_id", "doc_hash").orderBy("line")
-    runs = marked.withColumn("run", F.col("line") - F.row_number().over(of_doc))
-    kept_at = F.min_by(F.struct("keep_doc_id", "keep_start"), "line").alias("kept")
-    found = runs.groupBy("doc_id", "doc_hash", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("lines"), F.sum("words").alias("words"), kept_at)
-    return found.filter(F.col("words") >= min_words).select("doc_id", "doc_hash", "start", "end", "lines", "words", "kept.keep_doc_id", "kept.keep_start")
+    """(doc_id, doc_hash, start, end, units, words, keep_doc_id): what is removed, one row per span. units: the whole ones
+    in it; keep_doc_id: the document that keeps the first of them."""
+    marked = repeated(cut(units(docs), "units"))
+    earlier = Window.partitionBy(*_DOC).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    marked = cut(marked.withColumn("run", F.col("at") - F.coalesce(F.sum("words").over(earlier), F.lit(0))), "units-marked")
+    whole = (
+        F.min("at").alias("low"), F.max(F.col("at") + F.col("words")).alias("high"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("units"),
+        F.min_by("before", "at").alias("before"), F.max_by("after", "at").alias("after"), F.min_by("k_doc_id", "at").alias("keep_doc_id"),
+    )
+    runs = _chains(marked.groupBy(*_DOC, "run").agg(*whole).withColumns({"least": F.col("low") - F.col("before"), "most": F.col("high") + F.col("after")}), "least", "most")
+    # Chains that would not have min_words words if all that stands beside their runs were repeated too are done with.
+    of_chain = Window.partitionBy(*_DOC, "chain")
+    reach = F.max("most").over(of_chain) - F.min("least").over(of_chain)
+    runs = cut(runs.withColumn("reach", reach).filter(F.col("reach") >= min_words).drop("least", "most", "chain", "reach"), "units-runs")
+    places = marked.select(*_DOC, "run", "k_doc_id", "k_doc_hash", "shift").distinct()
+    chained = _chains(_extended(docs, runs, places), "low", "high")
+    merged = (F.min("low").alias("low"), F.max("high").alias("high"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("units").alias("units"), F.min_by("keep_doc_id", "low").alias("keep_doc_id"))
+    found = chained.groupBy(*_DOC, "chain").agg(*merged).withColumn("words", (F.col("high") - F.col("low")).cast("long")).filter(F.col("words") >= min_words)
+    return found.select(*_DOC, "start", "end", "units", "words", "keep_doc_id")
 
 
 def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
@@ -78,7 +232,7 @@ def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
     stays, so that a place in the new text can be traced. Documents without spans are as they were."""
     holes = removed.groupBy(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__holes"))
     own = docs.withColumn("__key", F.xxhash64(text_of()))
-    joined = own.join(cut(holes, "lines-holes"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
+    joined = own.join(cut(holes, "units-holes"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
     some = F.coalesce("__holes", F.array().cast("array<struct<start:int,end:int>>"))
     begins = F.concat(F.array(F.lit(0)), F.transform(some, lambda h: h["end"]))
     ends = F.concat(F.transform(some, lambda h: h["start"]), F.array(F.length(text_of())))

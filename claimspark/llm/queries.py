@@ -30,7 +30,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.spans(table(spark, sf_dir, "documents"))
+    return linededup.spans(table(spark, sf_dir, "documents")).drop("doc_hash")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
