@@ -22,6 +22,7 @@ place only.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -39,6 +40,8 @@ LONG_UNIT = 20
 LONG_EVERY = 5
 #: Words that a run is extended by at most, for sentences that don't end; their units are shorter than that.
 STRETCH = 64
+#: Rows, or words of stretches, in one Arrow batch, about.
+BATCH_ROWS = 50_000
 
 _BREAK = re.compile("([.!?…。][\"'”’)\\]]*)[\x20\x09-\x0d]|\n")
 _WORD = re.compile(WORD)
@@ -108,10 +111,19 @@ def units(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = xxhash.xxh3_128_digest
+        columns: list[list[int]] = [[] for _ in range(6)]
+        of_row: list[int] = []
+        digests: list[bytes] = []
+
+        def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = pa.array(of_row, pa.int64())
+            out = [batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(c, pa.int32()) for c in columns], pa.array(digests, pa.binary())]
+            for x in (*columns, of_row, digests):
+                x.clear()
+            return pa.RecordBatch.from_arrays(out, names=names)
+
         for batch in batches:
-            texts, of_row = batch.column(2), []
-            columns: list[list] = [[] for _ in range(6)]
-            digests = []
+            texts = batch.column(2)
             for i in range(batch.num_rows):
                 found = [(start, end, len(words), stops, hashed(b" ".join(words))) for start, end, words, stops in units_of(texts[i].as_py())]
                 if found:
@@ -121,8 +133,9 @@ def units(docs: DataFrame) -> DataFrame:
                         column += values
                     digests += own
                     of_row += [i] * len(found)
-            rows = pa.array(of_row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(c, pa.int32()) for c in columns], pa.array(digests, pa.binary())], names=names)
+                if len(of_row) >= BATCH_ROWS:
+                    yield made(batch)
+            yield made(batch)
 
     return _own_rows(docs).mapInArrow(work, schema)
 
@@ -145,21 +158,38 @@ def _stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     from word at onwards, or from the word before it backwards; place: where such a word ends, or begins. A written
     table."""
     schema = "doc_id long, doc_hash long, at int, right boolean, words array<struct<w:string,place:int>>"
-    word = pa.struct([("w", pa.string()), ("place", pa.int32())])
-    types = pa.schema([("doc_id", pa.int64()), ("doc_hash", pa.int64()), ("at", pa.int32()), ("right", pa.bool_()), ("words", pa.list_(word))])
+    names = ["doc_id", "doc_hash", "at", "right", "words"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_row, at, right, ends, words, places = [], [], [], [0], [], []
+
+        def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = pa.array(of_row, pa.int64())
+            structs = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.int32())], names=["w", "place"])
+            out = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int32()), pa.array(right, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)]
+            for x in (of_row, at, right, words, places):
+                x.clear()
+            ends[1:] = []
+            return pa.RecordBatch.from_arrays(out, names=names)
+
         for batch in batches:
-            rows = []
+            texts, wants = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
-                doc_id, doc_hash, text, want = (c[i].as_py() for c in batch.columns)
-                found = list(_WORD.finditer(text))
-                for w in want:
-                    at, right = w["at"], w["right"]
-                    some = found[at : at + STRETCH] if right else found[max(0, at - STRETCH) : at][::-1]
-                    rows.append((doc_id, doc_hash, at, right, [{"w": m[0].lower(), "place": m.end() if right else m.start()} for m in some]))
-            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, types, strict=True)], schema=types)
+                want = sorted((w["at"], w["right"]) for w in wants[i].as_py())
+                need = max((w + STRETCH if r else w) for w, r in want)
+                text = texts[i].as_py()
+                spans = [m.span() for m in itertools.islice(_WORD.finditer(text), need)]
+                for place, onward in want:
+                    some = spans[place : place + STRETCH] if onward else spans[max(0, place - STRETCH) : place][::-1]
+                    words += [text[a:b].lower() for a, b in some]
+                    places += [b if onward else a for a, b in some]
+                    of_row.append(i)
+                    at.append(place)
+                    right.append(onward)
+                    ends.append(len(words))
+                    if len(words) >= BATCH_ROWS:
+                        yield made(batch)
+            yield made(batch)
 
     by_doc = cut(wanted.groupBy(*_DOC).agg(F.collect_list(F.struct("at", "right")).alias("want")), "units-wanted")
     own = _own_rows(docs).alias("d").join(by_doc.alias("n"), _same_doc("d", "n")).select("d.*", "n.want")
