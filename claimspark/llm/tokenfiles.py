@@ -6,8 +6,9 @@ Every file holds one range of doc_ids; a row knows its file's number (part) and
 (local_start), and the files' totals, read from two narrow columns, give the place in the whole.
 
 Texts are cut at each space that follows a character other than white space. The tokenizer's own pre-tokenizer always
-cuts there too, so the ids of the pieces, one after the other, are those of the whole text; pieces seen before come
-from a bounded table. A text that cannot be cut this way is encoded whole.
+cuts there too, so the ids of the pieces, one after the other, are those of the whole text; each different piece of a
+batch is encoded once, and pieces seen before come from a bounded table. A text that cannot be cut this way is encoded
+by larger pieces.
 
 Defined cases: a null text is empty and has the end id only; null doc_ids come first; rows with the same doc_id follow
 each other ordered by text; an empty table gives files without rows.
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +33,11 @@ from .common import cut, maybe_broadcast, scratch_path, text_of
 
 END_ID = 0
 #: Pieces whose ids an encoder keeps, at most.
-KNOWN_PIECES = 300_000
-#: Ids in one Arrow batch, about.
-BATCH_IDS = 500_000
+KNOWN_PIECES = 1_000_000
+#: Words at line starts whose ids an encoder keeps beside that, at most.
+ATOMS = 100_000
+#: Bytes of text that are encoded at once, about.
+BATCH_BYTES = 8 << 20
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 WRITE_OPTIONS = {
     "compression": "zstd",
@@ -53,26 +57,22 @@ _ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in
 _SPACE = chr(_ALPHABET[ord(" ")])
 
 _CUT = re.compile(r"(?<!\s) ")
-
-
-#: Signs that the pre-tokenizer always parts from a word before them when nothing but white space follows.
-_SIGNS = frozenset(".,;:!?")
-
-
-def _word_and_sign(x: str) -> list[str]:
-    return [x[:-1], x[-1]] if x[-1] in _SIGNS and x[:-1].removeprefix(" ").isalpha() else [x]
-
-
-def _atoms(piece: str) -> list[str]:
-    """Parts of a piece between which the pre-tokenizer cuts: at a line break between words, before a last sign."""
-    left, broken, right = piece.partition("\n")
-    if not (broken and left.strip() and right) or left[-1].isspace() or right[0].isspace():
-        return _word_and_sign(piece)
-    return [*_word_and_sign(left), "\n", *_word_and_sign(right)]
+#: A sign that ends a word: the pre-tokenizer parts them when white space or nothing follows. MARK stands before the sign
+#: when it has become a piece of its own.
+MARK = "\ue000"
+_SIGN = r"([\pL\pN])([.,;:!?])( |\n|\z)"
+#: White space behind a line break of which the pre-tokenizer makes something else than one token for each character.
+_BLANK = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_RUN = rf" \n|\n{_BLANK}({_BLANK}|\z)|\n[\t\r\f\x0b]"
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as unsigned 32-bit integers.
+
+    Texts come as Arrow arrays: they are split at spaces, before line breaks and before signs at the ends of words, and
+    the pieces dictionary encoded, so that each different piece of a batch is looked up once, all at a time; numpy puts
+    the ids together. Only pieces that are not in the table are taken to the tokenizer.
+    """
 
     def __init__(self, path: str, known: int = KNOWN_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,63 +80,116 @@ class Encoder:
 
         self._tokenizer = t = Tokenizer.from_file(path)
         self._most = known
-        #: A byte-level tokenizer's model takes a word alone, spelt in the level's alphabet, with much less ado.
-        self._model = t.model if type(t.pre_tokenizer).__name__ == "ByteLevel" and t.normalizer is None else None
-        self._after_space: dict[str, bytes] = {}  # ids of a space and the piece
-        self._known: dict[str, bytes] = {}  # ids of atoms
+        #: What is said here about pieces holds for byte-level tokenizers; a text is one piece for the others.
+        level = t.pre_tokenizer
+        self._level = type(level).__name__ == "ByteLevel" and level.use_regex and not level.add_prefix_space and t.normalizer is None
+        self._model = t.model
+        #: Texts with one of these are encoded by larger pieces.
+        special = [re.escape(x.content) for x in t.get_added_tokens_decoder().values()]
+        self._out = "|".join([_RUN, MARK, *special])
+        self._atoms: dict[str, bytes] = {}  # ids of words at line starts
+        self._newline = self._bytes(["\n"])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        #: The table: pieces, where the ids of each begin, and how many there are.
+        self._words, self._ids = pa.array([], pa.string()), np.zeros(0, "<u4")
+        self._starts = self._sizes = np.zeros(0, np.int64)
+
+    def _add(self, words: pa.Array, made: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(sizes) - sizes])
+        self._sizes = np.concatenate([self._sizes, sizes])
+        self._ids = np.concatenate([self._ids, np.frombuffer(b"".join(made), "<u4")])
+        self._words = pa.concat_arrays([self._words, words])
+
+    def _find(self, words: pa.Array) -> np.ndarray:
+        """The places of words in the table, -1 for those that are not there."""
+        return pc.fill_null(pc.index_in(words, value_set=self._words), -1).to_numpy()
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _atom_bytes(self, atoms: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        if self._model is not None:
-            tokenize = self._model.tokenize
-            for a in atoms:
-                if a.removeprefix(" ").isalpha():
-                    spelt = a.replace(" ", _SPACE) if a.isascii() else a.encode().decode("latin-1").translate(_ALPHABET)
-                    ids = [t.id for t in tokenize(spelt)]
-                    out[a] = _struct(f"<{len(ids)}I").pack(*ids)
-        others = [a for a in atoms if a not in out]
-        out |= zip(others, self._bytes(others) if others else [], strict=True)
-        return [out[a] for a in atoms]
-
-    def _from_atoms(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, each from its atoms."""
-        parts, known = [_atoms(x) for x in pieces], self._known
-        new = list({a for p in parts for a in p if a not in known})
-        if not new:
-            return [b"".join([known[a] for a in p]) for p in parts]
-        made = dict(zip(new, self._atom_bytes(new), strict=True))
-        if len(known) < self._most:
-            known.update(made)
-        return [b"".join([known[a] if a in known else made[a] for a in p]) for p in parts]
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        if not first or first[-1].isspace():
-            return self._odd(text)
-        known = self._after_space
-        got = list(map(known.get, rest))
-        if None in got:
-            places = [i for i, b in enumerate(got) if b is None]
-            new = [rest[i] for i in places]
-            if any(not x or x[-1].isspace() for x in new):
-                return self._odd(text)
-            bodies = self._from_atoms([f" {x}" for x in new])
-            for i, b in zip(places, bodies, strict=True):
-                got[i] = b
-            if len(known) < self._most:
-                known.update(zip(new, bodies, strict=True))
-        return self._from_atoms([first])[0] + b"".join(got)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _word(self, letters: str, mark: str = _SPACE) -> bytes:
+        """The ids of a word after a space, or without one (mark "")."""
+        spelt = mark + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(_ALPHABET))
+        ids = [t.id for t in self._model.tokenize(spelt)]
+        return _struct(f"<{len(ids)}I").pack(*ids)
+
+    def _made(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces: signs and those beginning with a line break as they are, the others after a space."""
+        out: list[bytes | None] = []
+        others, word, atoms = [], self._word, self._atoms
+        for x in pieces:
+            if x.isalpha():
+                out.append(word(x))
+            elif x[0] == "\n" and x[1:].isalpha():
+                found = atoms.get(x)
+                if found is None:
+                    if len(atoms) > ATOMS:
+                        atoms.clear()
+                    found = atoms[x] = self._newline + word(x[1:], "")
+                out.append(found)
+            else:
+                others.append(x[1:] if x[0] == MARK else x if x[0] == "\n" else f" {x}")
+                out.append(None)
+        made = iter(self._bytes(others))
+        return [next(made) if b is None else b for b in out]
 
     def _odd(self, text: str) -> bytes:
         """For texts with white space before a space."""
         first, *rest = _CUT.split(text)
         return b"".join(self._bytes([x for x in [first, *[f" {y}" for y in rest]] if x]))
 
+    def encode_all(self, texts: pa.Array, end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other and each followed by ``end``, and how many each text has."""
+        n = len(texts)
+        if not n or not self._level:
+            made = [b + struct.pack(f"<{len(end)}I", *end) for b in self._bytes(texts.to_pylist())]
+            return np.frombuffer(b"".join(made), "<u4"), np.fromiter(map(len, made), np.int64, n) // 4
+        signed = pc.replace_substring_regex(texts, _SIGN, rf"\1 {MARK}\2\3")
+        split = pc.split_pattern(pc.replace_substring(signed, "\n", " \n"), " ")
+        bounds = split.offsets.to_numpy()
+        flat = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds = bounds[:-1] - bounds[0]
+        at, words = flat.indices.to_numpy().astype(np.int64), flat.dictionary
+        last = pc.utf8_slice_codeunits(words, -1)
+        bad = (pc.or_(pc.equal(words, ""), pc.and_(pc.utf8_is_space(last), pc.not_equal(words, "\n")))).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self._out).to_numpy(zero_copy_only=False) | (np.add.reduceat(bad[at], bounds) > 0)
+        table = self._find(words)
+        new = (table < 0) & ~bad
+        if new.any():
+            if len(self._words) + int(new.sum()) > self._most:
+                self._forget()
+                new = ~bad
+            learnt = words.filter(pa.array(new))
+            table = table.copy()
+            table[new] = len(self._words) + np.arange(len(learnt))
+            self._add(learnt, self._made(learnt.to_pylist()))
+        # First pieces have no space before them; texts that can't be cut are one piece. Both follow the table's own.
+        heads = iter(self._bytes(words.take(pa.array(at[bounds[~odd]])).to_pylist()))
+        wholes = iter([self._odd(t) for t in texts.filter(pa.array(odd)).to_pylist()])
+        own = [next(wholes if o else heads) for o in odd]
+        own.append(struct.pack(f"<{len(end)}I", *end))
+        at = table[at].astype(np.int64)
+        at[bounds] = len(self._words) + np.arange(n)
+        size = np.diff(np.append(bounds, len(at)))
+        stays = np.repeat(~odd, size)
+        stays[bounds] = True
+        at, row = at[stays], np.repeat(np.arange(n), size)[stays]
+        ends = np.cumsum(np.bincount(row, minlength=n))
+        at, row = np.insert(at, ends, len(self._words) + n), np.insert(row, ends, np.arange(n))
+        sizes = np.fromiter(map(len, own), np.int64, n + 1) // 4
+        starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(sizes) - sizes])
+        counts = np.concatenate([self._sizes, sizes])[at]
+        gather = np.repeat(starts[at] - (np.cumsum(counts) - counts), counts)
+        gather += np.arange(len(gather))
+        ids = np.concatenate([self._ids, np.frombuffer(b"".join(own), "<u4")])
+        return ids[gather], np.bincount(row, counts, n).astype(np.int64)
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -151,24 +204,22 @@ def encoder(path: str) -> Encoder:
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """docs in order as rows of token files; tokenizer: path of a tokenizer file that every executor has."""
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, at = encoder(tokenizer).encode, 0
+        encode, at = encoder(tokenizer).encode_all, 0
         for batch in batches:
-            parts, doc_ids, texts = batch.columns
-            begin, bodies, size = 0, [], 0
-            for i in range(len(texts)):
-                bodies.append(encode(texts[i].as_py()) + end)
-                size += len(bodies[-1]) // 4
-                if size >= BATCH_IDS or i == len(texts) - 1:
-                    counts = np.array([len(x) // 4 for x in bodies], dtype=np.int64)
-                    ends = counts.cumsum()
-                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(bodies), dtype="<i4")))
-                    n = len(bodies)
-                    yield pa.RecordBatch.from_arrays([parts.slice(begin, n), doc_ids.slice(begin, n), pa.array(at + ends - counts), pa.array(counts), ids], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
-                    at += int(ends[-1])
-                    begin, bodies, size = i + 1, [], 0
+            sizes = np.cumsum(pc.binary_length(batch.column(2)).to_numpy())
+            begin = 0
+            while begin < batch.num_rows:
+                done = sizes[begin - 1] if begin else 0
+                n = max(1, int(np.searchsorted(sizes, done + BATCH_BYTES, "right")) - begin)
+                parts, doc_ids, texts = (c.slice(begin, n) for c in batch.columns)
+                ids, counts = encode(texts, (end_id,))
+                ends = counts.cumsum()
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([parts, doc_ids, pa.array(at + ends - counts), pa.array(counts), lists], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
+                at += int(ends[-1])
+                begin += n
 
     return ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(work, SCHEMA)
 
