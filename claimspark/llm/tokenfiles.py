@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast, scratch_path, text_of
+from .idtable import IdTable
 
 END_ID = 0
 #: Pieces whose ids an encoder keeps, at most.
@@ -79,7 +80,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = t = Tokenizer.from_file(path)
-        self._most = known
+        self._table = IdTable(known)
         #: What is said here about pieces holds for byte-level tokenizers; a text is one piece for the others.
         level = t.pre_tokenizer
         self._level = type(level).__name__ == "ByteLevel" and level.use_regex and not level.add_prefix_space and t.normalizer is None
@@ -89,23 +90,6 @@ class Encoder:
         self._out = "|".join([_RUN, MARK, *special])
         self._atoms: dict[str, bytes] = {}  # ids of words at line starts
         self._newline = self._bytes(["\n"])[0]
-        self._forget()
-
-    def _forget(self) -> None:
-        #: The table: pieces, where the ids of each begin, and how many there are.
-        self._words, self._ids = pa.array([], pa.string()), np.zeros(0, "<u4")
-        self._starts = self._sizes = np.zeros(0, np.int64)
-
-    def _add(self, words: pa.Array, made: list[bytes]) -> None:
-        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
-        self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(sizes) - sizes])
-        self._sizes = np.concatenate([self._sizes, sizes])
-        self._ids = np.concatenate([self._ids, np.frombuffer(b"".join(made), "<u4")])
-        self._words = pa.concat_arrays([self._words, words])
-
-    def _find(self, words: pa.Array) -> np.ndarray:
-        """The places of words in the table, -1 for those that are not there."""
-        return pc.fill_null(pc.index_in(words, value_set=self._words), -1).to_numpy()
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -156,36 +140,22 @@ class Encoder:
         last = pc.utf8_slice_codeunits(words, -1)
         bad = (pc.or_(pc.equal(words, ""), pc.and_(pc.utf8_is_space(last), pc.not_equal(words, "\n")))).to_numpy(zero_copy_only=False)
         odd = pc.match_substring_regex(texts, self._out).to_numpy(zero_copy_only=False) | (np.add.reduceat(bad[at], bounds) > 0)
-        table = self._find(words)
-        new = (table < 0) & ~bad
-        if new.any():
-            if len(self._words) + int(new.sum()) > self._most:
-                self._forget()
-                new = ~bad
-            learnt = words.filter(pa.array(new))
-            table = table.copy()
-            table[new] = len(self._words) + np.arange(len(learnt))
-            self._add(learnt, self._made(learnt.to_pylist()))
+        table = self._table.find(words, ~bad, self._made)
         # First pieces have no space before them; texts that can't be cut are one piece. Both follow the table's own.
         heads = iter(self._bytes(words.take(pa.array(at[bounds[~odd]])).to_pylist()))
         wholes = iter([self._odd(t) for t in texts.filter(pa.array(odd)).to_pylist()])
         own = [next(wholes if o else heads) for o in odd]
         own.append(struct.pack(f"<{len(end)}I", *end))
-        at = table[at].astype(np.int64)
-        at[bounds] = len(self._words) + np.arange(n)
+        at = table[at]
+        at[bounds] = len(self._table) + np.arange(n)
         size = np.diff(np.append(bounds, len(at)))
         stays = np.repeat(~odd, size)
         stays[bounds] = True
         at, row = at[stays], np.repeat(np.arange(n), size)[stays]
         ends = np.cumsum(np.bincount(row, minlength=n))
-        at, row = np.insert(at, ends, len(self._words) + n), np.insert(row, ends, np.arange(n))
-        sizes = np.fromiter(map(len, own), np.int64, n + 1) // 4
-        starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(sizes) - sizes])
-        counts = np.concatenate([self._sizes, sizes])[at]
-        gather = np.repeat(starts[at] - (np.cumsum(counts) - counts), counts)
-        gather += np.arange(len(gather))
-        ids = np.concatenate([self._ids, np.frombuffer(b"".join(own), "<u4")])
-        return ids[gather], np.bincount(row, counts, n).astype(np.int64)
+        at, row = np.insert(at, ends, len(self._table) + n), np.insert(row, ends, np.arange(n))
+        ids, counts = self._table.ids(at, own)
+        return ids, np.bincount(row, counts, n).astype(np.int64)
 
     def encode(self, text: str) -> bytes:
         return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
