@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from helpers import SCHEMA, clashing, frame, rows
@@ -23,6 +25,24 @@ def test_ids_are_the_librarys():
         assert m.decode(m.encode(t)) == t.replace("▁", " ")
 
 
+def test_batches_give_the_librarys_ids():
+    m, sp = spm.Model(PATH, known=200), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for k in range(20):
+        some = [*texts(60, k), "", " ", "\n", "a\n b", "a  b", "\n\nword.", "one, two.\nThree", "x\ue000y", "end ", "a \n"]
+        ids, counts = m.encode_all(pa.array(some))
+        want = sp.encode(some)
+        assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+        assert m.decode_all(ids, counts).to_pylist() == [t.replace("▁", " ") for t in some]
+
+
+def test_decoding_is_the_librarys():
+    m, sp, r = spm.Model(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH), random.Random(8)
+    for _ in range(300):
+        ids = [r.choice([0, 1, 2, r.randrange(259, 32000)]) for _ in range(r.randint(0, 8))]
+        assert m.decode(ids) == sp.decode(ids), ids
+        assert m.decode_all(np.array(ids, np.int64), np.array([len(ids)])).to_pylist() == [sp.decode(ids)]
+
+
 def test_streaming_window_is_bounded():
     m, sp, window = spm.Model(PATH, known=0), sentencepiece.SentencePieceProcessor(model_file=PATH), []
     text = "abcthe" * 4000
@@ -51,7 +71,8 @@ def test_viterbi_gives_the_best_score():
 
 def test_tables(spark):
     docs = clashing(frame(spark))
-    out = spm.encoded(docs.drop("ids"), PATH, ["doc_id", "number"])
+    out = spm.encoded(docs, PATH, ["doc_id", "number", "ids"])
+    assert out.columns == ["doc_id", "number", "ids", "decoded_ok"]
     got = out.collect()
     sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
     want = sorted((str(i), sp.encode(t or "")) for i, t, *_ in rows())
