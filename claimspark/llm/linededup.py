@@ -1,13 +1,14 @@
 """Substring dedup: repeated passages are removed, all but the earliest, with their places in the original text.
 
-Units are the sentences of a text's lines; a sentence of more than LONG_UNIT words is cut further, at words chosen by
-what they are and not by where they stand, so that a passage has the same units wherever it begins. Units are normalised
-(lower case, white space runs made one space), hashed to 128 bits and grouped over the whole corpus. The earliest
-occurrence, by doc_id and then place, keeps its unit; every other one is marked. Marked units that follow each other in
-a document make a run.
-
-A passage seldom begins and ends where units do, so each run is extended word by word, up to the end of the sentence
-beside it, as far as its words equal those beside the kept occurrences of the run's units. Behind the end of a sentence
+Units are the sentences of a text's lines. One of fewer than SHORT_UNIT words does not end a unit, and a unit of more than
+LONG_UNIT words is cut further, at words chosen by what they are and not by where they stand: whether a unit ends at a
+place is decided by the words just before it, so that a passage has the same units wherever it begins. Units are
+normalised (lower case, white space runs made one space), hashed to 128 bits and grouped over the whole corpus. The
+earliest occurrence, by doc_id and then place, keeps its unit; every other one is marked. Marked units that follow each
+other in a document make a run.
+
+A passage seldom begins and ends where units do, so each run is extended word by word, up to the next place where a
+sentence ends a unit, as far as its words equal those beside the kept occurrences of the run's units. Behind such a place
 equal words have equal units again, which make a run of their own; runs that touch after that are one span. Spans with at
 least MIN_WORDS words are removed: the rule measures the true repeat, however it is cut, and stock phrases of a few words
 stay.
@@ -34,9 +35,11 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, text_of
 
 MIN_WORDS = 50
-#: Sentences of more words are cut into smaller units.
-LONG_UNIT = 20
-#: About one word in so many ends a unit of a long sentence.
+#: Sentences of fewer words do not end a unit.
+SHORT_UNIT = 5
+#: Units of more words are cut into smaller ones: two units of this length fit into MIN_WORDS.
+LONG_UNIT = 24
+#: About one word in so many ends a part of a long unit.
 LONG_EVERY = 5
 #: Words that a run is extended by at most, for sentences that don't end; their units are shorter than that.
 STRETCH = 64
@@ -49,52 +52,61 @@ _DOC = ("doc_id", "doc_hash")
 
 
 def _ends_unit(word: str) -> bool:
-    """Whether a word, in lower case, ends a unit of a long sentence."""
+    """Whether a word, in lower case, ends a part of a long unit."""
     return (ord(word[0]) + ord(word[-1]) + len(word)) % LONG_EVERY == 0
 
 
 def units_of(text: str) -> Iterator[tuple[int, int, list[bytes], bool]]:
-    """(start, end, words, stops) of the units of a text that have words; words are normalised, in UTF-8; stops: whether
-    a sentence ends with the unit. A line break ends a unit but not a sentence."""
-    begin, marks = 0, _BREAK.finditer(text)
+    """(start, end, words, stops) of the units of a text; words are normalised, in UTF-8; stops: whether a sentence ends
+    the unit, and not a line break or the length."""
+    begin, marks, unit, first, last = 0, _BREAK.finditer(text), [], 0, 0
     while begin <= len(text):
         m = next(marks, None)
-        stops = m is not None and m.group(1) is not None
-        end = len(text) if m is None else m.end(1) if stops else m.start()
+        sentence = m is not None and m.group(1) is not None
+        end = len(text) if m is None else m.end(1) if sentence else m.start()
         raw = text[begin:end]
         words = raw.lower().encode().split()  # bytes are split at ASCII white space only
-        if len(words) > LONG_UNIT:
-            part: list[bytes] = []
-            for w in _WORD.finditer(raw):
-                if not part:
-                    first = w.start()
-                low = w[0].lower()
-                part.append(low.encode())
-                if _ends_unit(low) or w.end() == len(raw):
-                    yield begin + first, begin + w.end(), part, stops and w.end() == len(raw)
-                    part = []
-                last = w.end()
-            if part:
-                yield begin + first, begin + last, part, stops
-        elif words:
+        if words:
             left, right = 0, len(raw)
             if raw[0].isspace() or raw[-1].isspace():
                 left, right = _WORD.search(raw).start(), len(raw.rstrip("\x20\x09\x0a\x0b\x0c\x0d"))
-            yield begin + left, begin + right, words, stops
+            if not unit:
+                first = begin + left
+            last = begin + right
+            unit += words
+        if unit and (m is None or len(words) >= SHORT_UNIT):
+            if len(unit) <= LONG_UNIT:
+                yield first, last, unit, sentence
+            else:
+                yield from _parts(text, first, last, sentence)
+            unit = []
         begin = len(text) + 1 if m is None else m.end()
 
 
+def _parts(text: str, first: int, last: int, stops: bool) -> Iterator[tuple[int, int, list[bytes], bool]]:
+    """The parts of a long unit."""
+    part: list[bytes] = []
+    for w in _WORD.finditer(text, first, last):
+        if not part:
+            start = w.start()
+        low = w[0].lower()
+        part.append(low.encode())
+        if _ends_unit(low) or w.end() == last:
+            yield start, w.end(), part, stops and w.end() == last
+            part = []
+
+
 def _own_rows(docs: DataFrame) -> DataFrame:
     text = text_of()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_hash"), text.alias("text"))
 
 
 def _beside(sizes: list[int], stops: list[bool]) -> tuple[list[int], list[int], list[int]]:
-    """For each unit of a text: the number of its first word, and how many words the sentence before and after it has,
-    or has left, up to STRETCH."""
+    """For each unit of a text: the number of its first word, and how many words stand before and after it up to the next
+    stop, STRETCH at most."""
     at, starts, ends = [0], [], [0] * len(sizes)
     for i, n in enumerate(sizes):
-        starts.append(at[i] if not i or stops[i - 1] else starts[-1])  # where the unit's sentence begins
+        starts.append(at[i] if not i or stops[i - 1] else starts[-1])  # behind the stop before the unit
         at.append(at[i] + n)
     for i in range(len(sizes) - 1, -1, -1):
         ends[i] = at[i + 1] if stops[i] or i + 1 == len(sizes) else ends[i + 1]
@@ -105,7 +117,7 @@ def _beside(sizes: list[int], stops: list[bool]) -> tuple[list[int], list[int],
 
 def units(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_hash, at, start, end, words, before, after, digest): at: the number of the unit's first word; before,
-    after: how many words stand beside it up to the end of a sentence."""
+    after: how many words stand beside it up to the next stop."""
     schema = "doc_id long, doc_hash long, at int, start int, end int, words int, before int, after int, digest binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -154,34 +166,35 @@ def _same_doc(a: str, b: str) -> Column:
 
 
 def _stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(doc_id, doc_hash, at, right), each once -> the same with words: array of (w, place), STRETCH words at most,
-    from word at onwards, or from the word before it backwards; place: where such a word ends, or begins. A written
-    table."""
-    schema = "doc_id long, doc_hash long, at int, right boolean, words array<struct<w:string,place:int>>"
-    names = ["doc_id", "doc_hash", "at", "right", "words"]
+    """wanted(doc_id, doc_hash, at, right, most), each place once -> the same without most, with the words that follow, so
+    many at most: from word at onwards, or from the word before it backwards. words: array of the words' hashes; places:
+    array of where each ends, or begins. A written table."""
+    schema = "doc_id long, doc_hash long, at int, right boolean, words array<long>, places array<int>"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_row, at, right, ends, words, places = [], [], [], [0], [], []
 
         def made(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = pa.array(of_row, pa.int64())
-            structs = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.int32())], names=["w", "place"])
-            out = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int32()), pa.array(right, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)]
+            rows, upto = pa.array(of_row, pa.int64()), pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(upto, pa.array(words, pa.int64())), pa.ListArray.from_arrays(upto, pa.array(places, pa.int32()))]
+            out = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int32()), pa.array(right, pa.bool_()), *lists]
             for x in (of_row, at, right, words, places):
                 x.clear()
             ends[1:] = []
             return pa.RecordBatch.from_arrays(out, names=names)
 
+        hashed = xxhash.xxh3_64_intdigest
         for batch in batches:
             texts, wants = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
-                want = sorted((w["at"], w["right"]) for w in wants[i].as_py())
-                need = max((w + STRETCH if r else w) for w, r in want)
+                want = [(w["at"], w["right"], w["most"]) for w in wants[i].as_py()]
+                need = max((w + n if r else w) for w, r, n in want)
                 text = texts[i].as_py()
-                spans = [m.span() for m in itertools.islice(_WORD.finditer(text), need)]
-                for place, onward in want:
-                    some = spans[place : place + STRETCH] if onward else spans[max(0, place - STRETCH) : place][::-1]
-                    words += [text[a:b].lower() for a, b in some]
+                found = [m.span() for m in itertools.islice(_WORD.finditer(text), need)]
+                for place, onward, n in want:
+                    some = found[place : place + n] if onward else found[max(0, place - n) : place][::-1]
+                    words += [hashed(text[a:b].lower()) - (1 << 63) for a, b in some]
                     places += [b if onward else a for a, b in some]
                     of_row.append(i)
                     at.append(place)
@@ -191,16 +204,15 @@ def _stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         yield made(batch)
             yield made(batch)
 
-    by_doc = cut(wanted.groupBy(*_DOC).agg(F.collect_list(F.struct("at", "right")).alias("want")), "units-wanted")
+    by_doc = cut(wanted.groupBy(*_DOC).agg(F.collect_list(F.struct("at", "right", "most")).alias("want")), "units-wanted")
     own = _own_rows(docs).alias("d").join(by_doc.alias("n"), _same_doc("d", "n")).select("d.*", "n.want")
-    return cut(own.mapInArrow(work, schema).groupBy(*_DOC, "at", "right").agg(F.any_value("words").alias("words")), "units-stretches")
+    one = F.any_value(F.struct("words", "places")).alias("x")
+    return cut(own.mapInArrow(work, schema).groupBy(*_DOC, "at", "right").agg(one).select(*_DOC, "at", "right", "x.*"), "units-stretches")
 
 
 def _alike(own: Column, kept: Column) -> Column:
-    """How many words two arrays of words begin with in common."""
-    word = lambda a: F.transform(a, lambda x: x["w"])
-    same = F.zip_with(word(own), word(kept), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    at = F.array_position(same, F.lit(False))
+    """How many elements two arrays begin with in common."""
+    at = F.array_position(F.zip_with(own, kept, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
     return F.when(at == 0, F.size(own)).otherwise(at - 1).cast("int")
 
 
@@ -213,45 +225,54 @@ def _chains(rows: DataFrame, low: str, high: str) -> DataFrame:
     return opened.withColumn("chain", F.sum("chain").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def _extended(docs: DataFrame, runs: DataFrame, places: DataFrame) -> DataFrame:
+def _runs(marked: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, doc_hash, run, low, high, start, end, units, before, after, keep_doc_id, places): the runs of marked units
+    that may become spans; places: array of the (k_doc_id, k_doc_hash, shift) of their units. A written table.
+
+    Everything here is done by document, after one shuffle."""
+    ending = marked.withColumn("end_at", F.col("at") + F.col("words"))
+    whole = (
+        F.min("at").alias("low"), F.max("end_at").alias("high"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("units"),
+        F.min_by("before", "at").alias("before"), F.max_by("after", "at").alias("after"), F.min_by("k_doc_id", "at").alias("keep_doc_id"),
+        F.collect_set(F.struct("k_doc_id", "k_doc_hash", "shift")).alias("places"),
+    )
+    runs = _chains(ending, "at", "end_at").withColumnRenamed("chain", "run").groupBy(*_DOC, "run").agg(*whole)
+    chained = _chains(runs.withColumns({"least": F.col("low") - F.col("before"), "most": F.col("high") + F.col("after")}), "least", "most")
+    # Chains that would not have min_words words if all that stands beside their runs were repeated too are done with.
+    of_chain = Window.partitionBy(*_DOC, "chain")
+    reach = F.max("most").over(of_chain) - F.min("least").over(of_chain)
+    return cut(chained.withColumn("reach", reach).filter(F.col("reach") >= min_words).drop("least", "most", "chain", "reach"), "units-runs")
+
+
+def _extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """runs with low, high, start and end moved as far as their words go on as in one of the places where their units are
-    kept. places(doc_id, doc_hash, run, k_doc_id, k_doc_hash, shift)."""
+    kept."""
     ends = F.array(
         F.struct(F.lit(False).alias("right"), F.col("low").alias("at"), F.col("before").alias("most")), F.struct(F.lit(True).alias("right"), F.col("high").alias("at"), F.col("after").alias("most"))
     )
-    sides = runs.alias("r").join(places.alias("p"), _same_doc("r", "p") & (F.col("r.run") == F.col("p.run"))).select("r.*", "k_doc_id", "k_doc_hash", "shift")
-    sides = sides.select(*_DOC, "run", "k_doc_id", "k_doc_hash", "shift", F.explode(ends).alias("e")).filter("e.most > 0")
-    sides = cut(sides.select(*_DOC, "run", "e.*", "k_doc_id", "k_doc_hash", (F.col("e.at") + F.col("shift")).alias("k_at")).filter("k_at >= 0"), "units-sides")
-    kept = sides.select(F.col("k_doc_id").alias("doc_id"), F.col("k_doc_hash").alias("doc_hash"), F.col("k_at").alias("at"), "right")
-    words = _stretches(docs, sides.select(*_DOC, "at", "right").unionByName(kept).distinct())
+    sides = runs.select(*_DOC, "run", "places", F.explode(ends).alias("e")).filter("e.most > 0").select(*_DOC, "run", "e.*", F.explode("places").alias("p"))
+    sides = sides.select(*_DOC, "run", "right", "at", "most", "p.k_doc_id", "p.k_doc_hash", (F.col("at") + F.col("p.shift")).alias("k_at")).filter("k_at >= 0")
+    sides = cut(sides, "units-sides")
+    kept = sides.select(F.col("k_doc_id").alias("doc_id"), F.col("k_doc_hash").alias("doc_hash"), F.col("k_at").alias("at"), "right", "most")
+    wanted = sides.select(*_DOC, "at", "right", "most").unionByName(kept).groupBy(*_DOC, "at", "right").agg(F.max("most").alias("most"))
+    words = _stretches(docs, wanted)
     same = lambda a, prefix: F.col(f"{a}.{prefix}doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col(f"{a}.{prefix}doc_hash") == F.col("w.doc_hash")) & (F.col(f"{a}.{prefix}at") == F.col("w.at")) & (F.col(f"{a}.right") == F.col("w.right"))
-    own = cut(sides.alias("s").join(words.alias("w"), same("s", "")).select("s.*", F.slice("w.words", 1, F.col("s.most")).alias("own")), "units-own")
-    both = own.alias("s").join(words.alias("w"), same("s", "k_")).select(*[f"s.{c}" for c in (*_DOC, "run", "right", "own")], _alike(F.col("s.own"), F.col("w.words")).alias("n"))
-    known = both.filter("n > 0").select(*_DOC, "run", "right", "n", F.get("own", F.col("n") - 1)["place"].alias("to"))
+    own = sides.alias("s").join(words.alias("w"), same("s", "")).select("s.*", F.slice("w.words", 1, F.col("s.most")).alias("own"), F.col("w.places").alias("own_places"))
+    own = cut(own, "units-own")
+    both = own.alias("s").join(words.alias("w"), same("s", "k_")).select(*[f"s.{c}" for c in (*_DOC, "run", "right", "own_places")], _alike(F.col("s.own"), F.col("w.words")).alias("n"))
+    known = both.filter("n > 0").select(*_DOC, "run", "right", "n", F.get("own_places", F.col("n") - 1).alias("to"))
     left, right = (lambda c: F.when(~F.col("right"), F.col(c))), (lambda c: F.when(F.col("right"), F.col(c)))
     more = known.groupBy(*_DOC, "run").agg(F.max(left("n")).alias("left_n"), F.max(right("n")).alias("right_n"), F.min(left("to")).alias("left_to"), F.max(right("to")).alias("right_to"))
     grown = runs.alias("r").join(cut(more, "units-more").alias("x"), _same_doc("r", "x") & (F.col("r.run") == F.col("x.run")), "left")
     moved = {"low": F.col("r.low") - F.coalesce("left_n", F.lit(0)), "high": F.col("r.high") + F.coalesce("right_n", F.lit(0)), "start": F.coalesce("left_to", "r.start"), "end": F.coalesce("right_to", "r.end")}
-    return grown.select(*[moved[c].alias(c) if c in moved else F.col(f"r.{c}") for c in runs.columns])
+    return grown.select(*[moved[c].alias(c) if c in moved else F.col(f"r.{c}") for c in runs.columns if c != "places"])
 
 
 def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, doc_hash, start, end, units, words, keep_doc_id): what is removed, one row per span. units: the whole ones
     in it; keep_doc_id: the document that keeps the first of them."""
-    marked = repeated(cut(units(docs), "units"))
-    earlier = Window.partitionBy(*_DOC).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    marked = cut(marked.withColumn("run", F.col("at") - F.coalesce(F.sum("words").over(earlier), F.lit(0))), "units-marked")
-    whole = (
-        F.min("at").alias("low"), F.max(F.col("at") + F.col("words")).alias("high"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("units"),
-        F.min_by("before", "at").alias("before"), F.max_by("after", "at").alias("after"), F.min_by("k_doc_id", "at").alias("keep_doc_id"),
-    )
-    runs = _chains(marked.groupBy(*_DOC, "run").agg(*whole).withColumns({"least": F.col("low") - F.col("before"), "most": F.col("high") + F.col("after")}), "least", "most")
-    # Chains that would not have min_words words if all that stands beside their runs were repeated too are done with.
-    of_chain = Window.partitionBy(*_DOC, "chain")
-    reach = F.max("most").over(of_chain) - F.min("least").over(of_chain)
-    runs = cut(runs.withColumn("reach", reach).filter(F.col("reach") >= min_words).drop("least", "most", "chain", "reach"), "units-runs")
-    places = marked.select(*_DOC, "run", "k_doc_id", "k_doc_hash", "shift").distinct()
-    chained = _chains(_extended(docs, runs, places), "low", "high")
+    runs = _runs(repeated(cut(units(docs), "units")), min_words)
+    chained = _chains(_extended(docs, runs), "low", "high")
     merged = (F.min("low").alias("low"), F.max("high").alias("high"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("units").alias("units"), F.min_by("keep_doc_id", "low").alias("keep_doc_id"))
     found = chained.groupBy(*_DOC, "chain").agg(*merged).withColumn("words", (F.col("high") - F.col("low")).cast("long")).filter(F.col("words") >= min_words)
     return found.select(*_DOC, "start", "end", "units", "words", "keep_doc_id")

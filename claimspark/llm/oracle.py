@@ -70,8 +70,10 @@ WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS doc, d
   FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
 l AS (SELECT doc, unnest(ws) AS w, unnest(list_slice(gaps, 1, len(ws))) AS gap, unnest(list_slice(gaps, 2, len(ws) + 1)) AS gap_after, unnest(range(len(ws)))::INT AS i FROM d),
 w AS (SELECT doc, i, lower(w) AS low, (sum(length(gap) + length(w)) OVER o)::INT AS e, length(w) AS n, contains(gap_after, chr(10)) AS breaks, regexp_matches(w, '[.!?…。]["''”’)\]]*$') AS stops FROM l WINDOW o AS (PARTITION BY doc ORDER BY i)),
-s AS (SELECT *, e - n AS s, coalesce(sum((stops OR breaks)::INT) OVER o, 0) AS line, coalesce(sum(stops::INT) OVER o, 0) AS sentence FROM w WINDOW o AS (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c AS (SELECT *, stops OR breaks OR (count(*) OVER (PARTITION BY doc, line) > {linededup.LONG_UNIT} AND (unicode(low[1]) + unicode(low[-1]) + length(low)) % {linededup.LONG_EVERY} = 0) AS cuts FROM s),
+s AS (SELECT *, e - n AS s, coalesce(sum((stops OR breaks)::INT) OVER o, 0) AS line FROM w WINDOW o AS (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT * REPLACE (stops AND count(*) OVER l >= {linededup.SHORT_UNIT} AS stops), (stops OR breaks) AND count(*) OVER l >= {linededup.SHORT_UNIT} AS closes FROM s WINDOW l AS (PARTITION BY doc, line)),
+a AS (SELECT *, coalesce(sum(closes::INT) OVER o, 0) AS whole, coalesce(sum(stops::INT) OVER o, 0) AS sentence FROM b WINDOW o AS (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, closes OR (count(*) OVER (PARTITION BY doc, whole) > {linededup.LONG_UNIT} AND (unicode(low[1]) + unicode(low[-1]) + length(low)) % {linededup.LONG_EVERY} = 0) AS cuts FROM a),
 v AS (SELECT *, coalesce(sum(cuts::INT) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM c),
 u AS (SELECT doc, min(i) AS pos, min(s) AS s, max(e) AS e, count(*)::INT AS words, list(low ORDER BY i) AS lows FROM v GROUP BY doc, unit),
 f AS (SELECT lows, min((doc, pos)) AS k FROM u GROUP BY lows HAVING count(*) > 1),

@@ -28,22 +28,29 @@ def brute(docs, min_words):
     docs = sorted({(i is None, i or 0, t or "") for i, t, *_ in docs})
     first, cut, flat = {}, {}, {}
     for key in docs:
-        lines, now = [], None
+        lines, now = [], []
         for m in re.finditer(r"[^\x20\x09-\x0D]+", key[2]):
-            if now is None or now[-1][3] or "\n" in key[2][now[-1][2] : m.start()]:
+            if not now or now[-1][3] or "\n" in key[2][now[-1][2] : m.start()]:
                 lines.append(now := [])
             stops = m.end() < len(key[2]) and re.search(r"""[.!?…。]["'”’)\]]*$""", m[0])
             now.append((m[0].lower(), m.start(), m.end(), bool(stops)))
-        units, at = [], 0
+        wholes, now, units, at = [], [], [], 0
         for line in lines:
+            now += line
+            if len(line) >= 5 or line is lines[-1]:
+                wholes.append(now)
+                now = []
+            else:
+                now[-1] = (*now[-1][:3], False)
+        for whole in wholes:
             part = []
-            for w in line:
+            for w in whole:
                 part.append(w)
-                if w is line[-1] or len(line) > 20 and (ord(w[0][0]) + ord(w[0][-1]) + len(w[0])) % 5 == 0:
+                if w is whole[-1] or len(whole) > 24 and (ord(w[0][0]) + ord(w[0][-1]) + len(w[0])) % 5 == 0:
                     units.append((at, part))
                     at += len(part)
                     part = []
-        cut[key], flat[key] = units, [w for line in lines for w in line]
+        cut[key], flat[key] = units, [w for whole in wholes for w in whole]
         for at, unit in units:
             first.setdefault(tuple(w[0] for w in unit), (key, at))
     out = set()
