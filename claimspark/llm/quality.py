@@ -4,8 +4,9 @@ Every document is measured; per language and source, each measure is gathered in
 bounded relative error (logarithmic bins and their counts, as in DDSketch: merging is adding the counts of equal bins,
 so the result does not depend on the order of rows or tasks). The sketches give the quartiles, and the upper fence
 Q3 + REACH * max(Q3 - Q1, the measure's least spread) is the group's threshold. Documents are joined with their group's
-thresholds and fail where a measure lies beyond. A group with fewer than MIN_DOCS documents takes the sketch merged over
-its language, and failing that the sketch merged over all.
+thresholds and fail where a measure lies beyond. Sketches merged over a language, and over all, give fences too: a
+group's threshold is the mean of its own fence and its language's, weighted by the group's documents and by PRIOR_DOCS,
+and a language's is likewise that of its own and the whole corpus's: the same formula for groups of every size.
 
 Measures: the share of symbols per word, of repeated lines, of words in repeated three-word windows, and the mean
 length of words.
@@ -32,9 +33,10 @@ ERROR = 0.01
 #: Values up to this one share the lowest bin.
 LEAST = 1e-4
 REACH = 3.0
-MIN_DOCS = 40
+#: A language's fence counts as so many documents in the threshold of each of its sources, the corpus's in each language's.
+PRIOR_DOCS = 40
 #: Measures that have thresholds, and the least spread taken for each.
-SPREAD = {"symbol_share": 0.05, "dup_line_share": 0.1, "repeat_share": 0.1, "mean_word": 1.0}
+SPREAD = {"symbol_share": 0.05, "dup_line_share": 0.12, "repeat_share": 0.1, "mean_word": 1.0}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -116,17 +118,18 @@ def fences(sketches: DataFrame, *keys: str) -> DataFrame:
     return fence.groupBy(*keys).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"max_{m}") for m in SPREAD])
 
 
-def thresholds(scored: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def thresholds(scored: DataFrame, prior_docs: int = PRIOR_DOCS) -> DataFrame:
     """(t_lang, t_source, max_<measure>...): one row per language and source that scored has, as a written table."""
     own = cut(sketch(scored), "quality-sketches")
     limits = [f"max_{m}" for m in SPREAD]
-    renamed = lambda df, to: df.select(*[c for c in df.columns if c not in limits and c != "docs"], F.when(F.col("docs") >= min_docs, F.struct(*limits)).alias(to))
-    by_source = renamed(fences(own, "lang", "source"), "a")
-    by_lang = renamed(fences(merged(own, "lang"), "lang"), "b").withColumnRenamed("lang", "b_lang")
-    overall = fences(merged(own)).select(F.struct(*limits).alias("c"))
+    named = lambda df, to: df.select(*[c for c in df.columns if c not in limits and c != "docs"], F.struct("docs", *limits).alias(to))
+    by_source = named(fences(own, "lang", "source"), "a")
+    by_lang = named(fences(merged(own, "lang"), "lang"), "b").withColumnRenamed("lang", "b_lang")
+    overall = named(fences(merged(own)), "c")
     both = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("b_lang")), "left").join(F.broadcast(overall), F.lit(True), "left")  # one row
-    chosen = both.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.coalesce("a", "b", "c").alias("t"))
-    return cut(chosen.select("t_lang", "t_source", *[F.col(f"t.{c}") for c in limits]), "quality-thresholds")
+    mean = lambda x, m, above: (F.col(f"{x}.docs") * F.col(f"{x}.max_{m}") + F.lit(float(prior_docs)) * above) / (F.col(f"{x}.docs") + F.lit(float(prior_docs)))
+    blended = [mean("a", m, mean("b", m, F.col(f"c.max_{m}"))).alias(f"max_{m}") for m in SPREAD]
+    return cut(both.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *blended), "quality-thresholds")
 
 
 def judged(scored: DataFrame, limits: DataFrame) -> DataFrame:

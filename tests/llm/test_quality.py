@@ -40,10 +40,16 @@ def test_sketches_merge_to_the_same_quantiles(spark):
     assert abs(a["max_mean_word"] - (750 + quality.REACH * spread)) < 0.05 * a["max_mean_word"]
 
 
-def test_small_groups_take_merged_sketches(spark):
+def test_thresholds_are_weighted_means_of_fences(spark):
     scored = quality.measured(frame(spark))
-    limits = quality.thresholds(scored, min_docs=1000).collect()
-    assert len({tuple(r[2:]) for r in limits}) == 1
+    own = quality.sketch(scored)
+    of = lambda df, *keys: {tuple(r[k] for k in keys): r for r in df.collect()}
+    a, b, c = of(quality.fences(own, "lang", "source"), "lang", "source"), of(quality.fences(quality.merged(own, "lang"), "lang"), "lang"), quality.fences(quality.merged(own)).first()
+    for r in quality.thresholds(scored, prior_docs=7).collect():
+        x, y = a[r.t_lang, r.t_source], b[r.t_lang,]
+        for m in quality.SPREAD:
+            lang = (y.docs * y[f"max_{m}"] + 7 * c[f"max_{m}"]) / (y.docs + 7)
+            assert abs(r[f"max_{m}"] - (x.docs * x[f"max_{m}"] + 7 * lang) / (x.docs + 7)) < 1e-9
 
 
 def test_keep_good(spark):
