@@ -27,13 +27,17 @@ f AS (SELECT *, source_size * {mixing.MOST_COPIES}.0::DOUBLE AS fills, source_si
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(fills) OVER (ORDER BY at_level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY at_level, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
 t AS (SELECT source, source_size, least(fills, coalesce((SELECT max(level) FROM l WHERE level <= at_level) * weight, fills)) AS target FROM l),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)
-SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN ('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null'))[1:12])::BIGINT / {2**48}.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
+x AS (SELECT d.*, source_size, target, rate, ('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null'))[1:12])::BIGINT / {2**48}.0::DOUBLE AS u FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT source, k, sum(size * (floor(rate)::BIGINT + ((u + k / {mixing.DRAWS}.0::DOUBLE) % 1.0::DOUBLE < rate - floor(rate))::INT)) AS taken, any_value(target) AS target FROM x, range({mixing.DRAWS}) g(k) GROUP BY source, k),
+b AS (SELECT source, arg_min(k, (abs(taken - target), k)) AS turn FROM k GROUP BY source)
+SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + ((u + turn / {mixing.DRAWS}.0::DOUBLE) % 1.0::DOUBLE < rate - floor(rate))::INT) AS taken
+FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source
 """
 
 _GAMMA = (1 + quality.ERROR) / (1 - quality.ERROR)
 _LOW = -(2**31)
+_PRIOR = f"{float(quality.PRIOR_DOCS)!r}::DOUBLE"
 _SPREADS = ", ".join(f"('{m}', {x!r}::DOUBLE)" for m, x in quality.SPREAD.items())
 
 
@@ -59,7 +63,7 @@ x AS (SELECT *, coalesce(n_symbols / nullif(n_words, 0)::DOUBLE, 0) AS symbol_sh
 u AS (SELECT doc_id, lang, source, unnest([{", ".join(f"'{m}'" for m in quality.SPREAD)}]) AS measure, unnest([{", ".join(quality.SPREAD)}]) AS value FROM x),
 b AS (SELECT doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, measure, value, CASE WHEN value <= {quality.LEAST!r} THEN {_LOW} ELSE ceil(ln(value) / {math.log(_GAMMA)!r}::DOUBLE)::INT END AS bin FROM u),
 f1 AS ({_fences("lang, source")}), f2 AS ({_fences("lang")}), f3 AS ({_fences("")}),
-ok AS (SELECT b.doc_id, bool_and(value <= CASE WHEN f1.docs >= {quality.MIN_DOCS} THEN f1.fence WHEN f2.docs >= {quality.MIN_DOCS} THEN f2.fence ELSE f3.fence END) AS within
+ok AS (SELECT b.doc_id, bool_and(value <= (f1.docs * f1.fence + {_PRIOR} * ((f2.docs * f2.fence + {_PRIOR} * f3.fence) / (f2.docs + {_PRIOR}))) / (f1.docs + {_PRIOR})) AS within
   FROM b JOIN f1 USING (lang, source, measure) JOIN f2 USING (lang, measure) JOIN f3 USING (measure) GROUP BY b.doc_id),
 v AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM x)
 SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept FROM v JOIN ok USING (doc_id)

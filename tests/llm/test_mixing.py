@@ -43,6 +43,16 @@ def test_taken_comes_near_the_target(spark):
     assert all(abs(r.taken / r.target - 1) < 0.05 for r in out.collect())
 
 
+def test_small_sources_come_near_their_targets(spark):
+    """Thirty sources of fifty documents with words from 20 to 400: one draw would be off by 10 % and more in some."""
+    text = F.repeat(F.lit("w "), (20 + F.pmod(F.xxhash64("id"), F.lit(381))).cast("int"))
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), F.lpad((F.col("id") % 30).cast("string"), 2, "0")).alias("source"), F.lit(1).alias("n_chars"))
+    rows = mixing.with_copies(docs, keep=["doc_id", "source"])
+    got = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken / r.target - 1) < 0.03 for r in got)
+    assert {r.copies for r in rows.collect()} <= {0, 1, 2, 3}
+
+
 def test_mix_emits_whole_rows(spark):
     docs = clashing(frame(spark))
     planned = {(r["doc_id"], r["text"], r["source"]): r["copies"] for r in mixing.with_copies(frame(spark)).collect()}
