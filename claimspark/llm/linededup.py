@@ -1,8 +1,8 @@
 """Substring dedup: repeated passages are removed, all but the earliest, with their places in the original text.
 
 Units are the sentences of a text's lines. One of fewer than SHORT_UNIT words does not end a unit, and a unit of more than
-LONG_UNIT words is cut further, at words chosen by what they are and not by where they stand: whether a unit ends at a
-place is decided by the words just before it, so that a passage has the same units wherever it begins. Units are
+LONG_UNIT words is cut further, behind words whose number is the least among AROUND words to either side. Whether a unit
+ends at a place is so decided by the words beside it, and a passage has the same units wherever it begins. Units are
 normalised (lower case, white space runs made one space), hashed to 128 bits and grouped over the whole corpus. The
 earliest occurrence, by doc_id and then place, keeps its unit; every other one is marked. Marked units that follow each
 other in a document make a run.
@@ -36,11 +36,11 @@ from .common import WORD, cut, text_of
 
 MIN_WORDS = 50
 #: Sentences of fewer words do not end a unit.
-SHORT_UNIT = 5
+SHORT_UNIT = 8
 #: Units of more words are cut into smaller ones: two units of this length fit into MIN_WORDS.
 LONG_UNIT = 24
-#: About one word in so many ends a part of a long unit.
-LONG_EVERY = 5
+#: Words to either side that are looked at where a long unit is cut; its parts are about twice as long.
+AROUND = 6
 #: Words that a run is extended by at most, for sentences that don't end; their units are shorter than that.
 STRETCH = 64
 #: Rows, or words of stretches, in one Arrow batch, about.
@@ -51,9 +51,9 @@ _WORD = re.compile(WORD)
 _DOC = ("doc_id", "doc_hash")
 
 
-def _ends_unit(word: str) -> bool:
-    """Whether a word, in lower case, ends a part of a long unit."""
-    return (ord(word[0]) + ord(word[-1]) + len(word)) % LONG_EVERY == 0
+def _number(word: str) -> int:
+    """A number for a word in lower case, alike wherever it stands."""
+    return (7 * ord(word[0]) + 31 * ord(word[-1]) + 3 * len(word)) % 97
 
 
 def units_of(text: str) -> Iterator[tuple[int, int, list[bytes], bool]]:
@@ -85,15 +85,15 @@ def units_of(text: str) -> Iterator[tuple[int, int, list[bytes], bool]]:
 
 def _parts(text: str, first: int, last: int, stops: bool) -> Iterator[tuple[int, int, list[bytes], bool]]:
     """The parts of a long unit."""
-    part: list[bytes] = []
-    for w in _WORD.finditer(text, first, last):
-        if not part:
-            start = w.start()
-        low = w[0].lower()
-        part.append(low.encode())
-        if _ends_unit(low) or w.end() == last:
-            yield start, w.end(), part, stops and w.end() == last
-            part = []
+    places = [m.span() for m in _WORD.finditer(text, first, last)]
+    words = [text[a:b].lower() for a, b in places]
+    numbers, begin, n = [_number(w) for w in words], 0, len(words)
+    for i in range(AROUND, n - AROUND):
+        x = numbers[i]
+        if x < min(numbers[i - AROUND : i]) and x <= min(numbers[i + 1 : i + 1 + AROUND]):
+            yield places[begin][0], places[i][1], [w.encode() for w in words[begin : i + 1]], False
+            begin = i + 1
+    yield places[begin][0], last, [w.encode() for w in words[begin:]], stops
 
 
 def _own_rows(docs: DataFrame) -> DataFrame:

@@ -77,7 +77,10 @@ w AS (SELECT doc, i, lower(w) AS low, (sum(length(gap) + length(w)) OVER o)::INT
 s AS (SELECT *, e - n AS s, coalesce(sum((stops OR breaks)::INT) OVER o, 0) AS line FROM w WINDOW o AS (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 b AS (SELECT * REPLACE (stops AND count(*) OVER l >= {linededup.SHORT_UNIT} AS stops), (stops OR breaks) AND count(*) OVER l >= {linededup.SHORT_UNIT} AS closes FROM s WINDOW l AS (PARTITION BY doc, line)),
 a AS (SELECT *, coalesce(sum(closes::INT) OVER o, 0) AS whole, coalesce(sum(stops::INT) OVER o, 0) AS sentence FROM b WINDOW o AS (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c AS (SELECT *, closes OR (count(*) OVER (PARTITION BY doc, whole) > {linededup.LONG_UNIT} AND (unicode(low[1]) + unicode(low[-1]) + length(low)) % {linededup.LONG_EVERY} = 0) AS cuts FROM a),
+j AS (SELECT *, (7 * unicode(low[1]) + 31 * unicode(low[-1]) + 3 * length(low)) % 97 AS number, count(*) OVER x AS size, i - min(i) OVER x AS nth FROM a WINDOW x AS (PARTITION BY doc, whole)),
+c AS (SELECT *, closes OR (size > {linededup.LONG_UNIT} AND nth >= {linededup.AROUND} AND nth < size - {linededup.AROUND}
+  AND number < min(number) OVER (PARTITION BY doc, whole ORDER BY i ROWS BETWEEN {linededup.AROUND} PRECEDING AND 1 PRECEDING)
+  AND number <= min(number) OVER (PARTITION BY doc, whole ORDER BY i ROWS BETWEEN 1 FOLLOWING AND {linededup.AROUND} FOLLOWING)) AS cuts FROM j),
 v AS (SELECT *, coalesce(sum(cuts::INT) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM c),
 u AS (SELECT doc, min(i) AS pos, min(s) AS s, max(e) AS e, count(*)::INT AS words, list(low ORDER BY i) AS lows FROM v GROUP BY doc, unit),
 f AS (SELECT lows, min((doc, pos)) AS k FROM u GROUP BY lows HAVING count(*) > 1),

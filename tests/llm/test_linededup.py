@@ -37,16 +37,17 @@ def brute(docs, min_words):
         wholes, now, units, at = [], [], [], 0
         for line in lines:
             now += line
-            if len(line) >= 5 or line is lines[-1]:
+            if len(line) >= 8 or line is lines[-1]:
                 wholes.append(now)
                 now = []
             else:
                 now[-1] = (*now[-1][:3], False)
         for whole in wholes:
-            part = []
-            for w in whole:
+            part, num = [], [(7 * ord(w[0][0]) + 31 * ord(w[0][-1]) + 3 * len(w[0])) % 97 for w in whole]
+            for i, w in enumerate(whole):
                 part.append(w)
-                if w is whole[-1] or len(whole) > 24 and (ord(w[0][0]) + ord(w[0][-1]) + len(w[0])) % 5 == 0:
+                least = len(whole) > 24 and 6 <= i < len(whole) - 6 and all(num[i] < x for x in num[i - 6 : i]) and all(num[i] <= x for x in num[i + 1 : i + 7])
+                if least or i == len(whole) - 1:
                     units.append((at, part))
                     at += len(part)
                     part = []
