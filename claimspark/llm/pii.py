@@ -1,19 +1,26 @@
 """Personal data: patterns for the direct identifiers, corpus co-occurrence for the terms that give them away.
 
-Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by pattern and checked. Each value
-found is a protected entity. What a term in the same text gives away about an entity is measured over the corpus: the
-pointwise mutual information of the two (from the numbers of documents with either and with both) as a share of the
-entity's own information, -log2 of its probability. A share of 1 means that whoever reads the term knows the entity.
-Terms at or above DISCLOSURE, seen with the entity in at least MIN_TEXTS different texts, are spans of the kind "term"
-in the texts that hold the entity. Sanitised texts have base spans generalised to their kind and such terms removed.
+Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by pattern and checked. Protected
+entities are the values found and what values have in common: the domain of an address, the /24 network of an IP address,
+the issuer of a card (six digits), the prefix of a phone number (five). What a term in the same text gives away about an
+entity is measured over the corpus: the pointwise mutual information of the two (from the numbers of different texts with
+either and with both) as a share of the entity's own information, -log2 of its probability. A share of 1 means that
+whoever reads the term knows the entity. The share is discounted for thin evidence by b / (b + 1) * m / (m + 1), b the
+texts with both and m those with the rarer of the two. Terms at or above DISCLOSURE after that are spans of the kind
+"term" in the texts that hold the entity. Sanitised texts have base spans generalised to their kind and such terms
+removed.
+
+Bounds keep pairs few and lose none: as b and m are at most the texts of the entity, and of the term among texts with
+entities, either must be in so many that the discount alone leaves DISCLOSURE; and a term in too many texts tells too
+little of even the most frequent entity.
 
 Only DataFrame functions are used. Offsets are code points, the end exclusive.
 
 The patterns are written so that matching takes time in proportion to the text: their runs don't give back characters,
 and a run without a match is not tried again from its middle; what they match is the same.
 
-Defined cases: a null text is empty and has no spans; repeated rows have the same spans, and count as often as they
-occur but as one text; null ids are carried along; an empty table gives no rows.
+Defined cases: a null text is empty and has no spans; repeated rows and equal texts have the same spans and count as one
+text; null ids are carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast, text_of
 
-DISCLOSURE = 0.9
-MIN_TEXTS = 3
+DISCLOSURE = 0.5
 #: Terms have at least so many characters.
 TERM_LENGTH = 3
 TERM = r"[\p{L}\p{N}]+"
@@ -53,18 +59,30 @@ def luhn(digits: Column) -> Column:
 
 
 def _spans(text: Column, kind: str, pattern: str, valid, value) -> Column:
-    """The spans of a pattern: the pieces between matches and the matches, in turn, give the places."""
+    """The spans of a pattern: the pieces between matches and the matches, in turn, give the places. Places are summed up
+    within slices of about the square root of the matches' number, so that the arrays that grow stay short."""
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+    size = lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["m"]), F.lit(0))
     none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(s: Column, p: Column) -> Column:
-        start = s["at"] + F.length(p["gap"])
-        end = start + F.coalesce(F.length(p["m"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("m")))
-        return F.struct(end.alias("at"), F.when(p["m"].isNull(), s["out"]).otherwise(F.concat(s["out"], one)).alias("out"))
+    def places(part: Column, begin: Column) -> Column:
+        def step(s: Column, p: Column) -> Column:
+            start, end = s["at"] + F.length(p["gap"]), s["at"] + size(p)
+            one = F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("m")))
+            return F.struct(end.alias("at"), F.when(p["m"].isNull(), s["out"]).otherwise(F.concat(s["out"], one)).alias("out"))
 
-    found = F.filter(F.aggregate(pairs, begin, step, lambda s: s["out"]), lambda x: valid(x["m"]))
+        return F.aggregate(part, F.struct(begin.alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+    def of_all(all_pairs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(all_pairs))).cast("int")
+        parts = F.transform(F.sequence(F.lit(1), F.size(all_pairs), width), lambda i: F.slice(all_pairs, i, width))
+        total = lambda part: F.aggregate(part, F.lit(0), lambda n, p: n + size(p))
+        begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        begins = F.aggregate(parts, begun, lambda s, part: F.struct((s["at"] + total(part)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        return F.flatten(F.zip_with(parts, begins, places))
+
+    # One-element arrays make the pairs a lambda's variable, computed once.
+    found = F.filter(F.get(F.transform(F.array(pairs), of_all), F.lit(0)), lambda x: valid(x["m"]))
     return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), value(x["m"]).alias("value")))
 
 
@@ -99,66 +117,99 @@ def found(docs: DataFrame, keep: list[str]) -> DataFrame:
     return cut(rows.select("keep", "spans", F.when(has, F.unhex(F.sha2(F.col("whole").cast("binary"), 256))).alias("digest"), F.when(has, F.col("whole")).alias("text")), "pii-found")
 
 
-def disclosing(docs: DataFrame, hits: DataFrame, disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """(digest, terms): for each text that holds an entity which some of its terms give away, those terms. A written
+def entities_of(spans: Column) -> Column:
+    """The protected entities of an array of spans, each once: the values, and what values have in common."""
+    value = lambda s: s["value"]
+    shared = lambda s: (
+        F.when(s["kind"] == "email", F.concat(F.lit("domain:"), F.substring_index(value(s), "@", -1)))
+        .when(s["kind"] == "ip", F.concat(F.lit("network:"), F.substring_index(value(s), ".", 3)))
+        .when(s["kind"] == "card", F.concat(F.lit("issuer:"), F.substring(value(s), 1, 6)))
+        .otherwise(F.concat(F.lit("prefix:"), F.substring(value(s), 1, 5)))
+    )
+    return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.array(F.concat_ws(":", s["kind"], s["value"]), shared(s)))))
+
+
+def least_texts(disclosure: float) -> int:
+    """The least number of texts with which the discount alone leaves the disclosure."""
+    n = 1
+    while (n / (n + 1)) ** 2 < disclosure:
+        n += 1
+    return n
+
+
+def disclosing(docs: DataFrame, hits: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(digest, term): for each text that holds an entity which some of its terms give away, those terms. A written
     table. hits: of found()."""
-    with_spans = hits.filter(F.col("digest").isNotNull())
-    entity = F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"]))))
-    holds = with_spans.select("digest", entity.alias("entity")).groupBy("digest", "entity").agg(F.count(F.lit(1)).alias("rows"))
-    holds = cut(holds, "pii-entities")
-    entities = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("n_entity")).filter(F.col("texts") >= min_texts)
-    held = cut(holds.join(cut(entities, "pii-protected").select("entity", "n_entity"), "entity"), "pii-held")
+    least = least_texts(disclosure)
+    of_text = F.any_value(F.struct("text", "spans")).alias("x")
+    texts = hits.filter(F.col("digest").isNotNull()).groupBy("digest").agg(of_text).select("digest", "x.*")
     bare = F.col("text")
     for pattern in (EMAIL, IP, CARD, PHONE):
         bare = F.regexp_replace(bare, pattern, " ")
-    texts = with_spans.join(held.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.any_value("text").alias("text"))
-    terms = cut(texts.select("digest", F.explode(terms_of(bare)).alias("term")), "pii-terms")
-    met = terms.join(held, "digest").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("n_both"), F.max("n_entity").alias("n_entity"))
-    met = cut(met.filter(F.col("texts") >= min_texts), "pii-met")
+    texts = cut(texts.select("digest", F.xxhash64("text").alias("hash"), entities_of(F.col("spans")).alias("entities"), terms_of(bare).alias("terms")), "pii-texts")
+    holds = texts.select("digest", F.explode("entities").alias("entity"))
+    entities = cut(holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= least), "pii-protected")
+    held = cut(holds.join(entities, "entity"), "pii-held")
+    everything = docs.agg(F.count_distinct(F.xxhash64(text_of())).alias("n"))
+    most = cut(entities.agg(F.max("n_entity").alias("most")).join(F.broadcast(everything), F.lit(True)), "pii-numbers")  # one row each
+    # A term in h texts or more tells an entity in e texts at most log2(n / h) of its log2(n / e) bits.
+    enough = F.log2(F.col("n") / F.col("n_held")) >= disclosure * F.log2(F.col("n") / F.col("most"))
+    own = texts.join(held.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode("terms").alias("term"))
+    told = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_held")).filter(F.col("n_held") >= least)
+    told = cut(told.join(F.broadcast(most), F.lit(True)).filter(enough).select("term", "n_held"), "pii-told")
+    terms = cut(own.join(told.select("term"), "term", "left_semi"), "pii-terms")
+    met = terms.join(held, "digest").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.max("n_entity").alias("n_entity"))
+    met = cut(met.filter(F.col("n_both") >= least), "pii-met")
     wanted = cut(met.select("term").distinct(), "pii-wanted")
-    # How many documents of the whole corpus have each term.
-    seen = docs.select(F.explode(terms_of(text_of())).alias("term")).join(maybe_broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    everything = docs.agg(F.count(F.lit(1)).alias("n"))
-    told = met.join(cut(seen, "pii-seen"), "term").join(F.broadcast(everything), F.lit(True))  # one row
-    share = F.log2(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.col("n") / F.col("n_entity"))
-    strong = cut(told.filter(F.col("n") > F.col("n_entity")).filter(share >= disclosure).select("entity", "term"), "pii-disclosing")
-    of_text = terms.join(held.select("digest", "entity"), "digest").join(strong, ["entity", "term"], "left_semi")
-    return cut(of_text.groupBy("digest").agg(F.collect_set("term").alias("terms")), "pii-terms-of-texts")
+    # How many texts of the whole corpus have each term: those without entities are counted as they are.
+    seen = docs.select(F.xxhash64(text_of()).alias("hash"), F.explode(terms_of(text_of())).alias("term")).join(maybe_broadcast(wanted), "term", "left_semi")
+    seen = seen.distinct().join(maybe_broadcast(cut(texts.select("hash"), "pii-hashes")), "hash", "left_anti").groupBy("term").agg(F.count(F.lit(1)).alias("n_else"))
+    scored = met.join(cut(seen, "pii-seen"), "term", "left").join(told, "term").join(F.broadcast(most), F.lit(True))  # one row
+    scored = scored.withColumn("n_term", F.col("n_held") + F.coalesce("n_else", F.lit(0)))
+    b, m = F.col("n_both"), F.least("n_entity", "n_term")
+    share = F.log2(F.col("n") * b / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.col("n") / F.col("n_entity"))
+    score = share * (b / (b + 1)) * (m / (m + 1))
+    strong = cut(scored.filter(F.col("n") > F.col("n_entity")).filter(score >= disclosure).select("entity", "term"), "pii-disclosing")
+    return cut(terms.join(held.select("digest", "entity"), "digest").join(strong, ["entity", "term"], "left_semi").select("digest", "term").distinct(), "pii-terms-of-texts")
 
 
 def term_spans(hits: DataFrame, told: DataFrame) -> DataFrame:
-    """(digest, term_spans): where those terms stand in their texts, outside the base spans, by place. A running sum over
-    the words of a text gives the places."""
-    texts = hits.filter(F.col("digest").isNotNull()).join(told, "digest").groupBy("digest").agg(F.any_value(F.struct("text", "spans", "terms")).alias("x"))
-    texts = texts.select("digest", "x.text", "x.spans", "x.terms")
+    """(digest, term_spans): where told(digest, term) stand in their texts, outside the base spans, by place. Running sums
+    over the words of a text give the places, a running maximum over its spans and words in order tells overlaps."""
+    texts = hits.filter(F.col("digest").isNotNull()).join(told.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.any_value(F.struct("text", "spans")).alias("x"))
+    texts = cut(texts.select("digest", "x.text", "x.spans"), "pii-told-texts")
     steps = F.zip_with(F.split("text", TERM, -1), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda gap, word: F.struct(F.length(gap).alias("gap"), word.alias("word")))
     words = texts.select("digest", F.posexplode(steps).alias("i", "x")).select("digest", "i", "x.gap", "x.word")
     upto = F.sum(F.col("gap") + F.coalesce(F.length("word"), F.lit(0))).over(Window.partitionBy("digest").orderBy("i")).cast("int")
-    placed = words.withColumn("end", upto).withColumn("start", F.col("end") - F.length("word"))
-    apart = F.forall("spans", lambda s: (s["end"] <= F.col("start")) | (s["start"] >= F.col("end")))
-    chosen = placed.filter("word IS NOT NULL").join(texts.select("digest", "spans", "terms"), "digest").filter(F.array_contains("terms", F.lower("word")) & apart)
+    placed = words.withColumn("end", upto).withColumn("start", F.col("end") - F.length("word")).filter("word IS NOT NULL")
+    chosen = placed.join(told.withColumnRenamed("term", "told"), (placed["digest"] == told["digest"]) & (F.lower("word") == F.col("told"))).select(placed["digest"], "start", "end", "word")
+    # A span lies over a word if it begins before the word's end and ends behind its start.
+    spans = texts.select("digest", F.explode("spans").alias("s")).select("digest", F.col("s.start").alias("key"), F.lit(1).alias("kind"), F.col("s.end").alias("span_end"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("word"))
+    both = spans.unionByName(chosen.select("digest", F.col("end").alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("span_end"), "start", "end", "word"))
+    before = F.max("span_end").over(Window.partitionBy("digest").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, -1))
+    free = both.withColumn("before", before).filter("kind = 0 AND coalesce(before, 0) <= start")
     by_place = F.sort_array(F.collect_list(F.struct("start", "end", F.col("word").alias("value"))))
-    spans = F.transform(by_place, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return cut(chosen.groupBy("digest").agg(spans.cast(_SPANS).alias("term_spans")), "pii-term-spans")
+    made = F.transform(by_place, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    return cut(free.groupBy("digest").agg(made.cast(_SPANS).alias("term_spans")), "pii-term-spans")
 
 
-def scan(docs: DataFrame, keep: list[str], disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], disclosure: float = DISCLOSURE) -> DataFrame:
     """keep (columns of docs) with spans (the base ones) and term_spans, for every row. Columns that bear these names
     are left out of keep."""
     names = [c for c in keep if c not in ("spans", "term_spans")]
     hits = found(docs, names)
-    added = term_spans(hits, disclosing(docs, hits, disclosure, min_texts))
+    added = term_spans(hits, disclosing(docs, hits, disclosure))
     none = F.array().cast(_SPANS)
     without = hits.filter(F.col("digest").isNull()).select("keep.*", "spans", none.alias("term_spans"))
     some = hits.filter(F.col("digest").isNotNull()).select("keep", "spans", "digest").join(added, "digest", "left")
     return without.unionByName(some.select("keep.*", "spans", F.coalesce("term_spans", none).alias("term_spans")))
 
 
-def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
+def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """docs with base spans generalised to their kind ([EMAIL], [IP], ...) and disclosing terms removed. Where base
     spans of two kinds overlap, both go and the first one's kind stands for them."""
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    wide = scan(docs.select("text", own), ["__row"], disclosure, min_texts)
+    wide = scan(docs.select("text", own), ["__row"], disclosure)
     ordered = F.sort_array(F.transform(F.concat("spans", "term_spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = text_of(F.col("__row.text"))
     sign = lambda s: F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))

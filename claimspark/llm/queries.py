@@ -55,7 +55,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
     counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
     base = F.sha2(pii.joined(F.col("spans")).cast("binary"), 256)
-    return rows.select("doc_id", *counts, base.alias("base_sha256"), pii.joined(F.concat("spans", "term_spans")).alias("spans"))
+    return rows.select("doc_id", *counts, base.alias("base_sha256"), pii.joined(F.concat("spans", "term_spans")).alias("spans"), F.size(F.concat("spans", "term_spans")).cast("long").alias("n_spans"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

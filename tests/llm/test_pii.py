@@ -54,31 +54,40 @@ def corpus():
     return [*out, (None, None, None, None, None), (n + 2, "", "", "", 0)]
 
 
-def brute_terms(data, disclosure=pii.DISCLOSURE, least=pii.MIN_TEXTS):
-    texts = [(t or "") for _, t, *_ in data]
+def brute_terms(data, disclosure=pii.DISCLOSURE):
+    texts = {(t or "") for _, t, *_ in data}
     terms = lambda t: {w.lower() for w in re.findall(r"[^\W_]+", t) if len(w.lower()) >= 3}
-    value = lambda k, m: f"{k}:{m.lower() if k == 'email' else m if k == 'ip' else digits(m)}"
+
+    def entities_of(t):
+        out = set()
+        for k, _, _, m in base(t):
+            v = m.lower() if k == "email" else m if k == "ip" else digits(m)
+            out |= {(k, v), (k, {"email": v.split("@")[-1] + " ", "ip": v.rsplit(".", 1)[0], "card": v[:6], "phone": v[:5] + " "}[k])}
+        return out
 
     def bare(t):
         for rx in (EMAIL, IP, CARD, PHONE):
             t = rx.sub(" ", t)
         return t
 
-    entities, df, both, texts_with, alone = Counter(), Counter(), Counter(), defaultdict(set), defaultdict(set)
+    entities, df, both = Counter(), Counter(), Counter()
     for t in texts:
-        df.update(terms(t))
-        for e in {value(k, m) for k, _, _, m in base(t)}:
-            entities[e] += 1
-            alone[e].add(t)
-            for w in terms(bare(t)):
-                both[e, w] += 1
-                texts_with[e, w].add(t)
+        own = entities_of(t)
+        has = terms(bare(t)) if base(t) else terms(t)
+        df.update(has)
+        entities.update(own)
+        both.update((e, w) for e in own for w in has)
     n = len(texts)
-    strong = {(e, w) for (e, w), b in both.items() if len(alone[e]) >= least and len(texts_with[e, w]) >= least and n > entities[e] and math.log2(n * b / (df[w] * entities[e])) / math.log2(n / entities[e]) >= disclosure}
+
+    def score(e, w, b):
+        m = min(entities[e], df[w])
+        return math.log2(n * b / (df[w] * entities[e])) / math.log2(n / entities[e]) * b / (b + 1) * m / (m + 1)
+
+    strong = {(e, w) for (e, w), b in both.items() if n > entities[e] and score(e, w, b) >= disclosure}
     out = {}
     for t in texts:
         spans = base(t)
-        told = {w for e, w in strong if e in {value(k, m) for k, _, _, m in spans}}
+        told = {w for e, w in strong if e in entities_of(t)}
         out[t] = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in told and all(m.end() <= s[1] or m.start() >= s[2] for s in spans)]
     return out
 
@@ -91,6 +100,29 @@ def test_disclosing_terms(spark):
         assert all(s.value.lower() == "zorblax" or s.value.lower() in ("wrote", "about") for s in terms)
 
 
+def test_random_corpus_against_brute_force(spark):
+    r = random.Random(6)
+    sites, names, vocabulary = ["x.org", "y.com", "z.net"], ["al", "bo", "cy"], [f"w{i}q" for i in range(25)]
+    data = []
+    for i in range(150):
+        words = r.choices(vocabulary, k=r.randint(3, 12))
+        if i % 3 == 0:
+            site = r.choice(sites)
+            words += [f"{r.choice(names)}@{site}", site[0] * 4, f"10.{r.randint(0, 1)}.3.{r.randint(1, 9)}", f"+1 555 {r.randint(1000000, 1000009)}"]
+        r.shuffle(words)
+        data.append((i, " ".join(words), "", "", 0))
+    want = brute_terms(data)
+    assert sum(map(len, want.values())) > 20
+    for _, t, _, terms in scan(spark, data):
+        assert [(s.start, s.end) for s in terms] == want[t]
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"user{i}@h{i % 7}.org" for i in range(3000))
+    ((_, _, spans, _),) = scan(spark, [(1, text, "", "", 0)])
+    assert [(s.kind, s.start, s.end) for s in spans] == [b[:3] for b in base(text)]
+
+
 def test_sanitised(spark):
     docs = clashing(frame(spark, corpus()))
     out = pii.sanitised(docs)
