@@ -59,7 +59,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.dedup(table(spark, sf_dir, "documents"))
+    return exact.dedup(table(spark, sf_dir, "documents"), batches=4)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ def test_against_brute_force(spark):
         ids.setdefault(norm(t), []).append(i)
     keep = {t: min((x for x in v if x is not None), default=None) for t, v in ids.items()}
     want = Counter((i, keep[norm(t)], len(ids[norm(t)]), i == keep[norm(t)], hashlib.sha256(norm(t).encode()).hexdigest()) for i, t, *_ in rows())
-    assert Counter(map(tuple, exact.dedup(clashing(frame(spark))).collect())) == want
+    for batches in (1, 3):
+        assert Counter(map(tuple, exact.dedup(clashing(frame(spark)), batches=batches).collect())) == want
 
 
 def test_index_outlives_batches(spark):
@@ -30,10 +31,20 @@ def test_index_outlives_batches(spark):
     assert second[2]["kept"] and not second[3]["kept"] and second[3]["group_size"] == 2
     index = exact.open_index(spark, path, 4)
     assert spark.table(index).count() == 3
+    small = exact.compact(index, scratch_path(spark, "test-compact"))
+    assert sorted(map(tuple, spark.table(small).collect())) == sorted(map(tuple, spark.table(index).collect()))
+    assert len(spark.table(small).inputFiles()) <= 4
     plan = spark.table(index).groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
 
+def test_keep_first_leaves_out_what_the_index_knows(spark):
+    path = scratch_path(spark, "test-index")
+    exact.dedup(frame(spark, [(7, "a  b", "", "", 0)]), path, 4)
+    docs = frame(spark, [(1, "a b", "", "", 0), (2, "new", "", "", 0), (None, "new", "", "", 0), (2, "new", "", "", 0)])
+    assert [r["doc_id"] for r in exact.keep_first(docs, path, 4).collect()] == [2]
+
+
 def test_keep_first(spark):
     docs = clashing(frame(spark))
     out = exact.keep_first(docs)
