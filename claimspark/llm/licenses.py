@@ -19,6 +19,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,33 +29,58 @@ from .common import text_of
 
 COVERAGE = 0.8
 
-# License notices as their licenses word them.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+# License notices as their licenses word them. The whole texts are in the folder texts.
+NOTICES = {
+    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
+    "MIT-line": "Released under the MIT License.",
+    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
-    "MIT-permission": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
-        " (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,"
-        " publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,"
-        " subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or"
-        " substantial portions of the Software."
-    ),
-    "BSD-redistribution": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions"
-        " are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
-        " Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the"
-        " documentation and/or other materials provided with the distribution."
-    ),
+    "CC-BY-SA-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
     "Apache-2.0-notice": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
         " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in"
         " writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,"
         " either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
+    "GPL-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published"
+        " by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed"
+        " in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A"
+        " PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "GPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published"
+        " by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed"
+        " in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A"
+        " PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public"
+        " License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "LGPL-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as"
+        " published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is"
+        " distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or"
+        " FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "AGPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as"
+        " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is"
+        " distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or"
+        " FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this"
+        " file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
 }
+
+
+def _whole_texts() -> dict[str, str]:
+    folder = resources.files(__package__) / "texts"
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
+TEMPLATES = NOTICES | _whole_texts()
 #: Words too common to tell a license from prose.
 COMMON = frozenset("a above all and any are as at be by for following in is it may not of on or other see that the this to use with without you".split())
 
@@ -84,21 +110,27 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _plain(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of short lists of words."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+    """A longest common subsequence, by bit rows: bit j of row i is unset where the subsequence of a[: i + 1] and b gets
+    longer at b[j]. The rows are kept, a bit for each pair of words, and followed back."""
+    where: dict[str, int] = {}
+    for j, w in enumerate(b):
+        where[w] = where.get(w, 0) | 1 << j
+    row = full = (1 << len(b)) - 1
+    rows = []
+    for w in a:
+        hit = row & where.get(w, 0)
+        row = (row + hit | row - hit) & full
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
         else:
-            j += 1
-    return out
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                out.append((i, j))
+    return out[::-1]
 
 
 def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -131,12 +163,17 @@ class Template:
     def __init__(self, name: str, text: str, coverage: float) -> None:
         self.name, self.coverage = name, coverage
         self.words = [w for w, _, _ in words_of(text)]
-        self.telling = Counter(w for w in self.words if w not in COMMON)
+        #: Words that tell a license from prose, the longest first, as those are most likely missing.
+        self.telling = Counter({w: n for w, n in sorted(Counter(self.words).items(), key=lambda x: (-len(x[0]), x[0])) if w not in COMMON})
         #: So many words, repeats counted, may be missing.
         self.spare = int(len(self.words) * (1 - coverage) + 1e-9)
+        #: A text that has the others, with something between them, has so many characters at least.
+        self.least = sum(sorted(map(len, self.words))[: len(self.words) - self.spare]) + len(self.words) - self.spare - 1
 
     def possible(self, low: str) -> bool:
         spare = self.spare
+        if len(low) < self.least:
+            return False
         for w, n in self.telling.items():
             if w not in low:
                 spare -= n
