@@ -30,6 +30,8 @@ def partial_ratio(a: str, b: str) -> float:
     short, long = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long else 0.0
+    if short in long:
+        return 100.0
     return max(ratio(short, long[max(0, i) : i + len(short)]) for i in range(1 - len(short), len(long)))
 
 
@@ -54,5 +56,11 @@ def fuzzy_ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({name: [f(x, y) for x, y in pairs] for name, f in _KINDS.items()})
 
 
+@F.pandas_udf(T.DoubleType())
+def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The plain ratio of two texts; nulls are empty texts."""
+    return pd.Series([ratio(x, y) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype="float64")
+
+
 def fuzz_ratio(a: Column, b: Column) -> Column:
-    return fuzzy_ratios(a, b)["ratio"]
+    return indel_ratio(a, b)

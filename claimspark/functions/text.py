@@ -160,28 +160,36 @@ def split_reasons(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"[;\n|]+"), collapse), lambda r: r != "")
 
 
-CLAUSE_REF = r"(?iu)((?:điều|dieu|khoản|khoan|mục|muc|clause|article|section)\s+[0-9]+(?:\.[0-9]+)*)"
+# The grammar of clause references, one pattern after the other.
+CLAUSE_REFS = (r"(Khoản\s+\d+[^\n.;:]*)", r"(Chương\s+[IVXLC]+[^\n.;:]*)", r"(Quy tắc bảo hiểm số\s+[^\n.;:]*)", r"(Quy tắc số\s+[^\n.;:]*)")
 
 
-def clause_refs(c: Column, pattern: str = CLAUSE_REF) -> Column:
-    """TX16: references to clauses, in order, each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), collapse))
+def clause_refs(c: Column, patterns: Sequence[str] = CLAUSE_REFS) -> Column:
+    """TX16: references to clauses, up to the next stop, by pattern and then in order, each once."""
+    found = F.concat(*[F.regexp_extract_all(c, F.lit("(?iu)" + p), F.lit(1)) for p in patterns])
+    return F.array_distinct(F.filter(F.transform(found, collapse), lambda r: r != ""))
 
 
-MENTION = r"([^;()\n]{3,120}?)\s*\(\s*([0-9][0-9.,]*)\s*(?:vnd|vnđ|đồng|dong|đ)?\s*\)"
-MENTION_BLOCK = ("tong", "total", "thanh tien", "so tien")
+# The grammar of "item bằng amount VNĐ", and what such an item's name must not hold.
+MENTION = r"([A-Za-zÀ-ỹ0-9#%+\-_/().,\s]{2,}?)\s+bằng\s+([0-9][0-9.,\s]*)\s*(?:VNĐ|VND|đồng)"
+MENTION_BLOCK = (
+    "cong ty bao hiem", "pjico", "quy khach", "quyen loi", "chi phi y te thuc te", "hop dong", "can cu theo", "do do", "quy tac bao hiem", "dinh nghia",
+    "ho so yeu cau boi thuong",
+)
 
 
 def service_mentions(c: Column, block: Sequence[str] = MENTION_BLOCK) -> Column:
-    """TX17: array<struct<item_name, amount_vnd>> of the "item (amount)" parts, each once."""
+    """TX17: array<struct<item_name, amount_vnd>> of the "item bằng amount" parts, each once."""
     names, amounts = (F.regexp_extract_all(c, F.lit("(?iu)" + MENTION), F.lit(k)) for k in (1, 2))
-    bare = lambda n: F.regexp_replace(F.trim(F.element_at(F.split(n, ":"), -1)), r"(?iu)^(?:,|và|va)\s+|^[*:\s-]+|^chi phí\s+", "")
-    pairs = F.zip_with(names, amounts, lambda n, a: F.struct(collapse(bare(n)).alias("item_name"), parse_vnd(a).alias("amount_vnd")))
-    blocked = lambda n: F.exists(F.array(*[F.lit(b) for b in block]), lambda b: F.contains(norm_key(n), b))
-    return F.array_distinct(F.filter(pairs, lambda p: (F.length(p["item_name"]) >= 3) & ~blocked(p["item_name"]) & ~F.contains(p["item_name"], F.lit(". "))))
+    bare = lambda n: apply_rules(F.trim(F.element_at(F.split(collapse(n), ":"), -1)), ((r"(?iu)^(?:,|và|va)\s+", ""), (r"(?iu)^chi phí\s+", "")))
+    pairs = F.transform(F.zip_with(names, amounts, lambda n, a: F.struct(bare(n).alias("n"), parse_vnd(a).alias("a"))), lambda p: p)
+    blocked = lambda n: F.exists(F.array(*[F.lit(b) for b in block]), lambda b: F.contains(ascii_fold(n), b))
+    fit = F.filter(pairs, lambda p: F.length(p["n"]).between(3, 120) & ~F.contains(p["n"], F.lit(". ")) & ~blocked(p["n"]))
+    return F.array_distinct(F.transform(fit, lambda p: F.struct(F.regexp_replace(p["n"], r"^[*\-: ]+", "").alias("item_name"), p["a"].alias("amount_vnd"))))
 
 
-FORMULA = r"([0-9][0-9.,]*)\s*(?:vnd|vnđ|đ)?\s*[x×*]\s*([0-9]{1,3})\s*%\s*=\s*([0-9][0-9.,]*)"
+# Fixed value: requested x percent % = paid.
+FORMULA = r"([0-9][0-9.,\s]*)\s*(?:VNĐ|VND)?\s*x\s*(\d{1,3})\s*%\s*=\s*([0-9][0-9.,\s]*)"
 
 
 def note_signals(note: Column, reasons: Column) -> Column:
@@ -194,7 +202,9 @@ def note_signals(note: Column, reasons: Column) -> Column:
     phrase = F.regexp_extract(text, r"dong chi tra\s*(\d{1,3})\s*%", 1).try_cast("int")
     shares = any_of(text, ["dong chi tra"])
     copay = F.coalesce(phrase, F.when(shares & percent.between(0, 100), 100 - percent)).cast("int")
-    limit = lambda unit: parse_vnd(F.nullif(F.coalesce(F.nullif(F.regexp_extract(text, rf"toi da[^0-9]{{0,80}}([0-9][0-9.,\s]*)\s*(?:vnd|dong)[^.\n]{{0,80}}/\s*{unit}", 1), F.lit("")), F.nullif(F.regexp_extract(text, rf"([0-9][0-9.,\s]*)\s*(?:vnd|dong)\s*/\s*{unit}", 1), F.lit(""))), F.lit("")))
+    # The three ways in which a limit for a unit is told, the first that matches.
+    ways = (r"toi da[^0-9]{0,80}([0-9][0-9.,\s]*)\s*(?:vnd|dong)[^.\n]{0,80}/\s*", r"bang[^0-9]{0,40}([0-9][0-9.,\s]*)\s*(?:vnd|dong)[^.\n]{0,80}/\s*", r"([0-9][0-9.,\s]*)\s*(?:vnd|dong)\s*/\s*")
+    limit = lambda unit: parse_vnd(F.coalesce(*[F.nullif(F.regexp_extract(text, w + unit, 1), F.lit("")) for w in ways]))
     visit = any_of(text, ["lan kham"]) | any_of(blob, ["mot lan kham"])
     day = any_of(text, ["ngay nam vien"]) | any_of(blob, ["mot ngay nam vien"])
     year = any_of(text, ["/ nam", "trong nam hop dong"]) | any_of(blob, ["trong nam hop dong"])
@@ -208,8 +218,8 @@ def note_signals(note: Column, reasons: Column) -> Column:
         "limit_per_visit_flag": visit, "limit_per_day_flag": day, "limit_per_year_flag": year,
         "generic_limit_flag": any_of(blob, ["han muc"]),
         "limit_per_visit_vnd": F.when(visit, limit("lan kham")), "limit_per_day_vnd": F.when(day, limit("ngay")), "limit_per_year_vnd": F.when(year, limit("nam")),
-        "clause_references": clause_refs(note), "service_mentions": service_mentions(note),
-        "formula": F.when(requested.isNotNull() & paid.isNotNull(), F.struct(requested.alias("formula_requested_vnd"), percent.alias("formula_pay_percent"), paid.alias("formula_paid_vnd"))),
+        "clause_references": clause_refs(collapse(note)), "service_mentions": service_mentions(collapse(note)),
+        "formula": F.when(requested.isNotNull() & percent.isNotNull() & paid.isNotNull(), F.struct(requested.alias("formula_requested_vnd"), percent.alias("formula_pay_percent"), paid.alias("formula_paid_vnd"))),
     }
     return F.struct(*[c.alias(n) for n, c in fields.items()])
 
@@ -256,20 +266,21 @@ def lab_flags(flag: Column, polarity: Column, abnormality: Column) -> Column:
     )
 
 
+# Phrases of each kind of risk, folded.
 RISKS = (
-    ("screening", "tam soat|screening"),
-    ("not_covered", "khong thuoc|loai tru|not covered|exclu"),
-    ("copay", "dong chi tra|copay|co-pay"),
-    ("limit", "han muc|gioi han|vuot muc|limit"),
-    ("documents", "chung tu|ho so|document"),
-    ("waiting_period", "thoi gian cho|waiting"),
-    ("late_submission", "nop tre|qua han|late"),
+    ("screening", "tam soat|kiem tra|screening"),
+    ("not_covered", "khong thuoc quyen loi|khong bao hiem|khong thuoc pham vi"),
+    ("copay", "dong chi tra|copay"),
+    ("limit", "vuot qua|han muc|gioi han|mot lan kham|mot ngay"),
+    ("documents", "chung tu|ho so|giay"),
+    ("waiting_period", "thoi gian cho|cho 365|benh co san|benh dac biet"),
+    ("late_submission", "nop muon|qua han"),
 )
 
 
 def risk_kinds(c: Column, risks: Sequence[tuple[str, str]] = RISKS) -> Column:
     """TX22: every kind of risk that a reason names, else [other]."""
-    folded = ascii_fold(c)
+    folded = ascii_fold(collapse(c))
     found = F.filter(F.array(*[F.when(folded.rlike(p), F.lit(n)) for n, p in risks]), lambda x: x.isNotNull())
     return F.when(F.size(found) == 0, F.array(F.lit("other"))).otherwise(found)
 

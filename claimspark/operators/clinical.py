@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import icd_norm
 from .decisions import cases
 from .documents import EPSILON
 from .windows import norm_by_max, top1, topk
@@ -220,3 +221,31 @@ def active_diseases(cases_: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def relative(col: str, keys: Sequence[str]) -> Column:
     return F.col(col) / F.max(col).over(Window.partitionBy(*keys))
+
+
+def known_disease_support(lines: DataFrame, protocol: DataFrame, matrix: DataFrame) -> DataFrame:
+    """CL7: whether a line's service is supported for its known diagnosis. lines(line_id, service_code, icd10),
+    protocol(service_code, icd10), matrix(service_code, icd10, score). Adds support<supported, confidence, flag,
+    coverage>: by the protocol 0.95; by the matrix, for the code or else its group, 0.55 + 0.35 * score between 0.72 and
+    0.9; not supported at 0.78 where code or group are in a catalogue, else at 0."""
+    norm = lambda df: df.withColumn("service_code", F.upper(F.trim("service_code"))).withColumn("icd10", icd_norm(F.col("icd10"))).withColumn("icd_group", F.substring("icd10", 1, 3))
+    p, m, l = norm(protocol).filter("icd10 <> ''"), norm(matrix).filter("icd10 <> ''"), norm(lines)
+    listed = p.select("service_code", "icd10", F.lit(True).alias("by_protocol")).distinct()
+    exact = m.groupBy("service_code", "icd10").agg(F.max("score").alias("own"))
+    group = m.groupBy("service_code", "icd_group").agg(F.max("score").alias("of_group"))
+    codes = p.select("icd10").unionByName(m.select("icd10")).distinct().withColumn("has_code", F.lit(True))
+    groups = m.select("icd_group").distinct().withColumn("has_group", F.lit(True))
+    out = l.join(listed, ["service_code", "icd10"], "left").join(exact, ["service_code", "icd10"], "left").join(group, ["service_code", "icd_group"], "left").join(codes, "icd10", "left").join(groups, "icd_group", "left")
+    coverage = F.coalesce(F.col("has_code"), F.col("has_group"), F.lit(False))
+    by_matrix = F.coalesce("own", "of_group")
+    missing = F.coalesce(F.col("service_code"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("icd10"), F.lit("")).eqNullSafe("")
+    support = cases(
+        [
+            (missing, {"supported": False, "confidence": 0.0, "flag": None, "coverage": False}),
+            (F.coalesce("by_protocol", F.lit(False)), {"supported": True, "confidence": 0.95, "flag": "protocol_icd_support", "coverage": True}),
+            (by_matrix.isNotNull(), {"supported": True, "confidence": F.round(F.greatest(F.lit(0.72), F.least(F.lit(0.9), 0.55 + 0.35 * by_matrix)), 4), "flag": "matrix_icd_support", "coverage": True}),
+            (coverage, {"supported": False, "confidence": 0.78, "flag": "known_disease_catalog_miss", "coverage": True}),
+        ],
+        {"supported": False, "confidence": 0.0, "flag": None, "coverage": False},
+    )
+    return lines.join(out.select("line_id", support.alias("support")), "line_id")

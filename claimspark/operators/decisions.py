@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut, maybe_broadcast
 from ..functions.text import ascii_fold, category_covered
 
 # Thresholds of the anomaly rules.
@@ -88,19 +89,38 @@ def contract_step(rows: DataFrame) -> DataFrame:
     return rows.withColumn("step2_decision", d)
 
 
-def exclusion_class(reason: Column) -> Column:
-    """AD2: class and priority of an exclusion's reason text."""
-    t = ascii_fold(reason)
-    return cases(
-        [
-            (t.rlike("dong chi tra|han muc|copay|limit|vuot muc"), {"signal": "financial", "priority": 2}),
-            (t.rlike("chung tu|ho so|document"), {"signal": "documentation", "priority": 3}),
-            (t.rlike("loai tru tuyet doi|khong thuoc pham vi|not covered"), {"signal": "hard_deny", "priority": 1}),
-            (t.rlike("tam soat|screening"), {"signal": "soft_review", "priority": 4}),
-            (t.rlike("loai tru|exclu"), {"signal": "review", "priority": 5}),
-        ],
-        {"signal": "ignore", "priority": 9},
-    )
+# Exclusion codes by class, the drug rules' codes, and words of the classes' texts.
+EXCLUSION_CODES = {
+    "financial": ("ma01", "ma04", "ma11", "ma12", "ld0001", "ma003"),
+    "documentation": ("ma07", "ma08", "ma09", "ma10", "ma19", "nan"),
+    "drug": ("ma03", "ma16", "ma17", "ma18", "ma20", "m32", "m33", "ma31"),
+    "hard_deny": ("ma05", "ma15", "ma21", "ma26", "ma27", "ma28", "ma30", "ma004"),
+    "soft_review": ("ma06", "ma39"),
+}
+EXCLUSION_TEXTS = {
+    "financial": ("đồng chi trả", "hạn mức", "vượt quá quyền lợi", "giảm trừ"),
+    "documentation": ("chứng từ", "hóa đơn", "bồi thường"),
+    "soft_review": ("tầm soát", "kiểm tra", "không có hướng điều trị"),
+    "hard_deny": ("không thuộc quyền lợi", "loại trừ", "thời gian chờ", "blacklist"),
+}
+DRUGS = ("thuốc", "drug", "pharmacy", "rx", "med")
+EXCLUSION_PRIORITY = {"hard_deny": 4, "documentation": 3, "financial": 2, "soft_review": 1, "review": 1, "ignore": 0}
+
+
+def exclusion_class(reason: Column, code: Column | None = None, group: Column | None = None, source: Column | None = None, category: Column | None = None, service: Column | None = None) -> Column:
+    """AD2: struct<signal, priority> of an exclusion: by its code, drug rules denying drugs only, then by its source and
+    the words of its group and reason, else review."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit(""))) if c is not None else F.lit("")
+    text, key = F.concat_ws(" ", low(group), low(reason)), low(code)
+    holds = lambda c, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))
+    drug = holds(F.concat_ws(" ", low(category), low(service)), DRUGS)
+    signal = F.when(key.isin(*EXCLUSION_CODES["financial"]), "financial").when(key.isin(*EXCLUSION_CODES["documentation"]), "documentation")
+    signal = signal.when(key.isin(*EXCLUSION_CODES["drug"]), F.when(drug, "hard_deny").otherwise("ignore"))
+    signal = signal.when(key.isin(*EXCLUSION_CODES["hard_deny"]), "hard_deny").when(key.isin(*EXCLUSION_CODES["soft_review"]), "soft_review").when(low(source) == "keyword_contract_exclusion", "soft_review")
+    for name, words in EXCLUSION_TEXTS.items():
+        signal = signal.when(holds(text, words), name)
+    signal = signal.otherwise("review")
+    return F.struct(signal.alias("signal"), F.element_at(F.create_map(*[F.lit(x) for kv in EXCLUSION_PRIORITY.items() for x in kv]), signal).alias("priority"))
 
 
 def contract_verdict(rows: DataFrame) -> DataFrame:
@@ -181,17 +201,19 @@ def apply_clause_rules(attributes: DataFrame, conditions: DataFrame, exceptions:
 
     attributes(line_id, field, value): a line's attributes, one row each. conditions(rule_id, n_conditions, field,
     operator, value): =, !=, >, <, in_hierarchy. exceptions(rule_id, field, value). ancestors(child, ancestor), each
-    code being its own ancestor. Lines meet rules on the field, never all with all.
+    code being its own ancestor. Conditions that ask for a value, or for one below it in the hierarchy, are joined on field
+    and value; the others on the field, after a count of them has shown whether they can be broadcast.
     """
-    met = attributes.alias("a").join(conditions.alias("c"), "field").join(ancestors.alias("h"), (F.col("c.operator") == "in_hierarchy") & (F.col("a.value") == F.col("h.child")) & (F.col("c.value") == F.col("h.ancestor")), "left")
-    a, v = F.col("a.value"), F.col("c.value")
-    n, m = a.try_cast("double"), v.try_cast("double")
-    holds = (
-        F.when(F.col("operator") == "=", a == v).when(F.col("operator") == "!=", a != v)
-        .when(F.col("operator") == ">", n > m).when(F.col("operator") == "<", n < m)
-        .when(F.col("operator") == "in_hierarchy", F.col("h.ancestor").isNotNull())
-    )
-    full = met.filter(holds).groupBy("line_id", "rule_id").agg(F.count_distinct("c.field", "operator", "c.value").alias("n"), F.max("n_conditions").alias("need")).filter("n = need").select("line_id", "rule_id")
+    key = ["rule_id", "n_conditions", "field", "operator", "value"]
+    equal = conditions.filter("operator = '='").select(*key, F.col("value").alias("asked"))
+    below = conditions.filter("operator = 'in_hierarchy'").join(ancestors, F.col("value") == F.col("ancestor")).select(*key, F.col("child").alias("asked"))
+    by_value = maybe_broadcast(cut(equal.unionByName(below)))
+    met = attributes.alias("a").join(by_value.alias("c"), (F.col("a.field") == F.col("c.field")) & (F.col("a.value") == F.col("c.asked"))).select("a.line_id", *[f"c.{c}" for c in key])
+    others = maybe_broadcast(cut(conditions.filter("operator NOT IN ('=', 'in_hierarchy')")))
+    n, m = F.col("a.value").try_cast("double"), F.col("c.value").try_cast("double")
+    holds = F.when(F.col("operator") == "!=", F.col("a.value") != F.col("c.value")).when(F.col("operator") == ">", n > m).when(F.col("operator") == "<", n < m)
+    met = met.unionByName(attributes.alias("a").join(others.alias("c"), F.col("a.field") == F.col("c.field")).filter(holds).select("a.line_id", *[f"c.{c}" for c in key]))
+    full = met.groupBy("line_id", "rule_id").agg(F.count_distinct("field", "operator", "value").alias("n"), F.max("n_conditions").alias("need")).filter("n = need").select("line_id", "rule_id")
     lifted = attributes.join(exceptions, ["field", "value"]).select("line_id", "rule_id")
     return full.join(lifted, ["line_id", "rule_id"], "left_anti")
 

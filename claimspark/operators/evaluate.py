@@ -9,12 +9,26 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_fold, norm_key
 
-# Names of a decision that count as the same.
+# Names of a decision that count as the same, and names that an ICD code stands for.
 EQUIVALENT = {
-    "approve": ("approve", "approved", "pay", "payment", "accept"),
-    "deny": ("deny", "denied", "reject", "rejected"),
-    "review": ("review", "manual_review", "uncertain", "pending"),
-    "partial_pay": ("partial_pay", "partial", "partial_payment"),
+    "partial_pay": ("partial_pay", "partial_review", "partial"),
+    "approve": ("approve", "payment", "accept", "medically_necessary", "medically_reasonable", "medically_indicated", "indicated", "pay", "pay_full", "covered"),
+    "deny": ("deny", "reject", "not_indicated", "not_medically_indicated", "not_medically_necessary", "contraindicated", "not_covered"),
+    "review": ("review", "conditional_indication", "conditionally_indicated"),
+    "uncertain": ("uncertain",),
+}
+ICD_ALIASES = {
+    "H81.0": ("meniere", "benh meniere", "meniere disease"),
+    "H81.1": ("bppv", "chong mat do vi tri", "benign paroxysmal positional vertigo"),
+    "H81.2": ("viem than kinh doi", "vestibular neuritis"),
+    "H83.0": ("viem maze", "labyrinthitis"),
+    "J18": ("viem phoi", "pneumonia", "viem phoi cong dong", "community acquired pneumonia"),
+    "J18.9": ("viem phoi", "pneumonia", "viem phoi cong dong", "community acquired pneumonia", "cap"),
+    "J20": ("viem phe quan", "bronchitis", "viem phe quan cap"),
+    "J20.9": ("viem phe quan", "bronchitis", "viem phe quan cap"),
+    "K35": ("viem ruot thua", "appendicitis"),
+    "E11": ("dai thao duong type 2", "diabetes mellitus type 2"),
+    "A15": ("lao phoi", "tuberculosis", "tb"),
 }
 
 
@@ -42,19 +56,30 @@ def errors(pairs: DataFrame, pred: str, gold: str) -> DataFrame:
 
 def decision_group(c: Column) -> Column:
     """EV4: the group of a decision's name, else the folded name."""
-    name = ascii_fold(F.trim(c))
+    name = F.translate(F.trim(ascii_fold(c)), " -", "__")
     out = name
     for group, names in EQUIVALENT.items():
         out = F.when(name.isin(*names), group).otherwise(out)
     return out
 
 
-def soft_match(expected: Column, submitted: Column) -> Column:
-    """EV4: exact, substring, token_overlap (60 % of the expected tokens) or none, for two names."""
+def decision_match(observed: Column, expected: Column) -> Column:
+    """EV4: exact, equivalent (of one group) or mismatch."""
+    return F.when(ascii_fold(observed) == ascii_fold(expected), "exact").when(decision_group(observed) == decision_group(expected), "equivalent").otherwise("mismatch")
+
+
+def soft_match(expected: Column, submitted: Column, icd: Column | None = None) -> Column:
+    """EV4: exact, substring, icd (the submitted code stands for the expected name), token_overlap (60 % of the expected
+    tokens) or none, for two names."""
     e, s = norm_key(expected), norm_key(submitted)
     et, st = F.array_distinct(F.split(e, " ")), F.array_distinct(F.split(s, " "))
     overlap = F.size(F.array_intersect(et, st))
-    return F.when((e == "") | (s == ""), "none").when(e == s, "exact").when(F.contains(s, e) | F.contains(e, s), "substring").when(overlap >= F.greatest(F.lit(1.0), 0.6 * F.size(et)), "token_overlap").otherwise("none")
+    out = F.when((e == "") | (s == ""), "none").when(e == s, "exact").when(F.contains(s, e) | F.contains(e, s), "substring")
+    if icd is not None:
+        known = F.create_map(*[x for k, names in ICD_ALIASES.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in names]))])
+        names = F.coalesce(F.try_element_at(known, F.upper(F.trim(icd))), F.array().cast("array<string>"))
+        out = out.when(F.exists(names, lambda n: F.contains(e, n) | F.contains(n, e)), "icd")
+    return out.when(overlap >= F.greatest(F.lit(1.0), 0.6 * F.size(et)), "token_overlap").otherwise("none")
 
 
 def score_submissions(gold: DataFrame, submitted: DataFrame, claims: DataFrame) -> DataFrame:

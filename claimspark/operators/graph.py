@@ -80,11 +80,21 @@ def benefits_for_line(lines: DataFrame, edges: DataFrame, benefits: DataFrame, k
     benefit), benefits(contract, benefit, name)."""
     direct = lines.join(edges, ["contract", "service"]).select("line_id", "benefit", F.lit(5).alias("score"), F.lit("edge").alias("how"))
     rest = lines.join(direct.select("line_id"), "line_id", "left_anti")
-    pairs = rest.join(benefits, "contract")
+    # Each service of a contract is matched once. Texts meet on a shared word or, as one may stand within the other's
+    # words, on the first letters of the service anywhere in the name.
+    wanted = rest.select("contract", "service").distinct().withColumn("q", norm_key(F.col("service")))
+    offered = benefits.withColumn("n", norm_key(F.col("name")))
+    words = lambda c: F.transform(F.split(c, " "), lambda w: F.concat(F.lit("w"), w))
+    grams = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (k - 1), F.lit(1))), lambda i: F.concat(F.lit("g"), F.substring(c, i, k)))
+    asks = F.array_distinct(F.concat(words(F.col("q")), F.array(F.concat(F.lit("g"), F.substring("q", 1, 3)))))
+    gives = F.array_distinct(F.concat(words(F.col("n")), *[grams(F.col("n"), k) for k in (1, 2, 3)]))
+    met = wanted.select("contract", "service", F.explode(asks).alias("key")).join(offered.select("contract", "benefit", "name", F.explode(gives).alias("key")), ["contract", "key"])
+    pairs = met.select("contract", "service", "benefit", "name").distinct()
     grade = graded_match(F.col("service"), F.col("name"))
     shared = F.arrays_overlap(F.split(norm_key(F.col("service")), " "), F.split(norm_key(F.col("name")), " "))
     score = F.when(grade == 1.0, 4).when(grade == 0.96, 3).when(grade == 0.90, 2).when(shared, 1).otherwise(0)
-    text = pairs.withColumn("score", score).filter("score > 0").select("line_id", "benefit", "score", F.lit("text").alias("how"))
+    best = topk(pairs.withColumn("score", score).filter("score > 0"), ["contract", "service"], [F.col("score").desc(), F.col("benefit")], k)
+    text = rest.join(best, ["contract", "service"]).select("line_id", "benefit", "score", F.lit("text").alias("how"))
     return topk(direct.unionByName(text), ["line_id"], [F.col("score").desc(), F.col("benefit")], k)
 
 

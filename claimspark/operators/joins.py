@@ -45,10 +45,12 @@ def attach_contract(lines: DataFrame, mapping: DataFrame, keys: Sequence[str], d
 
 def best_matrix_link(lines: DataFrame, links: DataFrame, line_key: str) -> DataFrame:
     """JN4: each line's best link by exact ICD or its three-character group: by score, then co-occurrence."""
-    l = links.select("service_code", F.col("icd10").alias("link_icd"), "score", "co_occurrence")
-    hit = (F.col("link_icd") == F.col("icd10")) | (F.substring("link_icd", 1, 3) == F.substring("icd10", 1, 3))
-    both = lines.join(l, "service_code").filter(hit)
-    return top1(both, [line_key], [F.col("score").desc(), F.col("co_occurrence").desc(), F.col("link_icd")])
+    # An equal code is of the same group, so the best link of each service and group is all a line can have.
+    order = [F.col("score").desc(), F.col("co_occurrence").desc(), F.col("link_icd")]
+    l = links.select("service_code", F.col("icd10").alias("link_icd"), "score", "co_occurrence", F.substring("icd10", 1, 3).alias("icd_group"))
+    best = top1(l, ["service_code", "icd_group"], order)
+    both = lines.withColumn("icd_group", F.substring("icd10", 1, 3)).join(best, ["service_code", "icd_group"]).drop("icd_group")
+    return top1(both, [line_key], order)
 
 
 def path_edges(first: DataFrame, second: DataFrame, a: str, via: str, b: str) -> DataFrame:

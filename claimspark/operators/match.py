@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,67 +10,118 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.fuzzy import fuzzy_ratios
-from ..functions.text import ngram_jaccard, ngrams, norm_key, skeleton, strip_noise
+from ..functions.fuzzy import fuzzy_ratios, indel_ratio
+from ..functions.text import clean_service_name, discriminator, ngram_jaccard, ngrams, norm_key, skeleton, strip_noise
 from ..sources.scratch import cut
 from .windows import top1, topk
 
-# Weights of the mapper's parts and its adjustments.
+# Weights of the mapper's parts, of the signal groups, and the penalties of their conflicts.
 WEIGHTS = {"token_sort": 0.24, "token_set": 0.14, "partial": 0.08, "stripped": 0.14, "skeleton": 0.16, "ngram": 0.12, "signal": 0.12}
-CONFLICTS = {"analyte": 24, "body_part": 18, "modality": 14, "specimen": 10}
+SIGNALS = {"analytes": 0.45, "body_parts": 0.25, "modalities": 0.15, "specimens": 0.15}
+CONFLICTS = {"analytes": 24, "body_parts": 18, "modalities": 14, "specimens": 10}
 FLOOR, TOP_K = 45, 3
+OTHER = "GEN-OTH"
 
 
 def block_pairs(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:
-    """Candidate pairs (left name, right name) of distinct names that share a token or, where a name shares none with
-    any, a character trigram. However common a token is, every pair that shares it is a candidate."""
+    """Candidate pairs (left name, right name) of distinct names that share a token or a skeleton or, where a name shares
+    none with any, a character trigram. However common a token is, every pair that shares it is a candidate."""
     l = left.select(F.col(name).alias("l_name")).distinct().withColumn("l_key", norm_key(F.col("l_name")))
     r = right.select(F.col(name).alias("r_name")).distinct().withColumn("r_key", norm_key(F.col("r_name")))
-    lt, rt = l.select("l_name", F.explode(F.array_distinct(F.split("l_key", " "))).alias("t")), r.select("r_name", F.explode(F.array_distinct(F.split("r_key", " "))).alias("t"))
+    keys = lambda c: F.array_distinct(F.concat(F.split(c, " "), F.array(F.concat(F.lit("="), F.replace(c, F.lit(" "), F.lit(""))))))
+    lt, rt = l.select("l_name", F.explode(keys(F.col("l_key"))).alias("t")), r.select("r_name", F.explode(keys(F.col("r_key"))).alias("t"))
     by_token = lt.join(rt, "t").select("l_name", "r_name").distinct()
     rest = l.join(by_token.select("l_name"), "l_name", "left_anti")
     by_gram = rest.select("l_name", F.explode(ngrams(F.col("l_key"))).alias("g")).join(r.select("r_name", F.explode(ngrams(F.col("r_key"))).alias("g")), "g").select("l_name", "r_name").distinct()
     return by_token.unionByName(by_gram)
 
 
-def _signal_score(l: Column, r: Column) -> Column:
-    shared, either = F.size(F.array_intersect(l, r)), F.size(F.array_union(l, r))
-    return F.when(either == 0, F.lit(0.0)).otherwise(100.0 * shared / either)
-
-
-def mapper_score(pairs: DataFrame, signals: dict[str, Sequence[str]]) -> DataFrame:
-    """ER1, ER2: pairs(l_name, r_name) with score (0-100) and exact, from seven weighted parts, bonuses, and a penalty
-    for each signal group (analyte, body_part, modality, specimen) in which both names have terms but none in common."""
-    lk, rk = norm_key(F.col("l_name")), norm_key(F.col("r_name"))
-    out = pairs.withColumn("lk", lk).withColumn("rk", rk).withColumn("ls", norm_key(strip_noise(F.col("l_name")))).withColumn("rs", norm_key(strip_noise(F.col("r_name"))))
-    out = out.withColumn("f", fuzzy_ratios("lk", "rk")).withColumn("fs", fuzzy_ratios("ls", "rs"))
-    group = lambda c, words: F.array_intersect(F.split(F.col(c), " "), F.array(*[F.lit(w) for w in words]).cast("array<string>"))
-    everything = [w for words in signals.values() for w in words]
-    skel = F.when(skeleton(F.col("l_name")) == skeleton(F.col("r_name")), 100.0).otherwise(F.col("f.ratio"))
-    parts = {
-        "token_sort": F.col("f.token_sort"), "token_set": F.col("f.token_set"), "partial": F.col("f.partial"), "stripped": F.col("fs.token_sort"),
-        "skeleton": skel, "ngram": 100.0 * ngram_jaccard(F.col("lk"), F.col("rk")), "signal": _signal_score(group("lk", everything), group("rk", everything)),
-    }
-    base = sum((parts[k] * w for k, w in WEIGHTS.items()), F.lit(0.0))
-    clash = lambda words: (F.size(group("lk", words)) > 0) & (F.size(group("rk", words)) > 0) & ~F.arrays_overlap(group("lk", words), group("rk", words))
-    penalty = sum((F.when(clash(signals[k]), cost).otherwise(0) for k, cost in CONFLICTS.items() if k in signals), F.lit(0))
-    stripped_equal = F.col("ls") == F.col("rs")
-    score = base + F.when(stripped_equal, 8).otherwise(0) - penalty
-    exact = F.col("lk") == F.col("rk")
-    score = F.when(exact, F.greatest(score, F.lit(99.0))).otherwise(score)
-    return out.select("l_name", "r_name", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)), 2).alias("score"), (exact | stripped_equal).alias("exact"), (penalty > 0).alias("conflict"))
+def name_features(names: DataFrame, signals: dict[str, dict[str, Sequence[str]]], terms: Sequence[str] = ()) -> DataFrame:
+    """names(name, and optionally code, category, family, family_status, occurrences) with what the mapper compares:
+    cleaned, stripped, skel, disc, sig (an array for each signal group). Missing columns say nothing: no category or
+    family, no occurrences, the name as the code. signals: group -> term -> its spellings."""
+    have = set(names.columns)
+    given = {"code": F.col("name"), "category": F.lit(OTHER), "family": F.lit(None).cast("string"), "family_status": F.lit("unknown"), "occurrences": F.lit(0)}
+    out = names.select("name", *[F.coalesce(F.col(c), d).alias(c) if c in have and c != "family" else (F.col(c) if c in have else d).alias(c) for c, d in given.items()])
+    out = out.withColumn("cleaned", clean_service_name(F.col("name"))["name"])
+    out = out.withColumn("stripped", strip_noise(F.col("cleaned")))
+    found = lambda spellings: F.lower("cleaned").rlike("(?u)(?<![\\p{L}\\p{N}])(?:" + "|".join(re.escape(w) for w in spellings) + ")(?![\\p{L}\\p{N}])")
+    of_group = lambda g: F.filter(F.array(*[F.when(found(words), F.lit(t)) for t, words in signals.get(g, {}).items()]).cast("array<string>"), lambda t: t.isNotNull())
+    return out.withColumn("skel", skeleton(F.when(F.col("stripped") != "", F.col("stripped")).otherwise(F.col("cleaned")))).withColumn("disc", discriminator(F.col("cleaned"), terms) if terms else F.array().cast("array<string>")).withColumn(
+        "sig", F.struct(*[of_group(g).alias(g) for g in SIGNALS])
+    )
 
 
-def map_services(lines: DataFrame, codebook: DataFrame, name: str = "name", k: int = TOP_K, signals: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """ER1: per distinct name the k best codebook names (score at least 45). Names are mapped once; join back to lines
-    on l_name."""
-    scored = mapper_score(block_pairs(lines, codebook, name), signals or {})
-    return topk(scored.filter(F.col("score") >= FLOOR), ["l_name"], [F.col("score").desc(), F.col("r_name")], k, rank="rank")
+def _signal_score() -> Column:
+    """ER2: the weighted share of signal groups that agree; a group that only one name has counts 0.35."""
+    total, score = F.lit(0.0), F.lit(0.0)
+    for g, w in SIGNALS.items():
+        l, r = F.size(F.col(f"l.sig.{g}")) > 0, F.size(F.col(f"r.sig.{g}")) > 0
+        total = total + F.when(l | r, w).otherwise(0.0)
+        score = score + F.when(F.arrays_overlap(F.col(f"l.sig.{g}"), F.col(f"r.sig.{g}")), w).when(l != r, w * 0.35).otherwise(0.0)
+    return F.when(total == 0, F.lit(50.0)).otherwise(100.0 * score / total)
+
+
+def _conflicts() -> Column:
+    clash = lambda g: (F.size(F.col(f"l.sig.{g}")) > 0) & (F.size(F.col(f"r.sig.{g}")) > 0) & ~F.arrays_overlap(F.col(f"l.sig.{g}"), F.col(f"r.sig.{g}"))
+    return F.filter(F.array(*[F.when(clash(g), F.lit(g)) for g in SIGNALS]), lambda g: g.isNotNull())
+
+
+def mapper_score(pairs: DataFrame, left: DataFrame, right: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """ER1, ER2: pairs(l_name, r_name) with code, raw_score, exact and conflicts: seven weighted parts, bonuses for equal
+    or contained cores, discriminators, categories, families and occurrences, penalties for other categories, families
+    and conflicting signals. left, right: of name_features(). Pairs whose score cannot reach the floor, judged by lengths
+    and what is compared without the ratios, are left out before those are taken."""
+    same = F.col("l.stripped") == F.col("r.stripped")
+    core = F.contains("l.stripped", F.col("r.stripped")) | F.contains("r.stripped", F.col("l.stripped"))
+    named = (F.col("l.stripped") != "") & (F.col("r.stripped") != "")
+    other = lambda side: F.col(f"{side}.category") == OTHER
+    bonus = (
+        F.when(named & same, 8).when(named & core, 4).otherwise(0)
+        + F.when((F.size("l.disc") > 0) & (F.col("l.disc") == F.col("r.disc")), 6).otherwise(0)
+        + F.when((F.col("l.category") == F.col("r.category")) & ~other("l"), 3).when((F.col("l.category") != F.col("r.category")) & ~other("l") & ~other("r"), -5).otherwise(0)
+        + F.when(F.col("l.family") == F.col("r.family"), 6).when(F.col("l.family").isNotNull() & F.col("r.family").isNotNull() & F.col("l.family_status").isin("exact", "probable"), -8).otherwise(0)
+        + F.when(F.col("r.occurrences") > 0, F.least(1.5 * F.log10(F.col("r.occurrences") + 1), F.lit(2.5))).otherwise(0.0)
+    )
+    out = pairs.join(left.select(F.struct("*").alias("l")), F.col("l_name") == F.col("l.name")).join(right.select(F.struct("*").alias("r")), F.col("r_name") == F.col("r.name"))
+    both_empty = (F.col("l.skel") == "") & (F.col("r.skel") == "")
+    out = out.withColumn("ngram", F.when(both_empty, 100.0).otherwise(100.0 * ngram_jaccard(F.col("l.skel"), F.col("r.skel")))).withColumn("signal", _signal_score()).withColumn("conflicts", _conflicts())
+    cost = F.aggregate("conflicts", F.lit(0), lambda n, g: n + F.element_at(F.create_map(*[F.lit(x) for kv in CONFLICTS.items() for x in kv]), g))
+    out = out.withColumn("bonus", bonus - cost).withColumn("exact", F.col("l.cleaned") == F.col("r.cleaned"))
+    # A ratio is at most what the lengths allow.
+    most = lambda c: 200.0 * F.least(F.length(f"l.{c}"), F.length(f"r.{c}")) / F.greatest(F.length(f"l.{c}") + F.length(f"r.{c}"), F.lit(1))
+    plain = F.col("ngram") * WEIGHTS["ngram"] + F.col("signal") * WEIGHTS["signal"]
+    bound = plain + most("cleaned") * WEIGHTS["token_sort"] + 100.0 * (WEIGHTS["token_set"] + WEIGHTS["partial"]) + most("stripped") * WEIGHTS["stripped"] + most("skel") * WEIGHTS["skeleton"] + F.col("bonus")
+    out = out.filter(F.col("exact") | (bound >= floor))
+    out = out.withColumn("lc", F.col("l.cleaned")).withColumn("rc", F.col("r.cleaned")).withColumn("ls", F.col("l.stripped")).withColumn("rs", F.col("r.stripped")).withColumn("lk", F.col("l.skel")).withColumn("rk", F.col("r.skel"))
+    out = out.withColumn("f", fuzzy_ratios("lc", "rc")).withColumn("fs", indel_ratio("ls", "rs")).withColumn("fk", indel_ratio("lk", "rk"))
+    parts = {"token_sort": F.col("f.token_sort"), "token_set": F.col("f.token_set"), "partial": F.col("f.partial"), "stripped": F.when(named, F.col("fs")).otherwise(0.0), "skeleton": F.when((F.col("lk") != "") & (F.col("rk") != ""), F.col("fk")).otherwise(0.0), "ngram": F.col("ngram"), "signal": F.col("signal")}
+    base = sum((parts[k] * w for k, w in WEIGHTS.items()), F.lit(0.0))
+    score = F.greatest(F.lit(0.0), F.when(F.col("exact"), F.greatest(base, F.lit(99.0))).otherwise(base) + F.col("bonus"))
+    return out.select("l_name", "r_name", F.col("l.cleaned").alias("l_cleaned"), F.col("r.code").alias("code"), F.round(score, 2).alias("raw_score"), (F.col("exact") | (named & same)).alias("exact"), "conflicts")
+
+
+def map_services(
+    lines: DataFrame, codebook: DataFrame, name: str = "name", k: int = TOP_K, signals: dict[str, dict[str, Sequence[str]]] | None = None, terms: Sequence[str] = (), blacklist: DataFrame | None = None
+) -> DataFrame:
+    """ER1: per distinct name the k best codes (raw score at least 45, each code by its best name), score being capped at
+    100. lines and codebook: of name_features(), whose other columns may be missing; blacklist(cleaned, code): pairs that
+    must not be matched. Names are mapped once; join back to lines on l_name."""
+    named = lambda df: name_features(df.withColumnRenamed(name, "name").dropDuplicates(["name"] + [c for c in ("code",) if c in df.columns]), signals or {}, terms)
+    left, right = named(lines), named(codebook)
+    scored = mapper_score(block_pairs(left, right), left.dropDuplicates(["name"]), right).filter(F.col("raw_score") >= FLOOR)
+    if blacklist is not None:
+        scored = scored.join(blacklist.select(F.col("cleaned").alias("l_cleaned"), "code"), ["l_cleaned", "code"], "left_anti")
+    of_code = top1(scored, ["l_name", "code"], [F.col("raw_score").desc(), F.col("r_name")])
+    best = topk(of_code, ["l_name"], [F.col("raw_score").desc(), F.col("code")], k, rank="rank")
+    return best.withColumn("score", F.least(F.lit(100.0), "raw_score")).withColumn("conflict", F.size("conflicts") > 0)
 
 
 def mapping_confidence(score: Column, gap: Column, conflict: Column, exact: Column) -> Column:
     """ER3: HIGH, MEDIUM, LOW or REVIEW."""
-    return F.when(conflict, "REVIEW").when(exact | ((score >= 92) & (gap >= 3)), "HIGH").when((score >= 85) & (gap >= 2), "MEDIUM").when(score >= 70, "LOW").otherwise("REVIEW")
+    clashing = F.when(exact & (score >= 90) & (gap >= 8), "MEDIUM").when((score >= 84) & (gap >= 6), "LOW").otherwise("REVIEW")
+    clear = F.when(exact | ((score >= 93) & (gap >= 4)), "HIGH").when((score >= 87) & (gap >= 2.5), "MEDIUM").when(score >= 80, "LOW").otherwise("REVIEW")
+    return F.when(conflict, clashing).otherwise(clear)
 
 
 def mapping_policy(score: Column, gap: Column, confidence: Column, exact_like: Column) -> Column:
@@ -87,9 +139,9 @@ def mapping_policy(score: Column, gap: Column, confidence: Column, exact_like: C
 def resolve_names(mapped: DataFrame) -> DataFrame:
     """The first candidate of each name with gap, confidence and policy. mapped: of map_services()."""
     w = Window.partitionBy("l_name").orderBy("rank")
-    out = mapped.withColumn("gap", F.round(F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0)), 2)).filter("rank = 1")
-    out = out.withColumn("confidence", mapping_confidence(F.col("score"), F.col("gap"), F.col("conflict"), F.col("exact")))
-    return out.withColumn("policy", mapping_policy(F.col("score"), F.col("gap"), F.col("confidence"), F.col("exact")))
+    out = mapped.withColumn("gap", F.round(F.col("raw_score") - F.coalesce(F.lead("raw_score").over(w), F.lit(0.0)), 2)).filter("rank = 1")
+    out = out.withColumn("confidence", mapping_confidence(F.col("raw_score"), F.col("gap"), F.col("conflict"), F.col("exact")))
+    return out.withColumn("policy", mapping_policy(F.col("raw_score"), F.col("gap"), F.col("confidence"), F.col("exact")))
 
 
 def tfidf(docs: DataFrame, key: str, terms: str) -> DataFrame:
@@ -124,19 +176,30 @@ def map_services_hybrid(queries: DataFrame, catalog: DataFrame, k: int = 5, shor
     return topk(scored.select("query_id", "catalog_id", "score"), ["query_id"], [F.col("score").desc(), F.col("catalog_id")], k, rank="rank")
 
 
-def family_of(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """ER6: each text's family: 0.7 * best + 0.25 * mean of the best three + 0.05 * hits (capped at 1), over token
-    Jaccard with the family's aliases. texts(id, tokens), aliases(family, alias_tokens)."""
-    a = texts.select("id", "tokens", F.explode("tokens").alias("t"))
-    b = aliases.select("family", "alias_tokens", F.explode("alias_tokens").alias("t"))
-    from ..functions.text import jaccard
-
-    pairs = a.join(b, "t").drop("t").distinct().withColumn("s", jaccard(F.col("tokens"), F.col("alias_tokens")))
-    best = F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 3)
-    sums = pairs.groupBy("id", "family").agg(best.alias("top"), F.count(F.lit(1)).alias("hits"))
+def family_of(texts: DataFrame, aliases: DataFrame, partial: bool = True) -> DataFrame:
+    """ER6: each text's family: 0.7 * best + 0.25 * mean of the best three + 0.05 * hits (aliases of 0.65 or more, three at
+    most, a third each), with top_alias_score, gap to the second family and status. An alias scores 1 if the cleaned texts
+    are equal, 0.995 folded, 0.99 without noise, else the better of 0.92 * partial ratio (left out with partial=False) and
+    0.95 * the mean of the covered shares of both token sets. texts(id, text), aliases(family, alias)."""
+    forms = lambda df, c, key: df.select(*key, clean_service_name(F.col(c))["name"].alias("c")).withColumn("s", strip_noise(F.col("c"))).withColumn("f", norm_key(F.col("c"))).withColumn("w", F.array_distinct(F.split("f", " "))).filter("f <> ''")
+    t, a = forms(texts, "text", ["id"]), forms(aliases, "alias", ["family", "alias"]).dropDuplicates(["family", "f"])
+    each = lambda df, key: df.select(*key, F.explode("w").alias("t"))
+    met = each(t, ["id"]).join(each(a, ["family", "alias"]), "t").groupBy("id", "family", "alias").agg(F.count(F.lit(1)).alias("n"))
+    sided = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    both = met.join(sided(t, "t"), F.col("id") == F.col("t_id")).join(sided(a, "a"), (F.col("family") == F.col("a_family")) & (F.col("alias") == F.col("a_alias")))
+    overlap = 0.95 * (0.5 * F.col("n") / F.size("a_w") + 0.5 * F.col("n") / F.size("t_w"))
+    equal = F.when(F.col("t_c") == F.col("a_c"), 1.0).when(F.col("t_f") == F.col("a_f"), 0.995).when(F.col("t_s") == F.col("a_s"), 0.99).otherwise(0.0)
+    near = 0.92 * fuzzy_ratios("t_f", "a_f")["partial"] / 100.0 if partial else F.lit(0.0)
+    scored = both.select("id", "family", "alias", F.round(F.least(F.lit(1.0), F.greatest(overlap, equal, near)), 4).alias("s"))
+    top = F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 3)
+    sums = scored.groupBy("id", "family").agg(top.alias("top"), F.count_if(F.col("s") >= 0.65).alias("hits"))
     mean = F.aggregate("top", F.lit(0.0), lambda x, y: x + y) / F.size("top")
-    scored = sums.select("id", "family", F.round(0.7 * F.col("top")[0] + 0.25 * mean + 0.05 * F.least(F.col("hits") / 3.0, F.lit(1.0)), 4).alias("score"))
-    return top1(scored, ["id"], [F.col("score").desc(), F.col("family")])
+    score = F.least(F.lit(1.0), 0.7 * F.col("top")[0] + 0.25 * mean + 0.05 * F.least(F.col("hits"), F.lit(3)) / 3.0)
+    scored = sums.select("id", "family", F.round(score, 4).alias("score"), F.col("top")[0].alias("top_alias_score"))
+    order = [F.col("score").desc(), F.col("top_alias_score").desc(), F.col("family")]
+    ranked = topk(scored, ["id"], order, 2, rank="rank").withColumn("gap", F.round(F.col("score") - F.lead("score").over(Window.partitionBy("id").orderBy("rank")), 4)).filter("rank = 1")
+    status = F.when(F.col("score") >= 0.98, "exact").when((F.col("score") >= 0.82) & (F.col("gap").isNull() | (F.col("gap") >= 0.08)), "probable").when(F.col("score") >= 0.68, "ambiguous").otherwise("unknown")
+    return ranked.drop("rank").withColumn("status", status)
 
 
 def cluster_names(names: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -169,8 +232,6 @@ def cluster_names(names: DataFrame, edges: DataFrame, rounds: int = 100) -> Data
 def review_variants(variants: DataFrame, terms: Sequence[str]) -> DataFrame:
     """ER8: verdict (right, wrong) and reason for each variant(name, canonical) by a cascade: equal skeletons, different
     discriminating terms, different numbers, then n-gram similarity."""
-    from ..functions.text import discriminator
-
     a, b = norm_key(F.col("name")), norm_key(F.col("canonical"))
     numbers = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)))
     near = ngram_jaccard(a, b)
@@ -197,18 +258,30 @@ def canonicalise(mentions: DataFrame, concepts: DataFrame) -> DataFrame:
     return mentions.select("mention_id").join(best, "mention_id", "left").withColumn("status", F.coalesce("status", F.lit("unknown")))
 
 
-def match_signs(signs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """ER10: catalogue signs for each phrase: 1.0 equal, 0.94 all the phrase's tokens, 0.82 all the sign's tokens (at
-    least two), 0.74 a single token, else .35 + .35 c + .15 cc + .15 j with c, cc the covered shares of phrase and sign
-    and j Jaccard; cut at 0.55. signs(phrase), catalog(sign_id, label)."""
-    words = lambda df, k: df.select(k, F.array_distinct(F.split(norm_key(F.col(k if k == "phrase" else "label")), " ")).alias("w"))
-    a = words(signs.select("phrase").distinct(), "phrase").select("phrase", F.size("w").alias("n"), F.explode("w").alias("t"))
-    b = words(catalog, "sign_id").select("sign_id", F.size("w").alias("m"), F.explode("w").alias("t"))
-    hit = a.join(b, "t").groupBy("phrase", "sign_id").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.count(F.lit(1)).alias("h"))
-    n, m, h = F.col("n"), F.col("m"), F.col("h")
+# Tokens that say nothing about a sign.
+GENERIC_SIGNS = "benh kham benhnhan nguoi tinh tot thang hien tai khong co gi dac biet binh thuong the trang vien vao den ly do".split()
+MOST_SIGNS = 8
+
+
+def match_signs(signs: DataFrame, catalog: DataFrame, k: int = MOST_SIGNS, generic: Sequence[str] = GENERIC_SIGNS) -> DataFrame:
+    """ER10: the k best catalogue signs for each phrase: 1.0 equal, 0.94 if the tokens of one (two or more in both) stand
+    in a row in the other, 0.35 + 0.35 c + 0.15 cc + 0.15 j from two shared tokens on, with c, cc the covered shares of
+    phrase and sign and j Jaccard, 0.74 if both have one token of three letters or more and share it; cut at 0.55. Generic
+    tokens don't count, nor do numbers and single letters of the phrase. signs(phrase), catalog(sign_id, label)."""
+    none = F.array(*[F.lit(g) for g in generic]).cast("array<string>")
+    telling = lambda c: F.filter(F.split(c, " "), lambda t: (t != "") & ~F.array_contains(none, t))
+    a = signs.select("phrase").distinct().withColumn("key", norm_key(F.col("phrase"))).withColumn("w", F.filter(telling(F.col("key")), lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$")))
+    b = catalog.select("sign_id", norm_key(F.col("label")).alias("key")).withColumn("w", telling(F.col("key")))
+    each = lambda df, c, p: df.select(c, F.col("key").alias(f"{p}_key"), F.col("w").alias(f"{p}_w"), F.explode(F.array_distinct(F.concat("w", F.array(F.concat(F.lit("="), "key"))))).alias("t"))
+    hit = each(a, "phrase", "a").join(each(b, "sign_id", "b"), "t").groupBy("phrase", "sign_id").agg(F.count_if(~F.startswith("t", F.lit("="))).alias("h"), *[F.any_value(c).alias(c) for c in ("a_key", "b_key", "a_w", "b_w")])
+    n, m, h = F.size(F.array_distinct("a_w")), F.size(F.array_distinct("b_w")), F.col("h")
+    row = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    in_row = (F.size("a_w") >= 2) & (F.size("b_w") >= 2) & (F.contains(row("a_w"), row("b_w")) | F.contains(row("b_w"), row("a_w")))
     formula = 0.35 + 0.35 * h / n + 0.15 * h / m + 0.15 * h / (n + m - h)
-    score = F.when((h == n) & (h == m), 1.0).when((h == n) & (n >= 2), 0.94).when((h == m) & (m >= 2), 0.82).when(F.least(n, m) == 1, 0.74).otherwise(formula)
-    return hit.select("phrase", "sign_id", F.round(score, 4).alias("score")).filter("score >= 0.55")
+    single = (n == 1) & (m == 1) & (h == 1) & (F.length(F.get("a_w", F.lit(0))) >= 3)
+    score = F.when((F.col("a_key") != "") & (F.col("a_key") == F.col("b_key")), 1.0).when(in_row, 0.94).when(h >= 2, formula).when(single, 0.74).otherwise(0.0)
+    scored = hit.select("phrase", "sign_id", F.round(score, 4).alias("score")).filter("score >= 0.55")
+    return topk(scored, ["phrase"], [F.col("score").desc(), F.col("sign_id")], k)
 
 
 def sign_catalog(edges: DataFrame) -> DataFrame:
@@ -216,12 +289,13 @@ def sign_catalog(edges: DataFrame) -> DataFrame:
     return edges.groupBy(norm_key(F.col("sign")).alias("key")).agg(F.max_by("sign", F.struct("cases", "sign")).alias("label"), F.sum("cases").alias("support_cases"), F.count_distinct("disease").alias("n_diseases"))
 
 
-def route_disease(queries: DataFrame, diseases: DataFrame, coverage: float = 0.4, longest: int = 6) -> DataFrame:
+def route_disease(queries: DataFrame, diseases: DataFrame, coverage: float = 0.4) -> DataFrame:
     """ER12: the disease whose name is the longest phrase of the query, or whose name's words cover enough of it.
     queries(query_id, text), diseases(disease_id, name)."""
     d = diseases.select("disease_id", norm_key(F.col("name")).alias("key"))
+    longest = d.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 0
     q = queries.select("query_id", F.split(norm_key(F.col("text")), " ").alias("w"))
-    grams = F.flatten(F.array(*[F.when(F.size("w") >= n, _grams("w", n)).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]))
+    grams = F.flatten(F.array(*[F.when(F.size("w") >= n, _grams("w", n)).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)], F.array().cast("array<string>")))
     whole = q.select("query_id", F.explode(F.array_distinct(grams)).alias("key")).join(d, "key").select("query_id", "disease_id", F.lit(1.0).alias("score"), F.length("key").alias("size"))
     words = d.select("disease_id", F.size(F.array_distinct(F.split("key", " "))).alias("n"), F.length("key").alias("size"), F.explode(F.array_distinct(F.split("key", " "))).alias("t"))
     part = q.select("query_id", F.explode(F.array_distinct("w")).alias("t")).join(words, "t").groupBy("query_id", "disease_id").agg(F.round(F.count(F.lit(1)) / F.max("n"), 4).alias("score"), F.max("size").alias("size")).filter(F.col("score") >= coverage)
@@ -268,8 +342,8 @@ def _without_overlaps(spans: pd.Series) -> pd.Series:
     return spans.map(_apart)
 
 
-def annotate(texts: DataFrame, terms: DataFrame, longest: int = 6) -> DataFrame:
-    """ER17: (id, start, end, term): where dictionary terms of up to ``longest`` words stand in the words of texts, the
+def annotate(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """ER17: (id, start, end, term): where dictionary terms stand in the words of texts, the
     longest first, then the earliest, none overlapping. Offsets are word numbers from 0. texts(id, text), terms(term).
 
     The word n-grams of the texts meet the terms in an equi join; only what a text matches is gathered, and one Arrow
@@ -279,7 +353,7 @@ def annotate(texts: DataFrame, terms: DataFrame, longest: int = 6) -> DataFrame:
     none = F.array().cast("array<struct<start:int,end:int,term:string>>")
     d = terms.select(norm_key(F.col("term")).alias("term")).distinct().filter("term <> ''")
     fit = None
-    for n in range(1, longest + 1):
+    for n in range(1, max(1, d.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 0) + 1):
         hits = w.select("id", F.explode(F.coalesce(gram(n), none)).alias("g")).select("id", "g.*").join(d.filter(F.size(F.split("term", " ")) == n), "term")
         fit = hits if fit is None else fit.unionByName(hits)
     order = F.sort_array(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("n"), "start", "end", "term")))

@@ -113,14 +113,36 @@ def contract_verdict(spark: SparkSession, d: str) -> DataFrame:
     return decisions.contract_verdict(rows).select(*_KEY, "contract.decision", F.col("contract.confidence").cast("double").alias("confidence"))
 
 
-@query("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'financial' WHEN 1 THEN 'documentation' WHEN 2 THEN 'hard_deny' WHEN 3 THEN 'soft_review' WHEN 4 THEN 'review' ELSE 'ignore' END AS signal, CASE p_size % 6 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 4 WHEN 4 THEN 5 ELSE 9 END AS priority FROM part")
+@query("""WITH r AS (SELECT p_partkey, p_type, ['MA01', 'ma07', 'Ma03', 'ma05', 'MA39', NULL, 'x9'][p_size % 7 + 1] AS code, ['Đồng chi trả', 'Thiếu chứng từ', 'Không thuộc quyền lợi', 'Tầm soát', 'khác', NULL][p_partkey % 6 + 1] AS reason, CASE WHEN p_partkey % 10 = 0 THEN 'keyword_contract_exclusion' END AS source FROM part),
+s AS (SELECT p_partkey, CASE lower(code) WHEN 'ma01' THEN 'financial' WHEN 'ma07' THEN 'documentation' WHEN 'ma03' THEN CASE WHEN contains(lower(p_type), 'med') THEN 'hard_deny' ELSE 'ignore' END WHEN 'ma05' THEN 'hard_deny' WHEN 'ma39' THEN 'soft_review'
+  ELSE CASE WHEN source IS NOT NULL THEN 'soft_review' WHEN reason = 'Đồng chi trả' THEN 'financial' WHEN reason = 'Thiếu chứng từ' THEN 'documentation' WHEN reason = 'Tầm soát' THEN 'soft_review' WHEN reason = 'Không thuộc quyền lợi' THEN 'hard_deny' ELSE 'review' END END AS signal FROM r)
+SELECT p_partkey, signal, CASE signal WHEN 'hard_deny' THEN 4 WHEN 'documentation' THEN 3 WHEN 'financial' THEN 2 WHEN 'ignore' THEN 0 ELSE 1 END AS priority FROM s""")
 def exclusion_classes(spark: SparkSession, d: str) -> DataFrame:
-    """AD2: reasons by part size."""
-    reasons = F.array(*[F.lit(x) for x in ("Đồng chi trả", "Thiếu chứng từ", "Không thuộc phạm vi", "Tầm soát", "Điểm loại trừ", "khác")])
-    v = decisions.exclusion_class(F.get(reasons, (F.col("p_size") % 6).cast("int")))
+    """AD2: exclusions with a code by part size, a reason and a source by part number."""
+    pick = lambda names, k: F.get(F.array(*[F.lit(x) for x in names]), k.cast("int"))
+    code = pick(("MA01", "ma07", "Ma03", "ma05", "MA39", None, "x9"), F.col("p_size") % 7)
+    reason = pick(("Đồng chi trả", "Thiếu chứng từ", "Không thuộc quyền lợi", "Tầm soát", "khác", None), F.col("p_partkey") % 6)
+    v = decisions.exclusion_class(reason, code, source=F.when(F.col("p_partkey") % 10 == 0, "keyword_contract_exclusion"), category=F.col("p_type"))
     return table(spark, d, "part").select("p_partkey", v.alias("v")).select("p_partkey", "v.*")
 
 
+@query(f"""WITH l AS (SELECT {_K}, 'S' || l_partkey % 40 AS s, 'C' || lpad((l_suppkey % 30)::VARCHAR, 2, '0') || '.' || l_linenumber % 3 AS i FROM lineitem), p AS (SELECT DISTINCT 'S' || p_partkey % 40 AS s, 'C' || lpad((p_size % 10)::VARCHAR, 2, '0') || '.1' AS i FROM part WHERE p_partkey % 3 = 0),
+m AS (SELECT 'S' || p_partkey % 40 AS s, 'C' || lpad((p_size % 25)::VARCHAR, 2, '0') || '.' || p_partkey % 3 AS i, max(p_size / 50.0::DOUBLE) AS score FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2), g AS (SELECT s, i[1:3] AS i, max(score) AS score FROM m GROUP BY 1, 2),
+x AS (SELECT l.*, EXISTS (SELECT 1 FROM p WHERE p.s = l.s AND p.i = l.i) AS listed, coalesce((SELECT score FROM m WHERE m.s = l.s AND m.i = l.i), (SELECT score FROM g WHERE g.s = l.s AND g.i = l.i[1:3])) AS score, l.i IN (SELECT i FROM p) OR l.i[1:3] IN (SELECT i FROM g) AS coverage FROM l)
+SELECT {_K}, listed OR score IS NOT NULL AS supported, CASE WHEN listed THEN 0.95 WHEN score IS NOT NULL THEN round(greatest(0.72, least(0.9, 0.55::DOUBLE + 0.35::DOUBLE * score)), 4) WHEN coverage THEN 0.78 ELSE 0 END::DOUBLE AS confidence, listed OR score IS NOT NULL OR coverage AS coverage FROM x""")
+def known_disease(spark: SparkSession, d: str) -> DataFrame:
+    """CL7: lines against a protocol and a matrix made of the parts."""
+    code = lambda a, n, b: F.concat(F.lit("C"), F.lpad((a % n).cast("string"), 2, "0"), F.lit("."), b.cast("string"))
+    service = lambda c: F.concat(F.lit("S"), (F.col(c) % 40).cast("string")).alias("service_code")
+    p = table(spark, d, "part")
+    protocol = p.filter("p_partkey % 3 = 0").select(service("p_partkey"), code(F.col("p_size"), 10, F.lit(1)).alias("icd10"))
+    matrix = p.filter("p_partkey % 2 = 0").select(service("p_partkey"), code(F.col("p_size"), 25, F.col("p_partkey") % 3).alias("icd10"), (F.col("p_size") / 50.0).alias("score"))
+    rows = lines(spark, d).select(*_KEY, service("l_partkey"), code(F.col("l_suppkey"), 30, F.col("l_linenumber") % 3).alias("icd10"))
+    asked = rows.select("service_code", "icd10").distinct().withColumn("line_id", F.struct("service_code", "icd10"))
+    found = clinical.known_disease_support(asked, protocol, matrix)
+    return rows.join(found.select("service_code", "icd10", "support.*"), ["service_code", "icd10"]).select(*_KEY, "supported", F.col("confidence").cast("double").alias("confidence"), "coverage")
+
+
 @query(f"SELECT {_K}, coalesce(CASE WHEN l_tax > 0.04 THEN l_returnflag END, o_orderstatus) AS status, CASE WHEN l_returnflag = o_orderpriority THEN 1 ELSE 2 END AS n_symptoms FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey IS NOT NULL")
 def claim_defaults(spark: SparkSession, d: str) -> DataFrame:
     """AD8, ST3."""
@@ -138,14 +160,14 @@ def asset_trace(spark: SparkSession, d: str) -> DataFrame:
     return govern.asset_trace(assets, docs.select("source", F.col("lang").alias("label"))).withColumn("labels", F.concat_ws(",", "labels"))
 
 
-@query("""WITH c AS (SELECT doc_id, i AS chunk_id, i * 500 AS c0, least(i * 500 + 600, n_chars) AS c1 FROM (SELECT doc_id, n_chars, unnest(range(0, n_chars // 500 + 1)) AS i FROM documents)), l AS (SELECT doc_id AS label_id, doc_id, n_chars // 3 AS s, n_chars // 3 + 20 AS e FROM documents WHERE n_chars > 60)
+@query("""WITH c AS (SELECT doc_id, i AS chunk_id, i * 500 AS c0, least(i * 500 + 600, n_chars) AS c1 FROM (SELECT doc_id, n_chars, unnest(range(0, n_chars // 500 + 1)) AS i FROM documents)), l AS (SELECT doc_id AS label_id, doc_id, n_chars // 3 AS s, least(n_chars // 3 + 20, n_chars) AS e FROM documents)
 SELECT label_id, chunk_id, s - c0 AS "offset" FROM l JOIN c USING (doc_id) WHERE s >= c0 AND e <= c1 QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY c1 - c0, chunk_id) = 1""")
 def apply_labels(spark: SparkSession, d: str) -> DataFrame:
     """KG5: a span of every document on overlapping chunks of it."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
     chunks = docs.select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.floor(F.col("n_chars") / 500))).alias("chunk_id")).select("doc_id", "chunk_id", (F.col("chunk_id") * 500).alias("start"), F.least(F.col("chunk_id") * 500 + 600, "n_chars").alias("end"))
     at = F.floor(F.col("n_chars") / 3)
-    labels = docs.filter("n_chars > 60").select("doc_id", F.col("doc_id").alias("label_id"), at.alias("start"), (at + 20).alias("end"))
+    labels = docs.select("doc_id", F.col("doc_id").alias("label_id"), at.alias("start"), F.least(at + 20, "n_chars").alias("end"))
     return govern.apply_labels(chunks, labels).select("label_id", "chunk_id", "offset")
 
 
@@ -157,11 +179,13 @@ def sign_summary(spark: SparkSession, d: str) -> DataFrame:
     return catalog.join(e.groupBy(F.col("sign").alias("key")).agg(F.max("disease").cast("string").alias("top")), "key").select("key", "top", F.col("support_cases").alias("n"))
 
 
-@query("""WITH a AS (SELECT DISTINCT p_name AS phrase, list_distinct(string_split(p_name, ' ')) AS w FROM part), b(sign_id, v) AS (VALUES (1, ['small', 'widget']), (2, ['bolt']), (3, ['large', 'shiny', 'bolt'])),
-s AS (SELECT phrase, sign_id, len(w) AS n, len(v) AS m, len(list_intersect(w, v)) AS h FROM a, b WHERE len(list_intersect(w, v)) > 0), t AS (SELECT phrase, sign_id, round((CASE WHEN h = n AND h = m THEN 1.0 WHEN h = n AND n >= 2 THEN 0.94 WHEN h = m AND m >= 2 THEN 0.82 WHEN least(n, m) = 1 THEN 0.74 ELSE 0.35 + 0.35 * h / n + 0.15 * h / m + 0.15 * h / (n + m - h) END)::DOUBLE, 4) AS score FROM s) SELECT * FROM t WHERE score >= 0.55""")
+@query("""WITH a AS (SELECT DISTINCT p_name AS phrase, string_split(p_name, ' ') AS w FROM part), b(sign_id, label) AS (VALUES (1, 'small widget'), (2, 'bolt'), (3, 'large shiny bolt'), (4, 'widget cold small')),
+s AS (SELECT phrase, sign_id, label, string_split(label, ' ') AS v, w, len(list_intersect(w, string_split(label, ' '))) AS h FROM a, b),
+t AS (SELECT phrase, sign_id, round((CASE WHEN phrase = label THEN 1.0 WHEN len(w) >= 2 AND len(v) >= 2 AND (contains(' ' || phrase || ' ', ' ' || label || ' ') OR contains(' ' || label || ' ', ' ' || phrase || ' ')) THEN 0.94
+  WHEN h >= 2 THEN 0.35 + 0.35 * h / len(list_distinct(w)) + 0.15 * h / len(v) + 0.15 * h / (len(list_distinct(w)) + len(v) - h) WHEN len(list_distinct(w)) = 1 AND len(v) = 1 AND h = 1 THEN 0.74 ELSE 0 END)::DOUBLE, 4) AS score FROM s) SELECT * FROM t WHERE score >= 0.55 QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY score DESC, sign_id) <= 8""")
 def match_signs(spark: SparkSession, d: str) -> DataFrame:
     """ER10."""
-    catalog = spark.createDataFrame([(1, "small widget"), (2, "bolt"), (3, "large shiny bolt")], "sign_id int, label string")
+    catalog = spark.createDataFrame([(1, "small widget"), (2, "bolt"), (3, "large shiny bolt"), (4, "widget cold small")], "sign_id int, label string")
     return match.match_signs(table(spark, d, "part").select(F.col("p_name").alias("phrase")), catalog)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from claimspark.functions import text as T
 from claimspark.functions.fuzzy import partial_ratio, ratio, token_set_ratio, token_sort_ratio
 from claimspark.functions.registry import register
-from claimspark.operators import clinical, decisions, govern, match, usage
+from claimspark.operators import clinical, decisions, evaluate, govern, match, usage
 from claimspark.operators.documents import rrf
 
 
@@ -108,12 +108,14 @@ def test_text(spark):
     assert x(T.parse_vnd(F.lit("1.042.300 đ"))) == 1042300 and x(T.parse_vnd(F.lit("-"))) is None
     assert str(x(T.parse_date(F.lit("05/03/2024")))) == "2024-03-05"
     assert x(T.icd_extract(F.lit("viêm tai (h66.9)"))) == "H66.9" and x(T.icd_group(F.lit("h66.9"))) == "H66"
-    assert x(T.clause_refs(F.lit("theo Điều 5, Điều 5 và Khoản 2.1"))) == ["Điều 5", "Khoản 2.1"]
-    assert [tuple(m) for m in x(T.service_mentions(F.lit("Chi phí siêu âm (100.000 vnd), tổng (5); nội soi (250.000)")))] == [("siêu âm", 100000), ("nội soi", 250000)]
+    assert x(T.clause_refs(F.lit("theo Quy tắc số 12/QĐ; Khoản 5 Điều 3, Chương II. khoản 5 Điều 3, và Khoản 5 Điều 3,"))) == ["Khoản 5 Điều 3, Chương II", "khoản 5 Điều 3, và Khoản 5 Điều 3,", "Chương II", "Quy tắc số 12/QĐ"]
+    assert [tuple(m) for m in x(T.service_mentions(F.lit("Chi tiết: chi phí siêu âm tim bằng 100.000 VNĐ; nội soi bằng 250.000 đồng, và Quyền lợi bằng 5 VND")))] == [("siêu âm tim", 100000), ("nội soi", 250000)]
     note = x(T.note_signals(F.lit("Đồng chi trả: 1.000.000 x 80% = 800.000, tối đa 500.000 đồng / lần khám"), F.array(F.lit("Tầm soát"))))
     assert (note.copay_flag, note.copay_percent, note.screening_flag, note.limit_per_visit_vnd, note.formula.formula_paid_vnd) == (True, 20, True, 500000, 800000)
+    assert x(T.note_signals(F.lit("hạn mức bằng 300.000 VNĐ cho mỗi người / ngày nằm viện"), F.array().cast("array<string>")))["limit_per_day_vnd"] == 300000
     assert x(T.phrases(F.lit("sốt cao liên tục, ho"), low=2, high=3)) == ["sot cao lien", "cao lien tuc", "sot cao", "cao lien", "lien tuc", "ho"]
     assert x(T.risk_kinds(F.lit("Đồng chi trả và hạn mức"))) == ["copay", "limit"] and x(T.risk_kinds(F.lit("?"))) == ["other"]
+    assert x(T.risk_kinds(F.lit("Kiểm tra, bệnh có sẵn, nộp muộn giấy ra viện"))) == ["screening", "documents", "waiting_period", "late_submission"]
     assert x(T.category_covered(F.lit("LAB-HEM"), F.array(F.lit("LAB-*")))) and not x(T.category_covered(F.lit("IMG"), F.array(F.lit("LAB-*"))))
     assert [x(T.graded_match(F.lit("sieu am"), F.lit(n))) for n in ("Siêu âm", "siêu âm tim", "khám siêu âm", "x")] == [1.0, 0.96, 0.9, 0.0]
     assert x(T.snippet(F.lit("a" * 50 + "needle" + "b" * 50), F.lit("NEEDLE"), 20)) == "a" * 10 + "needle" + "b" * 4
@@ -122,6 +124,45 @@ def test_text(spark):
     assert x(T.section_type(F.lit("2. Điều trị"), F.lit(""))) == "treatment"
 
 
+def test_mapper_score(spark):
+    """Hand-computed: the seven parts of one pair, then bonuses and penalties."""
+    signals = {"analytes": {"alt": ("alt", "gpt"), "ast": ("ast", "got")}, "modalities": {"ct": ("ct",)}}
+    names = lambda *rows: spark.createDataFrame(rows, "name string, category string, family string, family_status string, occurrences int")
+    lines = names(("[DV] Định lượng GPT | phòng 2", "LAB", "f1", "exact", 0))
+    book = names(("định lượng alt", "LAB", "f1", "exact", 9), ("định lượng ast", "IMG", "f2", "exact", 0), ("định lượng gpt", "LAB", None, "unknown", 0))
+    got = {r.r_name: r for r in match.map_services(lines, book, signals=signals).collect()}
+    assert got["định lượng gpt"].exact and got["định lượng gpt"].raw_score == 111.0 and got["định lượng gpt"].score == 100.0  # 100, +8 same core, +3 category
+    a, b = "định lượng gpt", "định lượng alt"
+    grams = lambda w: {w[i : i + 3] for i in range(len(w) - 2)}
+    ka, kb = "dinhluonggpt", "dinhluongalt"
+    base = 0.24 * token_sort_ratio(a, b) + 0.14 * token_set_ratio(a, b) + 0.08 * partial_ratio(a, b) + 0.14 * ratio(a, b) + 0.16 * ratio(ka, kb) + 12 * len(grams(ka) & grams(kb)) / len(grams(ka) | grams(kb)) + 12
+    assert got[b].raw_score == pytest.approx(base + 3 + 6 + 1.5, abs=0.01) and not got[b].conflict
+    assert "định lượng ast" not in got or (got["định lượng ast"].conflicts == ["analytes"] and got["định lượng ast"].raw_score < got[b].raw_score - 24)
+    assert not {r.r_name for r in match.map_services(lines, book, signals=signals, blacklist=spark.createDataFrame([("định lượng gpt", "định lượng gpt")], "cleaned string, code string")).collect()} & {"định lượng gpt"}
+
+
+@pytest.mark.parametrize("score, gap, conflict, exact, want", [(95, 1, False, True, "HIGH"), (93, 4, False, False, "HIGH"), (92.9, 9, False, False, "MEDIUM"), (87, 2.4, False, False, "LOW"), (79, 9, False, False, "REVIEW"), (90, 8, True, True, "MEDIUM"), (84, 6, True, False, "LOW"), (99, 5, True, True, "REVIEW")])
+def test_confidence(spark, score, gap, conflict, exact, want):
+    assert one(spark, match.mapping_confidence(F.lit(float(score)), F.lit(float(gap)), F.lit(conflict), F.lit(exact))) == want
+
+
+def test_families_signs_exclusions_and_duels(spark):
+    texts = spark.createDataFrame([(1, "siêu âm tim"), (2, "siêu âm tim thai"), (3, "x quang")], "id int, text string")
+    got = {r.id: r for r in match.family_of(texts, spark.createDataFrame([("tim", "siêu âm tim"), ("bung", "siêu âm bụng")], "family string, alias string")).collect()}
+    assert (got[1].family, got[1].score, got[1].status) == ("tim", round(0.95 + 0.05 / 3, 4), "probable") and 3 not in got
+    assert got[2].top_alias_score == 0.92  # the alias stands whole in the text: 0.92 * partial ratio, above 0.95 * (1 + 3/4) / 2
+    catalog = spark.createDataFrame([(1, "đau đầu"), (2, "đau đầu dữ dội kéo dài"), (3, "sốt"), (4, "đau nhiều vùng ngực")], "sign_id int, label string")
+    score = lambda p: {r.sign_id: r.score for r in match.match_signs(spark.createDataFrame([(p,)], "phrase string"), catalog).collect()}
+    assert score("đau đầu") == {1: 1.0, 2: 0.94} and score("đau ngực") == {4: round(0.35 + 0.35 + 0.15 * 2 / 4 + 0.15 * 2 / 4, 4)}
+    assert score("bệnh sốt") == {3: 0.74} and score("sốt cao") == {}
+    x = lambda *a, **k: tuple(one(spark, decisions.exclusion_class(*[F.lit(v) for v in a], **{n: F.lit(v) for n, v in k.items()})))
+    assert x("", "MA01") == ("financial", 2) and x("", "ma03") == ("ignore", 0) and x("", "ma03", service="Thuốc A") == ("hard_deny", 4)
+    assert x("Vượt hạn mức") == ("financial", 2) and x("?") == ("review", 1) and x("?", source="keyword_contract_exclusion") == ("soft_review", 1)
+    assert one(spark, evaluate.decision_match(F.lit("Medically necessary"), F.lit("pay"))) == "equivalent" and one(spark, evaluate.decision_match(F.lit("uncertain"), F.lit("review"))) == "mismatch"
+    soft = lambda e, s, i=None: one(spark, evaluate.soft_match(F.lit(e), F.lit(s), F.lit(i)))
+    assert [soft("Viêm phổi", "viem phoi"), soft("Viêm phổi", "viêm phổi nặng"), soft("Viêm phổi", "khó thở", "J18"), soft("viêm tai giữa", "viêm tai"), soft("a b c", "x")] == ["exact", "substring", "icd", "substring", "none"]
+
+
 def test_fuzzy():
     assert ratio("abcd", "abce") == 75.0 and ratio("", "") == 100.0
     assert partial_ratio("abc", "xxabcxx") == 100.0
