@@ -3,24 +3,23 @@
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by pattern and checked. Protected
 entities are the values found and what values have in common: the domain of an address, the /24 network of an IP address,
 the issuer of a card (six digits), the prefix of a phone number (five). What a term in the same text gives away about an
-entity is measured over the corpus: the pointwise mutual information of the two (from the numbers of different texts with
-either and with both) as a share of the entity's own information, -log2 of its probability. A share of 1 means that
-whoever reads the term knows the entity. The share is discounted for thin evidence by b / (b + 1) * m / (m + 1), b the
-texts with both and m those with the rarer of the two. Terms at or above DISCLOSURE after that are spans of the kind
-"term" in the texts that hold the entity. Sanitised texts have base spans generalised to their kind and such terms
-removed.
+entity is measured over the corpus: the pointwise mutual information of the two (from the numbers of documents with either
+and with both) as a share of the entity's own information, -log2 of its probability. A share of 1 means that whoever reads
+the term knows the entity. The share is discounted for thin evidence by (b / (b + 1))^2, b being the different texts with
+both. Terms at or above DISCLOSURE after that are spans of the kind "term" in the texts that hold the entity. Sanitised
+texts have base spans generalised to their kind and such terms removed.
 
-Bounds keep pairs few and lose none: as b and m are at most the texts of the entity, and of the term among texts with
-entities, either must be in so many that the discount alone leaves DISCLOSURE; and a term in too many texts tells too
-little of even the most frequent entity.
+Bounds keep pairs few and lose none: entity and term must be in so many different texts together that the discount alone
+leaves DISCLOSURE, and a term is in as many documents of the corpus at least as among those with entities, which bounds
+what it can tell before the corpus is counted.
 
 Only DataFrame functions are used. Offsets are code points, the end exclusive.
 
 The patterns are written so that matching takes time in proportion to the text: their runs don't give back characters,
 and a run without a match is not tried again from its middle; what they match is the same.
 
-Defined cases: a null text is empty and has no spans; repeated rows and equal texts have the same spans and count as one
-text; null ids are carried along; an empty table gives no rows.
+Defined cases: a null text is empty and has no spans; repeated rows and equal texts have the same spans and count as often
+as they occur but as one text; null ids are carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -141,35 +140,35 @@ def disclosing(docs: DataFrame, hits: DataFrame, disclosure: float = DISCLOSURE)
     """(digest, term): for each text that holds an entity which some of its terms give away, those terms. A written
     table. hits: of found()."""
     least = least_texts(disclosure)
-    of_text = F.any_value(F.struct("text", "spans")).alias("x")
-    texts = hits.filter(F.col("digest").isNotNull()).groupBy("digest").agg(of_text).select("digest", "x.*")
+    of_text = (F.any_value(F.struct("text", "spans")).alias("x"), F.count(F.lit(1)).alias("rows"))
+    texts = hits.filter(F.col("digest").isNotNull()).groupBy("digest").agg(*of_text).select("digest", "rows", "x.*")
     bare = F.col("text")
     for pattern in (EMAIL, IP, CARD, PHONE):
         bare = F.regexp_replace(bare, pattern, " ")
-    texts = cut(texts.select("digest", F.xxhash64("text").alias("hash"), entities_of(F.col("spans")).alias("entities"), terms_of(bare).alias("terms")), "pii-texts")
-    holds = texts.select("digest", F.explode("entities").alias("entity"))
-    entities = cut(holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= least), "pii-protected")
-    held = cut(holds.join(entities, "entity"), "pii-held")
-    everything = docs.agg(F.count_distinct(F.xxhash64(text_of())).alias("n"))
-    most = cut(entities.agg(F.max("n_entity").alias("most")).join(F.broadcast(everything), F.lit(True)), "pii-numbers")  # one row each
-    # A term in h texts or more tells an entity in e texts at most log2(n / h) of its log2(n / e) bits.
-    enough = F.log2(F.col("n") / F.col("n_held")) >= disclosure * F.log2(F.col("n") / F.col("most"))
+    terms = texts.select("digest", "rows", entities_of(F.col("spans")).alias("entities"), terms_of(bare).alias("terms"), terms_of(F.col("text")).alias("whole"))
+    texts = cut(terms, "pii-texts")
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    holds = texts.select("digest", "rows", F.explode("entities").alias("entity"))
+    entities = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("n_entity")).filter(F.col("texts") >= least)
+    entities = cut(entities.join(F.broadcast(n), F.lit(True)).filter("n > n_entity"), "pii-protected")  # one row of n
+    held = cut(holds.join(entities.select("entity", "n_entity", "n"), "entity"), "pii-held")
     own = texts.join(held.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode("terms").alias("term"))
-    told = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_held")).filter(F.col("n_held") >= least)
-    told = cut(told.join(F.broadcast(most), F.lit(True)).filter(enough).select("term", "n_held"), "pii-told")
-    terms = cut(own.join(told.select("term"), "term", "left_semi"), "pii-terms")
-    met = terms.join(held, "digest").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.max("n_entity").alias("n_entity"))
-    met = cut(met.filter(F.col("n_both") >= least), "pii-met")
-    wanted = cut(met.select("term").distinct(), "pii-wanted")
-    # How many texts of the whole corpus have each term: those without entities are counted as they are.
-    seen = docs.select(F.xxhash64(text_of()).alias("hash"), F.explode(terms_of(text_of())).alias("term")).join(maybe_broadcast(wanted), "term", "left_semi")
-    seen = seen.distinct().join(maybe_broadcast(cut(texts.select("hash"), "pii-hashes")), "hash", "left_anti").groupBy("term").agg(F.count(F.lit(1)).alias("n_else"))
-    scored = met.join(cut(seen, "pii-seen"), "term", "left").join(told, "term").join(F.broadcast(most), F.lit(True))  # one row
-    scored = scored.withColumn("n_term", F.col("n_held") + F.coalesce("n_else", F.lit(0)))
-    b, m = F.col("n_both"), F.least("n_entity", "n_term")
-    share = F.log2(F.col("n") * b / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.col("n") / F.col("n_entity"))
-    score = share * (b / (b + 1)) * (m / (m + 1))
-    strong = cut(scored.filter(F.col("n") > F.col("n_entity")).filter(score >= disclosure).select("entity", "term"), "pii-disclosing")
+    # How many documents among those with entities have a term outside their spans.
+    among = texts.select("rows", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("rows").alias("n_held"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= least)
+    among = cut(among.select("term", "n_held"), "pii-among")
+    terms = cut(own.join(among.select("term"), "term", "left_semi"), "pii-terms")
+    met = terms.join(held, "digest").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("b"), F.sum("rows").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n").alias("n"))
+    b = F.col("b")
+    share = lambda n_term: F.log2(F.col("n") * F.col("n_both") / (n_term * F.col("n_entity"))) / F.log2(F.col("n") / F.col("n_entity"))
+    score = lambda n_term: share(n_term) * (b / (b + 1)) * (b / (b + 1))
+    met = cut(met.filter(b >= least).join(among, "term").filter(score(F.col("n_held")) >= disclosure), "pii-met")
+    wanted = maybe_broadcast(cut(met.select("term").distinct(), "pii-wanted"))
+    count = lambda df, name: df.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("rows").alias(name))
+    # Documents of the whole corpus with each term; those with entities count by what stands outside their spans.
+    everywhere = cut(count(docs.select(F.explode(terms_of(text_of())).alias("term"), F.lit(1).cast("long").alias("rows")), "n_all"), "pii-everywhere")
+    inside = cut(count(texts.select("rows", F.explode("whole").alias("term")), "n_whole"), "pii-inside")
+    told = met.join(everywhere, "term").join(inside, "term").withColumn("n_term", F.col("n_all") - F.col("n_whole") + F.col("n_held"))
+    strong = cut(told.filter(score(F.col("n_term")) >= disclosure).select("entity", "term"), "pii-disclosing")
     return cut(terms.join(held.select("digest", "entity"), "digest").join(strong, ["entity", "term"], "left_semi").select("digest", "term").distinct(), "pii-terms-of-texts")
 
 

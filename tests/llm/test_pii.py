@@ -55,7 +55,8 @@ def corpus():
 
 
 def brute_terms(data, disclosure=pii.DISCLOSURE):
-    texts = {(t or "") for _, t, *_ in data}
+    documents = [(t or "") for _, t, *_ in data]
+    texts = set(documents)
     terms = lambda t: {w.lower() for w in re.findall(r"[^\W_]+", t) if len(w.lower()) >= 3}
 
     def entities_of(t):
@@ -70,20 +71,23 @@ def brute_terms(data, disclosure=pii.DISCLOSURE):
             t = rx.sub(" ", t)
         return t
 
-    entities, df, both = Counter(), Counter(), Counter()
-    for t in texts:
+    entities, df, both, together = Counter(), Counter(), Counter(), defaultdict(set)
+    for t in documents:
         own = entities_of(t)
         has = terms(bare(t)) if base(t) else terms(t)
         df.update(has)
         entities.update(own)
         both.update((e, w) for e in own for w in has)
-    n = len(texts)
+        for e in own:
+            for w in has:
+                together[e, w].add(t)
+    n = len(documents)
 
-    def score(e, w, b):
-        m = min(entities[e], df[w])
-        return math.log2(n * b / (df[w] * entities[e])) / math.log2(n / entities[e]) * b / (b + 1) * m / (m + 1)
+    def score(e, w, k):
+        b = len(together[e, w])
+        return math.log2(n * k / (df[w] * entities[e])) / math.log2(n / entities[e]) * (b / (b + 1)) ** 2
 
-    strong = {(e, w) for (e, w), b in both.items() if n > entities[e] and score(e, w, b) >= disclosure}
+    strong = {(e, w) for (e, w), k in both.items() if n > entities[e] and score(e, w, k) >= disclosure}
     out = {}
     for t in texts:
         spans = base(t)
