@@ -6,9 +6,11 @@ Fingerprints within the radius are linked; the connected components are the grou
 How pairs within the radius are found, without comparing all fingerprints: cut into radius + 1 blocks of bits, two
 fingerprints within the radius have at least one block in common. Fingerprints that share a block make a shard. A shard
 is a BK-tree: children hang below their parent by their integer Hamming distance to it, and a search follows only the
-edges whose distance is within the radius of the searched one's. Trees have a bounded number of nodes: a shard with
-more fingerprints is cut into several trees by hash, each sent to those that search it. The trees are not broadcast to
-all executors, as the number of fingerprints grows with the data; each goes to the tasks that hold its block.
+edges whose distance is within the radius of the searched one's. Trees have a bounded number of nodes: in a shard with
+more fingerprints the bits outside the block are cut into radius + 1 parts in the same way, and fingerprints that share
+one of these too make a shard; should that still be too large, it is cut into several trees by hash, each sent to those
+that search it. The trees are not broadcast to all executors, as the number of fingerprints grows with the data; each goes
+to the tasks that hold its block.
 
 Exact copies have one fingerprint, so a group of copies is one node whatever its size. A task emits, for what a tree
 links, a spanning forest rather than all pairs; no link between different fingerprints is lost for the components.
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast, text_of
@@ -131,25 +133,52 @@ def _forest(tree: list[int], queries: list[int], same: bool, radius: int) -> lis
     return links
 
 
+def _bits(c: Column, low: int, high: int) -> Column:
+    """Bits low to high (exclusive) as a number."""
+    return F.shiftrightunsigned(c, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) if high - low < 63 else F.shiftrightunsigned(c, low)
+
+
+def _without_bits(c: Column, low: int, high: int) -> Column:
+    """The bits outside low to high, those above moved down."""
+    above = F.shiftleft(_bits(c, high, 64), low) if high < 64 else F.lit(0).cast("long")
+    return above.bitwiseOR(_bits(c, 0, low)) if low else above
+
+
+def _shards(keyed: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, n): those that several fingerprints of keyed have, a written table."""
+    return cut(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), name)
+
+
 def links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
     """fps(fp), each once -> (a, b): links within the radius whose connected components are those of all such links.
 
     Shards with one fingerprint are dropped after counting. A shard of k trees is searched as k * (k + 1) / 2 pairs of
     trees, each pair a group of its own: no task holds more than two trees' nodes at once.
     """
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    blocks = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", 64 - hi), 64 - hi + lo).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
-    keyed = fps.select("fp", F.explode(F.array(*blocks)).alias("key")).select("fp", "key.block", "key.bits")
-    keyed = cut(keyed, "simhash-keys")
-    shards = cut(keyed.groupBy("block", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-shards")
-    trees = F.ceil(F.col("n") / F.lit(tree_nodes)).cast("int")
-    placed = keyed.join(shards, ["block", "bits"]).withColumn("k", trees)
+    spans = [(64 * i // (radius + 1), 64 * (i + 1) // (radius + 1)) for i in range(radius + 1)]
+    blocks = [F.struct(F.lit(i).alias("block"), _bits(F.col("fp"), lo, hi).alias("bits"), F.lit(-1).alias("part"), F.lit(0).cast("long").alias("rest")) for i, (lo, hi) in enumerate(spans)]
+    shard = ["block", "bits", "part", "rest"]
+    keyed = cut(fps.select("fp", F.explode(F.array(*blocks)).alias("key")).select("fp", "key.*"), "simhash-keys")
+    shards = _shards(keyed, shard, "simhash-shards")
+    placed, large = keyed.join(shards.filter(F.col("n") <= tree_nodes), shard), shards.filter(F.col("n") > tree_nodes)
+    if large.limit(1).count():
+        parts = F.lit(None).cast("array<struct<part:int,rest:bigint>>")
+        for i, (lo, hi) in enumerate(spans):
+            width, other = 64 - (hi - lo), _without_bits(F.col("fp"), lo, hi)
+            cuts = [width * j // (radius + 1) for j in range(radius + 2)]
+            own = F.array(*[F.struct(F.lit(j).alias("part"), _bits(other, x, y).alias("rest")) for j, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))])
+            parts = F.when(F.col("block") == i, own).otherwise(parts)
+        again = keyed.join(large.select("block", "bits"), ["block", "bits"]).select("fp", "block", "bits", F.explode(parts).alias("p")).select("fp", "block", "bits", "p.part", "p.rest")
+        again = cut(again, "simhash-keys-again")
+        placed = placed.select("fp", *shard, "n").unionByName(again.join(_shards(again, shard, "simhash-shards-again"), shard).select("fp", *shard, "n"))
+    placed = placed.withColumn("k", F.ceil(F.col("n") / F.lit(tree_nodes)).cast("int"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("lo"), F.greatest(t, F.col("own")).alias("hi")))
-    dealt = placed.select("fp", "block", "bits", "own", F.explode(pairs).alias("pair")).select("fp", "block", "bits", "own", "pair.lo", "pair.hi")
+    group = [*shard, "lo", "hi"]
+    dealt = placed.select("fp", *shard, "own", F.explode(pairs).alias("pair")).select("fp", *shard, "own", "pair.lo", "pair.hi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, tree, queries = None, [], []
+        now, tree, queries = None, [], []
         out: list[tuple[int, int]] = []
 
         def flushed() -> pa.RecordBatch:
@@ -159,20 +188,19 @@ def links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) ->
 
         for batch in batches:
             names = batch.schema.names
-            for fp, *rest in zip(*[batch.column(names.index(c)).to_pylist() for c in ("fp", "block", "bits", "lo", "hi", "own")], strict=True):
+            for fp, *rest in zip(*[batch.column(names.index(c)).to_pylist() for c in ("fp", *group, "own")], strict=True):
                 *key, own = rest
-                if key != group:
+                if key != now:
                     if len(tree) + len(queries) > 1:
-                        out += _forest(tree, queries, group[2] == group[3], radius)
-                    group, tree, queries = key, [], []
-                (tree if own == key[2] else queries).append(fp)
+                        out += _forest(tree, queries, now[-2] == now[-1], radius)
+                    now, tree, queries = key, [], []
+                (tree if own == key[-2] else queries).append(fp)
             if len(out) > 50_000:
                 yield flushed()
         if len(tree) + len(queries) > 1:
-            out += _forest(tree, queries, group[2] == group[3], radius)
+            out += _forest(tree, queries, now[-2] == now[-1], radius)
         yield flushed()
 
-    group = ["block", "bits", "lo", "hi"]
     return dealt.repartition(*group).sortWithinPartitions(*group, "own", "fp").mapInArrow(work, "a long, b long")
 
 
