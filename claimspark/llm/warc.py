@@ -1,6 +1,6 @@
 """WARC archives compressed with Zstandard: one frame per record, the dictionary in the leading skippable frame.
 
-An archive is what one task writes: a skippable frame (magic 0x184D2A5D) with the dictionary made from the archive's
+A task writes archives of about ARCHIVE_BYTES each: a skippable frame (magic 0x184D2A5D) with the dictionary made from the archive's
 first records, then a frame for each record. Spark's text writer writes them, so that the archives go to any store
 Spark can write and a lost task leaves nothing behind: a record is a line, and the line separator is an empty skippable
 frame, which every Zstandard reader passes over. The reader takes whole archives, loads the dictionary, decodes one
@@ -23,12 +23,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast, scratch_path
 
 REVISIT_BYTES = 1000
+#: A new archive begins when one has so many bytes, so that readers can take archives whole.
+ARCHIVE_BYTES = 256 << 20
 LEVEL = 3
 DICT_BYTES = 16 << 10
 #: The dictionary is made from an archive's first records, at most so many and so many bytes of them.
@@ -169,8 +172,8 @@ def planned(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     return joined.select("page_id", "url", "payload", "digest", "refers_to", revisit.alias("revisit"))
 
 
-def write(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES) -> None:
-    """Writes the archives, one for each task."""
+def write(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes the archives, in a folder each: archive=<task>-<number>."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
@@ -178,17 +181,34 @@ def write(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES) -> No
                 for i in range(batch.num_rows):
                     yield record(*[c[i].as_py() for c in batch.columns])
 
-        group, size = [], 0
-        for frame in frames(records()):
-            group.append(frame)
-            size += len(frame)
-            if size >= 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(group, pa.binary())], names=["frame"])
-                group, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(group, pa.binary())], names=["frame"])
+        task, rows, number = TaskContext.get().partitionId(), records(), 0
+        while (first := next(rows, None)) is not None:
+            written = [0]
 
-    lines = planned(pages, revisit_bytes).mapInArrow(work, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    lines.write.option("lineSep", SEPARATOR).option("compression", "none").option("maxRecordsPerFile", 0).text(path)
+            def own(first: bytes = first, written: list[int] = written) -> Iterator[bytes]:
+                yield first
+                while written[0] < archive_bytes and (r := next(rows, None)) is not None:
+                    yield r
+
+            group, size, at = [], 0, 0
+            for frame in frames(own()):
+                group.append(frame)
+                written[0] += len(frame)
+                size += len(frame)
+                if size >= 4 << 20:
+                    yield of_archive(f"{task}-{number}", at, group)
+                    at, group, size = at + len(group), [], 0
+            yield of_archive(f"{task}-{number}", at, group)
+            number += 1
+
+    def of_archive(name: str, at: int, group: list[bytes]) -> pa.RecordBatch:
+        columns = [pa.array([name] * len(group), pa.string()), pa.array(range(at, at + len(group)), pa.int64()), pa.array(group, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["archive", "n", "frame"])
+
+    # In order within an archive: Spark's writer takes rows that are sorted by the folder's name as they come.
+    lines = planned(pages, revisit_bytes).mapInArrow(work, "archive string, n long, frame binary").sortWithinPartitions("archive", "n")
+    lines = lines.select("archive", F.col("frame").cast("string").alias("value"))
+    lines.write.partitionBy("archive").option("lineSep", SEPARATOR).option("compression", "none").option("maxRecordsPerFile", 0).text(path)
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -212,7 +232,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, READ_SCHEMA)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(work, READ_SCHEMA)
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ def test_round_trip(spark):
         want[i, u, "revisit" if again else "response", top[h or ""] if again else None, len(b), hashlib.sha1(b).hexdigest(), None if again else b] += 1
     assert Counter((r.page_id, r.url, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, None if r.payload is None else bytes(r.payload)) for r in got) == want
     assert all(r.error is None for r in got)
-    archive = bytes(spark.read.format("binaryFile").load(path).orderBy(F.col("length").desc()).first().content)
+    archive = bytes(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).orderBy(F.col("length").desc()).first().content)
     assert struct.unpack_from("<I", archive)[0] == warc.DICT_MAGIC
     # Any Zstandard reader with the dictionary takes the archive as one stream.
     size = struct.unpack_from("<I", archive, 4)[0]
@@ -42,6 +42,15 @@ def test_round_trip(spark):
     assert reader.stream_reader(archive, read_across_frames=True).read().startswith(b"WARC/1.1\r\n")
 
 
+def test_archives_are_of_bounded_size(spark):
+    path = scratch_path(spark, "test-warc-small")
+    df = spark.createDataFrame([(i, "u", prose(i, 400)) for i in range(300)], PAGES).coalesce(1)
+    warc.write(df, path, archive_bytes=100_000)
+    sizes = [r.length for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length").collect()]
+    assert len(sizes) > 1 and max(sizes) < 600_000
+    assert sorted(r.page_id for r in warc.read(spark, path).collect() if r.error is None) == list(range(300))
+
+
 def test_unsound_records_are_told():
     good = warc.record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None, False)
     assert warc.parse(good)["payload"] == b"abc"
