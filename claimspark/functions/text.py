@@ -85,8 +85,10 @@ def clean_service_name(c: Column, ocr_fixes: Sequence[tuple[str, str, str]] = ()
 
 
 def repair_text(c: Column) -> Column:
-    """TX5: UTF-8 that was read as Latin-1."""
-    return F.when(c.rlike("[ÃÆÄá»]") & ~c.rlike("[^\u0000-ÿ]"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)
+    """TX5: UTF-8 that was read as Latin-1; text whose Latin-1 bytes are not UTF-8 stays as it is."""
+    may_be = c.rlike("[ÃÆÄá»]") & ~c.rlike("[^\u0000-ÿ]")
+    read_again = F.encode(F.when(may_be, c).otherwise(""), "ISO-8859-1").cast("string")
+    return F.when(may_be & F.is_valid_utf8(read_again), read_again).otherwise(c)
 
 
 def tokens(c: Column, stop: Sequence[str] = (), min_len: int = 2) -> Column:

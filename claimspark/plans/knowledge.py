@@ -249,7 +249,9 @@ def canonicalise(spark: SparkSession, d: str) -> DataFrame:
     return match.canonicalise(mentions, p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("concept_id")))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id AS id, string_split(trim(regexp_replace(replace(strip_accents(lower(text)), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents), p AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+two AS (SELECT id, i - 1 AS s, i + 1 AS e, w[i] || ' ' || w[i + 1] AS term FROM p WHERE w[i] || ' ' || w[i + 1] IN ('of the', 'and the', 'de la')), one AS (SELECT id, i - 1 AS s, i AS e, w[i] AS term FROM p WHERE w[i] IN ('the', 'la', 'und', 'el'))
+SELECT id, s::INT AS start, e::INT AS "end", term FROM two UNION ALL SELECT id, s::INT, e::INT, term FROM one WHERE NOT EXISTS (SELECT 1 FROM two WHERE two.id = one.id AND one.s >= two.s AND one.e <= two.e)""")
 def annotate(spark: SparkSession, d: str) -> DataFrame:
     """ER17: the words of regions, nations and short phrases where they stand in documents."""
     terms = spark.createDataFrame([("the",), ("of the",), ("and the",), ("la",), ("de la",), ("und",), ("el",)], "term string")
@@ -277,7 +279,10 @@ def split_by_toc(spark: SparkSession, d: str) -> DataFrame:
     return D.split_by_toc(table(spark, d, "documents"), r"^(The|La|Der) ").select("doc_id", "part", "start", "end")
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id AS rulebook, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+m AS (SELECT *, regexp_matches(s, '^(The|La|Der) ') AS is_chapter, regexp_matches(s, '^(A|And|Le|Und|De) ') AS is_clause, trim(s) AS t FROM l),
+c AS (SELECT *, last_value(CASE WHEN is_chapter THEN t END IGNORE NULLS) OVER w AS chapter, last_value(CASE WHEN is_clause THEN t END IGNORE NULLS) OVER w AS clause FROM m WINDOW w AS (PARTITION BY rulebook ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT rulebook, chapter, clause, length(string_agg(t, ' ' ORDER BY line))::INT AS chars FROM c WHERE NOT is_chapter AND NOT is_clause AND t <> '' AND clause IS NOT NULL GROUP BY 1, 2, 3""")
 def parse_rulebook(spark: SparkSession, d: str) -> DataFrame:
     """RT4: documents as rulebooks, lines of one kind of beginning as chapters, of another as clauses."""
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("rulebook"), F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
