@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from importlib import resources
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,12 +168,19 @@ class Template:
         self.telling = Counter({w: n for w, n in sorted(Counter(self.words).items(), key=lambda x: (-len(x[0]), x[0])) if w not in COMMON})
         #: So many words, repeats counted, may be missing.
         self.spare = int(len(self.words) * (1 - coverage) + 1e-9)
+        #: Of the longest telling words so many that more than the spare ones are missing when none is there.
+        self.keys: dict[str, int] = {}
+        for w, n in self.telling.items():
+            if sum(self.keys.values()) > self.spare:
+                break
+            self.keys[w] = n
         #: A text that has the others, with something between them, has so many characters at least.
         self.least = sum(sorted(map(len, self.words))[: len(self.words) - self.spare]) + len(self.words) - self.spare - 1
 
-    def possible(self, low: str) -> bool:
+    def possible(self, low: str, present: set[str]) -> bool:
+        """Whether a text in lower case may reach the coverage; present: which keys of all templates it has."""
         spare = self.spare
-        if len(low) < self.least:
+        if len(low) < self.least or sum(n for w, n in self.keys.items() if w not in present) > spare:
             return False
         for w, n in self.telling.items():
             if w not in low:
@@ -223,13 +231,25 @@ class Template:
         return pairs
 
 
-def scan(text: str, templates: list[Template]) -> list[tuple[str, float, int, int, int]]:
-    low = text.lower()
-    able = [t for t in templates if t.possible(low)]
-    if not able:
-        return []
-    found = words_of(text)
-    return [(t.name, *m) for t in able for m in t.matches(found)]
+class Scanner:
+    """Templates, and one automaton that tells which of their keys a text has."""
+
+    def __init__(self, templates: dict[str, str], coverage: float) -> None:
+        self.templates = [Template(n, t, coverage) for n, t in templates.items()]
+        self._automaton = ahocorasick.Automaton()
+        for t in self.templates:
+            for w in t.keys:
+                self._automaton.add_word(w, w)
+        self._automaton.make_automaton()
+
+    def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
+        low = text.lower()
+        present = {w for _, w in self._automaton.iter(low)} if len(self._automaton) else set()
+        able = [t for t in self.templates if t.possible(low, present)]
+        if not able:
+            return []
+        found = words_of(text)
+        return [(t.name, *m) for t in able for m in t.matches(found)]
 
 
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
@@ -240,9 +260,9 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
     types = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("words", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [Template(n, t, coverage) for n, t in given.items()]
+        scan = Scanner(given, coverage).scan
         for batch in batches:
-            rows = [(batch.column(0)[i].as_py(), *m) for i in range(batch.num_rows) for m in scan(batch.column(1)[i].as_py(), made)]
+            rows = [(batch.column(0)[i].as_py(), *m) for i in range(batch.num_rows) for m in scan(batch.column(1)[i].as_py())]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], schema=types)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(work, schema)
