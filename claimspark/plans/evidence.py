@@ -247,6 +247,18 @@ def retrieve(spark: SparkSession, d: str) -> DataFrame:
     return D.retrieve(q, {x: (rows, ["a", "b"]) for x, rows in layers.items()}, 5)
 
 
+@query(r"""WITH q AS (SELECT DISTINCT doc_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(source || ' ' || lang), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM documents WHERE doc_id % 20 = 0),
+w AS (SELECT page_id AS doc_id, list_filter(regexp_split_to_array(lower(concat_ws(' ', url, url, url, html)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM pages), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w),
+dt AS (SELECT doc_id, t, count(*) AS tf, any_value(n) AS len FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM w) GROUP BY doc_id, t), i AS (SELECT t, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM dt, st GROUP BY t, n),
+s AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a))), 4) AS score FROM dt JOIN q USING (t) JOIN i USING (t), st GROUP BY 1, 2)
+SELECT query_id, doc_id, round(score, 2) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3""")
+def search_fields(spark: SparkSession, d: str) -> DataFrame:
+    """RT6: every twentieth document's source and language (a stated set) against all pages, addresses counting as titles."""
+    q = table(spark, d, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", "source", "lang").alias("text"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("title"), F.col("html").alias("text"))
+    return D.search_fields(q, pages, 3).select("query_id", "doc_id", F.round("score", 2).alias("score"))
+
+
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS run_id, round(list_cosine_similarity(a.v, b.v), 4) AS score, b.label FROM e a, e b WHERE a.vec_id % 20 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, run_id) AS rank FROM s QUALIFY rank <= 3) SELECT query_id, run_id, score, arg_max('p' || label, (label, -run_id)) OVER (PARTITION BY query_id) AS best_prompt FROM k""")
 def find_similar_runs(spark: SparkSession, d: str) -> DataFrame:

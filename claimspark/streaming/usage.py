@@ -24,6 +24,8 @@ def inflight_stream(events: DataFrame, key: str, idle: str = "10 minutes") -> Da
     """US7: pending requests per key after every micro-batch, never below 0; a key idle for so long in event time is
     forgotten. events(key, ts, kind). A batch's events of a key are taken in time order; what is kept is one number."""
 
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
     def update(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending = state.get[0] if state.exists else 0
         if state.hasTimedOut:
@@ -33,7 +35,7 @@ def inflight_stream(events: DataFrame, key: str, idle: str = "10 minutes") -> Da
         for kind in pd.concat(list(frames)).sort_values(["ts", "kind"], ascending=[True, False])["kind"]:
             pending = max(0, pending + (1 if kind == "start" else -1))
         state.update((pending,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 600_000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + wait)
         yield pd.DataFrame({key: [k[0]], "pending": [pending]})
 
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", idle)
