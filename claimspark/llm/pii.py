@@ -145,23 +145,29 @@ def disclosing(docs: DataFrame, hits: DataFrame, disclosure: float = DISCLOSURE)
     bare = F.col("text")
     for pattern in (EMAIL, IP, CARD, PHONE):
         bare = F.regexp_replace(bare, pattern, " ")
-    terms = texts.select("digest", "rows", entities_of(F.col("spans")).alias("entities"), terms_of(bare).alias("terms"), terms_of(F.col("text")).alias("whole"))
+    # Texts go by a number of eight bytes here, their digests come back at the end.
+    terms = texts.select("digest", F.xxhash64("digest").alias("key"), "rows", entities_of(F.col("spans")).alias("entities"), terms_of(bare).alias("terms"), terms_of(F.col("text")).alias("whole"))
     texts = cut(terms, "pii-texts")
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    holds = texts.select("digest", "rows", F.explode("entities").alias("entity"))
+    holds = texts.select("key", "rows", F.explode("entities").alias("entity"))
     entities = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("n_entity")).filter(F.col("texts") >= least)
     entities = cut(entities.join(F.broadcast(n), F.lit(True)).filter("n > n_entity"), "pii-protected")  # one row of n
-    held = cut(holds.join(entities.select("entity", "n_entity", "n"), "entity"), "pii-held")
-    own = texts.join(held.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode("terms").alias("term"))
+    held = cut(holds.join(maybe_broadcast(entities.withColumnRenamed("texts", "e_texts")), "entity"), "pii-held")
+    own = texts.join(held.select("key").distinct(), "key", "left_semi").select("key", F.explode("terms").alias("term"))
     # How many documents among those with entities have a term outside their spans.
     among = texts.select("rows", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("rows").alias("n_held"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= least)
-    among = cut(among.select("term", "n_held"), "pii-among")
-    terms = cut(own.join(among.select("term"), "term", "left_semi"), "pii-terms")
-    met = terms.join(held, "digest").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("b"), F.sum("rows").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n").alias("n"))
+    most = held.agg(F.max("n_entity").alias("most"), F.max("n").alias("n"))  # one row
+    enough = F.log2(F.col("n") / F.greatest("n_held", F.lit(1))) >= disclosure * F.log2(F.col("n") / F.col("most"))
+    among = cut(among.join(F.broadcast(most), F.lit(True)).filter(enough).select("term", "n_held", F.col("texts").alias("t_texts")), "pii-among")
+    terms = cut(own.join(among, "term"), "pii-terms")
+    # What a pair can reach at most: all documents of the rarer with the other, in as many different texts.
+    b_most = F.least("e_texts", "t_texts")
+    reach = F.log2(F.col("n") / F.greatest("n_entity", "n_held")) / F.log2(F.col("n") / F.col("n_entity")) * (b_most / (b_most + 1)) * (b_most / (b_most + 1))
+    met = terms.join(held, "key").filter(reach >= disclosure).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("b"), F.sum("rows").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n").alias("n"))
     b = F.col("b")
     share = lambda n_term: F.log2(F.col("n") * F.col("n_both") / (n_term * F.col("n_entity"))) / F.log2(F.col("n") / F.col("n_entity"))
     score = lambda n_term: share(n_term) * (b / (b + 1)) * (b / (b + 1))
-    met = cut(met.filter(b >= least).join(among, "term").filter(score(F.col("n_held")) >= disclosure), "pii-met")
+    met = cut(met.filter(b >= least).join(among.select("term", "n_held"), "term").filter(score(F.col("n_held")) >= disclosure), "pii-met")
     wanted = maybe_broadcast(cut(met.select("term").distinct(), "pii-wanted"))
     count = lambda df, name: df.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("rows").alias(name))
     # Documents of the whole corpus with each term; those with entities count by what stands outside their spans.
@@ -169,7 +175,9 @@ def disclosing(docs: DataFrame, hits: DataFrame, disclosure: float = DISCLOSURE)
     inside = cut(count(texts.select("rows", F.explode("whole").alias("term")), "n_whole"), "pii-inside")
     told = met.join(everywhere, "term").join(inside, "term").withColumn("n_term", F.col("n_all") - F.col("n_whole") + F.col("n_held"))
     strong = cut(told.filter(score(F.col("n_term")) >= disclosure).select("entity", "term"), "pii-disclosing")
-    return cut(terms.join(held.select("digest", "entity"), "digest").join(strong, ["entity", "term"], "left_semi").select("digest", "term").distinct(), "pii-terms-of-texts")
+    strong = maybe_broadcast(strong)
+    told_of = held.select("key", "entity").join(strong, "entity").select("key", "term").distinct().join(terms.select("key", "term"), ["key", "term"])
+    return cut(told_of.join(texts.select("key", "digest"), "key").select("digest", "term"), "pii-terms-of-texts")
 
 
 def term_spans(hits: DataFrame, told: DataFrame) -> DataFrame:
