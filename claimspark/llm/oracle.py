@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import linededup, mixing, quality
+from . import decontaminate, linededup, mixing, quality
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,6 +35,21 @@ SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + ((u + tu
 FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source
 """
 
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+OP12 = rf"""
+WITH words AS (SELECT 'd' AS kind, row_number() OVER () AS rn, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'b', row_number() OVER (), item_id, coalesce(text, '') FROM benchmark),
+w AS (SELECT kind, rn, id, regexp_extract_all(translate(t, '{_LATIN.upper()}', '{_LATIN}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM words),
+b AS (SELECT id, w, least({decontaminate.WINDOW}, len(w)) AS k FROM w WHERE kind = 'b' AND len(w) > 0),
+bw AS (SELECT DISTINCT id, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+ks AS (SELECT DISTINCT k FROM b),
+dw AS (SELECT rn, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT rn, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, ks WHERE kind = 'd' AND len(w) >= k)),
+h AS (SELECT rn, dw.k, i, id FROM dw JOIN bw ON dw.k = bw.k AND dw.win = bw.win),
+n AS (SELECT rn, count(DISTINCT at) AS n_hit FROM (SELECT rn, unnest(range(i, i + k)) AS at FROM h) GROUP BY rn),
+x AS (SELECT rn, count(*) AS n_items, string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR) AS items FROM (SELECT DISTINCT rn, id FROM h WHERE id IS NOT NULL) GROUP BY rn)
+SELECT w.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN n USING (rn) LEFT JOIN x USING (rn) WHERE kind = 'd'
+"""
+
 _GAMMA = (1 + quality.ERROR) / (1 - quality.ERROR)
 _LOW = -(2**31)
 _PRIOR = f"{float(quality.PRIOR_DOCS)!r}::DOUBLE"
@@ -98,4 +113,4 @@ o AS (SELECT doc, min(s)::INT AS "start", max(e)::INT AS "end", sum(units)::BIGI
 SELECT d.doc_id, "start", "end", units, words, k.doc_id AS keep_doc_id FROM o JOIN d USING (doc) JOIN d k ON k.doc = o.keep
 """
 
-ORACLE_SQL = {"op1_mix_sources": OP1, "op2_quality_rules": OP2, "op3_line_dedup": OP3, "op6_warc": OP6, "op9_exact_dedup": OP9}
+ORACLE_SQL = {"op1_mix_sources": OP1, "op2_quality_rules": OP2, "op3_line_dedup": OP3, "op6_warc": OP6, "op9_exact_dedup": OP9, "op12_decontamination": OP12}

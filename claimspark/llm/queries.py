@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licenses, linededup, mixing, pii, quality, simhash, spm, tokenfiles, warc
+from . import alignment, conversations, decontaminate, exact, licenses, linededup, mixing, pii, quality, simhash, spm, tokenfiles, warc
 from .common import table
 from .oracle import ORACLE_SQL  # noqa: F401  (part of this module's interface)
 
@@ -86,7 +86,33 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.matches(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document tokens, groups and links of two tokenizers, and the links' corpus counts. Null and empty texts have no
+    tokens; repeated rows each count; null ids are allowed; no documents, no rows."""
+    a, b = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    rows = alignment.aligned(table(spark, sf_dir, "documents"), a, b, ["doc_id"])
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    rows = alignment.written(rows.withColumn("groups_sha256", digest).drop("groups"))
+    out = alignment.scored(rows, a, b, ["doc_id", *alignment.COUNTS, "groups_sha256"])
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), *alignment.COUNTS, "n_best", "count_sum", "groups_sha256")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the words that stand in a window of a benchmark item, and those items. Null and empty texts have no words;
+    items without an id are not named; repeated rows are judged each; no documents, no rows."""
+    rows = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    n_hit = decontaminate.n_hit()
+    named = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), named.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation faults, cost, edits and digest of its repair after damage. Nulls count as one space; a null conv_id is a
+    conversation; no conversations, no rows."""
+    return conversations.summaries(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_quality_rules, op3_line_dedup, op4_sentencepiece, op5_token_files, op6_warc, op7_simhash, op8_pii, op9_exact_dedup, op10_license_scan)
+    for f in (op1_mix_sources, op2_quality_rules, op3_line_dedup, op4_sentencepiece, op5_token_files, op6_warc, op7_simhash, op8_pii, op9_exact_dedup, op10_license_scan, op11_tokenizer_alignment, op12_decontamination, op13_conversation_repair)
 }
