@@ -44,7 +44,7 @@ bw AS (SELECT DISTINCT id, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM (
 ks AS (SELECT DISTINCT k FROM b),
 dw AS (SELECT rn, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT rn, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, ks WHERE kind = 'd' AND len(w) >= k)),
 h AS (SELECT rn, dw.k, i, id FROM dw JOIN bw ON dw.k = bw.k AND dw.win = bw.win),
-n AS (SELECT rn, count(DISTINCT at) AS n_hit FROM (SELECT rn, unnest(range(i, i + k)) AS at FROM h) GROUP BY rn),
+n AS (SELECT rn, count(DISTINCT place) AS n_hit FROM (SELECT rn, unnest(range(i, i + k)) AS place FROM h) GROUP BY rn),
 x AS (SELECT rn, count(*) AS n_items, string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR) AS items FROM (SELECT DISTINCT rn, id FROM h WHERE id IS NOT NULL) GROUP BY rn)
 SELECT w.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN n USING (rn) LEFT JOIN x USING (rn) WHERE kind = 'd'
