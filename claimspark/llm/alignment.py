@@ -36,8 +36,10 @@ from .common import cut, scratch_path, text_of
 #: So many pairs and counts are broadcast at most, 17 bytes each.
 BROADCAST_PAIRS = 2_000_000
 #: Distinct pairs that a task counts before it hands them on.
-HELD_PAIRS = 2_000_000
-BATCH_BYTES = 4 << 20
+HELD_PAIRS = 1_000_000
+BATCH_BYTES = 2 << 20
+#: Pieces of text that each tokenizer's table keeps, at most.
+KNOWN_PIECES = 300_000
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 PAIRED = ("same_ids", "same_times", "pair_keys", "pair_times")
 ADDED = T.StructType()
@@ -56,7 +58,7 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str) -> None:
         from tokenizers import Tokenizer
 
-        self._a, self._b = tokenfiles.Encoder(a_path), spm.Model(b_path)
+        self._a, self._b = tokenfiles.Encoder(a_path, KNOWN_PIECES), spm.Model(b_path, known=KNOWN_PIECES)
         self._a._tokenizer.encode_special_tokens = True
         plain = Tokenizer.from_file(a_path)
         names = {i: t for t, i in plain.get_vocab(with_added_tokens=True).items()}
