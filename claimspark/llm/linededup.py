@@ -1,17 +1,18 @@
 """Substring dedup: repeated passages are removed, all but the earliest, with their places in the original text.
 
-Units are the sentences of a text's lines. One of fewer than SHORT_UNIT words does not end a unit, and a unit of more than
-LONG_UNIT words is cut further, behind words whose number is the least among AROUND words to either side. Whether a unit
-ends at a place is so decided by the words beside it, and a passage has the same units wherever it begins. Units are
-normalised (lower case, white space runs made one space), hashed to 128 bits and grouped over the whole corpus. The
-earliest occurrence, by doc_id and then place, keeps its unit; every other one is marked. Marked units that follow each
-other in a document make a run.
-
-A passage seldom begins and ends where units do, so each run is extended word by word, up to the next place where a
-sentence ends a unit, as far as its words equal those beside the kept occurrences of the run's units. Behind such a place
-equal words have equal units again, which make a run of their own; runs that touch after that are one span. Spans with at
-least MIN_WORDS words are removed: the rule measures the true repeat, however it is cut, and stock phrases of a few words
-stay.
+Units are parts of paragraphs: a paragraph (up to a blank line) is cut at sentence ends, and what then has more than
+LONG_UNIT words behind words whose number is the least among AROUND words to either side. A sentence of fewer than
+SHORT_UNIT words does not end a unit, and no unit has more than MOST_UNIT words. A single line break ends nothing: whether a
+unit ends at a place is decided by the words beside it, and a passage has the same units wherever it begins and however
+its lines are broken. Units are normalised (lower case, white space runs made one space), hashed to 128 bits and grouped
+over the whole corpus. The earliest occurrence, by doc_id and then place, keeps its unit; every other one is marked.
+Marked units that follow each other in a document make a run.
+
+A passage seldom begins and ends where units do, so each run is extended word by word, as far as its words equal those
+beside the kept occurrences of the run's units: up to the next place where a sentence ends a unit, or the end of the next
+unit and the words beyond it that decide where it ends, or LONG_UNIT words where that is more. Beyond these equal words have
+equal units again, which make a run of their own; runs that touch after that are one span. Spans with at least MIN_WORDS
+words are removed: the rule measures the true repeat, however it is cut, and stock phrases of a few words stay.
 
 Every word that is removed has an equal one at an earlier place, which is itself the earliest or has an earlier one, so
 one occurrence of everything stays. Offsets are code points of the original text, the end exclusive.
@@ -41,12 +42,12 @@ SHORT_UNIT = 8
 LONG_UNIT = 24
 #: Words to either side that are looked at where a long unit is cut; its parts are about twice as long.
 AROUND = 6
-#: Words that a run is extended by at most, for sentences that don't end; their units are shorter than that.
-STRETCH = 64
+#: Words of a unit at most; only texts that repeat a few words over and over have no place to cut before that.
+MOST_UNIT = 64
 #: Rows, or words of stretches, in one Arrow batch, about.
 BATCH_ROWS = 50_000
 
-_BREAK = re.compile("([.!?…。][\"'”’)\\]]*)[\x20\x09-\x0d]|\n")
+_BREAK = re.compile("([.!?…。][\"'”’)\\]]*)(?=[\x20\x09-\x0d])|\n[\x20\x09\x0b-\x0d]*\n")
 _WORD = re.compile(WORD)
 _DOC = ("doc_id", "doc_hash")
 
@@ -58,7 +59,7 @@ def _number(word: str) -> int:
 
 def units_of(text: str) -> Iterator[tuple[int, int, list[bytes], bool]]:
     """(start, end, words, stops) of the units of a text; words are normalised, in UTF-8; stops: whether a sentence ends
-    the unit, and not a line break or the length."""
+    the unit, and not a blank line or the length."""
     begin, marks, unit, first, last = 0, _BREAK.finditer(text), [], 0, 0
     while begin <= len(text):
         m = next(marks, None)
@@ -88,9 +89,10 @@ def _parts(text: str, first: int, last: int, stops: bool) -> Iterator[tuple[int,
     places = [m.span() for m in _WORD.finditer(text, first, last)]
     words = [text[a:b].lower() for a, b in places]
     numbers, begin, n = [_number(w) for w in words], 0, len(words)
-    for i in range(AROUND, n - AROUND):
+    for i in range(AROUND, n - 1):
         x = numbers[i]
-        if x < min(numbers[i - AROUND : i]) and x <= min(numbers[i + 1 : i + 1 + AROUND]):
+        least = i < n - AROUND and x < min(numbers[i - AROUND : i]) and x <= min(numbers[i + 1 : i + 1 + AROUND])
+        if least or i - begin + 1 == MOST_UNIT:
             yield places[begin][0], places[i][1], [w.encode() for w in words[begin : i + 1]], False
             begin = i + 1
     yield places[begin][0], last, [w.encode() for w in words[begin:]], stops
@@ -102,22 +104,23 @@ def _own_rows(docs: DataFrame) -> DataFrame:
 
 
 def _beside(sizes: list[int], stops: list[bool]) -> tuple[list[int], list[int], list[int]]:
-    """For each unit of a text: the number of its first word, and how many words stand before and after it up to the next
-    stop, STRETCH at most."""
+    """For each unit of a text: the number of its first word, and how many words before and after it a run that it ends may be
+    extended by."""
     at, starts, ends = [0], [], [0] * len(sizes)
     for i, n in enumerate(sizes):
         starts.append(at[i] if not i or stops[i - 1] else starts[-1])  # behind the stop before the unit
         at.append(at[i] + n)
     for i in range(len(sizes) - 1, -1, -1):
         ends[i] = at[i + 1] if stops[i] or i + 1 == len(sizes) else ends[i + 1]
-    before = [min(STRETCH, at[i] - starts[i - 1]) if i else 0 for i in range(len(sizes))]
-    after = [min(STRETCH, ends[i + 1] - at[i + 1]) if i + 1 < len(sizes) else 0 for i in range(len(sizes))]
+    reach = [max(LONG_UNIT, n + AROUND) for n in sizes]
+    before = [min(reach[i - 1], at[i] - starts[i - 1]) if i else 0 for i in range(len(sizes))]
+    after = [min(reach[i + 1], ends[i + 1] - at[i + 1]) if i + 1 < len(sizes) else 0 for i in range(len(sizes))]
     return at[:-1], before, after
 
 
 def units(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_hash, at, start, end, words, before, after, digest): at: the number of the unit's first word; before,
-    after: how many words stand beside it up to the next stop."""
+    after: how many words beside it a run may be extended by."""
     schema = "doc_id long, doc_hash long, at int, start int, end int, words int, before int, after int, digest binary"
     names = [x.split()[0] for x in schema.split(", ")]
 

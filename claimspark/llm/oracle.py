@@ -88,7 +88,7 @@ OP3 = rf"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS doc, doc_id, text, regexp_extract_all(text, '{_WORD}') AS ws, regexp_split_to_array(text, '{_WORD}') AS gaps
   FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
 l AS (SELECT doc, unnest(ws) AS w, unnest(list_slice(gaps, 1, len(ws))) AS gap, unnest(list_slice(gaps, 2, len(ws) + 1)) AS gap_after, unnest(range(len(ws)))::INT AS i FROM d),
-w AS (SELECT doc, i, lower(w) AS low, (sum(length(gap) + length(w)) OVER o)::INT AS e, length(w) AS n, contains(gap_after, chr(10)) AS breaks, regexp_matches(w, '[.!?…。]["''”’)\]]*$') AS stops FROM l WINDOW o AS (PARTITION BY doc ORDER BY i)),
+w AS (SELECT doc, i, lower(w) AS low, (sum(length(gap) + length(w)) OVER o)::INT AS e, length(w) AS n, length(gap_after) - length(replace(gap_after, chr(10), '')) > 1 AS breaks, regexp_matches(w, '[.!?…。]["''”’)\]]*$') AS stops FROM l WINDOW o AS (PARTITION BY doc ORDER BY i)),
 s AS (SELECT *, e - n AS s, coalesce(sum((stops OR breaks)::INT) OVER o, 0) AS line FROM w WINDOW o AS (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 b AS (SELECT * REPLACE (stops AND count(*) OVER l >= {linededup.SHORT_UNIT} AS stops), (stops OR breaks) AND count(*) OVER l >= {linededup.SHORT_UNIT} AS closes FROM s WINDOW l AS (PARTITION BY doc, line)),
 a AS (SELECT *, coalesce(sum(closes::INT) OVER o, 0) AS whole, coalesce(sum(stops::INT) OVER o, 0) AS sentence FROM b WINDOW o AS (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -96,14 +96,16 @@ j AS (SELECT *, (7 * unicode(low[1]) + 31 * unicode(low[-1]) + 3 * length(low))
 c AS (SELECT *, closes OR (size > {linededup.LONG_UNIT} AND nth >= {linededup.AROUND} AND nth < size - {linededup.AROUND}
   AND number < min(number) OVER (PARTITION BY doc, whole ORDER BY i ROWS BETWEEN {linededup.AROUND} PRECEDING AND 1 PRECEDING)
   AND number <= min(number) OVER (PARTITION BY doc, whole ORDER BY i ROWS BETWEEN 1 FOLLOWING AND {linededup.AROUND} FOLLOWING)) AS cuts FROM j),
-v AS (SELECT *, coalesce(sum(cuts::INT) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM c),
-u AS (SELECT doc, min(i) AS pos, min(s) AS s, max(e) AS e, count(*)::INT AS words, list(low ORDER BY i) AS lows FROM v GROUP BY doc, unit),
+v0 AS (SELECT *, coalesce(sum(cuts::INT) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM c),
+v1 AS (SELECT *, (row_number() OVER (PARTITION BY doc, part ORDER BY i) - 1) // {linededup.MOST_UNIT} AS piece FROM v0),
+v AS (SELECT *, greatest({linededup.LONG_UNIT}, count(*) OVER (PARTITION BY doc, part, piece) + {linededup.AROUND}) AS reach FROM v1),
+u AS (SELECT doc, min(i) AS pos, min(s) AS s, max(e) AS e, count(*)::INT AS words, list(low ORDER BY i) AS lows FROM v GROUP BY doc, part, piece),
 f AS (SELECT lows, min((doc, pos)) AS k FROM u GROUP BY lows HAVING count(*) > 1),
 m AS (SELECT doc, pos, s, e, words, k[1] AS k_doc, k[2] - pos AS shift, pos - coalesce(sum(words) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM u JOIN f USING (lows) WHERE (doc, pos) <> k),
 r AS (SELECT doc, run, min(pos) AS lo, max(pos + words) AS hi, min(s) AS s, max(e) AS e, count(*) AS units, arg_min(k_doc, pos) AS keep FROM m GROUP BY doc, run),
 p AS (SELECT DISTINCT doc, run, lo, hi, k_doc, shift FROM m JOIN r USING (doc, run)),
-y AS (SELECT p.*, j, true AS onward, own.e AS place, own.low IS NOT DISTINCT FROM k.low AS same FROM p JOIN v x ON x.doc = p.doc AND x.i = hi, range({linededup.STRETCH}) g(j) JOIN v own ON own.doc = p.doc AND own.i = hi + j AND own.sentence = x.sentence LEFT JOIN v k ON k.doc = k_doc AND k.i = hi + shift + j
-  UNION ALL SELECT p.*, j, false, own.s, own.low IS NOT DISTINCT FROM k.low FROM p JOIN v x ON x.doc = p.doc AND x.i = lo - 1, range({linededup.STRETCH}) g(j) JOIN v own ON own.doc = p.doc AND own.i = lo - 1 - j AND own.sentence = x.sentence LEFT JOIN v k ON k.doc = k_doc AND k.i = lo - 1 + shift - j),
+y AS (SELECT p.*, j, true AS onward, own.e AS place, own.low IS NOT DISTINCT FROM k.low AS same FROM p JOIN v x ON x.doc = p.doc AND x.i = hi, range({linededup.MOST_UNIT + linededup.AROUND}) g(j) JOIN v own ON own.doc = p.doc AND j < x.reach AND own.i = hi + j AND own.sentence = x.sentence LEFT JOIN v k ON k.doc = k_doc AND k.i = hi + shift + j
+  UNION ALL SELECT p.*, j, false, own.s, own.low IS NOT DISTINCT FROM k.low FROM p JOIN v x ON x.doc = p.doc AND x.i = lo - 1, range({linededup.MOST_UNIT + linededup.AROUND}) g(j) JOIN v own ON own.doc = p.doc AND j < x.reach AND own.i = lo - 1 - j AND own.sentence = x.sentence LEFT JOIN v k ON k.doc = k_doc AND k.i = lo - 1 + shift - j),
 z AS (SELECT * FROM y QUALIFY bool_and(same) OVER (PARTITION BY doc, run, k_doc, shift, onward ORDER BY j)),
 g AS (SELECT doc, run, max(j + 1) FILTER (NOT onward) AS l, max(j + 1) FILTER (onward) AS r, min(place) FILTER (NOT onward) AS s, max(place) FILTER (onward) AS e FROM z GROUP BY doc, run),
 h AS (SELECT doc, run, lo - coalesce(g.l, 0) AS lo, hi + coalesce(g.r, 0) AS hi, coalesce(g.s, r.s) AS s, coalesce(g.e, r.e) AS e, units, keep FROM r LEFT JOIN g USING (doc, run)),

@@ -30,7 +30,7 @@ def brute(docs, min_words):
     for key in docs:
         lines, now = [], []
         for m in re.finditer(r"[^\x20\x09-\x0D]+", key[2]):
-            if not now or now[-1][3] or "\n" in key[2][now[-1][2] : m.start()]:
+            if not now or now[-1][3] or key[2][now[-1][2] : m.start()].count("\n") > 1:
                 lines.append(now := [])
             stops = m.end() < len(key[2]) and re.search(r"""[.!?…。]["'”’)\]]*$""", m[0])
             now.append((m[0].lower(), m.start(), m.end(), bool(stops)))
@@ -46,7 +46,7 @@ def brute(docs, min_words):
             part, num = [], [(7 * ord(w[0][0]) + 31 * ord(w[0][-1]) + 3 * len(w[0])) % 97 for w in whole]
             for i, w in enumerate(whole):
                 part.append(w)
-                least = len(whole) > 24 and 6 <= i < len(whole) - 6 and all(num[i] < x for x in num[i - 6 : i]) and all(num[i] <= x for x in num[i + 1 : i + 7])
+                least = len(part) == 64 or len(whole) > 24 and 6 <= i < len(whole) - 6 and all(num[i] < x for x in num[i - 6 : i]) and all(num[i] <= x for x in num[i + 1 : i + 7])
                 if least or i == len(whole) - 1:
                     units.append((at, part))
                     at += len(part)
@@ -61,6 +61,7 @@ def brute(docs, min_words):
         for at, n, _, _ in marked:
             got.update(range(at, at + n))
         whole = set(got)
+        reach = {i: max(24, len(u) + 6) for at, u in units for i in range(at, at + len(u))}
         for at, n, other, k in marked:  # extend the run that holds the unit, as its unit's kept place goes on
             low, high = at, at + n
             while low - 1 in whole:
@@ -68,7 +69,7 @@ def brute(docs, min_words):
             while high in whole:
                 high += 1
             for x, step in ((low - 1, -1), (high, 1)):
-                for j in range(64):
+                for j in range(reach.get(x, 0)):
                     own, theirs = x + step * j, x + k - at + step * j
                     left_sentence = j and (words[own - 1][3] if step > 0 and own < len(words) else step < 0 and own >= 0 and words[own][3])
                     if not 0 <= own < len(words) or left_sentence or not 0 <= theirs < len(flat[other]) or words[own][0] != flat[other][theirs][0]:
@@ -120,6 +121,31 @@ def test_cutting_keeps_offsets(spark):
         assert (PASSAGE in (r["text"] or "").lower().replace("  ", " ")) == (r["doc_id"] == 2)
 
 
+def wrapped(text, width):
+    words = text.split()
+    return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def test_wrapped_copies_are_found(spark):
+    """Whole documents repeated word for word with other line breaks, with and without sentence ends."""
+    for sentence in (None, 8, 15, 25):
+        docs, n_words = [], {}
+        for k in range(45):
+            words = prose(1000 + k, (60, 100, 200)[k % 3]).split()
+            n_words[100 + k] = len(words)
+            text = " ".join(w + ("." if sentence and i % sentence == sentence - 1 else "") for i, w in enumerate(words))
+            docs += [(k, wrapped(text, 10), "", "", 0), (100 + k, wrapped(text, 14), "", "", 0)]
+        found = [(r["doc_id"], r["words"]) for r in linededup.spans(frame(spark, docs)).collect()]
+        assert {i for i, _ in found} == set(n_words)
+        assert sum(n for _, n in found) >= 0.99 * sum(n_words.values())
+
+
+def test_units_are_bounded():
+    for text in ("same " * 500, "one two three " * 300, prose(5, 3000)):
+        sizes = [len(w) for _, _, w, _ in linededup.units_of(text)]
+        assert sum(sizes) == len(text.split()) and max(sizes) <= linededup.MOST_UNIT
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert linededup.spans(empty).count() == 0
