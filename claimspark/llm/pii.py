@@ -6,7 +6,8 @@ the issuer of a card (six digits), the prefix of a phone number (five). What a t
 entity is measured over the corpus: the pointwise mutual information of the two (from the numbers of documents with either
 and with both) as a share of the entity's own information, -log2 of its probability. A share of 1 means that whoever reads
 the term knows the entity. The share is discounted for thin evidence by (b / (b + 1))^2, b being the different texts with
-both. Terms at or above DISCLOSURE after that are spans of the kind "term" in the texts that hold the entity. Sanitised
+both: two texts that share nearly all they tell reach DISCLOSURE, one never does. Terms at or above it after that are spans
+of the kind "term" in every text that holds them, the entity beside them or not, as they give it away there too. Sanitised
 texts have base spans generalised to their kind and such terms removed.
 
 Bounds keep pairs few and lose none: entity and term must be in so many different texts together that the discount alone
@@ -29,11 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast, text_of
 
-DISCLOSURE = 0.5
-#: Terms have at least so many characters.
-TERM_LENGTH = 3
+DISCLOSURE = 0.4
 TERM = r"[\p{L}\p{N}]+"
 
+#: Spans of terms of so many texts at most are broadcast.
+BROADCAST_TEXTS = 5_000
+
 _LOCAL = "A-Za-z0-9._%+-"
 EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -105,15 +107,18 @@ def joined(spans: Column) -> Column:
 
 def terms_of(text: Column) -> Column:
     """The distinct terms of a text, in lower case."""
-    return F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)), lambda t: F.length(t) >= TERM_LENGTH)
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
 def found(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, spans, digest, text): a struct of columns of docs, and the base spans; texts with spans also have their
-    digest and themselves. A written table."""
+    """(keep, spans, digest, text): a struct of columns of docs, the base spans, the text's digest and, where it has spans, the
+    text. A written table."""
     rows = docs.select(F.struct(*keep).alias("keep"), text_of().alias("whole")).withColumn("spans", base_spans(F.col("whole")))
-    has = F.size("spans") > 0
-    return cut(rows.select("keep", "spans", F.when(has, F.unhex(F.sha2(F.col("whole").cast("binary"), 256))).alias("digest"), F.when(has, F.col("whole")).alias("text")), "pii-found")
+    return cut(rows.select("keep", "spans", digest_of(F.col("whole")).alias("digest"), F.when(F.size("spans") > 0, F.col("whole")).alias("text")), "pii-found")
 
 
 def entities_of(spans: Column) -> Column:
@@ -137,11 +142,10 @@ def least_texts(disclosure: float) -> int:
 
 
 def disclosing(docs: DataFrame, hits: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(digest, term): for each text that holds an entity which some of its terms give away, those terms. A written
-    table. hits: of found()."""
+    """(digest, term): for each text its terms that give away an entity. A written table. hits: of found()."""
     least = least_texts(disclosure)
     of_text = (F.any_value(F.struct("text", "spans")).alias("x"), F.count(F.lit(1)).alias("rows"))
-    texts = hits.filter(F.col("digest").isNotNull()).groupBy("digest").agg(*of_text).select("digest", "rows", "x.*")
+    texts = hits.filter(F.col("text").isNotNull()).groupBy("digest").agg(*of_text).select("digest", "rows", "x.*")
     bare = F.col("text")
     for pattern in (EMAIL, IP, CARD, PHONE):
         bare = F.regexp_replace(bare, pattern, " ")
@@ -169,22 +173,23 @@ def disclosing(docs: DataFrame, hits: DataFrame, disclosure: float = DISCLOSURE)
     score = lambda n_term: share(n_term) * (b / (b + 1)) * (b / (b + 1))
     met = cut(met.filter(b >= least).join(among.select("term", "n_held"), "term").filter(score(F.col("n_held")) >= disclosure), "pii-met")
     wanted = maybe_broadcast(cut(met.select("term").distinct(), "pii-wanted"))
-    count = lambda df, name: df.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("rows").alias(name))
-    # Documents of the whole corpus with each term; those with entities count by what stands outside their spans.
-    everywhere = cut(count(docs.select(F.explode(terms_of(text_of())).alias("term"), F.lit(1).cast("long").alias("rows")), "n_all"), "pii-everywhere")
-    inside = cut(count(texts.select("rows", F.explode("whole").alias("term")), "n_whole"), "pii-inside")
+    # Where in the whole corpus these few terms stand; texts with entities count by what stands outside their spans.
+    places = docs.select(digest_of(text_of()).alias("digest"), F.explode(terms_of(text_of())).alias("term")).join(wanted, "term", "left_semi")
+    places = cut(places, "pii-places")
+    everywhere = places.groupBy("term").agg(F.count(F.lit(1)).alias("n_all"))
+    inside = texts.select("rows", F.explode("whole").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("rows").alias("n_whole"))
     told = met.join(everywhere, "term").join(inside, "term").withColumn("n_term", F.col("n_all") - F.col("n_whole") + F.col("n_held"))
-    strong = cut(told.filter(score(F.col("n_term")) >= disclosure).select("entity", "term"), "pii-disclosing")
-    strong = maybe_broadcast(strong)
-    told_of = held.select("key", "entity").join(strong, "entity").select("key", "term").distinct().join(terms.select("key", "term"), ["key", "term"])
-    return cut(told_of.join(texts.select("key", "digest"), "key").select("digest", "term"), "pii-terms-of-texts")
+    strong = maybe_broadcast(cut(told.filter(score(F.col("n_term")) >= disclosure).select("term").distinct(), "pii-disclosing"))
+    return cut(places.join(strong, "term", "left_semi").distinct(), "pii-terms-of-texts")
 
 
-def term_spans(hits: DataFrame, told: DataFrame) -> DataFrame:
+def term_spans(docs: DataFrame, hits: DataFrame, told: DataFrame) -> DataFrame:
     """(digest, term_spans): where told(digest, term) stand in their texts, outside the base spans, by place. Running sums
     over the words of a text give the places, a running maximum over its spans and words in order tells overlaps."""
-    texts = hits.filter(F.col("digest").isNotNull()).join(told.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.any_value(F.struct("text", "spans")).alias("x"))
-    texts = cut(texts.select("digest", "x.text", "x.spans"), "pii-told-texts")
+    wanted = maybe_broadcast(cut(told.select("digest").distinct(), "pii-told"))
+    spans = hits.select("digest", "spans").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.any_value("spans").alias("spans"))
+    texts = docs.select(digest_of(text_of()).alias("digest"), text_of().alias("text")).join(wanted, "digest", "left_semi").groupBy("digest").agg(F.any_value("text").alias("text"))
+    texts = cut(texts.join(spans, "digest"), "pii-told-texts")
     steps = F.zip_with(F.split("text", TERM, -1), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda gap, word: F.struct(F.length(gap).alias("gap"), word.alias("word")))
     words = texts.select("digest", F.posexplode(steps).alias("i", "x")).select("digest", "i", "x.gap", "x.word")
     upto = F.sum(F.col("gap") + F.coalesce(F.length("word"), F.lit(0))).over(Window.partitionBy("digest").orderBy("i")).cast("int")
@@ -205,11 +210,9 @@ def scan(docs: DataFrame, keep: list[str], disclosure: float = DISCLOSURE) -> Da
     are left out of keep."""
     names = [c for c in keep if c not in ("spans", "term_spans")]
     hits = found(docs, names)
-    added = term_spans(hits, disclosing(docs, hits, disclosure))
+    added = maybe_broadcast(term_spans(docs, hits, disclosing(docs, hits, disclosure)), BROADCAST_TEXTS)
     none = F.array().cast(_SPANS)
-    without = hits.filter(F.col("digest").isNull()).select("keep.*", "spans", none.alias("term_spans"))
-    some = hits.filter(F.col("digest").isNotNull()).select("keep", "spans", "digest").join(added, "digest", "left")
-    return without.unionByName(some.select("keep.*", "spans", F.coalesce("term_spans", none).alias("term_spans")))
+    return hits.select("keep", "spans", "digest").join(added, "digest", "left").select("keep.*", "spans", F.coalesce("term_spans", none).alias("term_spans"))
 
 
 def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:

@@ -57,7 +57,7 @@ def corpus():
 def brute_terms(data, disclosure=pii.DISCLOSURE):
     documents = [(t or "") for _, t, *_ in data]
     texts = set(documents)
-    terms = lambda t: {w.lower() for w in re.findall(r"[^\W_]+", t) if len(w.lower()) >= 3}
+    terms = lambda t: {w.lower() for w in re.findall(r"[^\W_]+", t)}
 
     def entities_of(t):
         out = set()
@@ -91,7 +91,7 @@ def brute_terms(data, disclosure=pii.DISCLOSURE):
     out = {}
     for t in texts:
         spans = base(t)
-        told = {w for e, w in strong if e in entities_of(t)}
+        told = {w for _, w in strong}
         out[t] = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in told and all(m.end() <= s[1] or m.start() >= s[2] for s in spans)]
     return out
 
@@ -101,7 +101,14 @@ def test_disclosing_terms(spark):
     assert any(want.values())
     for _, t, _, terms in scan(spark, corpus()):
         assert [(s.start, s.end) for s in terms] == want[t or ""]
-        assert all(s.value.lower() == "zorblax" or s.value.lower() in ("wrote", "about") for s in terms)
+        assert not {s.value.lower() for s in terms} & {"common", "copied", "qqfoo", "words"}
+
+
+def test_terms_are_found_without_their_entity(spark):
+    """A text that holds just the term is told too; of one text alone nothing is."""
+    data = [*corpus(), (700, "only Zorblax here", "", "", 0), (701, "kwyjibo1 alone", "", "", 0)]
+    spans = {i: [s.value for s in terms] for i, _, base_spans, terms in scan(spark, data) if not base_spans}
+    assert spans[700] == ["Zorblax"] and spans[701] == []
 
 
 def test_random_corpus_against_brute_force(spark):
