@@ -5,12 +5,14 @@ entities are the values found and what values have in common: the domain of an a
 the issuer of a card (six digits), the prefix of a phone number (five). What a term in the same text gives away about an
 entity is measured over the corpus: the pointwise mutual information of the two (from the numbers of documents with either
 and with both) as a share of the entity's own information, -log2 of its probability. A share of 1 means that whoever reads
-the term knows the entity. The share is discounted for thin evidence by (b / (b + 1))^2, b being the different texts with
-both: two texts that share nearly all they tell reach DISCLOSURE, one never does. Terms at or above it after that are spans
-of the kind "term" in every text that holds them, the entity beside them or not, as they give it away there too. Sanitised
-texts have base spans generalised to their kind and such terms removed.
-
-Bounds keep pairs few and lose none: entity and term must be in so many different texts together that the discount alone
+the term knows the entity. The share is discounted for thin evidence by (b / (b + 1))^2. Copies of a text are no evidence of
+their own, so b is the effective number of contexts: the texts with both are counted by the words to either side of the
+entity, and b is the square of the sum of these counts over the sum of their squares. That is the number of texts where all
+contexts differ and near 1 in a group of near copies, however many. Two contexts that tell nearly all reach DISCLOSURE, one
+never does. Terms at or above it after that are spans of the kind "term" in every text that holds them, the entity beside
+them or not, as they give it away there too. Sanitised texts have base spans generalised to their kind and such terms removed.
+
+Bounds keep pairs few and lose none: an entity must have so many contexts, and a term so many texts, that the discount alone
 leaves DISCLOSURE, and a term is in as many documents of the corpus at least as among those with entities, which bounds
 what it can tell before the corpus is counted.
 
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut, maybe_broadcast, text_of
 
 DISCLOSURE = 0.4
+#: Characters to either side of a span in which its context is looked for.
+BESIDE = 64
 TERM = r"[\p{L}\p{N}]+"
 
 #: Spans of terms of so many texts at most are broadcast.
@@ -121,8 +125,9 @@ def found(docs: DataFrame, keep: list[str]) -> DataFrame:
     return cut(rows.select("keep", "spans", digest_of(F.col("whole")).alias("digest"), F.when(F.size("spans") > 0, F.col("whole")).alias("text")), "pii-found")
 
 
-def entities_of(spans: Column) -> Column:
-    """The protected entities of an array of spans, each once: the values, and what values have in common."""
+def entities_of(text: Column, spans: Column) -> Column:
+    """The protected entities of an array of spans, the values and what values have in common, each with its context: the
+    terms to either side, within BESIDE characters."""
     value = lambda s: s["value"]
     shared = lambda s: (
         F.when(s["kind"] == "email", F.concat(F.lit("domain:"), F.substring_index(value(s), "@", -1)))
@@ -130,11 +135,16 @@ def entities_of(spans: Column) -> Column:
         .when(s["kind"] == "card", F.concat(F.lit("issuer:"), F.substring(value(s), 1, 6)))
         .otherwise(F.concat(F.lit("prefix:"), F.substring(value(s), 1, 5)))
     )
-    return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.array(F.concat_ws(":", s["kind"], s["value"]), shared(s)))))
+    begin = lambda s: F.greatest(s["start"] - BESIDE, F.lit(0))
+    before = lambda s: F.regexp_extract(F.substring(text, begin(s) + 1, s["start"] - begin(s)), rf"({TERM})[^\p{{L}}\p{{N}}]*$", 1)
+    after = lambda s: F.regexp_extract(F.substring(text, s["end"] + 1, F.lit(BESIDE)), f"({TERM})", 1)
+    context = lambda s: F.xxhash64(F.lower(F.concat_ws(" ", before(s), after(s)))).alias("context")
+    both = lambda s: F.array(F.struct(F.concat_ws(":", s["kind"], s["value"]).alias("entity"), context(s)), F.struct(shared(s).alias("entity"), context(s)))
+    return F.flatten(F.transform(spans, both))
 
 
 def least_texts(disclosure: float) -> int:
-    """The least number of texts with which the discount alone leaves the disclosure."""
+    """The least number of contexts, and so of texts, with which the discount alone leaves the disclosure."""
     n = 1
     while (n / (n + 1)) ** 2 < disclosure:
         n += 1
@@ -150,11 +160,13 @@ def disclosing(docs: DataFrame, hits: DataFrame, disclosure: float = DISCLOSURE)
     for pattern in (EMAIL, IP, CARD, PHONE):
         bare = F.regexp_replace(bare, pattern, " ")
     # Texts go by a number of eight bytes here, their digests come back at the end.
-    terms = texts.select("digest", F.xxhash64("digest").alias("key"), "rows", entities_of(F.col("spans")).alias("entities"), terms_of(bare).alias("terms"), terms_of(F.col("text")).alias("whole"))
+    terms = texts.select("digest", F.xxhash64("digest").alias("key"), "rows", entities_of(F.col("text"), F.col("spans")).alias("entities"), terms_of(bare).alias("terms"), terms_of(F.col("text")).alias("whole"))
     texts = cut(terms, "pii-texts")
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    holds = texts.select("key", "rows", F.explode("entities").alias("entity"))
-    entities = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("n_entity")).filter(F.col("texts") >= least)
+    # An entity's context in a text is that of its first place.
+    places = texts.select("key", "rows", F.posexplode("entities").alias("at", "e")).groupBy("key", "e.entity").agg(F.any_value("rows").alias("rows"), F.min_by("e.context", "at").alias("context"))
+    holds = cut(places, "pii-holds")
+    entities = holds.groupBy("entity").agg(F.count_distinct("context").alias("texts"), F.sum("rows").alias("n_entity")).filter(F.col("texts") >= least)
     entities = cut(entities.join(F.broadcast(n), F.lit(True)).filter("n > n_entity"), "pii-protected")  # one row of n
     held = cut(holds.join(maybe_broadcast(entities.withColumnRenamed("texts", "e_texts")), "entity"), "pii-held")
     own = texts.join(held.select("key").distinct(), "key", "left_semi").select("key", F.explode("terms").alias("term"))
@@ -167,20 +179,22 @@ def disclosing(docs: DataFrame, hits: DataFrame, disclosure: float = DISCLOSURE)
     # What a pair can reach at most: all documents of the rarer with the other, in as many different texts.
     b_most = F.least("e_texts", "t_texts")
     reach = F.log2(F.col("n") / F.greatest("n_entity", "n_held")) / F.log2(F.col("n") / F.col("n_entity")) * (b_most / (b_most + 1)) * (b_most / (b_most + 1))
-    met = terms.join(held, "key").filter(reach >= disclosure).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("b"), F.sum("rows").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n").alias("n"))
+    met = terms.join(held, "key").filter(reach >= disclosure).groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("k"), F.sum("rows").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n").alias("n"))
+    b_of = (F.sum("k") * F.sum("k") / F.sum(F.col("k") * F.col("k"))).alias("b")
+    met = met.groupBy("entity", "term").agg(b_of, F.sum("n_both").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n").alias("n"))
     b = F.col("b")
     share = lambda n_term: F.log2(F.col("n") * F.col("n_both") / (n_term * F.col("n_entity"))) / F.log2(F.col("n") / F.col("n_entity"))
     score = lambda n_term: share(n_term) * (b / (b + 1)) * (b / (b + 1))
-    met = cut(met.filter(b >= least).join(among.select("term", "n_held"), "term").filter(score(F.col("n_held")) >= disclosure), "pii-met")
+    met = cut(met.join(among.select("term", "n_held"), "term").filter(score(F.col("n_held")) >= disclosure), "pii-met")
     wanted = maybe_broadcast(cut(met.select("term").distinct(), "pii-wanted"))
-    # Where in the whole corpus these few terms stand; texts with entities count by what stands outside their spans.
-    places = docs.select(digest_of(text_of()).alias("digest"), F.explode(terms_of(text_of())).alias("term")).join(wanted, "term", "left_semi")
-    places = cut(places, "pii-places")
-    everywhere = places.groupBy("term").agg(F.count(F.lit(1)).alias("n_all"))
-    inside = texts.select("rows", F.explode("whole").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("rows").alias("n_whole"))
+    count = lambda df, name: df.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("rows").alias(name))
+    # Documents of the whole corpus with each term; those with entities count by what stands outside their spans.
+    everywhere = cut(count(docs.select(F.explode(terms_of(text_of())).alias("term"), F.lit(1).cast("long").alias("rows")), "n_all"), "pii-everywhere")
+    inside = count(texts.select("rows", F.explode("whole").alias("term")), "n_whole")
     told = met.join(everywhere, "term").join(inside, "term").withColumn("n_term", F.col("n_all") - F.col("n_whole") + F.col("n_held"))
     strong = maybe_broadcast(cut(told.filter(score(F.col("n_term")) >= disclosure).select("term").distinct(), "pii-disclosing"))
-    return cut(places.join(strong, "term", "left_semi").distinct(), "pii-terms-of-texts")
+    where = docs.select(digest_of(text_of()).alias("digest"), F.explode(terms_of(text_of())).alias("term")).join(strong, "term", "left_semi")
+    return cut(where.distinct(), "pii-terms-of-texts")
 
 
 def term_spans(docs: DataFrame, hits: DataFrame, told: DataFrame) -> DataFrame:
