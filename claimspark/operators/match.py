@@ -24,16 +24,16 @@ OTHER = "GEN-OTH"
 
 
 def block_pairs(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:
-    """Candidate pairs (left name, right name) of distinct names that share a token or a skeleton or, where a name shares
-    none with any, a character trigram. However common a token is, every pair that shares it is a candidate."""
+    """Candidate pairs (left name, right name) of distinct names that share a token, a skeleton or a character trigram of
+    the skeletons: every such pair is one, however common what they share is. For the best partners of names whatever they
+    share see nearest_names."""
     l = left.select(F.col(name).alias("l_name")).distinct().withColumn("l_key", norm_key(F.col("l_name")))
     r = right.select(F.col(name).alias("r_name")).distinct().withColumn("r_key", norm_key(F.col("r_name")))
-    keys = lambda c: F.array_distinct(F.concat(F.split(c, " "), F.array(F.concat(F.lit("="), F.replace(c, F.lit(" "), F.lit(""))))))
+    compact = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    marked = lambda sign, a: F.transform(a, lambda x: F.concat(F.lit(sign), x))
+    keys = lambda c: F.array_distinct(F.concat(marked(" ", F.split(c, " ")), F.array(F.concat(F.lit("="), compact(c))), marked("#", ngrams(compact(c)))))
     lt, rt = l.select("l_name", F.explode(keys(F.col("l_key"))).alias("t")), r.select("r_name", F.explode(keys(F.col("r_key"))).alias("t"))
-    by_token = lt.join(rt, "t").select("l_name", "r_name").distinct()
-    rest = l.join(by_token.select("l_name"), "l_name", "left_anti")
-    by_gram = rest.select("l_name", F.explode(ngrams(F.col("l_key"))).alias("g")).join(r.select("r_name", F.explode(ngrams(F.col("r_key"))).alias("g")), "g").select("l_name", "r_name").distinct()
-    return by_token.unionByName(by_gram)
+    return lt.join(rt, "t").select("l_name", "r_name").distinct()
 
 
 def name_features(names: DataFrame, signals: dict[str, dict[str, Sequence[str]]], terms: Sequence[str] = ()) -> DataFrame:
@@ -105,11 +105,14 @@ def map_services(
     lines: DataFrame, codebook: DataFrame, name: str = "name", k: int = TOP_K, signals: dict[str, dict[str, Sequence[str]]] | None = None, terms: Sequence[str] = (), blacklist: DataFrame | None = None
 ) -> DataFrame:
     """ER1: per distinct name the k best codes (raw score at least 45, each code by its best name), score being capped at
-    100. lines and codebook: of name_features(), whose other columns may be missing; blacklist(cleaned, code): pairs that
+    100; found by nearest_names, so none is lost whatever the names share. lines and codebook: of name_features(), whose other columns may be missing; blacklist(cleaned, code): pairs that
     must not be matched. Names are mapped once; join back to lines on l_name."""
     named = lambda df: name_features(df.withColumnRenamed(name, "name").dropDuplicates(["name"] + [c for c in ("code",) if c in df.columns]), signals or {}, terms)
     left, right = named(lines), named(codebook)
-    scored = mapper_score(block_pairs(left, right), left.dropDuplicates(["name"]), right).filter(F.col("raw_score") >= FLOOR)
+    from .nearest_names import nearest_pairs
+
+    left, right = cut(left.dropDuplicates(["name"])), cut(right)
+    scored = mapper_score(nearest_pairs(left, right, k, blacklist), left, right).filter(F.col("raw_score") >= FLOOR)
     if blacklist is not None:
         scored = scored.join(blacklist.select(F.col("cleaned").alias("l_cleaned"), "code"), ["l_cleaned", "code"], "left_anti")
     of_code = top1(scored, ["l_name", "code"], [F.col("raw_score").desc(), F.col("r_name")])
