@@ -8,8 +8,8 @@ and with both) as a share of the entity's own information, -log2 of its probabil
 the term knows the entity. The share is discounted for thin evidence by (b / (b + 1))^2. Copies of a text are no evidence of
 their own, so b is the effective number of contexts: the texts with both are counted by the words to either side of the
 entity, and b is the square of the sum of these counts over the sum of their squares. That is the number of texts where all
-contexts differ and near 1 in a group of near copies, however many. Two contexts that tell nearly all reach DISCLOSURE, one
-never does. Terms at or above it after that are spans of the kind "term" in every text that holds them, the entity beside
+contexts differ and near 1 in a group of near copies, however many. Three contexts that tell nearly all reach DISCLOSURE;
+two, which rare words share by chance, never do. Terms at or above it after that are spans of the kind "term" in every text that holds them, the entity beside
 them or not, as they give it away there too. Sanitised texts have base spans generalised to their kind and such terms removed.
 
 Bounds keep pairs few and lose none: an entity must have so many contexts, and a term so many texts, that the discount alone
@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast, text_of
 
-DISCLOSURE = 0.4
+DISCLOSURE = 0.5
 #: Characters to either side of a span in which its context is looked for.
 BESIDE = 64
 TERM = r"[\p{L}\p{N}]+"
 
+#: So many digests of 32 bytes are broadcast at most, to find their texts.
+BROADCAST_DIGESTS = 200_000
 #: Spans of terms of so many texts at most are broadcast.
 BROADCAST_TEXTS = 5_000
 
@@ -200,7 +202,7 @@ def disclosing(docs: DataFrame, hits: DataFrame, disclosure: float = DISCLOSURE)
 def term_spans(docs: DataFrame, hits: DataFrame, told: DataFrame) -> DataFrame:
     """(digest, term_spans): where told(digest, term) stand in their texts, outside the base spans, by place. Running sums
     over the words of a text give the places, a running maximum over its spans and words in order tells overlaps."""
-    wanted = maybe_broadcast(cut(told.select("digest").distinct(), "pii-told"))
+    wanted = maybe_broadcast(cut(told.select("digest").distinct(), "pii-told"), BROADCAST_DIGESTS)
     spans = hits.select("digest", "spans").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.any_value("spans").alias("spans"))
     texts = docs.select(digest_of(text_of()).alias("digest"), text_of().alias("text")).join(wanted, "digest", "left_semi").groupBy("digest").agg(F.any_value("text").alias("text"))
     texts = cut(texts.join(spans, "digest"), "pii-told-texts")
