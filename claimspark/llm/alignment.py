@@ -37,9 +37,9 @@ from .common import cut, scratch_path, text_of
 BROADCAST_PAIRS = 2_000_000
 #: Distinct pairs that a task counts before it hands them on.
 HELD_PAIRS = 1_000_000
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 3 << 20
 #: Pieces of text that each tokenizer's table keeps, at most.
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 800_000
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 PAIRED = ("same_ids", "same_times", "pair_keys", "pair_times")
 ADDED = T.StructType()
