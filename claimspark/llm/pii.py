@@ -8,9 +8,11 @@ and with both) as a share of the entity's own information, -log2 of its probabil
 the term knows the entity. The share is discounted for thin evidence by (b / (b + 1))^2. Copies of a text are no evidence of
 their own, so b is the effective number of contexts: the texts with both are counted by the words to either side of the
 entity, and b is the square of the sum of these counts over the sum of their squares. That is the number of texts where all
-contexts differ and near 1 in a group of near copies, however many. Three contexts that tell nearly all reach DISCLOSURE;
-two, which rare words share by chance, never do. Terms at or above it after that are spans of the kind "term" in every text that holds them, the entity beside
-them or not, as they give it away there too. Sanitised texts have base spans generalised to their kind and such terms removed.
+contexts differ and near 1 in a group of near copies, however many. Three contexts that tell nearly all
+reach DISCLOSURE; two, which rare words share by chance, never do. Terms at or above it after that are spans of the kind
+"term" in the texts that hold the entity; where at least half of the documents with a term hold the entity too, the term
+gives it away alone, and is a span in every text. Sanitised texts have base spans generalised to their kind and such terms
+removed.
 
 Bounds keep pairs few and lose none: an entity must have so many contexts, and a term so many texts, that the discount alone
 leaves DISCLOSURE, and a term is in as many documents of the corpus at least as among those with entities, which bounds
@@ -194,9 +196,14 @@ def disclosing(docs: DataFrame, hits: DataFrame, disclosure: float = DISCLOSURE)
     everywhere = cut(count(docs.select(F.explode(terms_of(text_of())).alias("term"), F.lit(1).cast("long").alias("rows")), "n_all"), "pii-everywhere")
     inside = count(texts.select("rows", F.explode("whole").alias("term")), "n_whole")
     told = met.join(everywhere, "term").join(inside, "term").withColumn("n_term", F.col("n_all") - F.col("n_whole") + F.col("n_held"))
-    strong = maybe_broadcast(cut(told.filter(score(F.col("n_term")) >= disclosure).select("term").distinct(), "pii-disclosing"))
-    where = docs.select(digest_of(text_of()).alias("digest"), F.explode(terms_of(text_of())).alias("term")).join(strong, "term", "left_semi")
-    return cut(where.distinct(), "pii-terms-of-texts")
+    strong = told.filter(score(F.col("n_term")) >= disclosure).select("entity", "term", (2 * F.col("n_both") >= F.col("n_term")).alias("alone"))
+    strong = cut(strong, "pii-disclosing")
+    beside = held.select("key", "entity").join(maybe_broadcast(strong), "entity").select("key", "term").distinct().join(terms.select("key", "term"), ["key", "term"])
+    beside = beside.join(texts.select("key", "digest"), "key").select("digest", "term")
+    # At most twice as many documents as hold term and entity.
+    alone = maybe_broadcast(cut(strong.filter("alone").select("term").distinct(), "pii-alone"))
+    where = docs.select(digest_of(text_of()).alias("digest"), F.explode(terms_of(text_of())).alias("term")).join(alone, "term", "left_semi")
+    return cut(beside.unionByName(where).distinct(), "pii-terms-of-texts")
 
 
 def term_spans(docs: DataFrame, hits: DataFrame, told: DataFrame) -> DataFrame:

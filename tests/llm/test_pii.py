@@ -99,7 +99,7 @@ def brute_terms(data, disclosure=pii.DISCLOSURE):
     out = {}
     for t in texts:
         spans = base(t)
-        told = {w for _, w in strong}
+        told = {w for e, w in strong if 2 * both[e, w] >= df[w] or e in entities_of(t)}
         out[t] = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in told and all(m.end() <= s[1] or m.start() >= s[2] for s in spans)]
     return out
 
