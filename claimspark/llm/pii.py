@@ -29,7 +29,7 @@ as they occur but as one text; null ids are carried along; an empty table gives
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast, text_of
@@ -207,25 +207,15 @@ def disclosing(docs: DataFrame, hits: DataFrame, disclosure: float = DISCLOSURE)
 
 
 def term_spans(docs: DataFrame, hits: DataFrame, told: DataFrame) -> DataFrame:
-    """(digest, term_spans): where told(digest, term) stand in their texts, outside the base spans, by place. Running sums
-    over the words of a text give the places, a running maximum over its spans and words in order tells overlaps."""
-    wanted = maybe_broadcast(cut(told.select("digest").distinct(), "pii-told"), BROADCAST_DIGESTS)
+    """(digest, term_spans): where told(digest, term) stand in their texts, outside the base spans, by place."""
+    by_text = cut(told.groupBy("digest").agg(F.collect_set("term").alias("told")), "pii-told")
+    wanted = maybe_broadcast(by_text.select("digest"), BROADCAST_DIGESTS)
     spans = hits.select("digest", "spans").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.any_value("spans").alias("spans"))
     texts = docs.select(digest_of(text_of()).alias("digest"), text_of().alias("text")).join(wanted, "digest", "left_semi").groupBy("digest").agg(F.any_value("text").alias("text"))
-    texts = cut(texts.join(spans, "digest"), "pii-told-texts")
-    steps = F.zip_with(F.split("text", TERM, -1), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda gap, word: F.struct(F.length(gap).alias("gap"), word.alias("word")))
-    words = texts.select("digest", F.posexplode(steps).alias("i", "x")).select("digest", "i", "x.gap", "x.word")
-    upto = F.sum(F.col("gap") + F.coalesce(F.length("word"), F.lit(0))).over(Window.partitionBy("digest").orderBy("i")).cast("int")
-    placed = words.withColumn("end", upto).withColumn("start", F.col("end") - F.length("word")).filter("word IS NOT NULL")
-    chosen = placed.join(told.withColumnRenamed("term", "told"), (placed["digest"] == told["digest"]) & (F.lower("word") == F.col("told"))).select(placed["digest"], "start", "end", "word")
-    # A span lies over a word if it begins before the word's end and ends behind its start.
-    spans = texts.select("digest", F.explode("spans").alias("s")).select("digest", F.col("s.start").alias("key"), F.lit(1).alias("kind"), F.col("s.end").alias("span_end"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("word"))
-    both = spans.unionByName(chosen.select("digest", F.col("end").alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("span_end"), "start", "end", "word"))
-    before = F.max("span_end").over(Window.partitionBy("digest").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, -1))
-    free = both.withColumn("before", before).filter("kind = 0 AND coalesce(before, 0) <= start")
-    by_place = F.sort_array(F.collect_list(F.struct("start", "end", F.col("word").alias("value"))))
-    made = F.transform(by_place, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return cut(free.groupBy("digest").agg(made.cast(_SPANS).alias("term_spans")), "pii-term-spans")
+    texts = texts.join(spans, "digest").join(by_text, "digest")
+    placed = _spans(F.col("text"), "term", TERM, lambda m: F.array_contains(F.col("told"), F.lower(m)), lambda m: m).cast(_SPANS)
+    free = F.filter(placed, lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
+    return cut(texts.select("digest", free.alias("term_spans")).filter(F.size("term_spans") > 0), "pii-term-spans")
 
 
 def scan(docs: DataFrame, keep: list[str], disclosure: float = DISCLOSURE) -> DataFrame:
