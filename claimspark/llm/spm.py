@@ -72,12 +72,11 @@ class Model:
         n = sp.get_piece_size()
         try:
             from sentencepiece import sentencepiece_model_pb2 as proto
-        except ImportError:  # without protobuf the types of pieces cannot be read
-            pass
-        else:
-            read = proto.ModelProto.FromString(sp.serialized_model_proto())
-            if any(p.type == proto.ModelProto.SentencePiece.USER_DEFINED for p in read.pieces):
-                raise ValueError("models with user-defined symbols are not supported")
+        except ImportError:
+            raise ValueError("the types of pieces cannot be read without protobuf, so user-defined symbols cannot be ruled out") from None
+        read = proto.ModelProto.FromString(sp.serialized_model_proto())
+        if any(p.type == proto.ModelProto.SentencePiece.USER_DEFINED for p in read.pieces):
+            raise ValueError("models with user-defined symbols are not supported")
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}
         as_bytes = lambda i: bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else UNKNOWN.encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(SPACE, " ").encode()

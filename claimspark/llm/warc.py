@@ -98,7 +98,14 @@ def frames(records: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def unpacked(archive: bytes) -> Iterator[bytes]:
-    """What the frames of an archive hold, one by one."""
+    """What the frames of an archive hold, one by one. A ValueError tells of damage, behind which nothing is read."""
+    try:
+        yield from _frames(archive)
+    except (struct.error, zstandard.ZstdError) as e:
+        raise ValueError(f"damaged archive: {e}") from e
+
+
+def _frames(archive: bytes) -> Iterator[bytes]:
     at, view, reader = 0, memoryview(archive), zstandard.ZstdDecompressor()
     while at < len(archive):
         (magic,) = struct.unpack_from("<I", archive, at)
@@ -212,16 +219,24 @@ def write(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, archi
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of the archives at path. A record that isn't sound has its error and no other field."""
+    """The records of the archives at path. A record that isn't sound has its error and no other field; a damaged archive
+    gives its records up to the damage and a row with the error."""
+
+    def sound(archive: bytes) -> Iterator[bytes | str]:
+        """The records, and the error that ends them if there is one."""
+        try:
+            yield from unpacked(archive)
+        except ValueError as e:
+            yield str(e)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blank = dict.fromkeys(schema.names)
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, size = [], 0
-                for raw in unpacked(batch.column(0)[i].as_py()):
+                for raw in sound(batch.column(0)[i].as_py()):
                     try:
-                        row = parse(raw)
+                        row = blank | {"error": raw} if isinstance(raw, str) else parse(raw)
                     except (ValueError, KeyError) as e:
                         row = blank | {"error": str(e) or type(e).__name__}
                     size += len(raw)

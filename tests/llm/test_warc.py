@@ -64,5 +64,16 @@ def test_unsound_records_are_told():
         list(warc.unpacked(pack + struct.pack("<II", warc.DICT_MAGIC, 0)))
 
 
+def test_damaged_archives_give_their_sound_records(spark, tmp_path):
+    records = [warc.record(i, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None, False) for i in range(3)]
+    frames = [zstandard.ZstdCompressor().compress(r) for r in records]
+    for n, damaged in enumerate((b"".join(frames)[:-3], frames[0] + frames[1] + b"\x28\xb5", frames[0] + frames[1] + b"no zstd frame here", frames[0] + frames[1] + frames[2][:6] + b"\xff" * 40)):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        (folder / "a.warc.zst").write_bytes(damaged)
+        got = warc.read(spark, str(folder)).collect()
+        assert [r.page_id for r in got] == [0, 1, None] and got[2].error
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
