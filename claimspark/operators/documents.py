@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator, Sequence
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from . import ranked_index
 from .windows import norm_by_max, topk
 
 HEADING = r"^\s*(#{1,6}\s|[0-9]+(\.[0-9]+)*[.)]?\s+\S|[IVX]+\.\s|(CHƯƠNG|PHẦN|CHAPTER|PART)\b)"
@@ -100,30 +102,14 @@ def doc_profile(docs: DataFrame) -> DataFrame:
     return out.withColumn("quality", F.when((F.col("chars") < 100) | (F.col("digit_share") > 0.3), "poor").when(F.col("n_headings") > 0, "structured").otherwise("plain"))
 
 
-def term_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, t, tf, len): the tokens of a text with their counts, and the text's number of tokens."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = docs.select(key, words.alias("w")).select(key, F.size("w").alias("len"), F.explode("w").alias("t"))
-    return rows.groupBy(key, "t").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
-
-
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, boost: DataFrame | None = None) -> DataFrame:
     """RT6, RT7: the k best documents of each query: query_id, doc_id, score, rank. queries(query_id, text), docs(doc_id,
-    text). boost(doc_id, factor): a document's score is multiplied by it.
-
-    Documents are tokenised once; only the queries' tokens go on, so the join is as large as their postings."""
-    wanted = term_table(queries, "query_id", "text").select("query_id", "t")
-    table = term_table(docs, "doc_id", "text")
-    size = docs.select(F.size(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_len"))
-    postings = table.join(wanted.select("t").distinct(), "t", "left_semi")
-    df = postings.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(size), F.lit(True)).select("t", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scores = postings.join(idf, "t").select("doc_id", "t", part.alias("s")).join(wanted, "t").groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
+    text). boost(doc_id, factor of 0 or more): a document's score is multiplied by it."""
+    wanted = ranked_index.wanted_terms(queries)
+    parts = ranked_index.bm25_parts(ranked_index.postings(docs), docs, wanted, (), k1, b)
     if boost is not None:
-        scores = scores.join(boost, "doc_id", "left").withColumn("score", F.col("score") * F.coalesce("factor", F.lit(1.0))).drop("factor")
-    scores = scores.withColumn("score", F.round("score", 4))
-    return topk(scores, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k, rank="rank")
+        parts = parts.join(boost, "doc_id", "left").withColumn("a", F.col("a") * F.coalesce("factor", F.lit(1.0))).drop("factor")
+    return ranked_index.best(parts, wanted.withColumn("n", F.lit(1)), k)
 
 
 def search_fields(queries: DataFrame, docs: DataFrame, k: int, title_weight: int = 3) -> DataFrame:
@@ -133,13 +119,12 @@ def search_fields(queries: DataFrame, docs: DataFrame, k: int, title_weight: int
 
 
 def surface_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """RT15: 10 * distinct shared tokens + log10(length, 10 at least) + 1000 * shared tokens / tokens of the text."""
-    wanted = term_table(queries, "query_id", "text").select("query_id", "t")
-    words = docs.withColumn("chars", F.length("text"))
-    table = term_table(words, "doc_id", "text").join(words.select("doc_id", "chars"), "doc_id")
-    hit = table.join(wanted, "t").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), F.max("chars").alias("chars"))
-    score = F.col("n") * 10.0 + F.log10(F.greatest("chars", F.lit(10)).cast("double")) + 1000.0 * F.col("n") / F.greatest("len", F.lit(1))
-    return topk(hit.select("query_id", "doc_id", F.round(score, 3).alias("score")), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k, rank="rank")
+    """RT15: 10 * distinct shared tokens + log10(length, 10 at least) + 1000 * the query's tokens that the text holds,
+    repeats counted, / tokens of the text."""
+    wanted = ranked_index.wanted_terms(queries)
+    found = ranked_index.of_terms(ranked_index.postings(docs), wanted)
+    parts = found.select("doc_id", "t", F.lit(10.0).alias("a"), (1000.0 / F.col("len")).alias("b"), F.log10(F.greatest("chars", F.lit(10)).cast("double")).alias("c"))
+    return ranked_index.best(parts, wanted, k, digits=3)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -224,13 +209,17 @@ def aggregate_candidates(hits: DataFrame, hints: DataFrame | None = None) -> Dat
 
 
 def retrieve(queries: DataFrame, layers: dict[str, tuple[DataFrame, Sequence[str]]], k: int = 8) -> DataFrame:
-    """RT12: hits of the layers that serve a query's intent, fused by RRF, with the number of hits of each layer. queries
-    (query_id, text, intent), layers: name -> (docs(doc_id, text), intents)."""
-    found = None
-    for name, (docs, intents) in layers.items():
-        hits = bm25(queries.filter(F.col("intent").isin(list(intents))), docs, k).withColumn("layer", F.lit(name))
-        found = hits if found is None else found.unionByName(hits)
-    fused = found.groupBy("query_id", "layer", "doc_id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 6).alias("rrf_score"))
+    """RT12: hits of the layers that serve a query's intent, fused by RRF: query_id, layer, doc_id, rrf_score, layer_hits
+    (hits of the layer, at most k), rank. queries(query_id, text, intent), layers: name -> (docs(doc_id, text), intents).
+
+    The layers are one index, each a collection of its own."""
+    docs = functools.reduce(DataFrame.unionByName, [d.select(F.lit(name).alias("layer"), "doc_id", "text") for name, (d, _) in layers.items()])
+    serves = F.array_compact(F.array(*[F.when(F.col("intent").isin(list(intents)), F.lit(name)) for name, (_, intents) in layers.items()]))
+    wanted = ranked_index.wanted_terms(queries.select("query_id", "text", F.explode(serves).alias("layer")), ["layer"])
+    parts = ranked_index.bm25_parts(ranked_index.postings(docs, ["layer"]), docs, wanted, ["layer"])
+    found = ranked_index.best(parts, wanted.withColumn("n", F.lit(1)), k, ["layer"])
+    hits = F.count(F.lit(1)).over(Window.partitionBy("query_id", "layer"))
+    fused = found.select("query_id", "layer", "doc_id", F.round(1.0 / (60 + F.col("rank")), 6).alias("rrf_score"), hits.alias("layer_hits"))
     return topk(fused, ["query_id"], [F.col("rrf_score").desc(), F.col("layer"), F.col("doc_id")], k, rank="rank")
 
 

@@ -236,7 +236,7 @@ st AS (SELECT layer, count(*) AS n, avg(len(w)) AS a FROM w GROUP BY layer), dt
 i AS (SELECT layer, t, ln(1 + (any_value(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM dt JOIN st USING (layer) GROUP BY layer, t),
 s AS (SELECT query_id, layer, doc_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a))), 4) AS score FROM dt JOIN q USING (t) JOIN i USING (layer, t) JOIN st USING (layer) GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, layer ORDER BY score DESC, doc_id) AS k FROM s QUALIFY k <= 5)
-SELECT query_id, layer, doc_id, round(1.0::DOUBLE / (60 + k), 6) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (60 + k), 6) DESC, layer, doc_id) AS rank FROM r QUALIFY rank <= 5""")
+SELECT query_id, layer, doc_id, round(1.0::DOUBLE / (60 + k), 6) AS rrf_score, count(*) OVER (PARTITION BY query_id, layer) AS layer_hits, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (60 + k), 6) DESC, layer, doc_id) AS rank FROM r QUALIFY rank <= 5""")
 def retrieve(spark: SparkSession, d: str) -> DataFrame:
     """RT12, RT13: benchmark passages against documents by language layers. Each document is in one layer (those of other
     languages or none in "other"), and both intents see all layers."""

@@ -296,7 +296,7 @@ def doc_profile(spark: SparkSession, d: str) -> DataFrame:
     return D.doc_profile(table(spark, d, "documents")).select("doc_id", "chars", "n_lines", "digit_share", "upper_share")
 
 
-_TERMS = r"""WITH qt AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM benchmark),
+_TERMS = r"""WITH qr AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM benchmark), qt AS (SELECT query_id, t, count(*) AS m FROM qr GROUP BY 1, 2),
 w AS (SELECT doc_id, length(text) AS chars, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 dt AS (SELECT doc_id, t, count(*) AS tf, any_value(n) AS len, any_value(chars) AS chars FROM (SELECT doc_id, len(w) AS n, chars, unnest(w) AS t FROM w) GROUP BY doc_id, t) """
 
@@ -310,7 +310,7 @@ def bm25(spark: SparkSession, d: str) -> DataFrame:
     return D.bm25(q, table(spark, d, "documents").select("doc_id", "text"), 1).select("query_id", "doc_id", F.round("score", 2).alias("score"))
 
 
-@query(_TERMS + """, s AS (SELECT query_id, doc_id, round(count(*) * 10.0::DOUBLE + log10(greatest(any_value(chars), 10)) + 1000.0::DOUBLE * count(*) / any_value(len), 3) AS score FROM dt JOIN qt USING (t) GROUP BY 1, 2)
+@query(_TERMS + """, s AS (SELECT query_id, doc_id, round(count(*) * 10.0::DOUBLE + log10(greatest(any_value(chars), 10)) + 1000.0::DOUBLE * sum(m) / any_value(len), 3) AS score FROM dt JOIN qt USING (t) GROUP BY 1, 2)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 3""")
 def surface_search(spark: SparkSession, d: str) -> DataFrame:
     """RT15."""
