@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut, maybe_broadcast
+from ..sources.scratch import cut, maybe_broadcast, spread
 from .windows import topk
 
 #: Documents per term that give the first bounds, and those of them that are scored in full for each query.
@@ -30,7 +30,7 @@ def terms(text: Column) -> Column:
 def postings(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., doc_id, t, tf, len, chars), written: a row per term of a document. docs(by..., doc_id, text); rows without
     text have no postings."""
-    rows = docs.select(*by, "doc_id", F.length("text").alias("chars"), terms(F.col("text")).alias("w"))
+    rows = spread(docs.select(*by, "doc_id", "text")).select(*by, "doc_id", F.length("text").alias("chars"), terms(F.col("text")).alias("w"))
     each = rows.select(*by, "doc_id", "chars", F.size("w").alias("len"), F.explode("w").alias("t"))
     return cut(each.groupBy(*by, "doc_id", "t").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"), F.max("chars").alias("chars")))
 

@@ -39,3 +39,10 @@ BROADCAST_ROWS = 20_000
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it holds at most ``rows`` rows, else df as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew where it would be read in fewer tasks than there are cores: work on texts takes longer than dealing
+    out so small an input. Larger inputs stay as they are read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
