@@ -27,6 +27,8 @@ ACCENTED_LOWER = "".join(c for c in ACCENTED if c == c.lower())
 PLAIN_LOWER = "".join(p for c, p in zip(ACCENTED, PLAIN, strict=True) if c == c.lower())
 
 SPACE = r"\s+"
+#: White space of every script, without the line feed.
+BLANKS = r"\t\u000b-\r\u001c-\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def ascii_fold(c: Column) -> Column:
@@ -73,7 +75,7 @@ def strip_noise(c: Column, rules: Sequence[tuple[str, str]] = NOISE) -> Column:
 def clean_service_name(c: Column, ocr_fixes: Sequence[tuple[str, str, str]] = ()) -> Column:
     """TX3: struct<name, rules>: the cleaned name and which of R1..R6 changed it, in order. ocr_fixes: (wrong, right,
     reason)."""
-    steps = [("R1", lambda x: F.regexp_replace(x, r"(?iu)^\[DV\]\s*", "")), ("R2", lambda x: F.regexp_replace(x, r"(?s)\s*\|.*$", "")), ("R3", lambda x: F.translate(x, "[]", "()")), ("R4", lambda x: F.lower(F.trim(x)))]
+    steps = [("R1", lambda x: F.regexp_replace(x, r"(?iu)^\[DV\]\s*", "")), ("R2", lambda x: F.regexp_replace(x, r"(?s)\s*\|.*$", "")), ("R3", lambda x: F.translate(x, "[]", "()")), ("R4", lambda x: nfc(F.lower(F.trim(x))))]
     steps += [(f"R5:{why}", lambda x, w=wrong, r=right: F.replace(x, F.lit(w), F.lit(r))) for wrong, right, why in ocr_fixes]  # plain Python lambdas
     steps.append(("R6", collapse))
     now, used = F.trim(c), []
@@ -242,19 +244,23 @@ def _of_size(k: int):
     return lambda g: F.size(F.split(g, " ")) == k
 
 
+# Section types and the phrases that name them, spellings of bad scans among them.
 SECTIONS = (
-    ("diagnosis", r"(?iu)chẩn đoán|chan doan|diagnos"),
-    ("treatment", r"(?iu)điều trị|dieu tri|treatment|therap"),
-    ("symptom", r"(?iu)triệu chứng|lâm sàng|symptom|clinical"),
-    ("lab", r"(?iu)xét nghiệm|cận lâm sàng|laborator|paraclinical"),
-    ("prevention", r"(?iu)phòng bệnh|dự phòng|prevent"),
-    ("overview", r"(?iu)đại cương|định nghĩa|overview|definition|introduction"),
+    ("trieu_chung", "triệu chứng|lâm sàng|biểu hiện|dấu hiệu|tri[~e]u ch[uứ]ng|l[aâ]m s[aà]ng"),
+    ("chan_doan", "chẩn đoán|phân biệt|tiêu chuẩn|ch[~a]n [dđ]o[aá]n|ph[aâ]n bi[~e]t"),
+    ("dieu_tri", r"điều trị|phác đồ|thuốc|phẫu thuật|kháng sinh|[dđ]i[~ề]u tr[iị\]]|thu[~ố][cb]|khang vi rut|chi [dđ]inh"),
+    ("xet_nghiem", "xét nghiệm|cận lâm sàng|hình ảnh|nội soi|x[eé]t nghi[~e]m|c[~a]n l[aâ]m|sang loc|theo d[oõ]i"),
+    ("dai_cuong", "đại cương|định nghĩa|nguyên nhân|dịch tễ|[dđ][~a]i c[uư][oơ]ng|d~icuong"),
+    ("tien_luong", "tiên lượng|biến chứng|theo dõi|bi[~ế]n ch[uứ]ng|ti[eê]n l[uư][oơ]ng"),
+    ("phong_benh", "phòng bệnh|dự phòng|phòng ngừa|ph[oò]ng b[~e]nh|phong ng[uừ]a"),
 )
 
 
 def section_type(title: Column, preview: Column) -> Column:
-    """TX20: the type of a section from its heading and first lines."""
-    return first_match(F.concat_ws(" ", title, preview), SECTIONS, "general")
+    """TX20: the type of a section from its heading and the first 200 characters of its text, else "other"; nulls count as
+    empty."""
+    head = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(preview, F.lit("")), 1, 200))
+    return first_match(F.lower(head), SECTIONS, "other")
 
 
 def lab_flags(flag: Column, polarity: Column, abnormality: Column) -> Column:
@@ -323,12 +329,35 @@ def stable_id(prefix: str, *parts: Column, size: int = 16) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, size))
 
 
+#: A letter that may not be in its composed form.
+UNCOMPOSED = r"[^\u0000-\u02FF\u1E00-\u1EFF\u2002-\u2125]"
+
+
+def nfc(c: Column) -> Column:
+    """Composed characters (NFC), for which Spark has no function: only texts that may need it go to Python, in Arrow
+    batches."""
+    compose = F.pandas_udf(lambda s: s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore"), "string")
+    return F.coalesce(compose(F.when(c.rlike(UNCOMPOSED), c)), c)
+
+
+# Fixed value: small letters between which a line break is one of a wrapped line.
+WRAPPED = "a-zàáảãạăắằẳẵặâấầẩẫậđèéẻẽẹêếềểễệìíỉĩịòóỏõọôốồổỗộơớờởỡợùúủũụưứừửữựỳýỷỹỵ"
+
+
 def clean_ocr(c: Column) -> Column:
-    """TX28: control characters out, words broken over lines joined, blank lines and spaces collapsed."""
-    return F.trim(apply_rules(c, ((r"[\u0000-\u0008\u000b\u000c\u000e-\u001f​﻿]", ""), (r"(\p{L})-\n(\p{Ll})", "$1$2"), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"))))
+    """TX28: composed characters, control characters out, wrapped lines joined, spaces and blank lines collapsed."""
+    rules = ((r"[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f]", ""), (rf"([{WRAPPED},;])\n([{WRAPPED}])", "$1 $2"), (rf"[{BLANKS}]+", " "), (r"\n{3,}", "\n\n"))
+    return strip(apply_rules(nfc(c), rules))
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, rf"^[\n{BLANKS}]+|[\n{BLANKS}]+\z", "")
 
 
-def snippet(text: Column, query: Column, size: int = 160) -> Column:
-    """TX29: a part of the text around the first hit of the query, or its beginning."""
-    at = F.position(F.lower(query), F.lower(text))
-    return F.substring(text, F.greatest(at - size // 2, F.lit(1)), size)
+def snippet(text: Column, query: Column, size: int = 400) -> Column:
+    """TX29: so many characters of the text, a third of them before the first of the query's words that the text holds, or
+    its beginning."""
+    words = F.regexp_extract_all(F.lower(query), F.lit("[a-zà-ỹ0-9_]+"), F.lit(0))
+    at = F.coalesce(F.get(F.filter(F.transform(words, lambda w: F.position(w, F.lower(text))), lambda i: i > 0), F.lit(0)), F.lit(1))
+    return strip(F.substring(text, F.greatest(at - size // 3, F.lit(1)), F.lit(size)))

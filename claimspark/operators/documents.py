@@ -7,62 +7,131 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import strip, tokens
 from . import ranked_index
 from .windows import norm_by_max, topk
 
 HEADING = r"^\s*(#{1,6}\s|[0-9]+(\.[0-9]+)*[.)]?\s+\S|[IVX]+\.\s|(CHƯƠNG|PHẦN|CHAPTER|PART)\b)"
 
-
-def sections(docs: DataFrame, heading: str = HEADING) -> DataFrame:
-    """(doc_id, section, title, body): the text cut at its headings. A running count of headings within the document is
-    the section's number; section 0 is what stands before the first."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
-    w = Window.partitionBy("doc_id").orderBy("line")
-    is_head = F.col("s").rlike(heading)
-    marked = lines.withColumn("is_head", is_head).withColumn("section", F.sum(F.when(is_head, 1).otherwise(0)).over(w))
-    parts = F.array_sort(F.collect_list(F.when(~F.col("is_head"), F.struct("line", "s"))))
-    return marked.groupBy("doc_id", "section").agg(F.max(F.when(F.col("is_head"), F.trim("s"))).alias("title"), F.array_join(F.transform(parts, lambda x: x["s"]), "\n").alias("body"))
-
-
-def _split(body: str, most: int, least: int) -> list[str]:
-    """Pieces of at most so many characters, cut at sentence ends where there are any; small ones go to their
-    neighbour."""
-    out, now = [], ""
-    for sentence in re.split(r"(?<=[.!?])\s+|\n{2,}", body):
-        while len(sentence) > most:
-            if now:
-                out.append(now)
-                now = ""
-            out.append(sentence[:most])
-            sentence = sentence[most:]
-        if now and len(now) + 1 + len(sentence) > most:
-            out.append(now)
-            now = sentence
+#: Depths of headings.
+LEVELS = ("section", "subsection", "paragraph")
+
+# Beginnings of lines that are headings, the first that fits giving the level.
+LEVEL_RULES = (
+    ("section", r"^[IVX]+\.\s*[A-ZĐÀÁẢÃẠĂẮẰẲẴẶÂẤẦẨẪẬÈÉẺẼẸÊẾỀỂỄỆÌÍỈĨỊÒÓỎÕỌÔỐỒỔỖỘƠỚỜỞỠỢÙÚỦŨỤƯỨỪỬỮỰỲÝỶỸỴa-z]"),
+    ("section", r"^[0-9]+\.\s+[A-ZĐÀÁa-zàáảãạ]"),
+    ("subsection", r"^[0-9]+\.[0-9]+\.?\s+"),
+    ("paragraph", r"^[a-z]\)\s+"),
+    ("paragraph", r"^[-•+]\s+"),
+    ("section", r"^((?i)Bảng\s+[0-9]|Phụ lục|Lưu đồ\s+[0-9])"),
+)
+PAGE = r"^---\s*Page\s+([0-9]+)\s*---$"
+
+
+def section_tree(docs: DataFrame, skip_first_page: bool = False) -> DataFrame:
+    """RT1: (doc_id, section, title, level, section_path, parent_context, page_number, body): the text cut at its
+    headings. A body begins with its heading; section 0, "Untitled", is what stands before the first. A heading's path are
+    the last headings of each depth above it; depth grows by one at most. Lines that mark pages ("--- Page 3 ---") are left
+    out; with skip_first_page all before the first page beyond 1 is. Blank bodies, null and empty texts give no rows.
+
+    All is running maxima, minima and last values over a document's lines."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "s")).withColumn("t", strip(F.col("s")))
+    w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    page = F.regexp_extract("t", PAGE, 1).try_cast("int")
+    lines = lines.withColumn("marker", page).withColumn("page", F.coalesce(F.last("marker", ignorenulls=True).over(w), F.lit(1)))
+    kept = F.col("marker").isNull()
+    if skip_first_page:
+        kept = kept & (F.coalesce(F.max("marker").over(w), F.lit(1)) > 1)
+    level = F.lit(None).cast("int")
+    for name, pattern in reversed(LEVEL_RULES):
+        level = F.when(F.col("t").rlike(pattern), F.lit(LEVELS.index(name) + 1)).otherwise(level)
+    marked = lines.withColumn("kept", kept).filter("kept").withColumn("h", level).withColumn("section", F.count("h").over(w))
+    # Depth is the least of level + headings since, over the headings so far, and at most the number of headings.
+    marked = marked.withColumn("depth", F.when(F.col("h").isNotNull(), F.least("section", F.col("section") + F.min(F.col("h") - F.col("section")).over(w))))
+    at = [F.last(F.when(F.col("depth") == i + 1, F.col("t")), ignorenulls=True).over(w).alias(f"t{i}") for i in range(len(LEVELS))]
+    heads = marked.select("doc_id", "line", "s", "t", "h", "section", "depth", "page", *at)
+    body = strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "s"))), lambda x: x["s"]), "\n"))
+    head = F.max(F.when(F.col("h").isNotNull(), F.struct("t", "h", F.slice(F.array("t0", "t1", "t2"), F.lit(1), F.col("depth").cast("int")).alias("path"))))
+    rows = heads.groupBy("doc_id", "section").agg(body.alias("body"), head.alias("x"), F.min_by("page", "line").alias("page_number")).filter("body <> ''")
+    path = F.coalesce("x.path", F.array().cast("array<string>"))
+    level = F.get(F.array(*[F.lit(x) for x in LEVELS]), F.coalesce(F.col("x.h") - 1, F.lit(0)))
+    parents = F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
+    return rows.select("doc_id", "section", F.coalesce("x.t", F.lit("Untitled")).alias("title"), level.alias("level"), F.array_join(path, " > ").alias("section_path"), F.array_join(parents, " > ").alias("parent_context"), "page_number", "body")
+
+
+def pieces(body: str, most: int) -> list[str]:
+    """A body in pieces of at most so many characters, each cut at its last sentence end, else at its last space, if that
+    is in the last two thirds."""
+    out = []
+    while len(body) > most:
+        window = body[:most]
+        places = max(window.rfind(end) for end in (". ", ".\n", "? ", "! ")) + 1, window.rfind(" ")
+        at = next((p for p in places if p > most // 3 + (p == places[0])), most)
+        out.append(body[:at].strip())
+        body = body[at:].strip()
+    return [*out, body] if body or not out else out
+
+
+def chunk_documents(docs: DataFrame, most: int = 3000, least: int = 100, skip_first_page: bool = False) -> DataFrame:
+    """RT1: chunks by headings: doc_id, chunk (from 0), section, title, level, section_path, parent_context, page_number,
+    body_text. Longer bodies are cut ("(cont.)" after the title); pieces below the least size are added to the chunk before
+    them, whatever its section."""
+    split = F.pandas_udf(lambda s: s.map(lambda b: pieces(b, most), na_action="ignore"), "array<string>")
+    rows = section_tree(docs, skip_first_page)
+    parts = F.coalesce(split(F.when(F.length("body") > most, F.col("body"))), F.array("body"))
+    each = rows.withColumn("parts", parts).select("*", F.posexplode("parts").alias("piece", "content")).drop("parts", "body")
+    w = Window.partitionBy("doc_id").orderBy("section", "piece")
+    starts = (F.length("content") >= least) | (F.row_number().over(w) == 1)
+    each = each.withColumn("starts", starts).withColumn("chunk", (F.sum(F.col("starts").cast("int")).over(w) - 1).cast("int"))
+    title = F.when(F.col("piece") > 0, F.concat("title", F.lit(" (cont.)"))).otherwise(F.col("title"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "piece", "content"))), lambda x: x["content"]), "\n")
+    first = F.min(F.struct("section", "piece", title.alias("title"), "level", "section_path", "parent_context", "page_number"))
+    out = each.groupBy("doc_id", "chunk").agg(first.alias("x"), body.alias("body_text"))
+    return out.select("doc_id", "chunk", *[F.col(f"x.{c}") for c in ("section", "title", "level", "section_path", "parent_context", "page_number")], "body_text")
+
+
+def chunk_text(text: str, most: int = 3000, least: int = 100) -> Iterator[tuple]:
+    """RT1, UD3: the chunks of one text as rows: chunk, section, title, level, section_path, page_number, body_text."""
+    path, page, number, lines, found = [], 1, 0, [], []
+    head = {"section": 0, "title": "Untitled", "level": LEVELS[0], "section_path": "", "page_number": None}
+    rules = [(LEVELS.index(name), re.compile(pattern.replace("((?i)", "(?i:"))) for name, pattern in LEVEL_RULES]
+    for line in [*(text or "").split("\n"), None]:
+        t = (line or "").strip()
+        if line is not None and (mark := re.match(PAGE, t)):
+            page = int(mark[1])
+            continue
+        depth = next((d for d, rule in rules if rule.match(t)), None)
+        if line is None or depth is not None:
+            body = "\n".join(lines).strip()
+            found += [(head | {"title": head["title"] + " (cont.)" * (i > 0)}, p) for i, p in enumerate(pieces(body, most) if body else [])]
+            if depth is not None:
+                number, path, lines = number + 1, [*path[:depth], t], []
+                head = {"section": number, "title": t, "level": LEVELS[depth], "section_path": " > ".join(path), "page_number": page}
+        if line is not None:
+            lines.append(line)
+            head["page_number"] = head["page_number"] or page
+    chunks = []
+    for head, body in found:
+        if chunks and len(body) < least:
+            chunks[-1][1].append(body)
         else:
-            now = f"{now} {sentence}".strip()
-    if now and out and len(now) < least and len(out[-1]) + 1 + len(now) <= most + least:
-        out[-1] += " " + now
-    elif now:
-        out.append(now)
-    return out
+            chunks.append((head, [body]))
+    for i, (head, bodies) in enumerate(chunks):
+        yield (i, *head.values(), "\n".join(bodies))
 
 
-def chunk_documents(docs: DataFrame, most: int = 3000, least: int = 100) -> DataFrame:
-    """RT1: heading-aware chunks: doc_id, section, title, chunk, body_text. The last cut into pieces is per section, in
-    Arrow batches."""
+def register_chunk_text(spark: SparkSession, name: str = "chunk_text") -> None:
+    """UD3: chunk_text as a table function for SQL: SELECT ... FROM documents, LATERAL chunk_text(text)."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["body_text"] = [_split(b, most, least) for b in f.pop("body")]
-            f["chunk"] = [list(range(len(x))) for x in f["body_text"]]
-            yield f.explode(["chunk", "body_text"]).dropna(subset=["chunk"]).astype({"chunk": "int32"})[["doc_id", "section", "title", "chunk", "body_text"]]
+    class ChunkText:
+        def eval(self, text: str):
+            yield from chunk_text(text)
 
-    rows = sections(docs).filter(F.trim("body") != "")
-    return rows.mapInPandas(work, "doc_id long, section long, title string, chunk int, body_text string")
+    made = F.udtf(ChunkText, returnType="chunk int, section long, title string, level string, section_path string, page_number int, body_text string")
+    spark.udtf.register(name, made)
 
 
 def chunk_overlap(docs: DataFrame, size: int, overlap: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import govern, graph, match
-from ..sources.scratch import cut
+from ..sources.scratch import cut, spread
 from .common import query, table
 
 
@@ -267,12 +267,40 @@ def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
     return D.chunk_overlap(table(spark, d, "documents"), 1000, 100).select("doc_id", "chunk", "start", F.md5(F.col("body_text").cast("binary")).alias("digest"))
 
 
+_LINES = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+_LEVEL = " ".join(f"WHEN regexp_matches(t, '{p}') THEN {D.LEVELS.index(n) + 1}" for n, p in D.LEVEL_RULES)
+
+
+@query(f"""WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s0, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+l AS (SELECT doc_id, line, CASE line % 11 WHEN 0 THEN 'I. A' || s0 WHEN 3 THEN '1.1. ' || s0 WHEN 5 THEN 'a) ' || s0 WHEN 7 THEN '--- Page ' || line || ' ---' ELSE s0 END AS s FROM r),
+t AS (SELECT *, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS t FROM l), m AS (SELECT *, nullif(regexp_extract(t, '{D.PAGE}', 1), '')::INT AS marker FROM t),
+g AS (SELECT *, coalesce(last_value(marker IGNORE NULLS) OVER w, 1) AS page FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY line {_LINES})),
+h AS (SELECT *, CASE {_LEVEL} END AS h FROM g WHERE marker IS NULL), n AS (SELECT *, count(h) OVER w AS section FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line {_LINES})),
+d AS (SELECT *, CASE WHEN h IS NOT NULL THEN least(section, section + min(h - section) OVER w) END AS depth FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY line {_LINES})),
+p AS (SELECT *, {", ".join(f"last_value(CASE WHEN depth = {i + 1} THEN t END IGNORE NULLS) OVER w AS t{i}" for i in range(3))} FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY line {_LINES})),
+b AS (SELECT doc_id, section, coalesce(max(CASE WHEN h IS NOT NULL THEN t END), 'Untitled') AS title, coalesce(max(h), 1) AS h, coalesce(max(CASE WHEN h IS NOT NULL THEN array_to_string([t0, t1, t2][1:depth], ' > ') END), '') AS section_path, arg_min(page, line) AS page_number, regexp_replace(string_agg(s, chr(10) ORDER BY line), '^\\s+|\\s+$', '', 'g') AS body FROM p GROUP BY doc_id, section)
+SELECT doc_id, section, title, ['section', 'subsection', 'paragraph'][h] AS level, section_path, page_number, md5(body) AS digest FROM b WHERE body <> ''""")
+def section_tree(spark: SparkSession, d: str) -> DataFrame:
+    """RT1: sections of documents whose lines are made headings of three levels and marks of pages."""
+    made = lambda s, i: F.when(i % 11 == 0, F.concat(F.lit("I. A"), s)).when(i % 11 == 3, F.concat(F.lit("1.1. "), s)).when(i % 11 == 5, F.concat(F.lit("a) "), s)).when(i % 11 == 7, F.concat(F.lit("--- Page "), i.cast("string"), F.lit(" ---"))).otherwise(s)
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), made), "\n").alias("text"))
+    return D.section_tree(docs).select("doc_id", "section", "title", "level", "section_path", "page_number", F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
 @query()
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """RT1."""
     return D.chunk_documents(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "section", "chunk", F.length("body_text").alias("chars"))
 
 
+@query()
+def chunk_lateral(spark: SparkSession, d: str) -> DataFrame:
+    """UD3: the rows of chunk_documents by a table function in SQL."""
+    D.register_chunk_text(spark)
+    spread(table(spark, d, "documents").select("doc_id", "text")).createOrReplaceTempView("texts_to_chunk")
+    return spark.sql("SELECT doc_id, section, chunk, length(body_text) AS chars FROM texts_to_chunk, LATERAL chunk_text(text)")
+
+
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, len(string_split(text, chr(10))) AS n FROM documents),
 h AS (SELECT * FROM l WHERE regexp_matches(s, '^(The|La|Der) ')) SELECT doc_id, row_number() OVER w - 1 AS part, line::INT AS start, coalesce(lead(line) OVER w, n)::INT AS "end" FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line)""")
 def split_by_toc(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import spread
 from .common import query, table
 
 REASONS = ("Đồng chi trả", "Kiểm tra/tầm soát", "Vượt quá hạn mức một lần khám", "Nộp muộn, thiếu giấy ra viện", "Bệnh có sẵn", "Không thuộc phạm vi; không bảo hiểm", "khác")
@@ -44,16 +45,26 @@ def icd_codes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.icd_extract(t).alias("code"), T.icd_group(T.icd_extract(t)).alias("icd_group"))
 
 
-@query("SELECT doc_id, substr(text, greatest(strpos(lower(text), 'the') - 80, 1), 160) AS snippet FROM documents")
+@query(r"""SELECT doc_id, regexp_replace(substr(text, greatest(CASE WHEN strpos(lower(text), 'the') > 0 THEN strpos(lower(text), 'the') WHEN strpos(lower(text), 'la') > 0 THEN strpos(lower(text), 'la') ELSE 1 END - 133, 1), 400), '^\s+|\s+$', '', 'g') AS snippet FROM documents""")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
-    """TX29: around the first "the" of every document, or its beginning."""
-    return table(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), F.lit("THE")).alias("snippet"))
+    """TX29: around the first "the" of every document, else the first "la", else its beginning."""
+    return table(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), F.lit("THE la")).alias("snippet"))
 
 
-@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(\p{L})-\n(\p{Ll})', '\1\2', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS digest FROM documents""")
+@query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '([{T.WRAPPED},;])\n([{T.WRAPPED}])', '\1 \2', 'g'), '[^\S\n]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents""")
 def ocr_texts(spark: SparkSession, d: str) -> DataFrame:
     """TX28: the digest of every document after the clean-up."""
-    return table(spark, d, "documents").select("doc_id", F.md5(T.clean_ocr(F.col("text")).cast("binary")).alias("digest"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(T.clean_ocr(F.col("text")).cast("binary")).alias("digest"))
+
+
+HEADINGS = ("1. Triệu chứng", "II. CHẨN ĐOÁN", "Điêu trị", "Cận lâm", "Đại cương", "Biến chứng", "Dự phòng", "Phụ lục")
+
+
+@query(f"""WITH h AS (SELECT doc_id, lower([{", ".join(f"'{h}'" for h in HEADINGS)}][doc_id % 8 + 1] || ' ' || substr(coalesce(text, ''), 1, 200)) AS h FROM documents)
+SELECT doc_id, CASE {" ".join(f"WHEN regexp_matches(h, '{p}') THEN '{n}'" for n, p in T.SECTIONS)} ELSE 'other' END AS section_type FROM h""")
+def section_types(spark: SparkSession, d: str) -> DataFrame:
+    """TX20: headings before the texts of documents."""
+    return table(spark, d, "documents").select("doc_id", T.section_type(pick(HEADINGS, F.col("doc_id") % 8), F.col("text")).alias("section_type"))
 
 
 _NOTE = "'Căn cứ Khoản ' || p_size || ' Điều 3; đồng chi trả ' || p_size % 100 || '%: Siêu âm ' || p_name || ' bằng ' || p_partkey || '.000 VNĐ, tối đa ' || p_size || '00.000 đồng mỗi lần / lần khám'"

@@ -118,10 +118,13 @@ def test_text(spark):
     assert x(T.risk_kinds(F.lit("Kiểm tra, bệnh có sẵn, nộp muộn giấy ra viện"))) == ["screening", "documents", "waiting_period", "late_submission"]
     assert x(T.category_covered(F.lit("LAB-HEM"), F.array(F.lit("LAB-*")))) and not x(T.category_covered(F.lit("IMG"), F.array(F.lit("LAB-*"))))
     assert [x(T.graded_match(F.lit("sieu am"), F.lit(n))) for n in ("Siêu âm", "siêu âm tim", "khám siêu âm", "x")] == [1.0, 0.96, 0.9, 0.0]
-    assert x(T.snippet(F.lit("a" * 50 + "needle" + "b" * 50), F.lit("NEEDLE"), 20)) == "a" * 10 + "needle" + "b" * 4
-    assert x(T.clean_ocr(F.lit("viêm  pho-\nng\n\n\n\nx"))) == "viêm phong\n\nx"
+    assert x(T.snippet(F.lit("a" * 50 + "needle" + "b" * 50), F.lit("absent NEEDLE"), 20)) == "a" * 6 + "needle" + "b" * 8
+    assert x(T.snippet(F.lit("  first words of a text"), F.lit("absent"), 7)) == "first"
+    assert x(T.clean_ocr(F.lit("\x07viêm  phổi,\nnặng \n\n\n\nX\u00a0 y\r\n"))) == "viêm phổi, nặng \n\nX y"
+    assert x(T.clean_ocr(F.lit("to a\u0301\nb\nC"))) == "to á b\nC" and x(T.clean_ocr(F.lit(None).cast("string"))) is None
+    assert x(T.nfc(F.lit("o\u0302\u0301"))) == "ố" and x(T.clean_service_name(F.lit("[DV] Kha\u0301m | 3")))["name"] == "khám"
     assert x(T.ngram_jaccard(F.lit("abcd"), F.lit("abce"))) == pytest.approx(1 / 3)
-    assert x(T.section_type(F.lit("2. Điều trị"), F.lit(""))) == "treatment"
+    assert [x(T.section_type(F.lit(t), F.lit(p))) for t, p in (("2. ĐIỀU TRỊ", ""), ("Cận lâm sàng", ""), ("Phụ lục", "x" * 198 + "thuốc"), ("Chi đinh", ""), ("Theo dõi", ""))] == ["dieu_tri", "trieu_chung", "other", "dieu_tri", "xet_nghiem"]
 
 
 def test_mapper_score(spark):
