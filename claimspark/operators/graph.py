@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import graded_match, norm_key, stable_id
+from .term_scan import term_hits
 from .windows import top1, topk
 
 Keys = Sequence[str]
@@ -183,10 +184,10 @@ def seed_ontology(dim: DataFrame, prefix: str, name: str) -> DataFrame:
 
 
 def map_entities(entities: DataFrame, rules: DataFrame) -> DataFrame:
-    """GR16: an entity's ontology class: by its type, else by the longest dictionary name it starts with a word of.
-    entities(entity_id, type, name), rules(kind: type or name, value, class)."""
+    """GR16: an entity's ontology class: by its type, else by the longest dictionary name that its normalised name
+    contains. entities(entity_id, type, name), rules(kind: type or name, value, class)."""
     by_type = entities.join(rules.filter("kind = 'type'").select(F.col("value").alias("type"), "class"), "type").select("entity_id", "class", F.lit("type").alias("how"), F.lit(10_000).alias("size"))
-    words = entities.select("entity_id", F.concat(F.lit(" "), norm_key(F.col("name")), F.lit(" ")).alias("text"), F.explode(F.array_distinct(F.split(norm_key(F.col("name")), " "))).alias("w"))
-    named = rules.filter("kind = 'name'").select(norm_key(F.col("value")).alias("v"), "class").withColumn("w", F.element_at(F.split("v", " "), 1))
-    by_name = words.join(named, "w").filter(F.contains("text", F.concat(F.lit(" "), F.col("v"), F.lit(" ")))).select("entity_id", "class", F.lit("name").alias("how"), F.length("v").alias("size"))
+    named = rules.filter("kind = 'name'").select(norm_key(F.col("value")).alias("term"), "class")
+    found = term_hits(entities.select("entity_id", norm_key(F.col("name")).alias("name")), "name", named.select("term"), keep=["entity_id"], once=True).select("row.entity_id", "term")
+    by_name = found.join(named, "term").select("entity_id", "class", F.lit("name").alias("how"), F.length("term").alias("size"))
     return top1(by_type.unionByName(by_name), ["entity_id"], [F.col("size").desc(), F.col("class")]).drop("size")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .term_scan import term_hits
 from .windows import top1, topk
 
 
@@ -71,12 +72,10 @@ def match_observations(lines: DataFrame, observations: DataFrame, min_hits: int
 
 
 def contains_join(left: DataFrame, right: DataFrame, text: str, term: str) -> DataFrame:
-    """JN7: pairs in which the text's words hold the term's words in a row. Terms meet texts on their first word, so no
-    pair is tried that shares none."""
-    words = left.withColumn("__word", F.explode(F.array_distinct(F.split(F.col(text), " "))))
-    heads = right.withColumn("__word", F.element_at(F.split(F.col(term), " "), 1))
-    pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    return words.join(heads, "__word").filter(F.contains(pad(text), pad(term))).drop("__word")
+    """JN7: pairs of rows in which the text contains the term, which may begin inside a word. An empty term meets no text.
+    Texts are scanned once, so no pair is tried that does not match."""
+    found = term_hits(left, text, right.select(term), once=True).withColumnRenamed("term", "__term").select("row", "__term")
+    return found.join(right.withColumn("__of", F.col(term)), F.col("__term") == F.col("__of")).drop("__term", "__of").select("row.*", *[F.col(f"`{c}`") for c in right.columns])
 
 
 def with_edges(nodes: DataFrame, edges: DataFrame, node_key: str, edge_key: str) -> DataFrame:

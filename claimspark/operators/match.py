@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Sequence
 
 import pandas as pd
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fuzzy import fuzzy_ratios, indel_ratio
-from ..functions.text import clean_service_name, discriminator, ngram_jaccard, ngrams, norm_key, skeleton, strip_noise
-from ..sources.scratch import cut
+from ..functions.text import ascii_fold, clean_service_name, discriminator, ngram_jaccard, ngrams, norm_key, skeleton, strip_noise
+from ..sources.scratch import cut, spread
+from .term_scan import SHARD_CHARS, term_hits
 from .windows import top1, topk
 
 # Weights of the mapper's parts, of the signal groups, and the penalties of their conflicts.
@@ -329,14 +331,22 @@ def match_aliases(texts: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def _apart(spans: list) -> list:
-    """Spans (start, end, term), the better ones first, without those that overlap a better one that stays."""
-    taken: set[int] = set()
+    """Spans (start, end, term), the better ones first, without those that overlap a better one that stays. A term's own
+    places are taken from left to right, each behind the end of the one before, whether that stays or not."""
+    starts: list[int] = []
+    ends: list[int] = []
     out = []
+    behind: tuple = (None, 0)
     for s in spans:
-        places = range(s["start"], s["end"])
-        if taken.isdisjoint(places):
-            taken.update(places)
-            out.append(s)
+        if behind[0] == s["term"] and s["start"] < behind[1]:
+            continue
+        behind = (s["term"], s["end"])
+        i = bisect_right(starts, s["start"])
+        if (i and ends[i - 1] > s["start"]) or (i < len(starts) and starts[i] < s["end"]):
+            continue
+        starts.insert(i, s["start"])
+        ends.insert(i, s["end"])
+        out.append(s)
     return out
 
 
@@ -345,20 +355,15 @@ def _without_overlaps(spans: pd.Series) -> pd.Series:
     return spans.map(_apart)
 
 
-def annotate(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """ER17: (id, start, end, term): where dictionary terms stand in the words of texts, the
-    longest first, then the earliest, none overlapping. Offsets are word numbers from 0. texts(id, text), terms(term).
-
-    The word n-grams of the texts meet the terms in an equi join; only what a text matches is gathered, and one Arrow
-    function settles the overlaps within each text."""
-    w = texts.select("id", F.split(norm_key(F.col("text")), " ").alias("w"))
-    gram = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.slice("w", i + 1, n), " ").alias("term"))))
-    none = F.array().cast("array<struct<start:int,end:int,term:string>>")
-    d = terms.select(norm_key(F.col("term")).alias("term")).distinct().filter("term <> ''")
-    fit = None
-    for n in range(1, max(1, d.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 0) + 1):
-        hits = w.select("id", F.explode(F.coalesce(gram(n), none)).alias("g")).select("id", "g.*").join(d.filter(F.size(F.split("term", " ")) == n), "term")
-        fit = hits if fit is None else fit.unionByName(hits)
-    order = F.sort_array(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("n"), "start", "end", "term")))
+def annotate(texts: DataFrame, terms: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """ER17: (id, start, end, term): where dictionary terms of two characters or more stand in texts, also inside words,
+    the longest terms first, then by term, none overlapping. Both are folded; offsets are characters of the folded text,
+    which are those of the text itself where its letters are composed. texts(id, text), terms(term).
+
+    One scan finds all places; one Arrow function settles the overlaps within each text."""
+    folded = spread(texts.select("id", "text")).select("id", ascii_fold(F.col("text")).alias("text"))
+    d = terms.select(F.trim(ascii_fold(F.col("term"))).alias("term")).filter(F.length("term") >= 2)
+    hits = term_hits(folded, "text", d, keep=["id"], shard_chars=shard_chars).select("row.id", "term", "start", "end")
+    order = F.sort_array(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("n"), "term", "start", "end")))
     best = F.transform(order, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["term"].alias("term")))
-    return fit.groupBy("id").agg(best.alias("spans")).select("id", F.explode(_without_overlaps("spans")).alias("s")).select("id", "s.start", "s.end", "s.term")
+    return hits.groupBy("id").agg(best.alias("spans")).select("id", F.explode(_without_overlaps("spans")).alias("s")).select("id", "s.start", "s.end", "s.term")

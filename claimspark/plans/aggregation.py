@@ -388,10 +388,10 @@ def disease_profile(spark: SparkSession, d: str) -> DataFrame:
     return out.select("n_nationkey", F.concat_ws("|", "suppliers").alias("suppliers"), F.concat_ws("|", "customers").alias("customers"))
 
 
-@query("SELECT n_name, p_partkey FROM part JOIN (VALUES ('small'), ('widget'), ('cold widget')) v(n_name) ON contains(' ' || p_name || ' ', ' ' || n_name || ' ')")
+@query("SELECT n_name, p_partkey FROM part JOIN (VALUES ('small'), ('widget'), ('cold widget'), ('idge'), ('ld w'), ('olt')) v(n_name) ON contains(p_name, n_name)")
 def contains_join(spark: SparkSession, d: str) -> DataFrame:
-    """JN7."""
-    terms = spark.createDataFrame([("small",), ("widget",), ("cold widget",)], "n_name string")
+    """JN7: terms that begin inside words among them."""
+    terms = spark.createDataFrame([("small",), ("widget",), ("cold widget",), ("idge",), ("ld w",), ("olt",)], "n_name string")
     return J.contains_join(table(spark, d, "part"), terms, "p_name", "n_name").select("n_name", "p_partkey")
 
 

@@ -250,12 +250,17 @@ def canonicalise(spark: SparkSession, d: str) -> DataFrame:
     return match.canonicalise(mentions, p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("concept_id")))
 
 
-@query("""WITH w AS (SELECT doc_id AS id, string_split(trim(regexp_replace(replace(strip_accents(lower(text)), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents), p AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
-two AS (SELECT id, i - 1 AS s, i + 1 AS e, w[i] || ' ' || w[i + 1] AS term FROM p WHERE w[i] || ' ' || w[i + 1] IN ('of the', 'and the', 'de la')), one AS (SELECT id, i - 1 AS s, i AS e, w[i] AS term FROM p WHERE w[i] IN ('the', 'la', 'und', 'el'))
-SELECT id, s::INT AS start, e::INT AS "end", term FROM two UNION ALL SELECT id, s::INT, e::INT, term FROM one WHERE NOT EXISTS (SELECT 1 FROM two WHERE two.id = one.id AND one.s >= two.s AND one.e <= two.e)""")
+# The terms in the order in which annotate takes them: each one's places are those that no earlier one overlaps.
+TERMS = ("and the", "of the", "de la", "the", "und", "el", "la")
+_PLACES = "p AS (SELECT id, term, r, (sum(length(part)) OVER (PARTITION BY id, r ORDER BY i) + (i - 1) * length(term))::INT AS s, i = n AS last FROM (SELECT id, term, r, unnest(x) AS part, generate_subscripts(x, 1) AS i, len(x) AS n FROM (SELECT id, term, r, string_split(f, term) AS x FROM f, v)))"
+_TAKEN = ", ".join(f"t{i} AS ({f'SELECT * FROM t{i - 1} UNION ALL ' if i else ''}SELECT id, s, s + length(term) AS e, term FROM p WHERE NOT last AND r = {i}" + (f" AND NOT EXISTS (SELECT 1 FROM t{i - 1} t WHERE t.id = p.id AND t.s < p.s + length(p.term) AND t.e > p.s)" if i else "") + ")" for i in range(len(TERMS)))
+
+
+@query(f"""WITH v(r, term) AS (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(TERMS))}), f AS (SELECT doc_id AS id, replace(strip_accents(lower(text)), 'đ', 'd') AS f FROM documents),
+{_PLACES}, {_TAKEN} SELECT id, s::INT AS start, e::INT AS "end", term FROM t{len(TERMS) - 1}""")
 def annotate(spark: SparkSession, d: str) -> DataFrame:
-    """ER17: the words of regions, nations and short phrases where they stand in documents."""
-    terms = spark.createDataFrame([("the",), ("of the",), ("and the",), ("la",), ("de la",), ("und",), ("el",)], "term string")
+    """ER17: short words and phrases where they stand in documents, also inside words."""
+    terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
     return match.annotate(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), terms)
 
 
