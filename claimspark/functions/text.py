@@ -3,6 +3,7 @@ fixed values that results depend on."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -57,19 +58,62 @@ def apply_rules(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return c
 
 
-#: Prefixes, suffixes and codes that say nothing about the service.
+# What says nothing about a service, in the order in which it goes: other spellings, prefixes, suffixes in
+# brackets, other suffixes, counts and numbers of bills, names of hospitals, codes.
 NOISE = (
-    (r"(?iu)^\s*\[?dv\]?[\s:.-]+", ""),
-    (r"(?iu)\s*\|.*$", ""),
-    (r"(?iu)\s*[-–]\s*(phòng|phong|pk)\b.*$", ""),
-    (r"(?iu)\b[a-z]{1,4}\d{2,}[-.]\d+\b", ""),
+    (r"\bxquang\b", "x-quang"),
+    (r"\bx quang\b", "x-quang"),
+    (r"t[iíì]m ph[ổốối]i?", "ngực"),
+    (r"^(?:dv_?\s*|xn\s+|xn_|\*|\.|\d+\.\s*)", ""),
+    (r"^(?:xét nghiệm\s*[-:]*\s*)", ""),
+    (r"(?i)^(?:xn\s+(?:huyết học|sinh hóa|sh)\s*[-()]*\s*)", ""),
+    (r"^(?:huyết học\s*-\s*|sinh hóa máu\s*-\s*|chẩn đoán hình ảnh\s*-\s*)", ""),
+    (r"^(?:x-quang\s*-\s*)", ""),
+    (r"^(?:dịch vụ\s+|khoa\s+)", ""),
+    (r"^(?:\(dn_tn\)\s*|\(d\)\s*)", ""),
+    (r"^(?:ttktc_?\s*)", ""),
+    *[
+        (rf"\s*\({inside}\)\s*$", "")
+        for inside in (
+            r"tt\d+", r"\d+ts", r"máy\s+\w+", "bhyt", "c", "d", "dv", "nhi", "máu", "niệu", r"phụ thu[^)]*", r"\d[\d.]+\d", r"[\d.]+", r"bv\s+[^)]*",
+            "mỗi chất", "mối chất", "bất kỳ",
+        )
+    ],
+    (r"\s*,\s*\(bất kỳ\)\s*$", ""),
+    *[(rf"\s*\({inside}\)\s*$", "") for inside in (r"\d+\s*thông số", r"\d+\s*thành phần[^)]*", r"yc\s+[^)]*")],
+    (r"\s*-\s*tt\d+\s*$", ""),
+    (r"\s*\*+\s*$", ""),
+    (r"\s+m\d+\s*$", ""),
+    (r"\s+\d{4}\s*$", ""),
+    (r"\s+bt\s*$", ""),
+    (r"\s+nnn\s*$", ""),
+    (r"\s*\.\s*tm\s*$", ""),
+    (r"\s+\(tm\)\s*$", ""),
+    (r"\s*-ptm\s+.*$", ""),
+    (r"\s*\d+\s*chỉ số\s*", " "),
+    (r"\s*\(xn\s+\d+[^)]*\)\s*", ""),
+    (r"\s*\([\d.]+/\w+\)\s*", ""),
+    (r"\s*[\d.]+/\w+\s*$", ""),
+    (r"\s*\(số bl:\s*\d+\)", ""),
+    (r"\s*\(dh\d+-?\s*\d+\)", ""),
+    (r"\s*dh\d+-\d+\s*$", ""),
+    (r"(?i)\s+(vietlife|vinmec|medlatec|bv\s+\w+)\s*$", ""),
+    (r"^kb\s*\(\d+\s+", ""),
+    (r"\s*_\w+\s*$", ""),
+    (r"\s*\((ngoại trú|nội trú)\)\s*$", ""),
+    (r"^[\d.]+\s*--\s*", ""),
+    (r"\s*\([\d.]+\)\s*$", ""),
+    (r"^truyền máu\s*-\s*", ""),
     (r"\s+", " "),
-)
+)
 
 
 def strip_noise(c: Column, rules: Sequence[tuple[str, str]] = NOISE) -> Column:
-    """TX4: a service name without noise."""
-    return F.trim(apply_rules(c, rules))
+    """TX4: a cleaned (lower-case) service name without noise: each rule once, in order, then spaces, points, stars and
+    dashes at the ends and brackets that are left open behind."""
+    blank = r"^\s+|\s+$"
+    out = apply_rules(F.regexp_replace(c, "(?U)" + blank, ""), [("(?U)" + p, new) for p, new in rules])
+    return apply_rules(out, [("(?U)" + blank, ""), (r"\)+$", ""), (r"^[ .*-]+|[ .*-]+$", "")])
 
 
 def clean_service_name(c: Column, ocr_fixes: Sequence[tuple[str, str, str]] = ()) -> Column:
@@ -240,6 +284,35 @@ def phrases(c: Column, fillers: Sequence[str] = (), low: int = 2, high: int = 5)
     return F.flatten(F.array(*[F.filter(out, _of_size(k)) for k in range(high, 0, -1)]))
 
 
+def _split_at(pattern: str):
+    return lambda x: F.transform(F.split(x, pattern), lambda y: F.trim(y))
+
+
+def decompose_signs(
+    c: Column, drop: Sequence[str] = (), fillers: Sequence[str] = (), splits: Sequence[str] = (), stop: Sequence[str] = (), low: int = 2, high: int = 5, most: int = 24
+) -> Column:
+    """TX19: the pieces of a free text that may name a sign: the folded text, its parts (at the patterns ``splits``) and
+    their n-grams of ``low`` to ``high`` words without stop words, each once; most words first, then the longest, then
+    by text, ``most`` at most (the operator's limit). ``drop`` are patterns over the text as it is, ``fillers`` phrases of
+    the folded text; both go first. Pieces of fewer than ``low`` words don't count, unless they are the whole text. A null
+    or empty text has none."""
+    cleaned = norm_key(apply_rules(repair_text(c), [("(?iU)" + p, " ") for p in drop]))
+    for f in fillers:
+        cleaned = F.regexp_replace(cleaned, rf"(?<!\w){re.escape(f)}(?!\w)", " ")
+    cleaned = collapse(cleaned)
+    none = F.array().cast("array<string>")
+    parts = F.array(cleaned)
+    for p in splits:
+        parts = F.filter(F.flatten(F.transform(parts, _split_at("(?i)" + p))), lambda x: x != "")
+    words = lambda x: F.filter(F.split(x, " "), lambda w: ~F.array_contains(F.array(*[F.lit(t) for t in stop]).cast("array<string>"), w))
+    grams = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
+    pieces = F.flatten(F.transform(parts, lambda x: F.concat(F.array(x), *[grams(words(x), n) for n in range(low, high + 1)])))
+    size = lambda x: F.size(F.split(x, " "))
+    all_ = F.filter(F.array_distinct(F.concat(F.array(cleaned), pieces)), lambda x: (x != "") & ((size(x) >= low) | (x == cleaned)))
+    ordered = F.array_sort(F.transform(all_, lambda x: F.struct((-size(x)).alias("w"), (-F.length(x)).alias("n"), x.alias("x"))))
+    return F.coalesce(F.transform(F.slice(ordered, 1, most), lambda s: s["x"]), none)
+
+
 def _of_size(k: int):
     return lambda g: F.size(F.split(g, " ")) == k
 
@@ -311,14 +384,35 @@ def graded_match(query: Column, *columns: Column) -> Column:
     return F.when(q == "", F.lit(0.0)).otherwise(F.greatest(*graded) if len(graded) > 1 else graded[0])
 
 
-def norm_insurer(c: Column, aliases: Sequence[tuple[str, str]]) -> Column:
-    """TX26: the insurer's name by the first alias (name, pattern over the folded text), else the upper-cased text."""
-    out = F.upper(F.trim(c))
-    for name, pattern in reversed(aliases):
-        out = F.when(ascii_fold(c).rlike(pattern), F.lit(name)).otherwise(out)
+# Parts of insurers' names and their short codes, in order.
+INSURERS = (
+    ("petrolimex", "PJICO"), ("pjico", "PJICO"), ("techcom", "TCGIns"), ("liên hiệp", "UIC"), ("uic", "UIC"), ("bảo hiểm hùng", "BHV"),
+    ("dbv", "DBV"), ("tokio", "TM"), ("kỷ nguyên", "KN"),
+)
+
+
+def norm_insurer(c: Column, names: Sequence[tuple[str, str]] = INSURERS) -> Column:
+    """TX26: the short code of the first part that the insurer's lower-cased name contains, else its first 20 characters."""
+    out = F.substring(c, 1, 20)
+    for part, code in reversed(names):
+        out = F.when(F.contains(F.lower(c), F.lit(part)), F.lit(code)).otherwise(out)
+    return out
+
+
+def norm_plan(c: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
+    """TX26: struct<contract_id, plan_name> by the first rule (pattern over the lower-cased name, contract, plan), else
+    null. More special patterns come first."""
+    out = F.lit(None).cast("struct<contract_id:string,plan_name:string>")
+    for pattern, contract, plan in reversed(rules):
+        out = F.when(F.lower(c).rlike("(?U)" + pattern), F.struct(F.lit(contract).alias("contract_id"), F.lit(plan).alias("plan_name"))).otherwise(out)
     return out
 
 
+def canonical_contract_key(c: Column) -> Column:
+    """TX26: a contract's name as a key: folded, letters and digits only."""
+    return skeleton(c)
+
+
 def contract_key(*parts: Column) -> Column:
     """TX26: a key of insurer, product and plan."""
     return F.concat_ws("|", *[F.coalesce(norm_key(p), F.lit("")) for p in parts])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -268,25 +268,42 @@ GENERIC_SIGNS = "benh kham benhnhan nguoi tinh tot thang hien tai khong co gi da
 MOST_SIGNS = 8
 
 
-def match_signs(signs: DataFrame, catalog: DataFrame, k: int = MOST_SIGNS, generic: Sequence[str] = GENERIC_SIGNS) -> DataFrame:
+def match_signs(signs: DataFrame, catalog: DataFrame, k: int = MOST_SIGNS, generic: Sequence[str] = GENERIC_SIGNS, pieces: Callable[[Column], Column] | None = None) -> DataFrame:
     """ER10: the k best catalogue signs for each phrase: 1.0 equal, 0.94 if the tokens of one (two or more in both) stand
     in a row in the other, 0.35 + 0.35 c + 0.15 cc + 0.15 j from two shared tokens on, with c, cc the covered shares of
     phrase and sign and j Jaccard, 0.74 if both have one token of three letters or more and share it; cut at 0.55. Generic
-    tokens don't count, nor do numbers and single letters of the phrase. signs(phrase), catalog(sign_id, label)."""
+    tokens don't count, nor do numbers and single letters of the phrase. signs(phrase), catalog(sign_id, label, and where
+    it has them: alias, support_cases): a sign with several rows scores by its best alias; equal scores go to the sign
+    with more cases, then to the greater label.
+
+    ``pieces`` (say, decompose_signs) gives the parts of a phrase; the k best signs of each part count for the phrase,
+    with 0.03 more, up to 1, for a part of two tokens or more that is not the phrase itself."""
     none = F.array(*[F.lit(g) for g in generic]).cast("array<string>")
     telling = lambda c: F.filter(F.split(c, " "), lambda t: (t != "") & ~F.array_contains(none, t))
-    a = signs.select("phrase").distinct().withColumn("key", norm_key(F.col("phrase"))).withColumn("w", F.filter(telling(F.col("key")), lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$")))
-    b = catalog.select("sign_id", norm_key(F.col("label")).alias("key")).withColumn("w", telling(F.col("key")))
-    each = lambda df, c, p: df.select(c, F.col("key").alias(f"{p}_key"), F.col("w").alias(f"{p}_w"), F.explode(F.array_distinct(F.concat("w", F.array(F.concat(F.lit("="), "key"))))).alias("t"))
-    hit = each(a, "phrase", "a").join(each(b, "sign_id", "b"), "t").groupBy("phrase", "sign_id").agg(F.count_if(~F.startswith("t", F.lit("="))).alias("h"), *[F.any_value(c).alias(c) for c in ("a_key", "b_key", "a_w", "b_w")])
+    part = F.explode(pieces(F.col("phrase"))) if pieces else F.col("phrase")
+    whole = signs.select("phrase").distinct().select("phrase", part.alias("part"))
+    a = whole.select("part").distinct().withColumn("key", norm_key(F.col("part"))).withColumn("w", F.filter(telling(F.col("key")), lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$")))
+    alias = F.coalesce("alias", "label") if "alias" in catalog.columns else F.col("label")
+    cases = F.coalesce(F.col("support_cases"), F.lit(0)) if "support_cases" in catalog.columns else F.lit(0)
+    known = cut(catalog.select("sign_id", "label", norm_key(alias).alias("key"), cases.cast("long").alias("cases")))
+    of_sign = known.groupBy("sign_id").agg(F.max("label").alias("label"), F.sum("cases").alias("cases"))
+    b = known.select("sign_id", "key").distinct().withColumn("w", telling(F.col("key")))
+    each = lambda df, c, p: df.select(*c, F.col("key").alias(f"{p}_key"), F.col("w").alias(f"{p}_w"), F.explode(F.array_distinct(F.concat("w", F.array(F.concat(F.lit("="), "key"))))).alias("t"))
+    met = each(a, ["part"], "a").join(each(b, ["sign_id"], "b"), "t").groupBy("part", "sign_id", "b_key")
+    hit = met.agg(F.count_if(~F.startswith("t", F.lit("="))).alias("h"), *[F.any_value(c).alias(c) for c in ("a_key", "a_w", "b_w")])
     n, m, h = F.size(F.array_distinct("a_w")), F.size(F.array_distinct("b_w")), F.col("h")
     row = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
     in_row = (F.size("a_w") >= 2) & (F.size("b_w") >= 2) & (F.contains(row("a_w"), row("b_w")) | F.contains(row("b_w"), row("a_w")))
     formula = 0.35 + 0.35 * h / n + 0.15 * h / m + 0.15 * h / (n + m - h)
     single = (n == 1) & (m == 1) & (h == 1) & (F.length(F.get("a_w", F.lit(0))) >= 3)
     score = F.when((F.col("a_key") != "") & (F.col("a_key") == F.col("b_key")), 1.0).when(in_row, 0.94).when(h >= 2, formula).when(single, 0.74).otherwise(0.0)
-    scored = hit.select("phrase", "sign_id", F.round(score, 4).alias("score")).filter("score >= 0.55")
-    return topk(scored, ["phrase"], [F.col("score").desc(), F.col("sign_id")], k)
+    scored = hit.select("part", "sign_id", score.alias("score"), F.size("a_w").alias("tokens"), "a_key").filter("score >= 0.55")
+    best = scored.groupBy("part", "sign_id").agg(F.round(F.max("score"), 4).alias("score"), F.any_value("tokens").alias("tokens"), F.any_value("a_key").alias("a_key")).join(of_sign, "sign_id")
+    order = [F.col("score").desc(), F.col("cases").desc(), F.col("label").desc(), F.col("sign_id")]
+    best = topk(best, ["part"], order, k).join(whole, "part")
+    more = F.when((F.col("a_key") != norm_key(F.col("phrase"))) & (F.col("tokens") >= 2), F.round(F.least(F.lit(1.0), F.col("score") + 0.03), 4)).otherwise(F.col("score"))
+    merged = best.withColumn("score", more).groupBy("phrase", "sign_id").agg(F.max("score").alias("score"), F.any_value("cases").alias("cases"), F.any_value("label").alias("label"))
+    return topk(merged, ["phrase"], order, k).select("phrase", "sign_id", "score")
 
 
 def sign_catalog(edges: DataFrame) -> DataFrame:

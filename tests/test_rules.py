@@ -114,6 +114,16 @@ def test_text(spark):
     assert (note.copay_flag, note.copay_percent, note.screening_flag, note.limit_per_visit_vnd, note.formula.formula_paid_vnd) == (True, 20, True, 500000, 800000)
     assert x(T.note_signals(F.lit("hạn mức bằng 300.000 VNĐ cho mỗi người / ngày nằm viện"), F.array().cast("array<string>")))["limit_per_day_vnd"] == 300000
     assert x(T.phrases(F.lit("sốt cao liên tục, ho"), low=2, high=3)) == ["sot cao lien", "cao lien tuc", "sot cao", "cao lien", "lien tuc", "ho"]
+    assert x(T.decompose_signs(F.lit("Đau đầu, nhẹ và sốt cao liên tục"), fillers=["nhe"], splits=[r"\bva\b"], stop=["lien"], high=3)) == ["dau dau va sot cao lien tuc", "sot cao lien tuc", "sot cao tuc", "cao tuc", "dau dau", "sot cao"]
+    assert x(T.decompose_signs(F.lit("(BS) ho"), drop=[r"\(bs\)"])) == ["ho"] and x(T.decompose_signs(F.lit(None).cast("string"))) == [] and len(x(T.decompose_signs(F.lit("a b c d e f g h i j k l m n o p")))) == 24
+    assert [x(T.norm_insurer(F.lit(n))) for n in ("Petrolimex Sài Gòn", "LIÊN HIỆP", "một công ty bảo hiểm khác")] == ["PJICO", "UIC", "một công ty bảo hiể"]
+    assert x(T.canonical_contract_key(F.lit("FPT-NT 2025 (Đà Nẵng)"))) == "fptnt2025danang"
+    noisy = {
+        "dv_ định lượng glucose (máu)": "định lượng glucose", "xquang tím phổi thẳng": "ngực thẳng", "xn huyết học - công thức máu (24ts)": "công thức máu", "x (bhyt) (c)": "x (bhyt)", "x (c) (bhyt)": "x",
+        "22.0121.1369 -- tổng phân tích 28 chỉ số": "tổng phân tích", "siêu âm bụng (010892)": "siêu âm bụng", "điện giải đồ_yn": "điện giải đồ", "nội soi (ngoại trú)": "nội soi", "truyền máu - khối hồng cầu": "khối hồng cầu",
+        "kb (515 nội": "nội", "hba1c m3": "hba1c", "ast (số bl: 123)": "ast", "alt vinmec": "alt", "cbc -ptm 2-201 phòng lấy máu": "cbc", " * test nhanh.tm": "* test nhanh".strip("* "), "a))": "a",
+    }
+    assert {n: x(T.strip_noise(F.lit(n))) for n in noisy} == noisy
     assert x(T.risk_kinds(F.lit("Đồng chi trả và hạn mức"))) == ["copay", "limit"] and x(T.risk_kinds(F.lit("?"))) == ["other"]
     assert x(T.risk_kinds(F.lit("Kiểm tra, bệnh có sẵn, nộp muộn giấy ra viện"))) == ["screening", "documents", "waiting_period", "late_submission"]
     assert x(T.category_covered(F.lit("LAB-HEM"), F.array(F.lit("LAB-*")))) and not x(T.category_covered(F.lit("IMG"), F.array(F.lit("LAB-*"))))
@@ -157,6 +167,11 @@ def test_families_signs_exclusions_and_duels(spark):
     catalog = spark.createDataFrame([(1, "đau đầu"), (2, "đau đầu dữ dội kéo dài"), (3, "sốt"), (4, "đau nhiều vùng ngực")], "sign_id int, label string")
     score = lambda p: {r.sign_id: r.score for r in match.match_signs(spark.createDataFrame([(p,)], "phrase string"), catalog).collect()}
     assert score("đau đầu") == {1: 1.0, 2: 0.94} and score("đau ngực") == {4: round(0.35 + 0.35 + 0.15 * 2 / 4 + 0.15 * 2 / 4, 4)}
+    more = spark.createDataFrame([(1, "đau đầu", None, 3), (2, "nhức đầu", "đau đầu", 9), (2, "nhức đầu", "đầu nặng", 1), (3, "sốt", "sốt cao", 2)], "sign_id int, label string, alias string, support_cases int")
+    ranked = lambda p, k, **o: [(r.sign_id, r.score) for r in match.match_signs(spark.createDataFrame([(p,)], "phrase string"), more, k, **o).orderBy(F.col("score").desc(), "sign_id").collect()]
+    assert ranked("đau đầu", 1) == [(2, 1.0)] and ranked("đau đầu", 2) == [(1, 1.0), (2, 1.0)]
+    cut_up = lambda c: T.decompose_signs(c, splits=[r"\bva\b"])
+    assert ranked("đau đầu và sốt cao", 8) == [(1, 0.94), (2, 0.94), (3, 0.94)] and ranked("đau đầu và sốt cao", 8, pieces=cut_up) == [(1, 1.0), (2, 1.0), (3, 1.0)]
     assert score("bệnh sốt") == {3: 0.74} and score("sốt cao") == {}
     x = lambda *a, **k: tuple(one(spark, decisions.exclusion_class(*[F.lit(v) for v in a], **{n: F.lit(v) for n, v in k.items()})))
     assert x("", "MA01") == ("financial", 2) and x("", "ma03") == ("ignore", 0) and x("", "ma03", service="Thuốc A") == ("hard_deny", 4)
