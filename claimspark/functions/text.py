@@ -153,6 +153,20 @@ def ngrams(c: Column, n: int = 3) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)))).when(F.length(c) > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
 
 
+def word_ngrams(c: Column, low: int = 1, high: int = 3) -> Column:
+    """Runs of low to high words of two letters, digits or underscores or more, repeats included."""
+    words = F.regexp_extract_all(c, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    run = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.concat(*[run(n) for n in range(low, high + 1)])
+
+
+def inner_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
+    """Character n-grams within the words, each between two spaces, repeats included."""
+    words = F.transform(F.filter(F.split(c, SPACE), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    run = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(words, lambda w: F.concat(*[run(w, n) for n in range(low, high + 1)])))
+
+
 def ngram_jaccard(a: Column, b: Column, n: int = 3) -> Column:
     """TX8: Jaccard of character n-grams."""
     return jaccard(ngrams(a, n), ngrams(b, n))

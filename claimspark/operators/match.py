@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fuzzy import fuzzy_ratios, indel_ratio
-from ..functions.text import ascii_fold, clean_service_name, discriminator, ngram_jaccard, ngrams, norm_key, skeleton, strip_noise
-from ..sources.scratch import cut, spread
+from ..functions.text import ascii_fold, clean_service_name, discriminator, inner_ngrams, ngram_jaccard, ngrams, norm_key, skeleton, strip_noise, word_ngrams
+from ..sources.scratch import cut, maybe_broadcast, spread
 from .term_scan import SHARD_CHARS, term_hits
 from .windows import top1, topk
 
@@ -149,53 +149,95 @@ def resolve_names(mapped: DataFrame) -> DataFrame:
     return out.withColumn("policy", mapping_policy(F.col("raw_score"), F.col("gap"), F.col("confidence"), F.col("exact")))
 
 
-def tfidf(docs: DataFrame, key: str, terms: str) -> DataFrame:
-    """(key, t, w): unit-length tf-idf vectors as rows. docs(key, terms: array)."""
-    tf = docs.select(key, F.explode(terms).alias("t")).groupBy(key, "t").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    idf = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), F.lit(True)).select("t", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, "t").select(key, "t", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "t", (F.col("w") / F.col("norm")).alias("w"))
+# The shares of word and character tf-idf, of lexical and semantic parts, and the family's bonus and penalty.
+LEXICAL = {"word": 0.45, "gram": 0.55}
+LEXICAL_SHARE, SEMANTIC_SHARE, SAME_FAMILY, OTHER_FAMILY = 0.72, 0.28, 0.06, -0.08
 
 
-def map_services_hybrid(queries: DataFrame, catalog: DataFrame, k: int = 5, shortlist: int = 80) -> DataFrame:
-    """ER5: per query the k best catalogue entries by 0.72 * lexical + 0.28 * semantic, the lexical part 0.45 word and
-    0.55 character tf-idf, and +0.06 for the same family or -0.08 for another. Both: id, name, family, vec (array).
-    The semantic part is taken for the lexical shortlist only."""
-    word, gram = (lambda c: F.split(norm_key(c), " ")), (lambda c: ngrams(norm_key(c)))
-    sides = {}
-    for kind, f in (("word", word), ("gram", gram)):
-        both = queries.select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("k"), f(F.col("name")).alias("terms")).unionByName(catalog.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("k"), f(F.col("name")).alias("terms")))
-        v = tfidf(both, "k", "terms")
-        q, c = v.filter("k LIKE 'q%'"), v.filter("k LIKE 'c%'").withColumnRenamed("k", "c").withColumnRenamed("w", "cw")
-        sides[kind] = q.join(c, "t").groupBy("k", "c").agg(F.sum(F.col("w") * F.col("cw")).alias(kind))
-    lexical = sides["word"].join(sides["gram"], ["k", "c"], "full_outer").na.fill(0.0).select("k", "c", (0.45 * F.col("word") + 0.55 * F.col("gram")).alias("lexical"))
-    short = topk(lexical, ["k"], [F.col("lexical").desc(), F.col("c")], shortlist)
-    qs = queries.select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("k"), F.col("id").alias("query_id"), F.col("family").alias("qf"), F.col("vec").alias("qv"))
-    cs = catalog.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("c"), F.col("id").alias("catalog_id"), F.col("family").alias("cf"), F.col("vec").alias("cv"))
-    from .documents import cosine
-
-    family = F.when(F.col("qf").isNull() | F.col("cf").isNull(), 0.0).when(F.col("qf") == F.col("cf"), 0.06).otherwise(-0.08)
-    scored = short.join(qs, "k").join(cs, "c").withColumn("score", F.round(0.72 * F.col("lexical") + 0.28 * cosine(F.col("qv"), F.col("cv")) + family, 4))
-    return topk(scored.select("query_id", "catalog_id", "score"), ["query_id"], [F.col("score").desc(), F.col("catalog_id")], k, rank="rank")
+def lexical_parts(queries: DataFrame, catalog: DataFrame, word: str, gram: str) -> tuple[DataFrame, DataFrame]:
+    """ER5, ER6: parts(doc_id, t, a, b) and wanted(query_id, t, n), both written, whose sum of n * b is the lexical score:
+    0.45 and 0.55 of the cosines of tf-idf vectors of word n-grams (column ``word``) and of character n-grams (``gram``).
+    Document frequencies are the catalogue's; terms that it lacks count nowhere. queries and catalog have ``id``."""
+    sides = []
+    for kind, column, cut_up in (("word", word, word_ngrams), ("gram", gram, inner_ngrams)):
+        tf = lambda df: df.select("id", F.explode(cut_up(F.col(column))).alias("t")).groupBy("id", "t").agg(F.count(F.lit(1)).alias("tf"))
+        known, asked, n = cut(tf(catalog)), tf(queries), catalog.agg(F.count(F.lit(1)).alias("n"))
+        idf = known.groupBy("t").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), F.lit(True)).select("t", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+        raw = lambda df: df.join(idf, "t").select("id", "t", (F.col("tf") * F.col("idf")).alias("w"))
+        unit = lambda df: df.join(df.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "id").select("id", F.concat(F.lit(kind[0]), "t").alias("t"), (F.col("w") / F.col("norm")).alias("w"))
+        sides.append((unit(raw(known)).select(F.col("id").alias("doc_id"), "t", F.lit(0.0).alias("a"), (LEXICAL[kind] * F.col("w")).alias("b")), unit(raw(asked)).select(F.col("id").alias("query_id"), "t", F.col("w").alias("n"))))
+    return cut(sides[0][0].unionByName(sides[1][0])), cut(sides[0][1].unionByName(sides[1][1]))
 
 
-def family_of(texts: DataFrame, aliases: DataFrame, partial: bool = True) -> DataFrame:
+def map_services_hybrid(queries: DataFrame, catalog: DataFrame, k: int = 5, shortlist: int = 80) -> DataFrame:
+    """ER5: per query the k best codes (query_id, catalog_id, score, confidence, rank) by 0.72 * lexical + 0.28 * semantic,
+    +0.06 for the same family or -0.08 for another, at least 0.995 for equal cleaned names, whose lexical part is 1, and
+    0.96 for names equal without noise, whose lexical part is 0.96 or more. A code has its best entry's score. Both: id,
+    name, family, vec (array), queries also family_status (where given only exact and probable families are held against
+    other ones), the catalogue code (else id). An entry that shares no word and no characters with a query, nor its name
+    without noise, is no candidate.
+
+    The lexical shortlist gives each query a k-th best score that is reached; every entry whose lexical score leaves it
+    open is scored, so no entry is lost (tested against all pairs)."""
+    from .documents import cosine
+    from .ranked_index import SLACK, above, best, full
+
+    def named(df: DataFrame) -> DataFrame:
+        out = df.withColumn("cleaned", clean_service_name(F.col("name"))["name"]).withColumn("stripped", strip_noise(F.col("cleaned")))
+        return cut(out.withColumn("skel", skeleton(F.when(F.col("stripped") != "", F.col("stripped")).otherwise(F.col("cleaned")))))
+
+    q = named(queries if "family_status" in queries.columns else queries.withColumn("family_status", F.lit("exact")))
+    c = named(catalog if "code" in catalog.columns else catalog.withColumn("code", F.col("id")))
+    parts, wanted = lexical_parts(q, c, "cleaned", "skel")
+    qs = q.select(F.col("id").alias("query_id"), *[F.col(x).alias(f"q_{x}") for x in ("cleaned", "stripped", "family", "family_status", "vec")])
+    cs = c.select(F.col("id").alias("doc_id"), "code", *[F.col(x).alias(f"c_{x}") for x in ("cleaned", "stripped", "family", "vec")])
+    same, stripped = F.col("q_cleaned") == F.col("c_cleaned"), (F.col("q_stripped") != "") & (F.col("q_stripped") == F.col("c_stripped"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """pairs(query_id, doc_id, lexical) by code."""
+        lexical = F.when(same, 1.0).when(stripped, F.greatest("lexical", F.lit(0.96))).otherwise(F.col("lexical"))
+        family = F.when(F.col("q_family") == F.col("c_family"), SAME_FAMILY).when((F.col("q_family") != F.col("c_family")) & F.col("q_family_status").isin("exact", "probable"), OTHER_FAMILY).otherwise(0.0)
+        score = LEXICAL_SHARE * lexical + SEMANTIC_SHARE * F.coalesce(cosine(F.col("q_vec"), F.col("c_vec")), F.lit(0.0)) + family
+        score = F.when(same, F.greatest(score, F.lit(0.995))).when(stripped, F.greatest(score, F.lit(0.96))).otherwise(score)
+        rows = pairs.join(qs, "query_id").join(cs, "doc_id").select("query_id", "code", F.round(score, 4).alias("score"), (same | stripped).alias("equal"))
+        return rows.groupBy("query_id", "code").agg(F.max("score").alias("score"), F.bool_or("equal").alias("equal"))
+
+    order = [F.col("score").desc(), F.col("code")]
+    short = best(parts, wanted, max(k, shortlist)).select("query_id", "doc_id", F.col("score").alias("lexical"))
+    reached = topk(scored(short), ["query_id"], order, k, rank="rank").filter(F.col("rank") == k)
+    most = SEMANTIC_SHARE + SAME_FAMILY
+    found = above(parts, wanted, reached.select("query_id", ((F.col("score") - most) / LEXICAL_SHARE - 2 * SLACK).alias("reached"))).select("query_id", "doc_id", F.col("score").alias("lexical"))
+    equal = qs.join(cs, F.col("q_cleaned") == F.col("c_cleaned")).select("query_id", "doc_id").unionByName(qs.join(cs, stripped).select("query_id", "doc_id")).join(found, ["query_id", "doc_id"], "left_anti").distinct()
+    known = equal.join(full(parts, equal, wanted).select("query_id", "doc_id", "s"), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("s", F.lit(0.0)).alias("lexical"))
+    ranked = topk(scored(found.unionByName(known)), ["query_id"], order, k, rank="rank")
+    gap = F.col("score") - F.coalesce(F.lead("score").over(Window.partitionBy("query_id").orderBy("rank")), F.lit(0.0))
+    sure = F.when(F.col("equal") | ((F.col("score") >= 0.9) & (gap >= 0.05 - 1e-9)), "HIGH").when((F.col("score") >= 0.84) & (gap >= 0.03 - 1e-9), "MEDIUM").when(F.col("score") >= 0.76, "LOW").otherwise("REVIEW")
+    return ranked.withColumn("confidence", sure).select("query_id", F.col("code").alias("catalog_id"), "score", "confidence", "rank")
+
+
+def family_of(texts: DataFrame, aliases: DataFrame, partial: bool = True, lexical: bool = True) -> DataFrame:
     """ER6: each text's family: 0.7 * best + 0.25 * mean of the best three + 0.05 * hits (aliases of 0.65 or more, three at
     most, a third each), with top_alias_score, gap to the second family and status. An alias scores 1 if the cleaned texts
-    are equal, 0.995 folded, 0.99 without noise, else the better of 0.92 * partial ratio (left out with partial=False) and
-    0.95 * the mean of the covered shares of both token sets. texts(id, text), aliases(family, alias)."""
+    are equal, 0.995 folded, 0.99 without noise, else the best of its lexical score (as in ER5; left out with
+    lexical=False), 0.92 * partial ratio (left out with partial=False) and 0.95 * the mean of the covered shares of both
+    token sets. An alias that shares no token, nor characters of a word where the lexical score counts, scores 0.
+    texts(id, text), aliases(family, alias)."""
     forms = lambda df, c, key: df.select(*key, clean_service_name(F.col(c))["name"].alias("c")).withColumn("s", strip_noise(F.col("c"))).withColumn("f", norm_key(F.col("c"))).withColumn("w", F.array_distinct(F.split("f", " "))).filter("f <> ''")
-    t, a = forms(texts, "text", ["id"]), forms(aliases, "alias", ["family", "alias"]).dropDuplicates(["family", "f"])
-    each = lambda df, key: df.select(*key, F.explode("w").alias("t"))
-    met = each(t, ["id"]).join(each(a, ["family", "alias"]), "t").groupBy("id", "family", "alias").agg(F.count(F.lit(1)).alias("n"))
+    t = forms(texts, "text", ["id"])
+    a = forms(aliases, "alias", ["family", "alias"]).groupBy("family", "f").agg(F.min_by(F.struct("alias", "c", "s", "w"), "alias").alias("x")).select("family", "f", "x.*").withColumn("aid", F.concat_ws("\u0001", "family", "f"))
+    each = lambda df, key: df.select(key, F.explode("w").alias("t"))
+    met = each(t, "id").join(each(a, "aid"), "t").groupBy("id", "aid").agg(F.count(F.lit(1)).alias("n")).withColumn("lex", F.lit(0.0))
+    if lexical:
+        t, a = cut(t), cut(a)
+        parts, wanted = lexical_parts(t, a.withColumnRenamed("aid", "id"), "c", "f")
+        near_ = wanted.join(maybe_broadcast(parts), "t").groupBy(F.col("query_id").alias("id"), F.col("doc_id").alias("aid")).agg(F.sum(F.col("n") * F.col("b")).alias("lex"))
+        met = met.drop("lex").join(near_, ["id", "aid"], "full_outer").na.fill(0, ["n", "lex"])
     sided = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-    both = met.join(sided(t, "t"), F.col("id") == F.col("t_id")).join(sided(a, "a"), (F.col("family") == F.col("a_family")) & (F.col("alias") == F.col("a_alias")))
+    both = met.join(sided(t, "t"), F.col("id") == F.col("t_id")).join(sided(a, "a"), F.col("aid") == F.col("a_aid")).withColumn("family", F.col("a_family"))
     overlap = 0.95 * (0.5 * F.col("n") / F.size("a_w") + 0.5 * F.col("n") / F.size("t_w"))
     equal = F.when(F.col("t_c") == F.col("a_c"), 1.0).when(F.col("t_f") == F.col("a_f"), 0.995).when(F.col("t_s") == F.col("a_s"), 0.99).otherwise(0.0)
     near = 0.92 * fuzzy_ratios("t_f", "a_f")["partial"] / 100.0 if partial else F.lit(0.0)
-    scored = both.select("id", "family", "alias", F.round(F.least(F.lit(1.0), F.greatest(overlap, equal, near)), 4).alias("s"))
+    scored = both.select("id", "family", F.round(F.least(F.lit(1.0), F.greatest(overlap, equal, near, "lex")), 4).alias("s"))
     top = F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 3)
     sums = scored.groupBy("id", "family").agg(top.alias("top"), F.count_if(F.col("s") >= 0.65).alias("hits"))
     mean = F.aggregate("top", F.lit(0.0), lambda x, y: x + y) / F.size("top")

@@ -63,25 +63,37 @@ def best(parts: DataFrame, wanted: DataFrame, k: int, by: Sequence[str] = (), di
     """(query_id, by..., doc_id, score, rank): the k best documents of each query, ties by doc_id. parts(by..., doc_id, t,
     a, and where it is not 0: b, c): a query that holds a term n times scores a + n * b for it, and each document that
     shares a term with it c besides, which is one value for a document. None is negative."""
-    for name in ("b", "c"):
-        if name not in parts.columns:
-            parts = parts.withColumn(name, F.lit(0.0))
-    parts, group = cut(parts), ["query_id", *by]
+    parts, group = cut(_whole(parts)), ["query_id", *by]
     share = F.col("a") + F.col("n") * F.col("b")
-    peak = parts.groupBy(*by, "t").agg(F.max("a").alias("top_a"), F.max("b").alias("top_b"), F.max("c").alias("top_c"))
-    bounds = cut(wanted.join(peak, [*by, "t"]).select(*group, "t", "n", (F.col("top_a") + F.col("n") * F.col("top_b")).alias("most"), "top_c"))
-
-    def full(pairs: DataFrame, of: DataFrame) -> DataFrame:
-        """Sums over the terms of ``of`` for pairs of query and document."""
-        return pairs.join(of, group).join(parts, [*by, "doc_id", "t"]).groupBy(*group, "doc_id").agg(F.sum(share).alias("s"), F.max("c").alias("c"))
-
     # A k-th best score that is reached: the best documents of single terms, scored in full.
     champions = topk(parts, [*by, "t"], [(F.col("a") + F.col("b")).desc(), F.col("doc_id")], max(k, CHAMPIONS))
     seeds = champions.join(wanted, [*by, "t"]).groupBy(*group, "doc_id").agg(F.sum(share).alias("s"))
     seeds = topk(seeds, group, [F.col("s").desc(), F.col("doc_id")], k + CHAMPIONS).select(*group, "doc_id")
-    reached = topk(full(seeds, wanted).withColumn("s", F.col("s") + F.col("c")), group, [F.col("s").desc()], k, rank="rank").filter(F.col("rank") == k)
-    reached = reached.select(*group, (F.col("s") - SLACK).alias("reached"))
+    reached = topk(full(parts, seeds, wanted, by).withColumn("s", F.col("s") + F.col("c")), group, [F.col("s").desc()], k, rank="rank").filter(F.col("rank") == k)
+    scores = above(parts, wanted, reached.select(*group, (F.col("s") - SLACK).alias("reached")), by).withColumn("score", F.round("score", digits))
+    return topk(scores, group, [F.col("score").desc(), F.col("doc_id")], k, rank="rank")
+
 
+def _whole(parts: DataFrame) -> DataFrame:
+    for name in ("b", "c"):
+        if name not in parts.columns:
+            parts = parts.withColumn(name, F.lit(0.0))
+    return parts
+
+
+def full(parts: DataFrame, pairs: DataFrame, of: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(query_id, by..., doc_id, s, c): sums over the terms of ``of`` for pairs of query and document that share one."""
+    share = F.col("a") + F.col("n") * F.col("b")
+    return pairs.join(of, ["query_id", *by]).join(_whole(parts), [*by, "doc_id", "t"]).groupBy("query_id", *by, "doc_id").agg(F.sum(share).alias("s"), F.max("c").alias("c"))
+
+
+def above(parts: DataFrame, wanted: DataFrame, reached: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(query_id, by..., doc_id, score): all documents of each query with a score of ``reached``(query_id, by..., reached)
+    or more, and perhaps some below; without such a row all that share a term. parts (a written table) as in best()."""
+    parts, group = _whole(parts), ["query_id", *by]
+    share = F.col("a") + F.col("n") * F.col("b")
+    peak = parts.groupBy(*by, "t").agg(F.max("a").alias("top_a"), F.max("b").alias("top_b"), F.max("c").alias("top_c"))
+    bounds = cut(wanted.join(peak, [*by, "t"]).select(*group, "t", "n", (F.col("top_a") + F.col("n") * F.col("top_b")).alias("most"), "top_c"))
     # Optional terms: the least bounds whose sum, with the greatest constant, stays below it.
     w = Window.partitionBy(*group)
     order = w.orderBy("most", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -93,7 +105,6 @@ def best(parts: DataFrame, wanted: DataFrame, k: int, by: Sequence[str] = (), di
     some = some.agg(F.sum(share).alias("s"), F.max("c").alias("c"), F.first("need").alias("need"), F.first("rest").alias("rest"))
     open_ = cut(some.filter(F.col("s") + F.col("rest") >= F.col("need")).select(*group, "doc_id", "s", "c"))
     weak = split.filter("optional").select(*group, "t", "n")
-    more = full(open_.select(*group, "doc_id"), weak).select(*group, "doc_id", F.col("s").alias("more"))
+    more = full(parts, open_.select(*group, "doc_id"), weak, by).select(*group, "doc_id", F.col("s").alias("more"))
     total = F.col("s") + F.coalesce("more", F.lit(0.0)) + F.col("c")
-    scores = open_.join(more, [*group, "doc_id"], "left").select(*group, "doc_id", F.round(total, digits).alias("score"))
-    return topk(scores, group, [F.col("score").desc(), F.col("doc_id")], k, rank="rank")
+    return open_.join(more, [*group, "doc_id"], "left").select(*group, "doc_id", total.alias("score"))

@@ -212,6 +212,60 @@ def map_services_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return match.map_services_hybrid(named(p.select(F.concat("name", F.lit(" kit")).alias("name")), 0), named(p, 0), 3, 80)
 
 
+_LETTERS = "aeiouldt"
+
+
+def _unit(side: str, kind: str, terms: str, source: str = "") -> str:
+    """SQL for (id, t, w): unit tf-idf vectors of a side, frequencies from the catalogue c."""
+    return f"""{side}{kind}0 AS (SELECT id, t, count(*) AS tf FROM (SELECT id, unnest({terms}) AS t FROM {source or side}) GROUP BY 1, 2),
+{side}{kind}1 AS (SELECT id, t, tf * (ln((1 + (SELECT count(*) FROM c)) / (1 + df)) + 1) AS w FROM {side}{kind}0 JOIN (SELECT t, count(DISTINCT id) AS df FROM c{kind}0 GROUP BY 1) USING (t)),
+{side}{kind} AS (SELECT id, t, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM {side}{kind}1)"""
+
+
+_WORDS = "list_concat(list_concat(v, [array_to_string(v[i:i+1], ' ') FOR i IN range(1, len(v))]), [array_to_string(v[i:i+2], ' ') FOR i IN range(1, len(v) - 1)])"
+_CHARS = "list_concat(list_concat([substr(s, i, 3) FOR i IN range(1, length(s) - 1)], [substr(s, i, 4) FOR i IN range(1, length(s) - 2)]), [substr(s, i, 5) FOR i IN range(1, length(s) - 3)])"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name, lower(p_brand) AS b, p_type FROM part),
+f(id, name) AS (SELECT DISTINCT x, x FROM (SELECT p_name || ' ' || b || CASE WHEN p_type = 'PROMO' THEN ' (tt23)' ELSE '' END AS x FROM n UNION SELECT p_name FROM n)),
+e(id, name) AS (SELECT DISTINCT x, x FROM (SELECT p_name || ' ' || lower(p_type) AS x FROM n UNION SELECT p_name FROM n)),
+g AS (SELECT *, trim(regexp_replace(name, '\\(tt[0-9]+\\)$', '')) AS stripped FROM f), h AS (SELECT *, name AS stripped FROM e),
+feat AS (SELECT 'q' AS side, * FROM g UNION ALL SELECT 'c', * FROM h), d AS (SELECT *, regexp_extract_all(name, '\\b\\w\\w+\\b') AS v, ' ' || regexp_replace(stripped, '[^a-z0-9]+', '', 'g') || ' ' AS s, string_split(name, ' ')[2] AS family,
+[{", ".join(f"length(name) - length(replace(name, '{x}', ''))" for x in _LETTERS)}]::DOUBLE[] AS vec FROM feat), q AS (SELECT * FROM d WHERE side = 'q'), c AS (SELECT * FROM d WHERE side = 'c'),
+{_unit("c", "w", _WORDS)}, {_unit("q", "w", _WORDS)}, {_unit("c", "g", _CHARS)}, {_unit("q", "g", _CHARS)},
+l AS (SELECT q, c, sum(x) AS lex FROM (SELECT a.id AS q, b.id AS c, 0.45::DOUBLE * a.w * b.w AS x FROM qw a JOIN cw b USING (t) UNION ALL SELECT a.id, b.id, 0.55::DOUBLE * a.w * b.w FROM qg a JOIN cg b USING (t)) GROUP BY 1, 2),
+s AS (SELECT q.id AS query_id, c.id AS catalog_id, q.name = c.name AS same, q.stripped = c.stripped AS near, 0.72::DOUBLE * CASE WHEN q.name = c.name THEN 1 WHEN q.stripped = c.stripped THEN greatest(lex, 0.96) ELSE lex END
+  + 0.28::DOUBLE * coalesce(list_cosine_similarity(q.vec, c.vec), 0) + CASE WHEN q.family = c.family THEN 0.06::DOUBLE ELSE -0.08::DOUBLE END AS score FROM l JOIN q ON q.id = l.q JOIN c ON c.id = l.c),
+r AS (SELECT query_id, catalog_id, same OR near AS equal, round(CASE WHEN same THEN greatest(score, 0.995) WHEN near THEN greatest(score, 0.96) ELSE score END, 4) AS score FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, catalog_id) AS rank FROM r QUALIFY rank <= 3), p AS (SELECT *, score - coalesce(lead(score) OVER (PARTITION BY query_id ORDER BY rank), 0) AS gap FROM k)
+SELECT query_id, catalog_id, score, rank, CASE WHEN equal OR (score >= 0.9 AND gap >= 0.05 - 1e-9) THEN 'HIGH' WHEN score >= 0.84 AND gap >= 0.03 - 1e-9 THEN 'MEDIUM' WHEN score >= 0.76 THEN 'LOW' ELSE 'REVIEW' END AS confidence FROM p""")
+def map_services_lexical(spark: SparkSession, d: str) -> DataFrame:
+    """ER5: parts' names with their brands against names with types, the vectors being counts of letters."""
+    p = table(spark, d, "part").select("p_name", F.lower("p_brand").alias("b"), "p_type").distinct()
+    noisy = F.concat("p_name", F.lit(" "), "b", F.when(F.col("p_type") == "PROMO", " (tt23)").otherwise(""))
+    vec = F.array(*[(F.length("name") - F.length(F.replace(F.col("name"), F.lit(x), F.lit("")))).cast("double") for x in _LETTERS])
+    named = lambda x: p.select(x.alias("name")).union(p.select("p_name")).distinct().select(F.col("name").alias("id"), "name", F.element_at(F.split("name", " "), 2).alias("family"), vec.alias("vec"))
+    return match.map_services_hybrid(named(noisy), named(F.concat("p_name", F.lit(" "), F.lower("p_type"))), 3)
+
+
+_FAMILIES = (("widgets", "cold widgets"), ("widgets", "smaller widget"), ("widgets", "widget tools"), ("bolts", "large bolt"), ("bolts", "bolts and nuts"), ("other", "economy"))
+_PAIRS = "(SELECT id, ' ' || unnest(string_split(f, ' ')) || ' ' AS s FROM {})"
+
+
+@query(f"""WITH q AS (SELECT p_partkey AS id, p_name || ' ' || lower(p_type) AS f, string_split(p_name || ' ' || lower(p_type), ' ') AS v FROM part), c AS (SELECT family || '|' || f AS id, family, f, string_split(f, ' ') AS v FROM (VALUES {", ".join(map(str, _FAMILIES))}) x(family, f)),
+{_unit("c", "w", _WORDS)}, {_unit("q", "w", _WORDS)}, {_unit("c", "g", _CHARS, _PAIRS.format("c"))}, {_unit("q", "g", _CHARS, _PAIRS.format("q"))},
+l AS (SELECT q, c, sum(x) AS lex FROM (SELECT a.id AS q, b.id AS c, 0.45::DOUBLE * a.w * b.w AS x FROM qw a JOIN cw b USING (t) UNION ALL SELECT a.id, b.id, 0.55::DOUBLE * a.w * b.w FROM qg a JOIN cg b USING (t)) GROUP BY 1, 2),
+s AS (SELECT q.id, c.family, round(least(1, greatest(lex, 0.95::DOUBLE * (0.5::DOUBLE * len(list_intersect(q.v, c.v)) / len(c.v) + 0.5::DOUBLE * len(list_intersect(q.v, c.v)) / len(list_distinct(q.v))), CASE WHEN q.f = c.f THEN 1 ELSE 0 END)), 4) AS j FROM l JOIN q ON q.id = l.q JOIN c ON c.id = l.c),
+g AS (SELECT id, family, list(j ORDER BY j DESC)[1:3] AS top, count(*) FILTER (j >= 0.65) AS hits FROM s GROUP BY 1, 2),
+r AS (SELECT id, family, round(least(1, 0.7::DOUBLE * top[1] + 0.25::DOUBLE * (list_sum(top) / len(top)) + 0.05::DOUBLE * least(hits, 3) / 3.0::DOUBLE), 4) AS score, top[1] AS t1 FROM g)
+SELECT id, family, score, t1 AS top_alias_score FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, t1 DESC, family) = 1""")
+def family_lexical(spark: SparkSession, d: str) -> DataFrame:
+    """ER6 with the lexical score of aliases that share no token, without the partial ratio."""
+    texts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("text"))
+    aliases = spark.createDataFrame(_FAMILIES, "family string, alias string")
+    return match.family_of(texts, aliases, partial=False).select("id", "family", "score", "top_alias_score")
+
+
 @query("""WITH d AS (SELECT r_name AS name, r_regionkey AS id FROM region), q AS (SELECT c_custkey AS query_id, lower(r_name) || ' desk' AS t, r_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
 SELECT query_id, r_regionkey AS disease_id FROM q""")
 def route_disease(spark: SparkSession, d: str) -> DataFrame:
