@@ -128,6 +128,30 @@ def run_telemetry(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("role") == "assistant").alias("n_assistant"), F.count_distinct("turn").alias("n_turns"), F.count("tool").alias("n_tool_calls"), F.sum("tokens").alias("tokens"))
 
 
+def run_report(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """EV9: per run its model, duration, cost, turns, assistant messages, tool calls and their counts by name (a map).
+    events: of sources.io.read_run_events() with the keys and seq, the event's number in its run. Model from the first
+    system event, else from the last result; duration and cost from the last result, turns too, else the number of
+    distinct assistant messages; a tool without a name is "unknown"."""
+    kind = F.col("type")
+    call = (kind == "assistant") & (F.col("content.type") == "tool_use")
+    tool = F.when(call, F.coalesce("content.name", F.lit("unknown")))
+    last = lambda c: F.max_by(c, F.when(kind == "result", F.col("seq")))
+    facts = {
+        "sys_model": F.min_by("model", F.when(kind == "system", F.col("seq"))), "end_model": last("model"), "duration_ms": last("duration_ms"), "cost_usd": last("total_cost_usd"), "end_turns": last("num_turns"),
+        "ids": F.count_distinct(F.when((kind == "assistant") & (F.col("message_id") != ""), F.col("message_id"))), "n_assistant": F.count_distinct(F.when(kind == "assistant", F.col("seq"))),
+    }
+    runs = events.groupBy(*keys).agg(*[c.alias(n) for n, c in facts.items()])
+    # Calls are counted by name first, so that a run's map is built from one row for each tool.
+    named = events.filter(call).groupBy(*keys, tool.alias("tool")).agg(F.count(F.lit(1)).alias("n"))
+    tools = named.groupBy(*keys).agg(F.sum("n").alias("n_tool_calls"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("tool", "n")))).alias("tools"))
+    out = runs.join(tools, list(keys), "left")
+    none = F.map_from_entries(F.array().cast("array<struct<tool:string,n:bigint>>"))
+    return out.select(
+        *keys, F.coalesce("sys_model", "end_model").alias("model"), "duration_ms", "cost_usd", F.coalesce(F.col("end_turns").cast("long"), "ids").alias("n_turns"), "n_assistant", F.coalesce("n_tool_calls", F.lit(0)).alias("n_tool_calls"), F.coalesce("tools", none).alias("tools")
+    )
+
+
 def tool_counts(events: DataFrame) -> DataFrame:
     """EV9: calls by tool name; events(content: array<struct<type, name>>)."""
     calls = events.select(F.explode("content").alias("c")).filter("c.type = 'tool_use'")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, stable_id
+from ..functions.text import jaccard, norm_key, stable_id
 from .windows import keep_latest, topk
 
 
@@ -66,11 +66,21 @@ OVERLAPS = {"disease": 4.0, "sign": 2.4, "service": 2.1, "query": 1.8}
 KIND_BONUS = {"procedural": 0.18, "semantic": 0.12, "episodic": 0.0}
 
 
-def recall(queries: DataFrame, memory: DataFrame, k: int, scopes: Sequence[str] = (), kinds: Sequence[str] = ()) -> DataFrame:
+def recall(
+    queries: DataFrame, memory: DataFrame, k: int, scopes: Sequence[str] = (), kinds: Sequence[str] = (), categories: Sequence[str] = (), specialty: str | None = None, min_importance: float = 0.0
+) -> DataFrame:
     """MM1: the k best memories of each query: weighted overlaps of the four token lists and bonuses for kind,
-    importance, recency and access. Both sides have disease, sign, service, query (arrays of tokens); memory also
-    memory_id, kind, scope, importance, age_days, access_count. A memory meets a query on a shared token, or by its
-    bonuses alone if nothing is shared: those are ranked once for all queries."""
+    importance, recency, access, a scope that was asked for (+0.2), the asked specialty (+1.2) and the category
+    successful_pattern (+0.12). Both sides have disease, sign, service, query (arrays of tokens); memory also memory_id,
+    kind, scope, importance, age_days, access_count, and where it has them category, specialty. Scopes (shared memories
+    always count), kinds, categories and the least importance filter memories; a null scope is shared, a null kind
+    episodic, a null importance 0. A memory meets a query on a shared token, or by its bonuses alone if nothing is
+    shared: those are ranked once for all queries."""
+    null = F.lit(None).cast("string")
+    memory = memory.withColumns({"scope": F.coalesce("scope", F.lit("shared")), "kind": F.coalesce("kind", F.lit("episodic")), "importance": F.coalesce("importance", F.lit(0.0))})
+    memory = memory.withColumns({c: null for c in ("category", "specialty") if c not in memory.columns}).filter(F.col("importance") >= min_importance)
+    if categories:
+        memory = memory.filter(F.col("category").isin(*categories))
     m = memory
     if scopes:
         m = m.filter(F.col("scope").isin(*scopes, "shared"))
@@ -79,6 +89,9 @@ def recall(queries: DataFrame, memory: DataFrame, k: int, scopes: Sequence[str]
     bonus = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KIND_BONUS.items() for x in kv]), F.col("kind")), F.lit(0.0)) + 0.9 * F.col("importance") + recency_bonus(F.col("age_days"))
     bonus = bonus + F.least(0.08 * F.log1p(F.greatest("access_count", F.lit(0)).cast("double")), F.lit(0.3))
     bonus = bonus + (F.when(F.col("scope").isin(*scopes), 0.2).otherwise(0.0) if scopes else 0.0)
+    bonus = bonus + F.when(F.col("category") == "successful_pattern", 0.12).otherwise(0.0)
+    if specialty:
+        bonus = bonus + F.when(norm_key(F.col("specialty")) == norm_key(F.lit(specialty)), 1.2).otherwise(0.0)
     m = m.withColumn("bonus", bonus)
     words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.concat(*OVERLAPS))).alias("t"))
     met = words(queries, "query_id").join(words(m, "memory_id"), "t").select("query_id", "memory_id").distinct()

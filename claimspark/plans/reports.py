@@ -87,6 +87,24 @@ def run_telemetry(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.run_telemetry(e, ["conv_id"])
 
 
+@query("""WITH t AS (SELECT conv_id, role, count(*) AS n FROM conversations WHERE turn > 0 AND role <> 'system' GROUP BY 1, 2), u AS (SELECT conv_id, string_agg(role || ':' || n, ',' ORDER BY role) AS tools, sum(n)::BIGINT AS n_tool_calls FROM t GROUP BY 1),
+c AS (SELECT conv_id, count(*) AS n_assistant, max(turn) AS last, count(*) FILTER (turn = 0) AS z FROM conversations GROUP BY 1)
+SELECT c.conv_id, 'm' || (c.conv_id % 3) AS model, (10 * last)::BIGINT AS duration_ms, round(last * 0.25, 4)::DOUBLE AS cost_usd, CASE WHEN c.conv_id % 2 = 0 THEN last ELSE (SELECT count(DISTINCT turn) FROM conversations x WHERE x.conv_id = c.conv_id) END::BIGINT AS n_turns,
+(SELECT count(DISTINCT turn) FROM conversations x WHERE x.conv_id = c.conv_id)::BIGINT AS n_assistant, coalesce(n_tool_calls, 0)::BIGINT AS n_tool_calls, coalesce(tools, '') AS tools FROM c LEFT JOIN u USING (conv_id)""")
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    """EV9: conversations as runs: each turn an assistant event, whose role is the tool called from the second turn on,
+    before them a system event and after them a result, which counts turns in every second run."""
+    c = table(spark, d, "conversations")
+    null = lambda t: F.lit(None).cast(t)
+    part = F.when((F.col("turn") > 0) & (F.col("role") != "system"), F.struct(F.lit("tool_use").alias("type"), F.col("role").alias("name"))).otherwise(F.struct(F.lit("text").alias("type"), null("string").alias("name")))
+    said = c.select("conv_id", (F.col("turn") + 1).alias("seq"), F.lit("assistant").alias("type"), null("string").alias("model"), null("int").alias("num_turns"), null("long").alias("duration_ms"), null("double").alias("total_cost_usd"), F.col("turn").cast("string").alias("message_id"), part.alias("content"))
+    ends = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    start = ends.select("conv_id", F.lit(0).alias("seq"), F.lit("system").alias("type"), F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("model"))
+    end = ends.select("conv_id", (F.col("last") + 2).alias("seq"), F.lit("result").alias("type"), F.when(F.col("conv_id") % 2 == 0, F.col("last")).cast("int").alias("num_turns"), (10 * F.col("last")).cast("long").alias("duration_ms"), F.round(F.col("last") * 0.25, 4).alias("total_cost_usd"))
+    out = evaluate.run_report(said.unionByName(start, True).unionByName(end, True), ["conv_id"])
+    return out.withColumn("tools", F.array_join(F.transform(F.array_sort(F.map_entries("tools")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ","))
+
+
 @query("WITH e AS (SELECT DISTINCT p_type AS disease, p_brand AS service FROM part), h AS (SELECT DISTINCT p_type AS disease, p_brand AS service FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 49) SELECT disease, count(*) AS n_expected, count(h.service) AS n_found, round(count(h.service) / count(*), 4) AS coverage FROM e LEFT JOIN h USING (disease, service) GROUP BY disease")
 def benchmark_coverage(spark: SparkSession, d: str) -> DataFrame:
     """EV11."""
@@ -249,6 +267,30 @@ def usage_stream(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy(F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(F.max_by("requests", "batch").alias("requests"), F.max_by("tokens", "batch").alias("tokens"))
 
 
+@query("SELECT event_id, user_id, event_type, round(value * 100)::BIGINT AS cents FROM events QUALIFY row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 10000")
+def usage_log_capped(spark: SparkSession, d: str) -> DataFrame:
+    """IO15: events as a file stream, merged by id into a table of the newest 10,000, the log's own limit."""
+    from ..streaming.keyed_table import MOST_HISTORY, merge_stream, read_table
+
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    merge_stream(stream, f"{path}/table", f"{path}/state", ["event_id"], ["ts", "event_id"], keep=MOST_HISTORY).awaitTermination()
+    return read_table(spark, f"{path}/table").select("event_id", "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+
+
+@query("SELECT user_id, event_id, event_type, round(value * 100)::BIGINT AS cents, event_type IN ('error', 'purchase') AS review FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_by_user(spark: SparkSession, d: str) -> DataFrame:
+    """US12: events as a file stream, decided on and merged into a bucketed table of each user's newest."""
+    from ..streaming.keyed_table import merge_stream, read_table
+
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    path = f"{shared_dir(spark)}/latest-{uuid.uuid4().hex}"
+    kinds = spark.createDataFrame([("error", True), ("purchase", True)], "event_type string, review boolean")
+    decide = lambda batch: batch.join(F.broadcast(kinds), "event_type", "left").withColumn("review", F.coalesce("review", F.lit(False)))
+    merge_stream(stream, f"{path}/table", f"{path}/state", ["user_id"], ["ts", "event_id"], decide).awaitTermination()
+    return read_table(spark, f"{path}/table").select("user_id", "event_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"), "review")
+
+
 # Text and sources.
 
 @query(r"""SELECT p_partkey, regexp_replace(lower(trim(regexp_replace(regexp_replace('[DV]  ' || p_name || CASE WHEN p_size % 2 = 0 THEN ' | PTM 3' ELSE '' END, '^\[DV\]\s*', ''), '\s*\|.*$', ''))), '\s+', ' ', 'g') AS name, CASE WHEN p_size % 2 = 0 THEN 'R1,R2' ELSE 'R1' END AS rules FROM part""")

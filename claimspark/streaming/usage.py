@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.usage import with_cost
+from .keyed_table import MOST_HISTORY, merge_stream
 
 
 def usage_stream(stream: DataFrame, value: str, window: str = "1 hour", late: str = "10 minutes", keys: Sequence[str] = ()) -> DataFrame:
@@ -48,6 +49,12 @@ def append_usage(stream: DataFrame, prices: DataFrame, path: str, checkpoint: st
     return with_cost(stream, prices).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def keep_usage(stream: DataFrame, prices: DataFrame, path: str, checkpoint: str, key: str = "request_id", ts: str = "ts", keep: int = MOST_HISTORY):
+    """IO15: the request log as a table of the newest ``keep`` requests, each once, cost stamped as it is merged. Returns
+    the query; read with keyed_table.read_table, requests of the table's lifetime with keyed_table.state."""
+    return merge_stream(stream, path, checkpoint, [key], [ts], lambda batch: with_cost(batch, prices), keep)
+
+
 def adjudicate_stream(claims: DataFrame, decide, path: str, checkpoint: str):
     """US12: decisions for claims as their files arrive. decide: DataFrame -> DataFrame, applied to every micro-batch
     with batch operators, its dimensions being ordinary tables. A batch that is run again replaces its own output."""
