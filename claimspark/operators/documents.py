@@ -313,3 +313,19 @@ def hashed_vector(text: Column, size: int = 64) -> Column:
     """UD2: a deterministic stand-in for an embedder: signed counts of hashed tokens."""
     t = tokens(text, min_len=1)
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(t, F.lit(0.0), lambda s, w: s + F.when(F.pmod(F.xxhash64(w), F.lit(size)) == i, 1.0).otherwise(0.0)))
+
+
+def source_priority(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, first: str = "BYT") -> DataFrame:
+    """RT13: the k best hits of each query from the best source that has any: its hospital, then ``first`` (the
+    ministry), then all others; a query without a hospital begins with ``first``. Returns query_id, doc_id, score,
+    source_priority (hospital, BYT, other; all instead of other without a hospital), rank. hits(query_id, doc_id, score),
+    queries(query_id, hospital), docs(doc_id, source_type, hospital). Tiers that a query does not use go before any
+    ranking; ties by doc_id."""
+    named = hits.join(docs.select("doc_id", "source_type", F.col("hospital").alias("__of")), "doc_id").join(queries.select("query_id", "hospital"), "query_id")
+    own = (F.col("source_type") == "hospital") & (F.col("hospital") == F.col("__of"))
+    tier = F.when(own, 1).when(F.col("source_type") == first, 2).otherwise(3)
+    ranked = named.withColumn("tier", tier)
+    best = ranked.groupBy("query_id").agg(F.min("tier").alias("tier"))
+    kept = topk(ranked.join(best, ["query_id", "tier"]), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k, rank="rank")
+    name = F.when(F.col("tier") == 1, "hospital").when(F.col("tier") == 2, first).when(F.col("hospital").isNotNull(), "other").otherwise("all")
+    return kept.select("query_id", "doc_id", "score", name.alias("source_priority"), "rank")

@@ -158,6 +158,20 @@ def touch_lessons(lessons: DataFrame, used: DataFrame) -> DataFrame:
     return lessons.join(n, "lesson_id", "left").withColumn("access_count", F.col("access_count") + F.coalesce("__n", F.lit(0))).drop("__n")
 
 
+def evict_lessons(lessons: DataFrame, most: int, tie: str = "lesson_id") -> DataFrame:
+    """MM5: the newest ``most`` lessons, the store's limit; of equal times those with the least ``tie``. lessons(ts).
+    Where a stream writes them, keyed_table.merge_stream with ``keep`` holds to the limit as it merges."""
+    return lessons.orderBy(F.col("ts").desc_nulls_last(), tie).limit(most)
+
+
+def lesson_stats(lessons: DataFrame) -> DataFrame:
+    """MM5: one row: total_memories, avg_confidence, sufficient_rate (zeros for an empty store). lessons(confidence,
+    was_sufficient)."""
+    n = F.count(F.lit(1))
+    sure = F.count_if("was_sufficient") / F.greatest(n, F.lit(1))
+    return lessons.agg(n.alias("total_memories"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 3).alias("avg_confidence"), F.round(sure, 3).alias("sufficient_rate"))
+
+
 def memory_stats(memory: DataFrame, columns: Sequence[str]) -> DataFrame:
     """MM6: counts by each column at once: dimension, value, n."""
     rows = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns])

@@ -266,6 +266,26 @@ def family_lexical(spark: SparkSession, d: str) -> DataFrame:
     return match.family_of(texts, aliases, partial=False).select("id", "family", "score", "top_alias_score")
 
 
+@query("""WITH h AS (SELECT l_suppkey AS query_id, l_partkey AS doc_id, sum(l_quantity)::BIGINT AS score FROM lineitem GROUP BY 1, 2),
+n AS (SELECT h.*, CASE WHEN s_suppkey % 4 > 0 THEN 'Brand#' || s_suppkey % 40 END AS q, CASE WHEN p_size % 3 = 0 THEN 'hospital' WHEN p_size % 7 = 1 THEN 'BYT' ELSE 'book' END AS kind, p_brand FROM h JOIN supplier ON s_suppkey = query_id JOIN part ON p_partkey = doc_id),
+t AS (SELECT *, CASE WHEN kind = 'hospital' AND q = p_brand THEN 1 WHEN kind = 'BYT' THEN 2 ELSE 3 END AS tier FROM n), b AS (SELECT * FROM t QUALIFY tier = min(tier) OVER (PARTITION BY query_id))
+SELECT query_id, doc_id, score, CASE tier WHEN 1 THEN 'hospital' WHEN 2 THEN 'BYT' ELSE CASE WHEN q IS NULL THEN 'all' ELSE 'other' END END AS source_priority, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b QUALIFY rank <= 8""")
+def search_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """RT13: suppliers' parts by quantity, brands being hospitals."""
+    hits = lines(spark, d).groupBy(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("doc_id")).agg(F.sum("l_quantity").cast("long").alias("score"))
+    size, key = F.col("p_size"), F.col("s_suppkey")
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.when(size % 3 == 0, "hospital").when(size % 7 == 1, "BYT").otherwise("book").alias("source_type"), F.col("p_brand").alias("hospital"))
+    queries = table(spark, d, "supplier").select(key.alias("query_id"), F.when(key % 4 > 0, F.concat(F.lit("Brand#"), (key % 40).cast("string"))).alias("hospital"))
+    return D.source_priority(hits, queries, docs, 8)
+
+
+@query("SELECT count(*) AS total_memories, round(avg(round(value * 100)::BIGINT), 3) AS avg_confidence, round(count(*) FILTER (event_type = 'purchase') / count(*), 3)::DOUBLE AS sufficient_rate FROM (SELECT * FROM events QUALIFY row_number() OVER (ORDER BY ts DESC, event_id) <= 5000)")
+def lesson_stats(spark: SparkSession, d: str) -> DataFrame:
+    """MM5: events as lessons, the newest 5,000 kept (the store's limit)."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("lesson_id"), "ts", F.round(F.col("value") * 100).cast("long").alias("confidence"), (F.col("event_type") == "purchase").alias("was_sufficient"))
+    return govern.lesson_stats(govern.evict_lessons(e, 5000))
+
+
 @query("""WITH d AS (SELECT r_name AS name, r_regionkey AS id FROM region), q AS (SELECT c_custkey AS query_id, lower(r_name) || ' desk' AS t, r_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
 SELECT query_id, r_regionkey AS disease_id FROM q""")
 def route_disease(spark: SparkSession, d: str) -> DataFrame:

@@ -245,3 +245,18 @@ def test_run_report(spark):
     got = {r.run: r.asDict() for r in evaluate.run_report(spark.createDataFrame(rows, parts), ["run"]).collect()}
     assert got[1] == {"run": 1, "model": "m", "duration_ms": 900, "cost_usd": 0.5, "n_turns": 7, "n_assistant": 2, "n_tool_calls": 3, "tools": {"search": 2, "unknown": 1}}
     assert got[2] == {"run": 2, "model": None, "duration_ms": None, "cost_usd": None, "n_turns": 1, "n_assistant": 2, "n_tool_calls": 0, "tools": {}}
+
+
+def test_source_priority_and_lessons(spark):
+    from claimspark.operators import documents
+
+    docs = spark.createDataFrame([(1, "hospital", "A"), (2, "hospital", "B"), (3, "BYT", None), (4, None, None)], "doc_id int, source_type string, hospital string")
+    queries = spark.createDataFrame([(1, "A"), (2, "C"), (3, None), (4, "C"), (5, None), (6, "A")], "query_id int, hospital string")
+    hits = spark.createDataFrame([(q, n, float(n)) for q, ns in ((1, (1, 2, 3)), (2, (1, 3, 4)), (3, (1, 2, 3)), (4, (1, 2, 4)), (5, (2, 4))) for n in ns], "query_id int, doc_id int, score double")
+    got = {}
+    for r in documents.source_priority(hits, queries, docs, 2).orderBy("query_id", "rank").collect():
+        got.setdefault((r.query_id, r.source_priority), []).append(r.doc_id)
+    assert got == {(1, "hospital"): [1], (2, "BYT"): [3], (3, "BYT"): [3], (4, "other"): [4, 2], (5, "all"): [4, 2]}
+    lessons = spark.createDataFrame([(1, 5, 0.5, True), (2, 5, 1.0, False), (3, 9, 0.7, None), (4, None, 0.1, True)], "lesson_id int, ts int, confidence double, was_sufficient boolean")
+    assert sorted(r.lesson_id for r in govern.evict_lessons(lessons, 2).collect()) == [1, 3] and sorted(r.lesson_id for r in govern.evict_lessons(lessons, 3).collect()) == [1, 2, 3]
+    assert tuple(govern.lesson_stats(lessons).first()) == (4, 0.575, 0.5) and tuple(govern.lesson_stats(lessons.limit(0)).first()) == (0, 0.0, 0.0)
