@@ -1,6 +1,7 @@
 """Rows with the same content meet once: results as of all pairs, joins that do not grow with the square of the copies."""
 
 import random
+from collections import Counter
 
 from claimspark.operators import joins as J
 from plan_rows import most_joined
@@ -18,3 +19,14 @@ def test_ground_policy_copies(spark):
     got, most = most_joined(J.ground_policy(spark.createDataFrame(benefits, "contract_id string, benefit_id long, tokens array<string>"), spark.createDataFrame(clauses, "contract_id string, clause_id long, tokens array<string>")))
     assert sorted((x.contract_id, x.benefit_id, x.clause_id, x.score, x.rank) for x in got) == sorted(want)
     assert most < 20_000  # of 45,000 pairs of a contract, most of which share a token
+
+
+def test_observations_are_counted_by_groups(spark):
+    r = random.Random(2)
+    schema = "{} long, code string, key string, tokens array<string>"
+    rows = lambda n: [(i, r.choice(["x", "y", None]), r.choice("klmn"), r.sample("abcd", r.randint(1, 3))) for i in range(n)] + [(n, None, None, None), (n + 1, "z", "o", ["q"])]
+    lines, observations = spark.createDataFrame(rows(300), schema.format("line_id")), spark.createDataFrame(rows(300), schema.format("obs_id"))
+    want = Counter((x.how, x.score) for x in J.match_observations(lines, observations).collect())
+    got, most = most_joined(J.count_observations(lines, observations))
+    assert {(x.how, x.score): x.n for x in got} == want and len(want) > 3
+    assert most < 10_000  # of 90,000 pairs
