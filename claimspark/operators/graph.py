@@ -101,7 +101,7 @@ def benefits_for_line(lines: DataFrame, edges: DataFrame, benefits: DataFrame, k
 
 def plan_coverage(lines: DataFrame, plans: DataFrame, covered: DataFrame) -> DataFrame:
     """GR6: lines(line_id, contract, benefit) with covered: whether a plan of the contract has the benefit."""
-    reach = plans.join(covered, "plan").select("contract", "benefit").distinct().withColumn("covered", F.lit(True))
+    reach = plans.select("contract", "plan").distinct().join(covered.select("plan", "benefit").distinct(), "plan").select("contract", "benefit").distinct().withColumn("covered", F.lit(True))
     return lines.join(reach, ["contract", "benefit"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 

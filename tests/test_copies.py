@@ -1,8 +1,12 @@
 """Rows with the same content meet once: results as of all pairs, joins that do not grow with the square of the copies."""
 
+import itertools
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from claimspark.operators import graph
 from claimspark.operators import joins as J
 from plan_rows import most_joined
 
@@ -30,3 +34,13 @@ def test_observations_are_counted_by_groups(spark):
     got, most = most_joined(J.count_observations(lines, observations))
     assert {(x.how, x.score): x.n for x in got} == want and len(want) > 3
     assert most < 10_000  # of 90,000 pairs
+
+
+def test_plan_coverage_copies(spark):
+    lines = spark.range(20).select(F.col("id").alias("line_id"), (F.col("id") % 4).alias("contract"), (F.col("id") % 5).alias("benefit"))
+    plans = spark.range(1000).select((F.col("id") % 3).alias("contract"), (F.col("id") % 2).alias("plan"))
+    covered = spark.range(1000).select((F.col("id") % 2).alias("plan"), (F.col("id") % 4).alias("benefit"))
+    got, most = most_joined(graph.plan_coverage(lines, plans, covered))
+    reach = {(c % 3, b % 4) for c, b in itertools.product(range(12), range(8)) if c % 2 == b % 2}
+    assert {x.line_id for x in got if x.covered} == {i for i in range(20) if (i % 4, i % 5) in reach} and len(got) == 20
+    assert most <= 20
