@@ -54,7 +54,7 @@ def duel_scores(spark: SparkSession, d: str) -> DataFrame:
 def leaderboard(spark: SparkSession, d: str) -> DataFrame:
     """EV5."""
     s = table(spark, d, "events").groupBy(F.col("event_type").alias("p"), F.col("user_id").alias("c")).agg(F.round(F.avg("value"), 2).alias("x"))
-    return evaluate.leaderboard(s, "p", "c", "x").withColumn("avg_score", F.round("avg_score", 2))
+    return evaluate.leaderboard(s, "p", "c", "x", digits=2)
 
 
 @query("""WITH s AS (SELECT l_suppkey AS c, l_partkey AS i, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY q DESC, i) AS rank FROM s), g AS (SELECT c, min(i) AS i FROM s GROUP BY c)

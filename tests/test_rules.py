@@ -260,3 +260,13 @@ def test_source_priority_and_lessons(spark):
     lessons = spark.createDataFrame([(1, 5, 0.5, True), (2, 5, 1.0, False), (3, 9, 0.7, None), (4, None, 0.1, True)], "lesson_id int, ts int, confidence double, was_sufficient boolean")
     assert sorted(r.lesson_id for r in govern.evict_lessons(lessons, 2).collect()) == [1, 3] and sorted(r.lesson_id for r in govern.evict_lessons(lessons, 3).collect()) == [1, 2, 3]
     assert tuple(govern.lesson_stats(lessons).first()) == (4, 0.575, 0.5) and tuple(govern.lesson_stats(lessons.limit(0)).first()) == (0, 0.0, 0.0)
+
+
+def test_leaderboard_rounds_once(spark, tmp_path):
+    """A mean of 1.0049666... is 1.0 to two digits; by way of four digits, 1.005, it would be 1.01."""
+    from claimspark.plans import QUERIES
+
+    rows = [("a", i, 1.01 if i < 149 else 1.0) for i in range(300)]
+    spark.createDataFrame(rows, "event_type string, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["leaderboard"](spark, str(tmp_path)).first()
+    assert (got.n_cases, got.avg_score, got.wins) == (300, 1.0, 300)
