@@ -6,7 +6,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from claimspark.operators import graph
+from claimspark.operators import documents as D
+from claimspark.operators import graph, ranked_index
 from claimspark.operators import joins as J
 from plan_rows import most_joined
 
@@ -44,3 +45,12 @@ def test_plan_coverage_copies(spark):
     reach = {(c % 3, b % 4) for c, b in itertools.product(range(12), range(8)) if c % 2 == b % 2}
     assert {x.line_id for x in got if x.covered} == {i for i in range(20) if (i % 4, i % 5) in reach} and len(got) == 20
     assert most <= 20
+
+
+def test_equal_queries_are_searched_once(spark):
+    queries = spark.range(200).select(F.col("id").alias("query_id"), F.concat(F.lit("common w"), (F.col("id") % 3).cast("string")).alias("text"))
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("common w"), (F.col("id") % 5).cast("string")).alias("text"))
+    once, members = ranked_index.asked_once(ranked_index.wanted_terms(queries))
+    assert once.count() == 6 and members.count() == 200
+    got = D.bm25(queries, docs, 2).collect()
+    assert {(x.query_id, x.rank): x.doc_id for x in got} == {(q, n): q % 3 + 5 * (n - 1) for q in range(200) for n in (1, 2)} and len(got) == 400
