@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, maybe_broadcast, text_of
-from .simhash import BROADCAST_NUMBERS, SEED, components, signed
+from .simhash import BROADCAST_NUMBERS, SEED, components, fingerprint, signed
+from .simhash import links as fingerprint_links
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -55,18 +56,19 @@ def buckets(hashes: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
 
 
-def _append_keys(words: int):
-    """Replaces the last column, the text, by its set's digest and its buckets."""
+def _append_keys(words: int, prints: bool):
+    """Replaces the last column, the text, by its set's digest, its buckets and, with prints, its fingerprint."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *others, texts = batch.columns
-            nodes, keys = [], []
+            nodes, keys, fps = [], [], []
             for i in range(len(texts)):
+                fps.append(signed(fingerprint(texts[i].as_py())) if prints else None)
                 hashes = shingles(texts[i].as_py(), words)
                 nodes.append(signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)))
                 keys.append(buckets(hashes))
-            yield pa.RecordBatch.from_arrays([*others, pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "node", "buckets"])
+            yield pa.RecordBatch.from_arrays([*others, pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.int64())], names=[*batch.schema.names[:-1], "node", "buckets", "fp"])
 
     return work
 
@@ -167,19 +169,32 @@ def candidates(keyed: DataFrame) -> DataFrame:
     return cut(members.join(once, "bucket"), "near-candidates")
 
 
-def keep_representatives(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def with_fingerprints(linked: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """linked(fp, root) as of links(), joined with the links of SimHash: prints(node, fp), nodes whose fingerprints are linked
+    within the radius being in one component too."""
+    alike = cut(components(fingerprint_links(prints.select("fp").distinct(), radius)), "near-alike")
+    groups = cut(prints.join(alike, "fp", "left").select("node", F.coalesce("root", "fp").alias("group")).distinct(), "near-print-groups")
+    first = cut(groups.groupBy("group").agg(F.min("node").alias("b")), "near-print-firsts")
+    more = groups.join(first, "group").filter("node <> b").select(F.col("node").alias("a"), "b")
+    return components(linked.select(F.col("fp").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def keep_representatives(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int | None = None) -> DataFrame:
     """docs with one row of each group of near copies, all columns: that with the smallest doc_id (ids that are null
-    last; between equal ids the row numbered first)."""
+    last; between equal ids the row numbered first). With a radius the links of SimHash within it join groups too."""
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.monotonically_increasing_id().alias("number"))
-    schema = numbered.schema.add("node", "long").add("buckets", T.ArrayType(T.LongType()))
-    rows = cut(numbered.select("*", text_of(F.col("row.text")).cast("binary").alias("text")).mapInArrow(_append_keys(words), schema), "near-rows")
+    schema = numbered.schema.add("node", "long").add("buckets", T.ArrayType(T.LongType())).add("fp", "long")
+    rows = cut(numbered.select("*", text_of(F.col("row.text")).cast("binary").alias("text")).mapInArrow(_append_keys(words, radius is not None), schema), "near-rows")
     first = F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", "number")).alias("first")
     nodes = cut(rows.groupBy("node").agg(first), "near-nodes")
     members = candidates(rows.select("node", "buckets"))
     wanted = cut(nodes.join(members.select("node").distinct(), "node", "left_semi").select("first.number"), "near-wanted")
     texts = rows.join(maybe_broadcast(wanted, BROADCAST_NUMBERS), "number", "left_semi").select("node", text_of(F.col("row.text")).cast("binary").alias("text"))
     sets = cut(texts.mapInArrow(_sets(words), "node long, hashes array<long>"), "near-sets")
-    grouped = nodes.join(links(members, sets, similarity).select(F.col("fp").alias("node"), "root"), "node", "left")
+    linked = links(members, sets, similarity)
+    if radius is not None:
+        linked = with_fingerprints(linked, cut(rows.select("node", "fp").distinct(), "near-prints"), radius)
+    grouped = nodes.join(linked.select(F.col("fp").alias("node"), "root"), "node", "left")
     grouped = grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stay = cut(grouped.select("first.number"), "near-stay")
     # The rows that go are few beside those that stay, as in simhash.keep_representatives.

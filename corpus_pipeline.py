@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import exact, mixing, nearcopies, quality, spm
+from claimspark.llm import exact, mixing, nearcopies, quality, simhash, spm
 from claimspark.llm.common import cut, table
 from claimspark.llm.queries import tokenizer_path
 
@@ -30,8 +30,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard of 0.8 or more), the one with the smallest doc_id stays."""
-    return nearcopies.keep_representatives(docs.select(*COLUMNS))
+    """Of each group of near copies (SimHash fingerprints within 2 bits, or five-word Jaccard of 0.8 or more), the one with
+    the smallest doc_id stays."""
+    return nearcopies.keep_representatives(docs.select(*COLUMNS), radius=simhash.RADIUS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,12 @@ def test_run_and_empty(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = cut(stage(spark, docs, ""), "t")
     assert docs.count() == 0 and len(rows()) > 0
+
+
+def test_near_dedup_uses_fingerprints(spark):
+    """Texts that share most of their three-word shingles, repeats counted, but few different five-word shingles."""
+    text = lambda tail: " ".join(["alpha beta gamma"] * 30 + [f"{tail}{i}" for i in range(10)])
+    other = " ".join(f"word{i}" for i in range(100))
+    docs = spark.createDataFrame([(7, text("x"), "en", "s", 1), (4, text("y"), "en", "s", 1), (9, text("z"), "en", "s", 1), (2, other, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [2, 4]
