@@ -191,7 +191,9 @@ def disclosing(docs: DataFrame, hits: DataFrame, disclosure: float = DISCLOSURE)
     score = lambda n_term: share(n_term) * (b / (b + 1)) * (b / (b + 1))
     met = cut(met.join(among.select("term", "n_held"), "term").filter(score(F.col("n_held")) >= disclosure), "pii-met")
     wanted = maybe_broadcast(cut(met.select("term").distinct(), "pii-wanted"))
-    count = lambda df, name: df.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("rows").alias(name))
+    # Counted before they are joined: the join's rows are terms, not their places, which grow with texts and terms alike. An
+    # inner join, as Spark would put a semi-join back below the count.
+    count = lambda df, name: df.groupBy("term").agg(F.sum("rows").alias(name)).join(wanted, "term")
     # Documents of the whole corpus with each term; those with entities count by what stands outside their spans.
     everywhere = cut(count(docs.select(F.explode(terms_of(text_of())).alias("term"), F.lit(1).cast("long").alias("rows")), "n_all"), "pii-everywhere")
     inside = count(texts.select("rows", F.explode("whole").alias("term")), "n_whole")

@@ -172,3 +172,22 @@ def test_near_copies_are_no_evidence(spark):
         data.append((i, " ".join([*w[:20], "ann.lee@x.org", *w[20:]]), "", "", 0))
     data += [(100 + i, prose(800 + i, 30), "", "", 0) for i in range(200)]
     assert not any(terms for _, _, _, terms in scan(spark, data))
+
+
+def test_wanted_terms_are_counted_before_they_are_joined(spark, monkeypatch):
+    from claimspark.llm import pii
+    from plan_rows import most_joined
+
+    made, cut = {}, pii.cut
+
+    def watched(df, name):
+        if name == "pii-everywhere":
+            made["rows"], made["most"] = most_joined(df)
+        return cut(df, name)
+
+    monkeypatch.setattr(pii, "cut", watched)
+    texts = [f"w{i} who@corp.com v{i} zebra" for i in range(60)] + [f"zebra u{i}" for i in range(300)] + [f"plain t{i}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.scan(docs, ["doc_id"]).collect()
+    assert len(out) == 560 and {r.term: r.n_all for r in made["rows"]}["zebra"] == 360
+    assert made["most"] < 50  # terms, not the 360 places of one
