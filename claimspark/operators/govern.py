@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, norm_key, stable_id
+from .memory_search import candidates
 from .windows import keep_latest, topk
 
 
@@ -74,8 +75,8 @@ def recall(
     successful_pattern (+0.12). Both sides have disease, sign, service, query (arrays of tokens); memory also memory_id,
     kind, scope, importance, age_days, access_count, and where it has them category, specialty. Scopes (shared memories
     always count), kinds, categories and the least importance filter memories; a null scope is shared, a null kind
-    episodic, a null importance 0. A memory meets a query on a shared token, or by its bonuses alone if nothing is
-    shared: those are ranked once for all queries."""
+    episodic, a null importance 0. A memory that shares no token with a query counts by its bonuses alone. Every query
+    meets every memory, in blocks of bounded size."""
     null = F.lit(None).cast("string")
     memory = memory.withColumns({"scope": F.coalesce("scope", F.lit("shared")), "kind": F.coalesce("kind", F.lit("episodic")), "importance": F.coalesce("importance", F.lit(0.0))})
     memory = memory.withColumns({c: null for c in ("category", "specialty") if c not in memory.columns}).filter(F.col("importance") >= min_importance)
@@ -93,20 +94,9 @@ def recall(
     if specialty:
         bonus = bonus + F.when(norm_key(F.col("specialty")) == norm_key(F.lit(specialty)), 1.2).otherwise(0.0)
     m = m.withColumn("bonus", bonus)
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.concat(*OVERLAPS))).alias("t"))
-    met = words(queries, "query_id").join(words(m, "memory_id"), "t").select("query_id", "memory_id").distinct()
-    q, r = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in OVERLAPS]), m.select("memory_id", "bonus", *[F.col(c).alias(f"m_{c}") for c in OVERLAPS])
-    overlap = sum((jaccard(F.col(f"q_{c}"), F.col(f"m_{c}")) * w for c, w in OVERLAPS.items()), F.lit(0.0))
-    hits = met.join(q, "query_id").join(r, "memory_id").select("query_id", "memory_id", F.round(overlap + F.col("bonus"), 4).alias("score"))
-    # Without a shared token the score is the bonus. A query with n hits finds its k best such memories among the first
-    # k + n by bonus: it takes those by their place, so the rows are as many as the hits and k for each query.
-    n_hits = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    asked = queries.select("query_id").join(n_hits, "query_id", "left").select("query_id", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(0)) + k)).alias("place"))
-    most = int(n_hits.agg(F.max("n")).first()[0] or 0) + k
-    plain = m.filter("bonus > 0").orderBy(F.col("bonus").desc(), "memory_id").limit(most)
-    placed = plain.select(F.row_number().over(Window.orderBy(F.col("bonus").desc(), "memory_id")).cast("long").alias("place"), "memory_id", F.round("bonus", 4).alias("score"))
-    rest = asked.join(placed, "place").select("query_id", "memory_id", "score").join(met, ["query_id", "memory_id"], "left_anti")
-    return topk(hits.filter("score > 0").unionByName(rest), ["query_id"], [F.col("score").desc(), F.col("memory_id")], k, rank="rank")
+    found = candidates(queries, m, OVERLAPS, k).withColumn("score", F.round("s", 4))
+    found = found.filter(F.when(F.col("met"), F.col("score") > 0).otherwise(F.col("s") > 0)).select("query_id", "memory_id", "score")
+    return topk(found, ["query_id"], [F.col("score").desc(), F.col("memory_id")], k, rank="rank")
 
 
 def promote(memory: DataFrame, kinds: Sequence[str] = ("procedural", "semantic")) -> DataFrame:
