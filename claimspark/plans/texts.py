@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.match import match_signs
-from ..sources.scratch import spread
+from ..sources.scratch import deal, spread
 from .common import query, table
 
 REASONS = ("Đồng chi trả", "Kiểm tra/tầm soát", "Vượt quá hạn mức một lần khám", "Nộp muộn, thiếu giấy ra viện", "Bệnh có sẵn", "Không thuộc phạm vi; không bảo hiểm", "khác")
@@ -27,14 +27,14 @@ k AS (SELECT p_partkey, list_filter([{", ".join(f"CASE WHEN regexp_matches(r, '{
 def risk_labels(spark: SparkSession, d: str) -> DataFrame:
     """TX22: the kinds of two reasons in one cell."""
     cell = F.concat_ws("; ", pick(REASONS, F.col("p_partkey") % 7), pick(REASONS, F.col("p_size") % 7))
-    return table(spark, d, "part").select("p_partkey", F.array_join(T.risk_kinds(cell), ",").alias("kinds"))
+    return deal(table(spark, d, "part")).select("p_partkey", F.array_join(T.risk_kinds(cell), ",").alias("kinds"))
 
 
 @query(f"SELECT p_partkey, list_filter([trim(regexp_replace(x, '\\s+', ' ', 'g')) FOR x IN regexp_split_to_array({_REASONS}[p_partkey % 7 + 1] || ' ;' || p_name || chr(10) || ' ; ' || p_brand, '[;\\n|]+')], lambda x: x <> '').array_to_string('|') AS parts FROM part")
 def reason_parts(spark: SparkSession, d: str) -> DataFrame:
     """TX15."""
     cell = F.concat(pick(REASONS, F.col("p_partkey") % 7), F.lit(" ;"), "p_name", F.lit("\n ; "), "p_brand")
-    return table(spark, d, "part").select("p_partkey", F.array_join(T.split_reasons(cell), "|").alias("parts"))
+    return deal(table(spark, d, "part")).select("p_partkey", F.array_join(T.split_reasons(cell), "|").alias("parts"))
 
 
 @query("""WITH t AS (SELECT p_partkey, p_name || ' (h' || (10 + p_size) || CASE WHEN p_size % 2 = 0 THEN '.' || p_size % 10 ELSE '' END || ')' AS t FROM part)
@@ -43,7 +43,7 @@ def icd_codes(spark: SparkSession, d: str) -> DataFrame:
     """TX14: codes in the names of parts."""
     size = F.col("p_size")
     t = F.concat("p_name", F.lit(" (h"), (10 + size).cast("string"), F.when(size % 2 == 0, F.concat(F.lit("."), (size % 10).cast("string"))).otherwise(""), F.lit(")"))
-    return table(spark, d, "part").select("p_partkey", T.icd_extract(t).alias("code"), T.icd_group(T.icd_extract(t)).alias("icd_group"))
+    return deal(table(spark, d, "part")).select("p_partkey", T.icd_extract(t).alias("code"), T.icd_group(T.icd_extract(t)).alias("icd_group"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(substr(text, greatest(CASE WHEN strpos(lower(text), 'the') > 0 THEN strpos(lower(text), 'the') WHEN strpos(lower(text), 'la') > 0 THEN strpos(lower(text), 'la') ELSE 1 END - 133, 1), 400), '^\s+|\s+$', '', 'g') AS snippet FROM documents""")
@@ -76,7 +76,7 @@ def note_signals(spark: SparkSession, d: str) -> DataFrame:
     """TX16-TX18: what notes made from the parts say."""
     size, text = F.col("p_size").cast("string"), F.lit
     note = F.concat(text("Căn cứ Khoản "), size, text(" Điều 3; đồng chi trả "), (F.col("p_size") % 100).cast("string"), text("%: Siêu âm "), "p_name", text(" bằng "), F.col("p_partkey").cast("string"), text(".000 VNĐ, tối đa "), size, text("00.000 đồng mỗi lần / lần khám"))
-    s = table(spark, d, "part").select("p_partkey", T.note_signals(note, F.array().cast("array<string>")).alias("s"))
+    s = deal(table(spark, d, "part").select("p_partkey", "p_size", "p_name")).select("p_partkey", T.note_signals(note, F.array().cast("array<string>")).alias("s"))
     first = F.get("s.service_mentions", F.lit(0))
     return s.select("p_partkey", "s.copay_flag", "s.copay_percent", "s.screening_flag", "s.limit_per_visit_flag", "s.limit_per_visit_vnd", F.array_join("s.clause_references", "|").alias("clauses"), first["item_name"].alias("item"), first["amount_vnd"].alias("amount"))
 
@@ -112,7 +112,7 @@ SELECT p_partkey, trim(rtrim(trim({_rules_sql("trim(s)", T.NOISE)}), ')'), ' .*-
 def stripped_names(spark: SparkSession, d: str) -> DataFrame:
     """TX4: names of parts between prefixes and suffixes."""
     noisy = F.concat(pick(tuple(a for a, _ in NOISY), F.col("p_partkey") % 8), "p_name", pick(tuple(b for _, b in NOISY), F.col("p_size") % 8))
-    return table(spark, d, "part").select("p_partkey", T.strip_noise(noisy).alias("stripped"))
+    return deal(table(spark, d, "part")).select("p_partkey", T.strip_noise(noisy).alias("stripped"))
 
 
 _PIECES = """t AS (SELECT p_partkey, trim(regexp_replace(replace(' ' || regexp_replace(lower(p_name || ', ' || p_brand || ' va ' || p_type || ' nhe hon cac ' || p_name), '[^a-z0-9]+', ' ', 'g') || ' ', ' nhe ', ' '), ' +', ' ', 'g')) AS c FROM part),
@@ -132,7 +132,7 @@ def pieces(c: Column) -> Column:
 @query(f"WITH {_PIECES} SELECT p_partkey, string_agg(x, '|' ORDER BY r) AS pieces FROM pieces GROUP BY 1")
 def decomposed_signs(spark: SparkSession, d: str) -> DataFrame:
     """TX19: the pieces of texts made from the parts' columns."""
-    return table(spark, d, "part").select("p_partkey", F.array_join(pieces(free_text()), "|").alias("pieces"))
+    return deal(table(spark, d, "part")).select("p_partkey", F.array_join(pieces(free_text()), "|").alias("pieces"))
 
 
 INSURED = ("Bảo hiểm Hùng Vương", "PJICO miền Nam", "Liên Hiệp UIC", "Công ty bảo hiểm chưa biết tên", "Tokio Marine")
@@ -145,7 +145,7 @@ def insurer_codes(spark: SparkSession, d: str) -> DataFrame:
     """TX26: insurers and plans by customer."""
     k = F.col("c_custkey")
     plan = T.norm_plan(pick(("Gói mở rộng a", "GÓI A", "Nhân viên cấp 1", "Gói ab"), k % 4), PLANS)
-    c = table(spark, d, "customer").select("c_custkey", T.norm_insurer(pick(INSURED, k % 5)).alias("insurer"), plan.alias("p"))
+    c = deal(table(spark, d, "customer")).select("c_custkey", T.norm_insurer(pick(INSURED, k % 5)).alias("insurer"), plan.alias("p"))
     return c.select("c_custkey", "insurer", F.col("p.plan_name").alias("plan"), F.col("p.contract_id").alias("contract"))
 
 
