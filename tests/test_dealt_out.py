@@ -1,12 +1,14 @@
 """Work on many short rows is dealt out, and is done once for equal rows."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from claimspark.functions import text as T
 from claimspark.plans import QUERIES
+from claimspark.sources import scratch
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +33,14 @@ def test_mentions_begin_where_runs_do(spark):
     each = lambda p: F.array(*[F.regexp_extract_all("note", F.lit("(?iu)" + p), F.lit(k)) for k in (1, 2)])
     got = notes.select(each(T.MENTION).alias("got"), each(plain).alias("want"))
     assert plain != T.MENTION and got.filter("got <> want").count() == 0 and got.filter("size(got[0]) > 1").count() > 50
+
+
+def test_upsert_edges_deals_lines_by_edge(spark, tmp_path, monkeypatch):
+    """A task's groups are bounded by the rows of a task, and lines without a status count."""
+    monkeypatch.setattr(scratch, "TASK_ROWS", 100)
+    l = spark.range(3000).select((F.col("id") % 300).alias("l_suppkey"), (F.col("id") % 500).alias("l_partkey"), F.when(F.col("id") % 7 == 0, "R").otherwise("N").alias("l_returnflag"), F.get(F.array(F.lit("O"), F.lit("F"), F.lit(None)), (F.col("id") % 3).cast("int")).alias("l_linestatus"))
+    l.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["upsert_edges"](spark, str(tmp_path))
+    want = Counter((i % 300, i % 500) for i in range(3000)), Counter((i % 300, i % 500) for i in range(0, 3000, 7))
+    assert got.rdd.getNumPartitions() == 30
+    assert {(r.l_suppkey, r.l_partkey): (r.rows, r.denied) for r in got.collect()} == {k: (n, want[1][k]) for k, n in want[0].items()}
