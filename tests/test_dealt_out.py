@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimspark.functions import text as T
+from claimspark.operators import match
 from claimspark.plans import QUERIES
 from claimspark.sources import scratch
+from plan_rows import most_joined
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +46,13 @@ def test_upsert_edges_deals_lines_by_edge(spark, tmp_path, monkeypatch):
     want = Counter((i % 300, i % 500) for i in range(3000)), Counter((i % 300, i % 500) for i in range(0, 3000, 7))
     assert got.rdd.getNumPartitions() == 30
     assert {(r.l_suppkey, r.l_partkey): (r.rows, r.denied) for r in got.collect()} == {k: (n, want[1][k]) for k, n in want[0].items()}
+
+
+def test_families_of_equal_texts_are_found_once(spark):
+    kinds = ["cold widget", "large bolt", "cold widget", "ring", None]
+    texts = spark.range(2000).select(F.col("id"), F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("id") % 5).cast("int")).alias("text"))
+    aliases = spark.createDataFrame([("widgets", "cold widgets"), ("widgets", "widget"), ("bolts", "bolt")], "family string, alias string")
+    got, most = most_joined(match.family_of(texts, aliases, partial=False))
+    one = {r.id: r[1:] for r in match.family_of(texts.filter("id < 2"), aliases, partial=False).collect()}
+    assert {r.id: r[1:] for r in got} == {i: one[i % 5 % 2] for i in range(2000) if i % 5 < 3} and len(got) == 1200
+    assert most <= 1200  # the rows themselves
