@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import graded_match, norm_key, stable_id
+from ..sources.scratch import cut, deal, maybe_broadcast
 from .term_scan import term_hits
 from .windows import top1, topk
 
@@ -79,7 +80,10 @@ def benefits_for_line(lines: DataFrame, edges: DataFrame, benefits: DataFrame, k
     """GR5: a line's benefit by a direct edge (score 5), and for lines without one by text within its contract:
     4 equal, 3 prefix, 2 contained, 1 shared token. lines(line_id, contract, service), edges(contract, service,
     benefit), benefits(contract, benefit, name)."""
-    direct = lines.join(edges, ["contract", "service"]).select("line_id", "benefit", F.lit(5).alias("score"), F.lit("edge").alias("how"))
+    # A service's k first benefits are all that its lines can have, so lines meet these instead of every edge.
+    first = maybe_broadcast(cut(topk(edges.select("contract", "service", "benefit"), ["contract", "service"], [F.col("benefit")], k)))
+    lines = deal(lines.select("line_id", "contract", "service"), "line_id")
+    direct = lines.join(first, ["contract", "service"]).select("line_id", "benefit", F.lit(5).alias("score"), F.lit("edge").alias("how"))
     rest = lines.join(direct.select("line_id"), "line_id", "left_anti")
     # Each service of a contract is matched once. Texts meet on a shared word or, as one may stand within the other's
     # words, on the first letters of the service anywhere in the name.
@@ -95,6 +99,7 @@ def benefits_for_line(lines: DataFrame, edges: DataFrame, benefits: DataFrame, k
     shared = F.arrays_overlap(F.split(norm_key(F.col("service")), " "), F.split(norm_key(F.col("name")), " "))
     score = F.when(grade == 1.0, 4).when(grade == 0.96, 3).when(grade == 0.90, 2).when(shared, 1).otherwise(0)
     best = topk(pairs.withColumn("score", score).filter("score > 0"), ["contract", "service"], [F.col("score").desc(), F.col("benefit")], k)
+    best = maybe_broadcast(cut(best.select("contract", "service", "benefit", "score")))
     text = rest.join(best, ["contract", "service"]).select("line_id", "benefit", "score", F.lit("text").alias("how"))
     return topk(direct.unionByName(text), ["line_id"], [F.col("score").desc(), F.col("benefit")], k)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimspark.functions import text as T
-from claimspark.operators import match
+from claimspark.operators import graph, match
 from claimspark.plans import QUERIES
 from claimspark.sources import scratch
 from plan_rows import most_joined
@@ -56,3 +56,15 @@ def test_families_of_equal_texts_are_found_once(spark):
     one = {r.id: r[1:] for r in match.family_of(texts.filter("id < 2"), aliases, partial=False).collect()}
     assert {r.id: r[1:] for r in got} == {i: one[i % 5 % 2] for i in range(2000) if i % 5 < 3} and len(got) == 1200
     assert most <= 1200  # the rows themselves
+
+
+def test_lines_meet_the_first_benefits_of_their_service(spark):
+    lines = spark.range(1000).select((F.col("id") % 900).alias("line_id"), F.concat(F.lit("c"), F.floor(F.col("id") / 900).cast("string")).alias("contract"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("service"))
+    edges = spark.range(60).select(F.lit("c0").alias("contract"), F.lit("s0").alias("service"), F.format_string("B%02d", F.col("id") % 50).alias("benefit"))
+    benefits = spark.range(40).select(F.concat(F.lit("c"), (F.col("id") % 2).cast("string")).alias("contract"), F.format_string("T%02d", "id").alias("benefit"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("name"))
+    got, most = most_joined(graph.benefits_for_line(lines, edges, benefits, 2))
+    # Names of c0 are s0 and s2, of c1 s1 and s3; B00 to B09 have two edges each.
+    want = [(i, b, 5, "edge") for i in range(0, 900, 3) for b in ("B00", "B00")]
+    want += [(i, b, 4, "text") for i in range(2, 900, 3) for b in ("T02", "T06")] + [(i, b, 4, "text") for i in range(1, 100, 3) for b in ("T01", "T05")]
+    assert sorted((r.line_id, r.benefit, r.score, r.how) for r in got) == sorted(want)
+    assert most <= 2 * 1000  # before, 60 edges for each line
