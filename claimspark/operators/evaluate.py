@@ -56,11 +56,12 @@ def errors(pairs: DataFrame, pred: str, gold: str) -> DataFrame:
 
 def decision_group(c: Column) -> Column:
     """EV4: the group of a decision's name, else the folded name."""
-    name = F.translate(F.trim(ascii_fold(c)), " -", "__")
-    out = name
-    for group, names in EQUIVALENT.items():
-        out = F.when(name.isin(*names), group).otherwise(out)
-    return out
+    plain = F.length(c) == F.octet_length(c)
+    folded = F.trim(F.when(plain, F.lower(c)).otherwise(ascii_fold(c)))
+    name = F.replace(F.replace(folded, F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
+    groups = F.create_map(*[F.lit(x) for group, names in EQUIVALENT.items() for n in names for x in (n, group)])
+    # Names as they stand in the lists need no folding, and ASCII no table of accents.
+    return F.coalesce(F.try_element_at(groups, c), F.try_element_at(groups, name), name)
 
 
 def decision_match(observed: Column, expected: Column) -> Column:
@@ -87,11 +88,15 @@ def score_submissions(gold: DataFrame, submitted: DataFrame, claims: DataFrame)
     final + .20 claim. gold(case_id, line_no, medical, insurance, final), submitted(participant, case_id, line_no,
     medical, insurance, final), claims(participant, case_id, disease_hit, claim_hit). A line that a participant left out
     is wrong."""
-    asked = claims.select("participant", "case_id").join(gold, "case_id")
-    s = submitted.select("participant", "case_id", "line_no", *[F.col(c).alias(f"s_{c}") for c in ("medical", "insurance", "final")])
-    same = lambda c: F.avg(F.coalesce((decision_group(F.col(c)) == decision_group(F.col(f"s_{c}"))).cast("double"), F.lit(0.0)))
-    lines = asked.join(s, ["participant", "case_id", "line_no"], "left").groupBy("participant", "case_id").agg(*[F.round(same(c), 4).alias(f"{c}_score") for c in ("medical", "insurance", "final")])
-    out = claims.join(lines, ["participant", "case_id"], "left").na.fill(0.0)
+    # Groups of decisions are found where the decisions stand, before lines are repeated for participants and joined.
+    kinds = ("medical", "insurance", "final")
+    g = gold.select("case_id", "line_no", *[decision_group(F.col(c)).alias(c) for c in kinds])
+    s = submitted.select("participant", "case_id", "line_no", *[decision_group(F.col(c)).alias(f"s_{c}") for c in kinds])
+    asked = claims.select("participant", "case_id").join(g, "case_id")
+    same = lambda c: F.avg(F.coalesce((F.col(c) == F.col(f"s_{c}")).cast("double"), F.lit(0.0)))
+    # Cases come first among the keys: rows are sorted by their first key before any other is looked at.
+    lines = asked.join(s, ["case_id", "line_no", "participant"], "left").groupBy("participant", "case_id").agg(*[F.round(same(c), 4).alias(f"{c}_score") for c in kinds])
+    out = claims.join(lines, ["case_id", "participant"], "left").select(*claims.columns, *[f"{c}_score" for c in kinds]).na.fill(0.0)
     weighted = 0.15 * F.col("disease_hit").cast("double") + 0.35 * F.col("medical_score") + 0.30 * F.col("final_score") + 0.20 * F.col("claim_hit").cast("double")
     return out.withColumn("weighted_score", F.round(weighted, 4))
 
