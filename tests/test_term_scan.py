@@ -72,3 +72,15 @@ def test_entities_by_a_name_inside_a_word(spark):
     entities = spark.createDataFrame([(1, "Drug", "x"), (2, None, "Methyldiazepam 5"), (3, None, None)], "entity_id int, type string, name string")
     rules = spark.createDataFrame([("type", "Drug", "D"), ("name", "diazepam", "Z"), ("name", "azepam", "Y")], "kind string, value string, class string")
     assert sorted((r.entity_id, r["class"], r.how) for r in graph.map_entities(entities, rules).collect()) == [(1, "D", "type"), (2, "Z", "name")]
+
+
+def test_overlaps_are_settled_in_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    spans = [[{"n": -3, "term": "abc", "start": 7 * k, "end": 7 * k + 3} for k in range(9)] + [{"n": -2, "term": "bc", "start": 7 * k + s, "end": 7 * k + s + 2} for k in range(9) for s in (1, 4)] for _ in range(40)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(spans, pa.list_(pa.struct([("n", pa.int32()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))], ["id", "spans"])
+    monkeypatch.setattr(match, "PLACES", 50)
+    got = list(match._settle(iter([rows, rows.slice(0, 0)])))
+    assert max(len(b) for b in got) < 50 + 18 and sum(len(b) for b in got) == 40 * 18
+    found = sorted((r["id"], r["start"], r["end"], r["term"]) for b in got for r in b.to_pylist())
+    assert found == sorted((i, 7 * k + s, 7 * k + e, t) for i in range(40) for k in range(9) for s, e, t in ((0, 3, "abc"), (4, 6, "bc")))
