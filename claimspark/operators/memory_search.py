@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Memories of one block, and queries that meet it in one task.
 BLOCK, STREAM = 16_384, 50_000
+#: Fewer memories than these are not worth a block of their own.
+LEAST = 512
 #: Scores are rounded to four digits afterwards, so those that lie a little below the k-th best may still tie with it.
 SLACK = 1.01e-4
 #: Candidates that are handed on at once.
@@ -103,8 +105,10 @@ def candidates(queries: DataFrame, memory: DataFrame, weights: dict[str, float],
     lists = lambda df, *columns: df.select(*columns, *[each(F.col(c)).alias(c) for c in weights]).select(*columns, F.array(*[F.size(c) for c in weights]).alias("sizes"), F.concat(*weights).alias("t"))
     m = lists(memory, "memory_id", "bonus").filter("bonus IS NOT NULL")
     q = lists(queries, "query_id")
-    blocks = max(1, ceil(memory.count() / block))
-    shares = max(ceil(2 * memory.sparkSession.sparkContext.defaultParallelism / blocks), ceil(queries.count() / stream))
+    # Few memories make smaller blocks, a core each: repeating queries for blocks moves less than repeating memories.
+    n, cores = memory.count(), memory.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, ceil(n / block), min(cores, ceil(n / LEAST)))
+    shares = max(ceil(cores / blocks), ceil(queries.count() / stream))
     share_of = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     first = m.withColumn("block", share_of(blocks, "memory_id", "t")).withColumn("share", every(shares)).withColumn("kind", F.lit(0))
