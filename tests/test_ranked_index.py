@@ -93,3 +93,49 @@ def test_common_terms_are_read_only_for_open_documents(spark, monkeypatch):
     assert all(r.doc_id % 100 == 0 for r in got)
     assert written[-1].columns == ["query_id", "doc_id", "s", "c"]
     assert written[-1].count() <= 10
+
+
+def _surface(docs, queries, k):
+    """By the length of a document's longest row, as its rows are pieces of one."""
+    out = []
+    for q, text in queries:
+        asked, scores = _tokens(text), []
+        for d in {d for d, _ in docs}:
+            rows = [(_tokens(body), len(body)) for i, body in docs if i == d and body]
+            have = {t for words, _ in rows for t in words}
+            if overlap := sum(t in have for t in asked):
+                size, chars = (max(x) for x in zip(*((len(words), n) for words, n in rows), strict=True))
+                scores.append((-round(10.0 * len(set(asked) & have) + math.log10(max(chars, 10)) + 1000.0 * overlap / size, 3), d))
+        out += [(q, d, -s, i + 1) for i, (s, d) in enumerate(sorted(scores)[:k])]
+    return out
+
+
+def test_long_documents_are_left_out_by_their_own_density(spark, monkeypatch):
+    """A few short documents hold eight of a query's words each, the long ones all, but at a tenth of the density."""
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(words[8 * i : 8 * i + 8])) for i in range(5)] + [(i, " ".join(words * 10 + words[: i % 7])) for i in range(5, 300)]
+    queries = [(1, " ".join(words)), (2, " ".join(words[3:]))]
+    written = []
+    cut = R.cut
+    monkeypatch.setattr(R, "cut", lambda df: written.append(cut(df)) or written[-1])
+    got = D.surface_search(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), 3).collect()
+    _same(got, _surface(docs, queries, 3))
+    assert written[-1].columns == ["query_id", "doc_id", "s", "c"]
+    assert written[-1].count() <= 10
+
+
+def test_surface_search_of_documents_in_pieces(spark):
+    docs, queries = _corpus(5, 120)
+    docs = [(d // 2, text) for d, text in docs]
+    got = D.surface_search(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), 4).collect()
+    _same(got, _surface(docs, queries, 4))
+
+
+def test_parts_are_not_broadcast_for_their_small_files(spark):
+    """300,000 parts with few values are a file of some 20 KB: by that size Spark would broadcast the rows."""
+    parts = R.cut(spark.range(300_000).selectExpr("id % 1000 AS doc_id", "concat('t', id % 7) AS t", "10.0D AS a"))
+    pairs = R.cut(spark.range(400_000).selectExpr("id AS query_id", "pmod(xxhash64(id), 1000000) AS doc_id", "1.0D AS s"))
+    of = R.cut(spark.range(400_000).selectExpr("id AS query_id", "concat('t', pmod(xxhash64(id), 100000)) AS t", "1L AS n"))
+    plan = R.full(parts, pairs, of)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [doc_id" in plan
+    assert "Broadcast" not in plan[: plan.index("SortMergeJoin [doc_id")]
