@@ -101,10 +101,16 @@ def score_submissions(gold: DataFrame, submitted: DataFrame, claims: DataFrame)
     return out.withColumn("weighted_score", F.round(weighted, 4))
 
 
+def round_scaled(c: Column, digits: int) -> Column:
+    """A double rounded as SQL engines round it, times a power of ten: 1.005, which is a little less as a double, is 1.0.
+    F.round goes by the shortest decimal form and makes it 1.01."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def leaderboard(scores: DataFrame, participant: str, case: str, score: str, digits: int = 4) -> DataFrame:
     """EV5: cases, average score (to so many digits) and wins (cases in which nobody scored higher; ties count for all)."""
     best = F.max(score).over(Window.partitionBy(case))
-    return scores.withColumn("won", F.col(score) == best).groupBy(participant).agg(F.count(F.lit(1)).alias("n_cases"), F.round(F.avg(score), digits).alias("avg_score"), F.count_if("won").alias("wins"))
+    return scores.withColumn("won", F.col(score) == best).groupBy(participant).agg(F.count(F.lit(1)).alias("n_cases"), round_scaled(F.avg(score), digits).alias("avg_score"), F.count_if("won").alias("wins"))
 
 
 def hit_rate(ranked: DataFrame, gold: DataFrame, case: str, item: str, ks: Sequence[int]) -> DataFrame:

@@ -54,7 +54,7 @@ def duel_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH s AS (SELECT event_type AS p, user_id AS c, round(avg(value), 2) AS x FROM events GROUP BY 1, 2), w AS (SELECT *, x = max(x) OVER (PARTITION BY c) AS won FROM s) SELECT p, count(*) AS n_cases, round(avg(x), 2) AS avg_score, count(*) FILTER (won) AS wins FROM w GROUP BY p")
 def leaderboard(spark: SparkSession, d: str) -> DataFrame:
     """EV5."""
-    s = table(spark, d, "events").groupBy(F.col("event_type").alias("p"), F.col("user_id").alias("c")).agg(F.round(F.avg("value"), 2).alias("x"))
+    s = table(spark, d, "events").groupBy(F.col("event_type").alias("p"), F.col("user_id").alias("c")).agg(evaluate.round_scaled(F.avg("value"), 2).alias("x"))
     return evaluate.leaderboard(s, "p", "c", "x", digits=2)
 
 

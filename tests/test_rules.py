@@ -270,3 +270,17 @@ def test_leaderboard_rounds_once(spark, tmp_path):
     spark.createDataFrame(rows, "event_type string, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = QUERIES["leaderboard"](spark, str(tmp_path)).first()
     assert (got.n_cases, got.avg_score, got.wins) == (300, 1.0, 300)
+
+
+def test_leaderboard_rounds_as_its_sql(spark, tmp_path):
+    """1.005, 0.285 and their like are less than they look: rounded up by their digits, a would win the first two cases alone."""
+    import duckdb
+    from compare import both
+
+    from claimspark.plans import ORACLE_SQL, QUERIES
+
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES ('a', 1, 1.005::DOUBLE), ('b', 1, 1.0), ('a', 2, 0.285), ('b', 2, 0.28), ('a', 3, 2.675), ('b', 3, 2.68), ('a', 4, -1.005), ('b', 4, NULL)) v(event_type, user_id, value)) TO '{tmp_path}/events.parquet'")
+    got, names, want, columns = both(spark, str(tmp_path), QUERIES["leaderboard"], ORACLE_SQL["leaderboard"])
+    assert names == columns
+    assert got == want
+    assert {(r.p, r.wins) for r in QUERIES["leaderboard"](spark, str(tmp_path)).collect()} == {("a", 4), ("b", 3)}
